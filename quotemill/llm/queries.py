@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import huffman, mixing, sharding, tokens
+from . import embeddings, fingerprints, huffman, jaccard, langid, mixing, passages, sharding, tokens, urls
 
 QUERIES = {
+    "op1_url_filter": urls.op1_url_filter,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_byte_bpe": tokens.op3_byte_bpe,
     "op4_huffman": huffman.op4_huffman,
+    "op5_langid": langid.op5_langid,
     "op6_sharding": sharding.op6_sharding,
+    "op7_substring_dedup": passages.op7_substring_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_embeddings": embeddings.op9_embeddings,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
