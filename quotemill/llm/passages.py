@@ -1,8 +1,8 @@
 """Substring dedup by hashing lines and, within them, groups of sentences.
 
 A unit is a run of whole sentences of one line with at least ``LEAST`` words; a
-sentence longer than ``LONGEST`` words is cut after words that their own hash selects,
-so a passage pasted into the middle of another line falls into the same units from its
+sentence longer than ``LONGEST`` words is cut after words that their own hash selects (one in
+``CUT``), or else after ``MOST`` words, so a passage pasted into the middle of another line falls into the same units from its
 first boundary on. Units are normalised (lower case, single spaces, no outer
 punctuation), their digests are grouped over all documents, the earliest occurrence by
 (doc_id, offset) stays, and the others are removed. Their original offsets are kept.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._common import read, small_batches, stored
 
-LEAST, LONGEST, CUT = 8, 48, 16
+LEAST, LONGEST, CUT, MOST = 8, 16, 8, 40
 _LINE = re.compile(r"[^\n]+")
 _STOP = re.compile(r"""[.!?…。！？]+["'”’»)\]]*(?:\s+|$)""")
 _WORD = re.compile(r"\S+")
@@ -48,7 +48,8 @@ def units(text: str) -> list[tuple[int, int, str]]:
             if len(own) > LONGEST:
                 for m in _WORD.finditer(row, last, end):
                     words.append(m.group())
-                    if len(words) >= LEAST and crc32(m.group().lower().encode("utf-8", "replace")) % CUT == 0:
+                    chosen = crc32(m.group().lower().encode("utf-8", "replace")) % CUT == 0
+                    if len(words) >= MOST or (len(words) >= LEAST and chosen):
                         out.append((base + begin, base + m.end(), words))
                         begin, words = m.end(), []
             else:
