@@ -1,0 +1 @@
+"""Operators of the quote engine: DataFrame in, DataFrame out."""

@@ -1,0 +1 @@
+"""Whole plans and registered queries."""

@@ -1,0 +1 @@
+"""Feeds, captures, snapshots and the test tape."""
