@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import MARKET, Freshness
+from ..model import Freshness, Settings
+from ..functions import text as T
 from ..operators import analysis as A
 from ..operators import identity as I
+from ..operators import mappings as M
 from ..operators import operations as O
 from ..operators import quotes as Q
 from ..operators import reports as R
 from ..operators import signals as S
 from ..operators import validation as V
-from ..functions import text as T
+from ..sources import feeds
 from ..sources.tape import table, tape
+from .detection import detect
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -630,6 +633,150 @@ def event_match_range(spark, sf_dir):
     return I.match_by_time(records, events, ["k"], 1800).select("id", "event_id", "result")
 
 
+@query(""" WITH log AS (SELECT user_id % 60 AS key, event_id AS seq, CASE event_type WHEN 'view' THEN 'UNVERIFIED' WHEN 'click' THEN 'UNVERIFIED' WHEN 'purchase' THEN 'VERIFIED' WHEN 'signup' THEN 'VERIFIED' ELSE 'SUSPECT' END AS trust_state, event_id % 23 = 0 AS by_hand FROM events),
+era AS (SELECT *, sum(CASE WHEN by_hand THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS e FROM log),
+live AS (SELECT *, max(CASE WHEN trust_state = 'SUSPECT' THEN 1 ELSE 0 END) OVER (PARTITION BY key, e ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM era)
+SELECT key, seq, trust_state FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM live WHERE coalesce(b, 0) = 0) WHERE r = 1""")
+def mapping_current(spark, sf_dir):
+    """Guarded upserts: a suspect mapping is frozen until a person decides."""
+    log = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 60).alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 23 == 0).alias("override"),
+        F.when(F.col("event_type").isin("view", "click"), "UNVERIFIED").when(F.col("event_type").isin("purchase", "signup"), "VERIFIED").otherwise("SUSPECT").alias("trust_state"),
+    )
+    return O.mapping_view(log, ["key"], "seq", ("SUSPECT", "REJECTED")).select("key", "seq", "trust_state")
+
+
+@query("SELECT user_id % 40 AS event_id, max_by(event_type, event_id) AS lifecycle FROM events GROUP BY 1")
+def event_status(spark, sf_dir):
+    """Last write by arrival wins."""
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("event_id"), F.col("event_type").alias("lifecycle"), F.col("event_id").alias("seq"))
+    return O.upsert_last(log, ["event_id"], "seq").select("event_id", "lifecycle")
+
+
+@query(_IDENTITY + """, lands AS (SELECT id, CASE WHEN country = '1' THEN NULL ELSE country END AS land FROM comps), tc AS (SELECT DISTINCT home_team_id AS team_id, competition_id FROM evs),
+known AS (SELECT DISTINCT team_id, land FROM tc JOIN lands ON lands.id = tc.competition_id WHERE land IS NOT NULL AND land <> ''),
+asked AS (SELECT DISTINCT away_team_id AS team_id, competition_id FROM evs)
+SELECT asked.team_id, asked.competition_id FROM asked LEFT JOIN lands ON lands.id = asked.competition_id
+WHERE coalesce(land, '') = '' OR NOT EXISTS (SELECT 1 FROM known k WHERE k.team_id = asked.team_id) OR EXISTS (SELECT 1 FROM known k WHERE k.team_id = asked.team_id AND k.land = lands.land)""")
+def country_compatible_pairs(spark, sf_dir):
+    t = _identity(spark, sf_dir)
+    comps = t["competitions"].withColumn("country", F.when(F.col("country") != "1", F.col("country")))
+    pairs = t["events"].select(F.col("home_team_id").alias("team_id"), "competition_id").distinct()
+    asked = t["events"].select(F.col("away_team_id").alias("team_id"), "competition_id").distinct()
+    return M.country_compatible(asked, pairs, comps)
+
+
+@query(_IDENTITY + """, e AS (SELECT id, start_time, CASE WHEN id % 3 = 0 THEN 'p1' END AS start_time_provider, CASE WHEN id % 4 = 0 THEN 'ref' END AS reference_provider FROM evs),
+s AS (SELECT id AS event_id, 'p' || CAST(id % 2 AS VARCHAR) AS p, start_time + INTERVAL 1 HOUR AS t, 1 AS seq FROM evs UNION ALL SELECT id, 'ref', start_time + INTERVAL 2 HOUR, 2 FROM evs WHERE id % 5 = 0),
+ok AS (SELECT s.* FROM s JOIN e ON e.id = s.event_id WHERE p = 'ref' OR reference_provider = p OR (reference_provider IS NULL AND (start_time_provider IS NULL OR start_time_provider = p)))
+SELECT e.id, coalesce((SELECT max_by(t, seq) FROM ok WHERE ok.event_id = e.id), start_time) AS start_time FROM e""")
+def kickoff_sync(spark, sf_dir):
+    """Only a provider with authority over an event moves its kickoff."""
+    ev = _identity(spark, sf_dir)["events"].select("id", "start_time")
+    events = ev.withColumns({"start_time_provider": F.when(F.col("id") % 3 == 0, "p1"), "reference_provider": F.when(F.col("id") % 4 == 0, "ref")})
+    first = ev.select(F.col("id").alias("event_id"), F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("provider_id"), (F.col("start_time") + F.make_dt_interval(hours=F.lit(1))).alias("start_time"), F.lit(1).alias("seq"))
+    second = ev.filter("id % 5 = 0").select(F.col("id").alias("event_id"), F.lit("ref").alias("provider_id"), (F.col("start_time") + F.make_dt_interval(hours=F.lit(2))).alias("start_time"), F.lit(2).alias("seq"))
+    return M.synced_kickoffs(events, first.unionByName(second), "ref").select("id", "start_time")
+
+
+@query(_IDENTITY + """, held AS (SELECT id, CASE WHEN id % 5 = 0 THEN CAST(id % 100 AS VARCHAR) END AS ref FROM teams), claims AS (SELECT DISTINCT team_id AS id, CAST(source_id % 300 AS VARCHAR) AS ref FROM maps WHERE source = 'src1')
+SELECT id, ref FROM claims WHERE (SELECT count(*) FROM claims c WHERE c.ref = claims.ref) = 1 AND NOT EXISTS (SELECT 1 FROM held WHERE held.ref = claims.ref)
+ AND NOT EXISTS (SELECT 1 FROM held WHERE held.id = claims.id AND held.ref IS NOT NULL) AND EXISTS (SELECT 1 FROM held WHERE held.id = claims.id)""")
+def promotable_references(spark, sf_dir):
+    t = _identity(spark, sf_dir)
+    held = t["teams"].select("id", F.lit("r").alias("reference_provider"), F.when(F.col("id") % 5 == 0, (F.col("id") % 100).cast("string")).alias("reference_provider_id"))
+    claims = t["mappings"].filter("source = 'src1'").select(F.col("team_id").alias("id"), F.lit("r").alias("reference_provider"), (F.col("source_id") % 300).cast("string").alias("reference_provider_id")).distinct()
+    return M.promotable(held, claims).select("id", F.col("reference_provider_id").alias("ref"))
+
+
+_AUDIT_STATUS = "CASE id % 7 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'REFERENCE' ELSE 'PROVISIONAL' END"
+
+
+@query(_IDENTITY + f""", t2 AS (SELECT *, {_AUDIT_STATUS} AS st FROM teams), c2 AS (SELECT *, {_AUDIT_STATUS} AS st FROM comps),
+orphan_t AS (SELECT * FROM t2 WHERE st = 'PROVISIONAL' AND NOT EXISTS (SELECT 1 FROM evs WHERE home_team_id = t2.id OR away_team_id = t2.id)),
+orphan_c AS (SELECT * FROM c2 WHERE st = 'PROVISIONAL' AND NOT EXISTS (SELECT 1 FROM evs WHERE competition_id = c2.id)),
+guarded AS (SELECT o.id, reference_provider IS NOT NULL OR EXISTS (SELECT 1 FROM maps WHERE team_id = o.id AND trust_state <> 'UNVERIFIED') AS p FROM orphan_t o),
+f AS (SELECT 'duplicate-canonical-events' AS code, 'ERROR' AS severity, count(*) AS n FROM (SELECT 1 FROM evs GROUP BY competition_id, home_team_id, away_team_id, start_time HAVING count(*) > 1)
+ UNION ALL SELECT 'orphan-provisional-teams', 'WARNING', count(*) FROM orphan_t UNION ALL SELECT 'gc-safe-provisional-teams', 'INFO', count(*) FROM guarded WHERE NOT p
+ UNION ALL SELECT 'protected-orphan-teams', 'WARNING', count(*) FROM guarded WHERE p UNION ALL SELECT 'conflicting-teams', 'ERROR', count(*) FROM t2 WHERE st = 'CONFLICT'
+ UNION ALL SELECT 'orphan-provisional-competitions', 'WARNING', count(*) FROM orphan_c UNION ALL SELECT 'gc-safe-provisional-competitions', 'INFO', count(*) FROM orphan_c
+ UNION ALL SELECT 'conflicting-competitions', 'ERROR', count(*) FROM c2 WHERE st = 'CONFLICT'
+ UNION ALL SELECT 'unresolved-team_mappings', CASE WHEN count(*) FILTER (trust_state = 'SUSPECT') > 0 THEN 'ERROR' ELSE 'WARNING' END, count(*) FROM maps WHERE trust_state IN ('UNVERIFIED', 'SUSPECT')
+ UNION ALL SELECT 'rejected-team_mappings', 'WARNING', count(*) FROM maps WHERE trust_state = 'REJECTED'
+ UNION ALL SELECT 'multiple-reference-ids-team_mappings', 'ERROR', count(*) FROM (SELECT 1 FROM maps GROUP BY source, source_id HAVING count(DISTINCT team_id) > 1))
+SELECT code, severity, n FROM f WHERE n > 0""")
+def identity_audit(spark, sf_dir):
+    t = _identity(spark, sf_dir)
+    status = F.when(F.col("id") % 7 == 0, "CONFLICT").when(F.col("id") % 7 == 1, "REFERENCE").otherwise("PROVISIONAL")
+    mappings = t["mappings"].withColumnRenamed("team_id", "target_id")
+    tables = {
+        "events": t["events"].withColumn("sport", F.lit("s")), "teams": t["teams"].withColumn("identity_status", status),
+        "competitions": t["competitions"].withColumns({"identity_status": status, "sport": F.lit("s"), "reference_provider": F.lit(None).cast("string")}),
+        "team_mappings": mappings, "competition_mappings": mappings.limit(0),
+    }
+    return M.audit(tables).select("code", "severity", "n")
+
+
+@query(_TAPE + """ SELECT event_id, max(odds) FILTER (outcome = '1') AS home, max(odds) FILTER (outcome = 'X') AS draw, max(odds) FILTER (outcome = '2') AS away, CASE WHEN count(*) = 3 THEN ROUND(sum(1.0 / CAST(odds AS DOUBLE)), 8) END AS margin
+FROM best WHERE market_type = 'three_way' GROUP BY event_id""")
+def console_breakdown(spark, sf_dir):
+    quotes = tape(spark, sf_dir)
+    out = R.console_breakdown(quotes, TAPE_FRESHNESS, _now(quotes))
+    return out.select("event_id", F.col("1").alias("home"), F.col("X").alias("draw"), F.col("2").alias("away"), F.round("margin", 8).alias("margin"))
+
+
+@query(_TAPE + f"""SELECT 'SUREBET' AS signal_type, {_KEY}, NULL AS outcome, ROUND((1 / margin - 1) * 100, 6) AS edge FROM surebet WHERE margin < 1
+ UNION ALL SELECT 'VALUE_GAP', {_KEY}, outcome, max(ROUND((CAST(odds AS DOUBLE) - CAST(median AS DOUBLE)) / CAST(median AS DOUBLE) * 100, 6)) FROM tagged WHERE n >= 3 AND abs(odds - median) * 100 >= 15 * median AND odds > median GROUP BY ALL""")
+def detection_cycle(spark, sf_dir):
+    """Candidates of one cycle over all events and markets."""
+    quotes = tape(spark, sf_dir)
+    sweep = detect(quotes, _now(quotes), Settings(freshness=TAPE_FRESHNESS))
+    return sweep.candidates.select("signal_type", *SLIM, "outcome", F.round("edge", 6).alias("edge"))
+
+
+@query("""SELECT 'b' || CAST(l_suppkey AS VARCHAR) AS source, 'e' || CAST(l_orderkey AS VARCHAR) AS source_event_id, CAST(l_quantity AS DECIMAL(18,6)) AS home, CAST(CAST(l_tax AS DECIMAL(9,2)) + 3 AS DECIMAL(18,6)) AS draw
+FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0""")
+def h2h_feed(spark, sf_dir):
+    """Payloads written as a provider would, and parsed back."""
+    items = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey % 10 = 0")
+    draw = (F.col("l_tax").cast("decimal(9,2)") + 3).cast("string")
+    payload = F.format_string(
+        '[{"id":"e%d","home_team":"A","away_team":"B","commence_time":"2026-01-02T10:00:00Z","sport_title":"L","bookmakers":[{"key":"k","title":"b%d","markets":[{"key":"h2h","outcomes":['
+        '{"name":"A","price":%s},{"name":"Draw","price":%s},{"name":"B","price":2.5}]}]}]}]',
+        F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_quantity").cast("string"), draw,
+    )
+    captures = items.select(payload.alias("payload"), F.current_timestamp().alias("observed_at"))
+    return feeds.h2h_feed(captures).select("source", "source_event_id", F.col("odds")["1"].alias("home"), F.col("odds")["X"].alias("draw"))
+
+
+@query(_RUNS + """ SELECT source FROM (SELECT source, max(started_at) AS m FROM runs GROUP BY source), clock WHERE epoch(now) - epoch(m) >= 86400 * (1 + ascii(source) % 3) """)
+def sources_due(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    plans = runs.select("source").distinct().withColumn("min_interval_seconds", (1 + F.ascii("source") % 3) * 86400)
+    return O.sources_due(runs, plans, _run_clock(runs)).select("source")
+
+
+@query()
+def fuzzy_names(spark, sf_dir):
+    """Part names with a letter dropped, resolved against the names (no SQL: similarity)."""
+    pool = table(spark, sf_dir, "part").select(F.lit("s").alias("scope"), F.col("p_name").alias("canonical_name")).distinct()
+    names = pool.select("scope", F.expr("substring(canonical_name, 1, length(canonical_name) - 1)").alias("name"))
+    aliases = spark.createDataFrame([("nothing", "none")], "alias string, target string")
+    return I.normalize_names(names, pool, aliases).select("name", "canonical_name", "confidence", "method")
+
+
+@query()
+def resolved_fixtures(spark, sf_dir):
+    """Events of the tape's users as fixtures of two sources, resolved in order (no SQL)."""
+    e = table(spark, sf_dir, "events").filter("event_id % 5 = 0")
+    records = e.select(
+        F.col("event_id").alias("id"), F.col("event_id").alias("seq"), F.lit("football").alias("sport"), F.concat(F.lit("s"), (F.col("event_id") % 2).cast("string")).alias("source"),
+        F.lit("League").alias("league"), F.lit(None).cast("string").alias("country"), F.concat(F.lit("team "), (F.col("user_id") % 12).cast("string")).alias("home_team"),
+        F.concat(F.lit("team "), (F.col("user_id") % 12 + 12).cast("string")).alias("away_team"), F.date_trunc("day", "ts").cast("timestamp").alias("start_time"), F.lit(None).cast("string").alias("source_event_id"),
+    )
+    return I.resolve_records(records)
+
+
 # ---------------------------------------------------------------- large tables
 
 

@@ -42,8 +42,14 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-def test_every_query_of_the_quote_engine_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+def test_queries_without_sql(spark):
+    """Similarity and order-dependent resolution: whole results, checked by their shape."""
+    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_names", "resolved_fixtures"}
+    names = QUERIES["fuzzy_names"](spark, SF)
+    assert names.filter("method = 'fuzzy' and confidence < 80").count() == 0
+    fixtures = QUERIES["resolved_fixtures"](spark, SF)
+    assert fixtures.filter("event_id is null").count() == 0
+    assert fixtures.count() == spark.read.parquet(f"{SF}/events.parquet").filter("event_id % 5 = 0").count()
 
 
 def test_entry_runs(spark):
