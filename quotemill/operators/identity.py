@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..workers import importable
 
 # ------------------------------------------------------------- joins
 
@@ -295,6 +296,7 @@ def resolve_records(records: DataFrame, aliases: dict[str, str] | None = None) -
     Distinct keys of a sport run in the order of ``seq`` through one resolver: what a
     record finds depends on those before it. A sport's distinct fixtures, not its quotes, are what one task holds.
     """
+    importable()
     key = ["sport", "source", "league", "country", "home_team", "away_team", "start_time", "source_event_id"]
     given = {T.comparison_key(k): v for k, v in (aliases or {}).items()}
     hashed = records.withColumn("_k", F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256))
