@@ -141,20 +141,36 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
     """(languages, scores): the score is the mean probability over the windows."""
     if model is None or not texts:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    names, scores = [], []
-    for s in range(0, len(raw), 32):  # whole texts, a few at a time
-        x, owner = windows(part := raw[s : s + 32])
-        total, seen = np.zeros((len(part), len(model.languages))), np.zeros((len(part), len(model.languages)))
+    shape = (len(texts), len(model.languages))
+    total, seen, count = np.zeros(shape), np.zeros(shape), np.zeros(len(texts))
+    for which, segments in _segments(texts):
+        x, owner = windows(segments)
+        owner = np.array(which)[owner]
         for i in range(0, len(x), BATCH):
             lp = model.log_probabilities(x[i : i + BATCH]).astype(np.float64)
             np.add.at(total, owner[i : i + BATCH], lp)
             np.add.at(seen, owner[i : i + BATCH], np.exp(lp))
-        n = np.bincount(owner, minlength=len(part))
-        best = total.argmax(1)
-        names += [model.languages[b] for b in best]
-        scores += (seen[np.arange(len(part)), best] / n).clip(0, 1).tolist()
-    return names, scores
+        count += np.bincount(owner, minlength=len(texts))
+    best = total.argmax(1)
+    return [model.languages[b] for b in best], (seen[np.arange(len(texts)), best] / count).clip(0, 1).tolist()
+
+
+def _segments(texts: list[str | None], size: int = 256 * WINDOW):
+    """All bytes of all texts in groups of about ``size``; a longer text is cut at whole
+    windows, so that memory doesn't depend on the longest."""
+    which, held, n = [], [], 0
+    for i, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "replace")
+        for s in range(0, max(len(raw), 1), size):
+            part = raw[s : s + size]
+            held.append(raw[-WINDOW:] if s and len(part) < WINDOW else part)
+            which.append(i)
+            n += len(part)
+            if n >= size:
+                yield which, held
+                which, held, n = [], [], 0
+    if held:
+        yield which, held
 
 
 def held_out(key: Column) -> Column:

@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-WORDS = 5
+WORDS, _PIECE = 5, 1 << 20
 _MARKS = re.compile("[\u00a0«»¡¿·–—‘’“”„…、。！，？]")
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
@@ -42,7 +42,19 @@ def finish(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """One hash a word, in order."""
+    """One hash a word, in order. A long text is taken in pieces that end before a space."""
+    if len(text) <= _PIECE:
+        return _word_hashes(text)
+    parts, at = [], 0
+    while at < len(text):
+        end = text.find(" ", at + _PIECE)
+        end = len(text) if end < 0 else end
+        parts.append(_word_hashes(text[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def _word_hashes(text: str) -> np.ndarray:
     low = text.lower()
     if not low.isascii():
         low = _MARKS.sub(" ", low)

@@ -473,3 +473,21 @@ def test_overlaps():
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     got = jaccard._overlaps(sets, wide=64)
     assert all(got[i, j] == want[i][j] for i in range(12) for j in range(12) if i != j)
+
+
+# ---------------------------------------------------------------- very long texts
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    from quotemill.llm import shingles as sh
+
+    text = prose(random.Random(8), 4000) + "x" * 3000 + " end"
+    whole = sh.word_hashes(text)
+    monkeypatch.setattr(sh, "_PIECE", 500)
+    assert sh.word_hashes(text).tolist() == whole.tolist()
+    model = langid.train([("der und die das nicht", "de"), ("the and of that was", "en")] * 20, epochs=3)
+    segments = [s for _, group in langid._segments([text, None, "ab"], size=2 * langid.WINDOW) for s in group]
+    joined = b"".join(segments[:-3])
+    assert text.encode().startswith(joined) and segments[-2:] == [b"", b"ab"]
+    assert len(segments[-3]) >= langid.WINDOW and text.encode().endswith(segments[-3])
+    assert langid.predict(model, [text, "the and of"])[0][1] == "en"
