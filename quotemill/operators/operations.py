@@ -259,3 +259,30 @@ def update_frequency(first: DataFrame, second: DataFrame, key: list[str]) -> Dat
     return both.groupBy("bookmaker_id").agg(
         F.count("*").alias("common"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("changed")
     )
+
+
+def counts_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Runs by provider, signals by type and status, and the like."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def most_common(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """The ``n`` most frequent values; of equals, the smallest first."""
+    return counts_by(df, column).orderBy(F.desc("n"), column).limit(n)
+
+
+def events_of(events: DataFrame, sport: str | None = None) -> DataFrame:
+    return events if sport is None else events.filter(F.col("sport") == sport)
+
+
+def event_detail(event_id, events: DataFrame, teams: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """One event with its teams' names and, for each market it has quotes in, how many, from
+    how many bookmakers and since when. Markets are told apart by their whole identity."""
+    from ..model import MARKET
+
+    one = event_listing(events.filter(F.col("id") == event_id), teams)
+    own = snapshots.filter(F.col("event_id") == event_id).groupBy("event_id", *MARKET).agg(
+        F.count("*").alias("snapshots"), F.count_distinct("bookmaker_id").alias("bookmakers"),
+        F.min("observed_at").alias("first_observed_at"), F.max("observed_at").alias("last_observed_at"),
+    )
+    return one.join(own, F.col("id") == F.col("event_id"), "left").drop("event_id")

@@ -25,9 +25,14 @@ class Sweep:
 KEY = ["signal_type", "event_id", *MARKET, "outcome"]
 
 
-def detect(quotes: DataFrame, now: Column, settings: Settings, status: DataFrame | None = None) -> Sweep:
+def detect(
+    quotes: DataFrame, now: Column, settings: Settings, status: DataFrame | None = None, touched: DataFrame | None = None
+) -> Sweep:
     """Surebets, value gaps and movements of the open events. Movements use the whole
-    history; freshness would hide the very readings they compare."""
+    history; freshness would hide the very readings they compare. ``touched`` (event_id) limits a cycle to the events
+    that its ingestion brought something for."""
+    if touched is not None:
+        quotes = quotes.join(touched.select("event_id").distinct(), "event_id", "left_semi")
     if status is not None:
         quotes = A.open_events(quotes, status)
     usable = A.coherent(latest(A.supported(quotes)), settings.freshness, now)
@@ -49,3 +54,9 @@ def detect(quotes: DataFrame, now: Column, settings: Settings, status: DataFrame
     )
     moves = A.movements(quotes, settings.movement_percent, settings.movement_window_seconds)
     return Sweep(sure.unionByName(gap), seen, moves)
+
+
+def as_log(sweep: Sweep, at: Column) -> tuple[DataFrame, DataFrame]:
+    """The sweep's rows for the append logs that ``signals.sweep_rows`` folds: candidates
+    and evaluated keys, each with the time of the sweep."""
+    return sweep.candidates.withColumn("sweep_ts", at), sweep.evaluated.withColumn("sweep_ts", at)

@@ -777,6 +777,29 @@ def resolved_fixtures(spark, sf_dir):
     return I.resolve_records(records)
 
 
+@query(_RUNS + " SELECT source, status, count(*) AS n FROM runs GROUP BY ALL")
+def provider_run_totals(spark, sf_dir):
+    return O.counts_by(_runs(spark, sf_dir), "source", "status")
+
+
+@query(_SIGNALS + ", c AS (SELECT market_type, max_by(status, sweep_ts) AS status FROM folded GROUP BY event_id, market_type, line) SELECT market_type, status, count(*) AS n FROM c GROUP BY ALL")
+def signals_by_status(spark, sf_dir):
+    return O.counts_by(S.current(_folded(spark, sf_dir), SIGNAL_KEY), "market_type", "status")
+
+
+@query(_TAPE + " SELECT event_id, count(*) AS n FROM tape GROUP BY ALL ORDER BY n DESC, event_id LIMIT 10")
+def busiest_events(spark, sf_dir):
+    """Top ten: the limit is the report."""
+    return O.most_common(tape(spark, sf_dir), "event_id")
+
+
+@query(_TAPE + " SELECT market_type, market_line, count(*) AS snapshots, count(DISTINCT bookmaker_id) AS bookmakers, min(observed_at) AS first_observed_at FROM tape WHERE event_id = 7 GROUP BY ALL")
+def event_detail(spark, sf_dir):
+    events = spark.createDataFrame([(7, 1, 2)], "id long, home_team_id long, away_team_id long")
+    teams = spark.createDataFrame([(1, "Home"), (2, "Away")], "id long, canonical_name string")
+    return O.event_detail(7, events, teams, tape(spark, sf_dir)).select("market_type", "market_line", "snapshots", "bookmakers", "first_observed_at")
+
+
 # ---------------------------------------------------------------- large tables
 
 

@@ -115,9 +115,10 @@ def flat_quotes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as captures, observed when they were written."""
-    text = spark.read.text(path, wholetext=True)
+def captures(spark: SparkSession, folder: str, name: str = "*") -> DataFrame:
+    """Whole files of a drop folder as captures, observed when they were written. No file
+    of that name is no capture, not an error."""
+    text = spark.read.option("pathGlobFilter", name).text(folder, wholetext=True)
     return text.select(F.col("value").alias("payload"), F.col("_metadata.file_modification_time").alias("observed_at"))
 
 

@@ -16,7 +16,7 @@ from quotemill.operators import quotes as Q
 from quotemill.operators import reports as R
 from quotemill.operators import signals as S
 from quotemill.operators import validation as V
-from quotemill.plans.detection import detect
+from quotemill.plans.detection import as_log, detect
 
 T0 = datetime(2026, 1, 1, 12)
 SCHEMA = (
@@ -173,6 +173,9 @@ def test_detection_cycle(spark):
     s = detect(rows, now(), Settings())
     assert [(r.signal_type, r.event_id) for r in s.candidates.collect()] == [("SUREBET", 1)]
     assert [(r.signal_type, r.event_id) for r in s.evaluated.collect()] == [("SUREBET", 1)]
+    assert detect(rows, now(), Settings(), touched=spark.createDataFrame([(2,)], "event_id long")).candidates.count() == 0
+    found, seen = as_log(s, now())
+    assert found.first().sweep_ts == seen.first().sweep_ts == T0
     over = spark.createDataFrame([(1, "finished")], "event_id long, lifecycle string")
     assert detect(rows, now(), Settings(), over).candidates.count() == 0
 

@@ -113,6 +113,12 @@ def test_flat_file_and_its_rejections(spark, tmp_path):
     assert sorted(str(x.stage) for x in r.collect()) == ["None", "semantic", "semantic", "structural"]
 
 
+def test_drop_folder(spark, tmp_path):
+    (tmp_path / "live.json").write_text("{}")
+    assert feeds.captures(spark, str(tmp_path), "live.json").first().payload == "{}"
+    assert feeds.captures(spark, str(tmp_path), "other.json").count() == 0
+
+
 def test_fetch_retries_and_hides_secrets():
     class Body:
         def __enter__(self):
