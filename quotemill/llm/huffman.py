@@ -18,13 +18,12 @@ each other; an empty table gives folders without blocks.
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import parts, read, shared_dir, small_batches, stored, text_or_empty
+from ._common import parts, read, scratch, small_batches, stored, text_or_empty
 
 #: Longest code in bits; ids between checkpoints; ids after which a block closes.
 LIMIT, STEP, BLOCK = 16, 64, 1 << 17
@@ -67,8 +66,9 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.model, self.chars = self.whole.model, _byte_chars()
-        self.table = {b: c for b, c in self.chars.items()}
+        self.model, self.table = self.whole.model, _byte_chars()
+        # two bytes an id halve what is stored and shuffled
+        self.kind = "<u2" if max(self.whole.get_vocab_size(True), max(self.whole.get_vocab(True).values()) + 1) <= 1 << 16 else "<u4"
         letter = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
         number = "0-9²³¹¼½¾"
         self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s")
@@ -80,7 +80,7 @@ class Encoder:
         import numpy as np
 
         ids = [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.table))]
-        out = np.asarray(ids, dtype="<u4").tobytes()
+        out = np.asarray(ids, dtype=self.kind).tobytes()
         if len(self.parts) < REMEMBERED:
             self.parts[piece] = out
         return out
@@ -95,10 +95,9 @@ class Encoder:
         return out
 
     def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as little-endian unsigned integers of ``kind``."""
         import numpy as np
 
-        # the guard space makes the first word one of the others; its own piece is cut off below
         words = text.replace("\n", " \n").split(" ") if text else [""]
         head, known, out = words[0], self.words.get, []
         if self.regular.fullmatch(head) and head[0] != "\n" and not any(s in head for s in self.special):
@@ -110,7 +109,7 @@ class Encoder:
                 out.append(ids)
             else:
                 return b"".join(out)
-        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -118,6 +117,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def id_kind(path: str) -> str:
+    """Width of an id in memory: 16 bits where the vocabulary allows."""
+    return encoder(path).kind
+
+
 def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -125,9 +129,9 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def encode(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, ids (little-endian unsigned 32-bit)."""
+    """``docs`` (doc_id, text) -> doc_id, ids (little-endian, as ``id_kind`` of the path)."""
     path = path or vocabulary()
-    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    tail = b"" if end_id is None else int(end_id).to_bytes(int(id_kind(path)[-1]), "little")
 
     def run(batches):
         import pyarrow as pa
@@ -241,7 +245,7 @@ class Codec:
 # ---------------------------------------------------------------- files
 
 
-def count_ids(encoded: DataFrame) -> dict[int, int]:
+def count_ids(encoded: DataFrame, kind: str) -> dict[int, int]:
     """Global counts: at most one row an id of the vocabulary reaches the driver."""
 
     def run(batches):
@@ -250,7 +254,7 @@ def count_ids(encoded: DataFrame) -> dict[int, int]:
 
         total = np.zeros(0, np.int64)
         for b in batches:
-            ids = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4")
+            ids = np.frombuffer(b"".join(b.column(0).to_pylist()), kind)
             part = np.bincount(ids, minlength=len(total))
             part[: len(total)] += total
             total = part
@@ -261,10 +265,10 @@ def count_ids(encoded: DataFrame) -> dict[int, int]:
     return {r.id: r.n for r in part.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
-def write(encoded: DataFrame, path: str, limit: int = LIMIT, step: int = STEP, block: int = BLOCK) -> None:
-    """Write ``encoded`` (doc_id, ids) to the folder ``path``, ascending doc_id."""
-    spark = encoded.sparkSession
-    lengths = code_lengths(count_ids(encoded), limit)
+def write(encoded: DataFrame, path: str, kind: str, limit: int = LIMIT, step: int = STEP, block: int = BLOCK) -> None:
+    """Write ``encoded`` (doc_id, ids of ``kind``) to the folder ``path``, ascending doc_id."""
+    spark, width = encoded.sparkSession, int(kind[-1])
+    lengths = code_lengths(count_ids(encoded, kind), limit)
     spark.createDataFrame(sorted(lengths.items()), "id long, length int").coalesce(1).write.parquet(f"{path}/codes")
 
     def run(batches):
@@ -276,12 +280,12 @@ def write(encoded: DataFrame, path: str, limit: int = LIMIT, step: int = STEP, b
         docs, rows, held, no = [], [], 0, 0
 
         def close():
-            ids = np.frombuffer(b"".join(rows), "<u4").astype(np.int64)
+            ids = np.frombuffer(b"".join(rows), kind).astype(np.int64)
             payload, at = codec.pack(ids)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([docs], pa.list_(pa.int64())),
-                    pa.array([[len(x) // 4 for x in rows]], pa.list_(pa.int64())),
+                    pa.array([[len(x) // width for x in rows]], pa.list_(pa.int64())),
                     pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([payload], pa.binary()),
                 ],
                 names=["part", "block", "doc_ids", "counts", "checkpoints", "payload"],
@@ -291,7 +295,7 @@ def write(encoded: DataFrame, path: str, limit: int = LIMIT, step: int = STEP, b
             for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 docs.append(doc)
                 rows.append(ids)
-                held += len(ids) // 4
+                held += len(ids) // width
                 if held >= block:
                     yield close()
                     docs, rows, held, no = [], [], 0, no + 1
@@ -309,7 +313,7 @@ def write(encoded: DataFrame, path: str, limit: int = LIMIT, step: int = STEP, b
 
 
 def read_back(spark, path: str, limit: int = LIMIT, step: int = STEP) -> DataFrame:
-    """The documents of a folder: doc_id, part, block, place, n_tokens, ids."""
+    """The documents of a folder: doc_id, part, block, place, n_tokens, ids (32 bits each)."""
     lengths = {r.id: r.length for r in spark.read.parquet(f"{path}/codes").collect()}
 
     def run(batches):
@@ -355,8 +359,8 @@ def block_starts(spark, path: str) -> DataFrame:
 def op4_huffman(spark, sf_dir: str) -> DataFrame:
     """All documents written as Huffman blocks and read back: place, size, checksum."""
     encoded = stored(encode(read(spark, sf_dir, "documents")))
-    path = f"{shared_dir(spark)}/quotemill-ids-{uuid.uuid4().hex}"
-    write(encoded, path)
+    path = scratch(spark, "ids")
+    write(encoded, path, id_kind(vocabulary()))
     docs = read_back(spark, path).withColumn("crc", F.crc32("ids")).drop("ids")
     within = Window.partitionBy("part", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("in", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
