@@ -22,9 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import read, small_batches, stored
+from ._common import cut, read, small_batches, stored
 
 LEAST, LONGEST, CUT, MOST = 8, 16, 8, 40
+#: Share of all units beyond which one is joined by broadcast: at most so many of them.
+HOT = 1000
 _LINE = re.compile(r"[^\n]+")
 _STOP = re.compile(r"""[.!?…。！？]+["'”’»)\]]*(?:\s+|$)""")
 _WORD = re.compile(r"\S+")
@@ -114,8 +116,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, version, removed): the spans of each document that an earlier one holds."""
     found = stored(unit_digests(docs))
     place = F.struct(F.col("doc_id"), F.col("version"), F.col("start"))
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, "digest").filter(place > F.col("first")).select("doc_id", "version", "start", "end")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = cut(first)
+    # a unit with more than 1 in HOT of all rows would fill one task: those, at most HOT, are broadcast
+    crowded = F.col("n") > F.lit(found.count() // HOT)
+    hot, rest = first.filter(crowded).drop("n"), first.filter(~crowded).drop("n")
+    plain = found.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest")
+    later = found.join(F.broadcast(hot), "digest").unionByName(plain).filter(place > F.col("first"))
+    later = later.select("doc_id", "version", "start", "end")
     # a document that is there twice names each span twice
     spans = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     return spans
@@ -136,10 +144,10 @@ def dedup(docs: DataFrame) -> DataFrame:
         spans, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_v")), "left"
     )
     hit = F.col("_removed").isNotNull()
-    cut = cut_out(F.when(hit, docs["text"]), F.col("_removed.start"), F.col("_removed.end"))
+    shorter = cut_out(F.when(hit, docs["text"]), F.col("_removed.start"), F.col("_removed.end"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     columns = [F.when(hit, F.col("_cut")).otherwise(docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns if c != "removed"]
-    return joined.withColumn("_cut", cut).select(*columns, F.coalesce("_removed", none).alias("removed"))
+    return joined.withColumn("_cut", shorter).select(*columns, F.coalesce("_removed", none).alias("removed"))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
