@@ -142,13 +142,15 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
         .withColumn("apart", F.max(F.col("begin").isNull()).over(Window.partitionBy("row")))
     )
     mine = F.substring(F.col("text"), (F.col("begin") - F.col("no") * chunk + 1).cast("int"), (F.least(F.col("end"), F.col("begin") + chunk + overlap) - F.col("begin")).cast("int"))
-    ready = stitched.filter(~F.col("apart")).select("doc_id", "row", "no", mine.alias("text"))
-    # no boundary in common somewhere: the whole text again, as one piece
-    whole = stitched.filter("apart").groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.array_sort(F.collect_list(F.struct("no", F.substring("text", 1, chunk).alias("t")))).alias("c"),
-    ).select("doc_id", "row", F.lit(0).alias("no"), F.array_join("c.t", "").alias("text"))
-    done = _map(ready.unionByName(whole), _encoder(path, 3), "doc_id long, row long, no int, n_tokens long, ids binary")
+    # no boundary in common somewhere: the chunks without their overlaps are one piece again
+    piece = F.when(F.col("apart"), F.substring("text", 1, chunk)).otherwise(mine)
+    ready = (
+        stitched.withColumn("piece", F.when(F.col("apart"), F.lit(0)).otherwise(F.col("no")))
+        .groupBy("row", "piece")
+        .agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("no", piece.alias("t")))).alias("c"))
+        .select("doc_id", "row", F.col("piece").alias("no"), F.array_join("c.t", "").alias("text"))
+    )
+    done = _map(ready, _encoder(path, 3), "doc_id long, row long, no int, n_tokens long, ids binary")
     return short.unionByName(done.groupBy("row").applyInPandas(_joined, "doc_id long, n_tokens long, ids binary"))
 
 
