@@ -1,12 +1,16 @@
-"""Substring dedup by hashing lines and, within them, groups of sentences.
+"""Substring dedup by hashing groups of sentences and stretches between words chosen by content.
 
-A unit is a run of whole sentences of one line with at least ``LEAST`` words; a
-sentence longer than ``LONGEST`` words is cut after words that their own hash selects (one in
-``CUT``), or else after ``MOST`` words, so a passage pasted into the middle of another line falls into the same units from its
-first boundary on. Units are normalised (lower case, single spaces, no outer
-punctuation), their digests are grouped over all documents, the earliest occurrence by
-(doc_id, offset) stays, and the others are removed. Their original offsets are kept.
-Shorter lines and rests of lines are never removed.
+There are units of two kinds. One is a run of whole sentences of one line with at least
+``LEAST`` words; a sentence longer than ``LONGEST`` words is cut after words that their own
+hash selects (one in ``CUT``), or else after ``MOST`` words. Where such a run begins depends
+on what precedes it in the line. The other is anchored: a word begins a piece if the hash
+of it and its successor is the least among the ``REACH`` words on either side, and two neighbouring
+pieces are a unit. So a passage that is pasted anywhere falls into the same units but for its edges, whatever surrounds it.
+
+Sentences are normalised (lower case, single spaces, no outer punctuation), pieces are compared by
+their words in lower case. Digests are grouped over all documents, the earliest occurrence by
+(doc_id, offset) stays, and the others are removed. Their original offsets are kept;
+those of the two kinds can overlap. What is removed has an earlier copy that stays.
 
 Defined results: a null text stays null; a text without a repeated unit is returned as it
 was; rows that repeat a doc_id and its text are one document, so they keep what it
@@ -18,13 +22,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from ._common import cut, read, small_batches, stored
 
 LEAST, LONGEST, CUT, MOST = 8, 16, 8, 40
+#: Words on either side that decide whether a word begins a piece: pieces are longer than that, and about twice as long.
+REACH = 4
 #: Share of all units beyond which one is joined by broadcast: at most so many of them.
 HOT = 1000
 _LINE = re.compile(r"[^\n]+")
@@ -33,8 +41,83 @@ _WORD = re.compile(r"\S+")
 _OUTER = " \t\r.,;:!?…\"'“”‘’«»()[]-–—*#"
 
 
-def units(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalised unit) in code points, in order, without overlap."""
+def _placed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and start, in code points, of each word, and whether it follows white space."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower()[:1] for c in text)
+    if not low.isascii():
+        low = shingles._MARKS.sub(" ", low)
+    raw = np.frombuffer(low.encode("utf-8", "replace"), np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = shingles._IS_WORD[raw]
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = shingles._powers(max(1, len(raw)))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(shingles._VALUE[raw] * up[: len(raw)], out=total[1:])
+    hashes = shingles.finish((total[ends] - total[starts]) * down[starts])
+    free = (starts == 0) | (raw[starts - 1] <= 32)
+    if len(raw) != len(text):
+        starts = np.cumsum((raw & 0xC0) != 0x80)[starts] - 1
+    return hashes, starts, free
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_placed`` of a text of any length, in pieces that end before a space."""
+    parts, at = [], 0
+    while at < len(text) or not parts:
+        end = text.find(" ", at + shingles._PIECE)
+        end = len(text) if end < 0 else end
+        h, starts, free = _placed(text[at:end])
+        parts.append((h, starts + at, free))
+        at = end
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def anchored(text: str) -> list[tuple[int, int, bytes]]:
+    """(start, end, hashes of the words) of each two neighbouring pieces of ``text``."""
+    h, starts, free = words(text)
+    n = len(h)
+    if n < LEAST:
+        return []
+    most = np.uint64(2**64 - 1)
+    key = np.full(n + 2 * REACH, most)
+    own = key[REACH : n + REACH]
+    own[:] = h
+    own[:-1] += h[1:] * shingles._MIX[1]
+    own[:] = np.where(free, shingles.finish(own), most)
+    left, right = key[REACH - 1 : n + REACH - 1].copy(), key[REACH + 1 : n + REACH + 1].copy()
+    for i in range(2, REACH + 1):
+        np.minimum(left, key[REACH - i : n + REACH - i], out=left)
+        np.minimum(right, key[REACH + i : n + REACH + i], out=right)
+    bounds = [0]
+    for at in [*np.flatnonzero((own < left) & (own <= right)).tolist(), n]:
+        while at - bounds[-1] > 2 * MOST:  # words that repeat at a short distance have no least one
+            bounds.append(bounds[-1] + MOST)
+        if at > bounds[-1]:
+            bounds.append(at)
+    if len(bounds) == 2:
+        bounds.append(n)
+    data, place, out = h.tobytes(), starts.tolist(), []
+    place.append(len(text))
+    for a, b in zip(bounds, bounds[2:]):
+        if b - a >= LEAST:
+            # what follows the last word without a space belongs to it
+            tail = _WORD.match(text, place[b - 1])
+            out.append((place[a], min(tail.end(), place[b]) if tail else place[b], data[8 * a : 8 * b]))
+    return out
+
+
+def units(text: str) -> list[tuple[int, int, str | bytes]]:
+    """(start, end, normalised unit) in code points, in order: groups of sentences, which
+    don't overlap, and anchored units."""
+    pieces = [(line.start() + s, line.start() + e, u) for line in _LINE.finditer(text) for s, e, u in anchored(line.group())]
+    return sorted(sentences(text) + pieces, key=lambda u: u[:2])
+
+
+def sentences(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, normalised group of sentences) in code points, in order, without overlap."""
     from zlib import crc32
 
     out = []
@@ -75,6 +158,9 @@ def without(text: str, starts, ends) -> str:
     if the span was the whole line."""
     kept, at = [], 0
     for start, end in sorted(zip(starts, ends, strict=True)):
+        if end <= at:
+            continue
+        start = max(start, at)
         while end < len(text) and text[end] in " \t\r":
             end += 1
         head = "".join(kept[-1:])[-1:] if start == at and kept else text[start - 1 : start]
@@ -87,7 +173,7 @@ def without(text: str, starts, ends) -> str:
 
 
 def unit_digests(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, version, start, end) of every unit."""
+    """(h, check, doc_id, version, start, end) of every unit; h and check are 96 bits of its digest."""
 
     def run(batches):
         import pyarrow as pa
@@ -97,32 +183,45 @@ def unit_digests(docs: DataFrame) -> DataFrame:
             digest, doc, version, starts, ends = [], [], [], [], []
             for d, v, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for start, end, unit in units(text):
-                    digest.append(xxhash.xxh3_128_digest(unit.encode("utf-8", "replace")))
+                    digest.append(xxhash.xxh3_128_digest(unit if isinstance(unit, bytes) else unit.encode("utf-8", "replace")))
                     doc.append(d)
                     version.append(v)
                     starts.append(start)
                     ends.append(end)
+            h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digest, pa.binary()), pa.array(doc, pa.int64()), pa.array(version, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                names=["digest", "doc_id", "version", "start", "end"],
+                [
+                    pa.array(h[:, 0]), pa.array(h[:, 1].astype(np.int32)), pa.array(doc, pa.int64()), pa.array(version, pa.int64()),
+                    pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
+                ],
+                names=["h", "check", "doc_id", "version", "start", "end"],
             )
 
     small_batches(docs.sparkSession, 500)
     own = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    return own.mapInArrow(run, "digest binary, doc_id long, version long, start int, end int")
+    return own.mapInArrow(run, "h long, check int, doc_id long, version long, start int, end int")
+
+
+def _with(found: DataFrame, of_unit: DataFrame, total: int) -> DataFrame:
+    """``found`` joined with ``of_unit``, one row (h, check, n, ...) for each of some units."""
+    key = ["h", "check"]
+    # a unit with more than 1 in HOT of all rows would fill one task: those, at most HOT, are broadcast
+    crowded = F.col("n") > F.lit(total // HOT)
+    hot, rest = of_unit.filter(crowded).drop("n"), of_unit.filter(~crowded).drop("n")
+    plain = found.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key)
+    return found.join(F.broadcast(hot), key).unionByName(plain)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, version, removed): the spans of each document that an earlier one holds."""
+    key = ["h", "check"]
     found = stored(unit_digests(docs))
+    # only counts of all units are dealt out; places only of those that repeat
+    often = cut(found.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"))
+    again = stored(_with(found, often, found.count()))
     place = F.struct(F.col("doc_id"), F.col("version"), F.col("start"))
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = cut(first)
-    # a unit with more than 1 in HOT of all rows would fill one task: those, at most HOT, are broadcast
-    crowded = F.col("n") > F.lit(found.count() // HOT)
-    hot, rest = first.filter(crowded).drop("n"), first.filter(~crowded).drop("n")
-    plain = found.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest")
-    later = found.join(F.broadcast(hot), "digest").unionByName(plain).filter(place > F.col("first"))
+    first = cut(again.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    later = _with(again, first, again.count()).filter(place > F.col("first"))
     later = later.select("doc_id", "version", "start", "end")
     # a document that is there twice names each span twice
     spans = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))

@@ -351,6 +351,37 @@ def test_substrings_equal_brute_force(spark, docs):
     assert passages.without("Ab.\nCd.\nEf", [4], [7]) == "Ab.\nEf"
 
 
+def invented(rng, n, low=5, high=7):
+    """``n`` words, none of them twice, in sentences of ``low`` to ``high``."""
+    out = []
+    while n > 0:
+        k = min(n, rng.randint(low, high))
+        out.append(" ".join(f"{rng.choice(VOCAB)}{rng.randrange(10**9)}" for _ in range(k)) + ".")
+        n -= k
+    return " ".join(out)
+
+
+def left_over(passage, text, size):
+    """Whether ``size`` words in a row of ``passage`` are still in ``text``."""
+    words, held = passage.split(), text.split()
+    runs = {tuple(held[i : i + size]) for i in range(len(held) - size + 1)}
+    return any(tuple(words[i : i + size]) in runs for i in range(len(words) - size + 1))
+
+
+def test_passages_of_short_sentences_whatever_surrounds_them(spark):
+    rng = random.Random(11)
+    rows, passage = [], {}
+    for i in range(0, 120, 2):
+        passage[i + 1] = invented(rng, 51)
+        rows += [(d, f"{invented(rng, rng.randrange(3, 40))} {passage[i + 1]} {invented(rng, 20)}") for d in (i, i + 1)]
+    out = by_id(passages.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    texts = dict(rows)
+    assert all(out[d].text == texts[d] for d in range(0, 120, 2))
+    assert not any(left_over(passage[d], out[d].text, 30) for d in passage)
+    for d in passage:  # what surrounds the passage stays
+        assert set(texts[d].split()) - set(passage[d].split()) <= set(out[d].text.split())
+
+
 # ---------------------------------------------------------------- 8
 
 
