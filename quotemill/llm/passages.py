@@ -5,7 +5,7 @@ There are units of two kinds. One is a run of whole sentences of one line with a
 hash selects (one in ``CUT``), or else after ``MOST`` words. Where such a run begins depends
 on what precedes it in the line. The other is anchored: a word begins a piece if the hash
 of it and its successor is the least among the ``REACH`` words on either side, and two neighbouring
-pieces are a unit. So a passage that is pasted anywhere falls into the same units but for its edges, whatever surrounds it.
+pieces are a unit, across line ends. So a passage that is pasted anywhere falls into the same units but for its edges, whatever surrounds it.
 
 Sentences are normalised (lower case, single spaces, no outer punctuation), pieces are compared by
 their words in lower case. Digests are grouped over all documents, the earliest occurrence by
@@ -112,8 +112,7 @@ def anchored(text: str) -> list[tuple[int, int, bytes]]:
 def units(text: str) -> list[tuple[int, int, str | bytes]]:
     """(start, end, normalised unit) in code points, in order: groups of sentences, which
     don't overlap, and anchored units."""
-    pieces = [(line.start() + s, line.start() + e, u) for line in _LINE.finditer(text) for s, e, u in anchored(line.group())]
-    return sorted(sentences(text) + pieces, key=lambda u: u[:2])
+    return sorted(sentences(text) + anchored(text), key=lambda u: u[:2])
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:

@@ -382,6 +382,25 @@ def test_passages_of_short_sentences_whatever_surrounds_them(spark):
         assert set(texts[d].split()) - set(passage[d].split()) <= set(out[d].text.split())
 
 
+def test_passages_in_short_lines(spark):
+    rng = random.Random(12)
+    rows, passage = [], {}
+    for i in range(0, 60, 2):
+        words = invented(rng, 51).split()
+        lines = []
+        while words:
+            k = rng.randint(2, 7)
+            lines.append(" ".join(words[:k]))
+            words = words[k:]
+        passage[i + 1] = "\n".join(lines)
+        again = passage[i + 1] if i % 4 else passage[i + 1].replace("\n", " ")  # wrapped differently
+        rows += [(i, f"{invented(rng, 15)}\n{again}\n{invented(rng, 20)}"), (i + 1, f"{invented(rng, 4)}\n\n{passage[i + 1]}\nThe end.")]
+    out = by_id(passages.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(out[d].text == t for d, t in rows if d % 2 == 0)
+    assert not any(left_over(passage[d], out[d].text, 30) for d in passage)
+    assert all(out[d].text.endswith("The end.") for d in passage)
+
+
 # ---------------------------------------------------------------- 8
 
 
