@@ -4,9 +4,11 @@ Equal vectors of a label form a class with one representative. Representatives s
 with neighbours from leaves of random projections; every round joins each vector's
 neighbours with each other (neighbours of neighbours) and keeps the best ``K`` of each.
 Edges of cosine at least the threshold stay. A list that is full of such edges may hide
-more: the whole component of a saturated list is compared exactly, block by block, and
-only counts leave a block. A fixed number of audit queries is compared with all rows;
-below the wanted recall, lists and rounds grow and the descent goes on.
+more: the whole component of a saturated list is compared exactly, together with all such
+components that can touch it, block by block, and only counts and joined components
+leave a block. A fixed number of audit queries is compared with all rows;
+below the wanted recall, lists and rounds grow and the descent goes on; if that doesn't
+help either, all rows of a label are compared.
 
 Defined results: vectors without a label, null, empty, zero, or with null or non-finite
 components link with nothing and stay; rows without vec_id likewise; rows that repeat a
@@ -177,33 +179,98 @@ def _round(reps: DataFrame, lists: DataFrame, k: int, reverse: int) -> DataFrame
     return dealt.mapInArrow(join, "u long, v long, s double")
 
 
+def _blocks(rows: DataFrame, by: str, block: int, columns: list[str]) -> DataFrame:
+    """``rows`` dealt to (cell, b, node, ...): every pair of blocks of a ``by`` is a cell, sorted by block and node."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
+    cells = rows.join(sizes, by).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    cells = cells.withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    cells = cells.withColumn("o", other).select(F.concat_ws("|", by, F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "b", "node", *columns)
+    return cells.repartition(parts(rows.sparkSession), "cell").sortWithinPartitions("cell", "b", "node")
+
+
+def _lowest(near: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each row the least part that its part is connected with by ``near``."""
+    names, code = np.unique(part, return_inverse=True)
+    of = np.arange(len(names))
+    while True:
+        low = np.where(near, of[code][None, :], len(names)).min(1)
+        new = of.copy()
+        np.minimum.at(new, code, low)
+        if (new == of).all():
+            return names[of[code]]
+        of = new
+
+
 def _exact(crowds: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, links): weights linked within each crowd (root, node, w, vec), in blocks.
+    """(node, part, to, links): weights linked within each crowd (root, part, node, w, vec), in
+    blocks, and the parts of a crowd that its blocks connect.
 
     A crowd of n vectors becomes n / block blocks; every pair of blocks is a task's group.
     """
-    sizes = crowds.groupBy("root").agg(F.count("*").alias("n"))
-    cells = crowds.join(sizes, "root").withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
-    cells = cells.withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    cells = cells.withColumn("o", other).select(
-        F.concat_ws("|", "root", F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "b", "node", "w", "vec"
-    )
-    dealt = cells.repartition(parts(crowds.sparkSession), "cell").sortWithinPartitions("cell", "b", "node")
 
     def count(batches):
         import pyarrow as pa
 
-        for _, (_, b, node, w, raw) in grouped(batches):
-            x, side, w, node = _unit(raw), np.array(b), np.array(w), np.array(node)
+        for _, (_, b, node, w, part, raw) in grouped(batches):
+            x, side, w, part = _unit(raw), np.array(b), np.array(w), np.array(part)
             near = x @ x.T >= threshold
             np.fill_diagonal(near, False)
+            to = _lowest(near, part) if part.min() != part.max() else part
             if side[0] != side[-1]:  # within a block is another group's work
                 near &= side[:, None] != side[None, :]
-            links = near @ w
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links.astype(np.int64))], names=["node", "links"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.asarray(c).astype(np.int64)) for c in (node, part, to, near @ w)], names=["node", "part", "to", "links"]
+            )
+
+    dealt = _blocks(crowds, "root", block, ["w", "part", "vec"])
+    found = dealt.mapInArrow(count, "node long, part long, to long, links long")
+    return cut(found.groupBy("node", "part", "to").agg(F.sum("links").alias("links")))
+
+
+def _touching(crowds: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(u, v): components of ``crowds`` (grp, root, node, vec) that can have a link between them.
+
+    A component lies in the ball about its root's vector, so two have no link if their
+    roots are further apart than the angle of the threshold and both radii.
+    """
+    centre = crowds.filter("node = root").select(F.col("root").alias("_r"), F.col("vec").alias("_c"))
+
+    def spread(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                root, vec, mid = (b.column(i).to_pylist() for i in range(3))
+                by: dict[int, list[int]] = {}
+                for i, v in enumerate(vec):
+                    by.setdefault(len(v), []).append(i)
+                for at in by.values():
+                    cos = (_unit([vec[i] for i in at]) * _unit([mid[i] for i in at])).sum(1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([root[i] for i in at], pa.int64()), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["root", "angle"]
+                    )
+
+    wide = crowds.join(centre, F.col("root") == F.col("_r")).select("root", "vec", "_c").mapInArrow(spread, "root long, angle double")
+    balls = crowds.filter("node = root").join(wide.groupBy("root").agg(F.max("angle").alias("radius")), "root")
+
+    def meet(batches):
+        import pyarrow as pa
+
+        for _, (_, _, node, radius, raw) in grouped(batches):
+            x, r, node = _unit(raw), np.array(radius), np.array(node)
+            reach = np.minimum(np.arccos(threshold) + r[:, None] + r[None, :] + 1e-6, np.pi)
+            to = _lowest(x @ x.T >= np.cos(reach), node)
+            yield pa.RecordBatch.from_arrays([pa.array(node[to != node]), pa.array(to[to != node])], names=["u", "v"])
 
-    return dealt.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return _blocks(balls, "grp", block, ["radius", "vec"]).mapInArrow(meet, "u long, v long").distinct()
+
+
+def _merged(roots: DataFrame, joins: DataFrame) -> DataFrame:
+    """``roots`` (u, root) after some roots were joined by ``joins`` (u, v)."""
+    new = components(joins).select(F.col("u").alias("_u"), F.col("root").alias("_root"))
+    moved = roots.join(new, F.col("root") == F.col("_u"), "left").select("u", F.coalesce("_root", "root").alias("root"))
+    return cut(moved.union(new.select(F.col("_u").alias("u"), F.col("_root").alias("root"))))
 
 
 def _audit(reps: DataFrame, queries: list, threshold: float) -> DataFrame:
@@ -234,6 +301,15 @@ def _audit(reps: DataFrame, queries: list, threshold: float) -> DataFrame:
     return reps.mapInArrow(scan, "node long, n long").groupBy("node").agg(F.sum("n").alias("truth"))
 
 
+def _counts(compared: DataFrame) -> DataFrame:
+    return compared.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _joined(roots: DataFrame, compared: DataFrame) -> DataFrame:
+    joins = compared.filter("part <> to").select(F.col("part").alias("u"), F.col("to").alias("v")).distinct()
+    return roots if joins.isEmpty() else _merged(roots, joins)
+
+
 def near_duplicates(
     rows: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS, recall: float = RECALL, audit: int = AUDIT
 ) -> DataFrame:
@@ -274,8 +350,13 @@ def near_duplicates(
         full = near.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("u")
         root_of = roots.union(roots.select(F.col("root").alias("u"), "root").distinct())
         crowded = root_of.join(full, "u", "left_semi").select("root").distinct()
-        crowds = root_of.join(crowded, "root", "left_semi").join(reps, F.col("u") == F.col("node")).select("root", "node", "w", "vec")
-        exact = _exact(crowds, threshold, BLOCK)
+        crowds = root_of.join(crowded, "root", "left_semi").join(reps, F.col("u") == F.col("node")).select("grp", "root", "node", "w", "vec")
+        crowds = cut(crowds)
+        # what lists dropped can also lie between full components: those that can touch are compared as one
+        touch = _merged(crowds.select(F.col("node").alias("u"), "root").filter("u <> root"), _touching(crowds, threshold, BLOCK))
+        whole = crowds.withColumnRenamed("root", "part").join(touch, F.col("node") == F.col("u"), "left")
+        compared = _exact(whole.select(F.coalesce("root", "node").alias("root"), "part", "node", "w", "vec"), threshold, BLOCK)
+        exact, roots = _counts(compared), _joined(roots, compared)
         weight = reps.select(F.col("node").alias("v"), "w")
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         listed = both.join(weight, "v").groupBy("u").agg(F.sum("w").alias("links")).select(F.col("u").alias("node"), "links")
@@ -286,6 +367,10 @@ def near_duplicates(
         if not seen[0] or seen[1] >= recall * seen[0]:
             break
         k *= 2  # too few of the audit's links: longer lists, more rounds
+    else:  # still too few: all rows of a label are compared
+        part = reps.join(roots, F.col("node") == F.col("u"), "left")
+        compared = _exact(part.select(F.col("grp").alias("root"), F.coalesce("root", "node").alias("part"), "node", "w", "vec"), threshold, BLOCK)
+        links, roots = _counts(compared), _joined(roots, compared)
     of_class = (
         reps.select("grp", "h1", "h2", "node", "w").join(links, "node", "left")
         .join(roots.select(F.col("u").alias("node"), "root"), "node", "left")

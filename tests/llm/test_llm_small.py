@@ -464,6 +464,31 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def twins(seed=6):
+    """Six pairs of tight crowds of 30: cosine about .99 inside, .95 across."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for c in range(6):
+        mid, off = rng.normal(size=(2, 64))
+        mid, off = mid / np.linalg.norm(mid), off / np.linalg.norm(off)
+        for side in (-1, 1):
+            rows += [(mid + side * 0.16 * off + rng.normal(size=64) * 0.012).astype("f4") for _ in range(30)]
+    return rows
+
+
+@pytest.mark.parametrize("recall", [0.0, 2.0])  # no growth at all; the last resort
+def test_links_between_full_components(spark, recall):
+    rows = twins()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    out = {r.vec_id: r for r in embeddings.near_duplicates(df, rounds=1, recall=recall).collect()}
+    x = np.array(rows, "f8")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.93
+    assert near[:30, 30:60].mean() > 0.5
+    assert [out[i].n_links for i in range(len(rows))] == (near.sum(1) - 1).tolist()
+    assert [out[i].component_id for i in range(len(rows))] == [i // 60 * 60 for i in range(len(rows))]
+
+
 # ---------------------------------------------------------------- 10
 
 
