@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workers import importable
@@ -20,8 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: A key with more than 1 in HOT of all rows is joined by broadcast: so there are at most HOT of them.
+HOT = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only if unset."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one in
+    local mode, where all tasks share it; an error on a cluster, where they don't."""
     jsc = spark.sparkContext._jsc.sc()
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = jsc.getCheckpointDir()
@@ -30,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if not current.isDefined():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quotemill-"))
         current = jsc.getCheckpointDir()
     return current.get().rstrip("/")
@@ -41,16 +49,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by ``free`` or when the driver ends."""
     path = f"{shared_dir(spark)}/quotemill-{kind}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(where)  # only what exists can be marked
     store.deleteOnExit(where)
+    _made.append(path)
     return path
 
 
+@contextmanager
+def free(spark: SparkSession):
+    """Removes, at the end of the block, the tables that were made in it: for long
+    sessions. Results of the block must have been written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        del _made[before:]
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
     path = scratch(df.sparkSession, "table")
@@ -59,7 +85,8 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound an Arrow batch: whole texts are long, 10,000 of them are too many."""
+    """Bound an Arrow batch: whole texts are long, 10,000 of them are too many. The bound
+    stays in the session, because plans are run after the operator returned."""
     importable()
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
@@ -74,29 +101,65 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def ranged_prefix(df: DataFrame, order: list[str], value: str, out: str, before: bool = False) -> DataFrame:
+def spread_join(rows: DataFrame, one: DataFrame, key: list[str], total: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``: a row a key, whose ``n`` says how many of the ``total``
+    rows have it. Hot keys (see ``HOT``) are joined by broadcast, the others by a shuffle, so
+    no task gets the rows of a hot key. ``how`` is inner or left; rows of a null key match nothing."""
+    crowded = F.col(n) > F.lit(total // HOT)
+    hot, rest = one.filter(crowded).drop(n), one.filter(~crowded).drop(n)
+    plain = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(plain)
+
+
+def _ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, with ``_at``: partition and place in it.
+    A checkpoint fixes both before they are used."""
+    dealt = df.repartitionByRange(parts(df.sparkSession), *order).sortWithinPartitions(*order)
+    return cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
+
+
+def _below(per_part: DataFrame, value: str) -> DataFrame:
+    """Sum of ``value`` in lower partitions; ``per_part`` has one row a partition."""
+    upto = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return per_part.select("_pid", F.coalesce(F.sum(value).over(upto), F.lit(0)).alias("_off"))
+
+
+def _part() -> Column:
+    return F.shiftright("_at", 33)
+
+
+def numbered(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
+    """``out``: 0, 1, 2... in ``order``, over the whole table. A total order of distinct rows
+    makes it the same on every run, however the rows were dealt."""
+    dealt = _ranged(df, order)
+    offsets = _below(dealt.groupBy(_part().alias("_pid")).agg(F.count("*").alias("_s")), "_s")
+    place = F.col("_at") - F.shiftleft(_part(), 33)
+    # one row a partition: bounded by the partition count
+    return dealt.join(F.broadcast(offsets), _part() == F.col("_pid")).withColumn(out, F.col("_off") + place).drop("_pid", "_off", "_at")
+
+
+def ranged_prefix(df: DataFrame, order: list[str | Column], value: str, out: str, before: bool = False) -> DataFrame:
     """Running sum of ``value`` over the whole table in ``order``.
 
     Range partitions are summed, the sums (one row a partition) are accumulated,
     and each partition adds its offset: no task sees more than its own range.
-    The range partitioning is fixed by a checkpoint before it is used twice.
     ``before`` excludes the row's own value. ``order`` must be a total order for
     reruns to agree.
     """
-    from pyspark.sql import Window
-
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(parts(spark), *order).withColumn("_pid", F.spark_partition_id())
-    dealt = cut(dealt)
-    sums = dealt.groupBy("_pid").agg(F.sum(value).alias("_s"))
-    upto = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_pid", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_off"))
-    within = Window.partitionBy("_pid").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1 if before else Window.currentRow
-    )
+    dealt = _ranged(df, order)
+    offsets = _below(dealt.groupBy(_part().alias("_pid")).agg(F.sum(value).alias("_s")), "_s")
+    within = Window.partitionBy("_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     return (
-        dealt.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
+        dealt.withColumn("_pid", _part()).withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
         .join(F.broadcast(offsets), "_pid")  # one row a partition: bounded by the partition count
         .withColumn(out, F.col(out) + F.col("_off"))
-        .drop("_pid", "_off")
+        .drop("_pid", "_off", "_at")
     )
+
+
+def copies(df: DataFrame, n: str = "n", out: str = "copy") -> DataFrame:
+    """Each row ``n`` times, ``out`` from 0 to n - 1, however large ``n`` is."""
+    step = 1 << 16
+    runs = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step))))
+    low = F.col("_run") * step
+    return runs.filter(F.col(n) > 0).withColumn(out, F.explode(F.sequence(low, F.least(low + step, F.col(n)) - 1))).drop("_run")

@@ -1,19 +1,23 @@
 """Near-duplicate embeddings by NN-descent.
 
-Equal vectors of a label form a class with one representative. Representatives start
-with neighbours from leaves of random projections; every round joins each vector's
+Equal vectors of a label form a class with one representative and a number of its own, so
+ids that repeat or clash change nothing. Representatives start
+with neighbours from leaves of random projections, in as many tables as find a pair at the
+threshold with probability 1 - ``MISS`` in a label of its size; every round joins each vector's
 neighbours with each other (neighbours of neighbours) and keeps the best ``K`` of each.
 Edges of cosine at least the threshold stay. A list that is full of such edges may hide
 more: the whole component of a saturated list is compared exactly, together with all such
 components that can touch it, block by block, and only counts and joined components
-leave a block. A fixed number of audit queries is compared with all rows;
-below the wanted recall, lists and rounds grow and the descent goes on; if that doesn't
-help either, all rows of a label are compared.
+leave a block. A fixed number of audit queries is compared with all rows, and recall is
+averaged over queries, by their number of links, so that crowds don't hide the
+lonely pairs. Below the wanted recall, there are new tables, longer lists and more rounds; if
+that doesn't help in ``ATTEMPTS``, all rows of a label are compared, in blocks.
 
 Defined results: vectors without a label, null, empty, zero, or with null or non-finite
 components link with nothing and stay; rows without vec_id likewise; rows that repeat a
-vec_id should repeat its vector, and then count as copies; vectors of different lengths
-don't link; an empty table gives an empty table.
+vec_id are vectors of their own, and are copies only of equal vectors; vectors of different
+lengths don't link; ties in similarity go to the smaller number; other columns are ignored,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, parts, read, small_batches
+from ._common import cut, parts, read, small_batches, spread_join
 from .components import components
 
 THRESHOLD = 0.93
-#: Neighbours of a list, reverse neighbours that join in, seeds' tables, vectors of a leaf.
-K, REVERSE, TABLES, LEAF = 8, 8, 5, 48
-ROUNDS, RECALL, AUDIT = 3, 0.97, 1000
-#: Representatives of a block in an exact comparison.
-BLOCK = 512
+#: Neighbours of a list, reverse neighbours that join in, vectors of a leaf, share of pairs that no table may find.
+K, REVERSE, LEAF, MISS = 8, 8, 48, 0.02
+ROUNDS, RECALL, AUDIT, ATTEMPTS = 3, 0.97, 1000, 3
+#: Least and most representatives of a block in an exact comparison, and blocks of a crowd between them.
+SMALL, LARGE, SPLIT = 128, 1024, 8
+#: Audit queries that make the recall of a number of links worth looking at.
+ENOUGH = 20
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -97,30 +103,38 @@ def _best(ids: np.ndarray, sims: np.ndarray, floor: np.ndarray, most: int):
     return np.repeat(ids, n).reshape(-1, n)[keep], ids[at][keep], s[keep]
 
 
-def _leaves(reps: DataFrame, counts: DataFrame, tables: int, leaf: int, k: int) -> DataFrame:
+def code_length(size: int, leaf: int) -> int:
+    """Bits of a leaf's code in a label of this size."""
+    return max(0, min(40, int(np.ceil(np.log2(max(1.0, size / leaf))) + 1))) if size > leaf else 0
+
+
+def tables_for(size: int, leaf: int, threshold: float) -> int:
+    """Tables in which a pair at the threshold is in one leaf at least, but for ``MISS``."""
+    hit = (1 - np.arccos(threshold) / np.pi) ** code_length(size, leaf)
+    return 1 if hit >= 1 else int(np.ceil(np.log(MISS) / np.log(1 - hit)))
+
+
+def _leaves(reps: DataFrame, counts: DataFrame, total: int, attempt: int, leaf: int, k: int, threshold: float) -> DataFrame:
     """Seed edges: pairs within leaves of sign codes, a label's code as long as its size asks for."""
 
     def codes(batches):
         import pyarrow as pa
 
         for b in batches:
-            node, group, size, raw = (b.column(c).to_pylist() for c in ("node", "grp", "n", "vec"))
-            out = ([], [], [])
-            by_length: dict[int, list[int]] = {}
+            node, group, size, raw = (b.column(c).to_pylist() for c in ("node", "grp", "size", "vec"))
+            by_kind: dict[tuple[int, int], list[int]] = {}
             for i, r in enumerate(raw):
-                by_length.setdefault(len(r), []).append(i)
-            for length, own in by_length.items():
-                x = _unit([raw[i] for i in own])
-                for t in range(tables):
-                    planes = np.random.default_rng([t, length]).normal(size=(length // 4, 40))
-                    bits = (x @ planes > 0).astype(np.int64) @ (np.int64(1) << np.arange(40))
-                    for i, code in zip(own, bits.tolist(), strict=True):
-                        width = max(0, int(np.ceil(np.log2(max(1.0, size[i] / leaf))) + 1))
-                        parts_ = code & ((1 << min(width, 40)) - 1)
-                        out[0].append(f"{t}|{group[i]}|{parts_}")
-                        out[1].append(node[i])
-                        out[2].append(raw[i])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["leaf", "node", "vec"])
+                by_kind.setdefault((len(r), size[i]), []).append(i)
+            for (length, n), own in by_kind.items():
+                x, width = _unit([raw[i] for i in own]), code_length(n, leaf)
+                for t in range(tables_for(n, leaf, threshold)):
+                    planes = np.random.default_rng([attempt, t, length]).normal(size=(length // 4, width))
+                    bits = (x @ planes > 0).astype(np.int64) @ (np.int64(1) << np.arange(width))
+                    leaves = [f"{t}|{group[i]}|{code}" for i, code in zip(own, bits.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(leaves, pa.string()), pa.array([node[i] for i in own], pa.int64()), pa.array([raw[i] for i in own], pa.binary())],
+                        names=["leaf", "node", "vec"],
+                    )
 
     def pairs(batches):
         def made():
@@ -135,16 +149,13 @@ def _leaves(reps: DataFrame, counts: DataFrame, tables: int, leaf: int, k: int)
 
         yield from _flush(made())
 
-    coded = reps.join(F.broadcast(counts), "grp").mapInArrow(codes, "leaf string, node long, vec binary")
+    coded = spread_join(reps, counts, ["grp"], total).mapInArrow(codes, "leaf string, node long, vec binary")
     # a crowded leaf is dealt in salted parts; which ones depends on the leaf's rows alone
-    crowd = coded.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * leaf)
-    salted = coded.join(crowd, "leaf", "left").withColumn(
-        "leaf",
-        F.when(
-            F.col("n").isNotNull(),
-            F.concat_ws("|", "leaf", F.pmod(F.xxhash64("node", "leaf"), F.ceil(F.col("n") / (2 * leaf)).cast("long")).cast("string")),
-        ).otherwise(F.col("leaf")),
-    ).drop("n")
+    crowd = coded.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * leaf).withColumn("size", F.col("n"))
+    salt = F.pmod(F.xxhash64("node", "leaf"), F.ceil(F.col("size") / (2 * leaf)).cast("long")).cast("string")
+    salted = spread_join(coded, crowd, ["leaf"], total, how="left").withColumn(
+        "leaf", F.when(F.col("size").isNotNull(), F.concat_ws("|", "leaf", salt)).otherwise(F.col("leaf"))
+    ).drop("size")
     dealt = salted.repartition(parts(reps.sparkSession), "leaf").sortWithinPartitions("leaf", "node")
     return dealt.mapInArrow(pairs, "u long, v long, s double")
 
@@ -156,7 +167,7 @@ def _keep(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k).drop("r")
 
 
-def _round(reps: DataFrame, lists: DataFrame, k: int, reverse: int) -> DataFrame:
+def _round(reps: DataFrame, lists: DataFrame, total: int, k: int, reverse: int) -> DataFrame:
     """Neighbours of neighbours: pairs of each list (with some reverse neighbours) that improve one."""
     worst = lists.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-1.5)).alias("worst"))
     back = lists.select(F.col("v").alias("u"), F.col("u").alias("v"))
@@ -164,7 +175,9 @@ def _round(reps: DataFrame, lists: DataFrame, k: int, reverse: int) -> DataFrame
     some = back.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= reverse).select("u", "v")
     pool = lists.select("u", "v").union(some).distinct()
     members = reps.select("node", "vec").join(worst, F.col("node") == F.col("u")).select(F.col("node").alias("v"), "worst", "vec")
-    dealt = pool.join(members, "v").select("u", "v", "worst", "vec")
+    # a vector can be the neighbour of very many
+    members = members.join(pool.groupBy("v").agg(F.count("*").alias("n")), "v")
+    dealt = spread_join(pool, members, ["v"], total).select("u", "v", "worst", "vec")
     dealt = dealt.repartition(parts(reps.sparkSession), "u").sortWithinPartitions("u", "v")
 
     def join(batches):
@@ -179,10 +192,11 @@ def _round(reps: DataFrame, lists: DataFrame, k: int, reverse: int) -> DataFrame
     return dealt.mapInArrow(join, "u long, v long, s double")
 
 
-def _blocks(rows: DataFrame, by: str, block: int, columns: list[str]) -> DataFrame:
+def _blocks(rows: DataFrame, by: str, total: int, columns: list[str]) -> DataFrame:
     """``rows`` dealt to (cell, b, node, ...): every pair of blocks of a ``by`` is a cell, sorted by block and node."""
-    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
-    cells = rows.join(sizes, by).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    block = F.greatest(F.lit(SMALL), F.least(F.lit(LARGE), F.col("n") / SPLIT))
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n")).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    cells = spread_join(rows, sizes, [by], total)
     cells = cells.withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     cells = cells.withColumn("o", other).select(F.concat_ws("|", by, F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "b", "node", *columns)
@@ -202,11 +216,9 @@ def _lowest(near: np.ndarray, part: np.ndarray) -> np.ndarray:
         of = new
 
 
-def _exact(crowds: DataFrame, threshold: float, block: int) -> DataFrame:
+def _exact(crowds: DataFrame, threshold: float, total: int) -> DataFrame:
     """(node, part, to, links): weights linked within each crowd (root, part, node, w, vec), in
-    blocks, and the parts of a crowd that its blocks connect.
-
-    A crowd of n vectors becomes n / block blocks; every pair of blocks is a task's group.
+    blocks, and the parts of a crowd that its blocks connect. Every pair of blocks is a task's group.
     """
 
     def count(batches):
@@ -223,18 +235,19 @@ def _exact(crowds: DataFrame, threshold: float, block: int) -> DataFrame:
                 [pa.array(np.asarray(c).astype(np.int64)) for c in (node, part, to, near @ w)], names=["node", "part", "to", "links"]
             )
 
-    dealt = _blocks(crowds, "root", block, ["w", "part", "vec"])
+    dealt = _blocks(crowds, "root", total, ["w", "part", "vec"])
     found = dealt.mapInArrow(count, "node long, part long, to long, links long")
     return cut(found.groupBy("node", "part", "to").agg(F.sum("links").alias("links")))
 
 
-def _touching(crowds: DataFrame, threshold: float, block: int) -> DataFrame:
+def _touching(crowds: DataFrame, threshold: float, total: int) -> DataFrame:
     """(u, v): components of ``crowds`` (grp, root, node, vec) that can have a link between them.
 
     A component lies in the ball about its root's vector, so two have no link if their
     roots are further apart than the angle of the threshold and both radii.
     """
-    centre = crowds.filter("node = root").select(F.col("root").alias("_r"), F.col("vec").alias("_c"))
+    sizes = crowds.groupBy("root").agg(F.count("*").alias("n"))
+    centre = crowds.filter("node = root").select("root", F.col("vec").alias("_c")).join(sizes, "root")
 
     def spread(batches):
         import pyarrow as pa
@@ -251,7 +264,7 @@ def _touching(crowds: DataFrame, threshold: float, block: int) -> DataFrame:
                         [pa.array([root[i] for i in at], pa.int64()), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["root", "angle"]
                     )
 
-    wide = crowds.join(centre, F.col("root") == F.col("_r")).select("root", "vec", "_c").mapInArrow(spread, "root long, angle double")
+    wide = spread_join(crowds, centre, ["root"], total).select("root", "vec", "_c").mapInArrow(spread, "root long, angle double")
     balls = crowds.filter("node = root").join(wide.groupBy("root").agg(F.max("angle").alias("radius")), "root")
 
     def meet(batches):
@@ -263,14 +276,16 @@ def _touching(crowds: DataFrame, threshold: float, block: int) -> DataFrame:
             to = _lowest(x @ x.T >= np.cos(reach), node)
             yield pa.RecordBatch.from_arrays([pa.array(node[to != node]), pa.array(to[to != node])], names=["u", "v"])
 
-    return _blocks(balls, "grp", block, ["radius", "vec"]).mapInArrow(meet, "u long, v long").distinct()
+    return _blocks(balls, "grp", total, ["radius", "vec"]).mapInArrow(meet, "u long, v long").distinct()
 
 
-def _merged(roots: DataFrame, joins: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame, joins: DataFrame, total: int) -> DataFrame:
     """``roots`` (u, root) after some roots were joined by ``joins`` (u, v)."""
-    new = components(joins).select(F.col("u").alias("_u"), F.col("root").alias("_root"))
-    moved = roots.join(new, F.col("root") == F.col("_u"), "left").select("u", F.coalesce("_root", "root").alias("root"))
-    return cut(moved.union(new.select(F.col("_u").alias("u"), F.col("_root").alias("root"))))
+    new = components(joins)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    known = new.select(F.col("u").alias("root"), F.col("root").alias("_root")).join(sizes, "root")
+    moved = spread_join(roots, known, ["root"], total, how="left").select("u", F.coalesce("_root", "root").alias("root"))
+    return cut(moved.union(new.select("u", "root")))
 
 
 def _audit(reps: DataFrame, queries: list, threshold: float) -> DataFrame:
@@ -305,15 +320,27 @@ def _counts(compared: DataFrame) -> DataFrame:
     return compared.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _joined(roots: DataFrame, compared: DataFrame) -> DataFrame:
+def _joined(roots: DataFrame, compared: DataFrame, total: int) -> DataFrame:
     joins = compared.filter("part <> to").select(F.col("part").alias("u"), F.col("to").alias("v")).distinct()
-    return roots if joins.isEmpty() else _merged(roots, joins)
+    return roots if joins.isEmpty() else _merged(roots, joins, total)
+
+
+def _recall(truth: DataFrame, links: DataFrame) -> tuple[float, int]:
+    """(least recall, queries with links): the mean over all audit queries that have links, or
+    over those with about as many links, whichever is less."""
+    share = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("truth"))
+    seen = truth.filter("truth > 0").join(links, "node", "left").groupBy(F.floor(F.log2("truth")).alias("about"))
+    rows = seen.agg(F.sum(share).alias("s"), F.count("*").alias("n")).collect()  # a row a power of two
+    n = sum(r.n for r in rows)
+    return min([1.0, *[r.s / r.n for r in rows if r.n >= ENOUGH], *([sum(r.s for r in rows) / n] if n else [])]), n
 
 
 def near_duplicates(
-    rows: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS, recall: float = RECALL, audit: int = AUDIT
+    rows: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS, recall: float = RECALL, audit: int = AUDIT,
+    report: list | None = None,
 ) -> DataFrame:
-    """``rows`` (vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
+    """``rows`` (vec_id, embedding, label) -> vec_id, n_links, component_id, kept. ``report``
+    gets (recall, audit queries with links) of each attempt."""
     spark = rows.sparkSession
     small_batches(spark, 4000)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "label")
@@ -326,7 +353,7 @@ def near_duplicates(
         F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), "embedding",
     )
     classes = keyed.filter("grp is not null").groupBy("grp", "h1", "h2").agg(
-        F.min("vec_id").alias("node"), F.count("*").alias("w"), F.first("embedding").alias("embedding")
+        F.min("vec_id").alias("least"), F.count("*").alias("w"), F.first("embedding").alias("embedding")
     )
 
     def pack(batches):
@@ -334,54 +361,62 @@ def near_duplicates(
 
         for b in batches:
             vec = [np.asarray(x, np.float32).tobytes() for x in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(vec, pa.binary())], names=["grp", "h1", "h2", "node", "w", "vec"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(vec, pa.binary())], names=["grp", "h1", "h2", "least", "w", "vec"])
 
-    reps = cut(classes.mapInArrow(pack, "grp string, h1 long, h2 long, node long, w long, vec binary"))
-    counts = reps.groupBy("grp").agg(F.count("*").alias("n"))  # one row a label
-    queries = reps.orderBy(F.xxhash64(F.lit("audit"), "node")).limit(audit).collect()
+    packed = classes.mapInArrow(pack, "grp string, h1 long, h2 long, least long, w long, vec binary").sortWithinPartitions("h1", "h2", "grp")
+    reps = cut(packed.withColumn("node", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
+    total = reps.count()
+    counts = reps.groupBy("grp").agg(F.count("*").alias("n")).withColumn("size", F.col("n"))
+    queries = reps.orderBy(F.xxhash64(F.lit("audit"), "h1", "h2"), "h1", "h2", "grp").limit(audit).collect()
     truth = cut(_audit(reps, queries, threshold)) if queries else None
-    lists = cut(_keep(_leaves(reps, counts, TABLES, LEAF, k), k))
-    for attempt in range(3):
+    lists = None
+    for attempt in range(ATTEMPTS):
+        seeds = _leaves(reps, counts, total, attempt, LEAF, k, threshold)
+        lists = cut(_keep(seeds if lists is None else lists.union(seeds), k))
         for _ in range(rounds):
-            lists = cut(_keep(lists.union(_round(reps, lists, k, REVERSE << attempt)), k))
+            lists = cut(_keep(lists.union(_round(reps, lists, total, k, REVERSE << attempt)), k))
         near = lists.filter(F.col("s") >= threshold)
         edges = cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         roots = components(edges)
         full = near.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("u")
-        root_of = roots.union(roots.select(F.col("root").alias("u"), "root").distinct())
-        crowded = root_of.join(full, "u", "left_semi").select("root").distinct()
-        crowds = root_of.join(crowded, "root", "left_semi").join(reps, F.col("u") == F.col("node")).select("grp", "root", "node", "w", "vec")
+        root_of = cut(roots.union(roots.select(F.col("root").alias("u"), "root").distinct()))
+        crowded = root_of.join(full, "u", "left_semi").groupBy("root").agg(F.count("*").alias("m"))
+        crowded = crowded.join(root_of.groupBy("root").agg(F.count("*").alias("n")), "root").drop("m")
+        crowds = spread_join(root_of, crowded, ["root"], total).join(reps, F.col("u") == F.col("node")).select("grp", "root", "node", "w", "vec")
         crowds = cut(crowds)
         # what lists dropped can also lie between full components: those that can touch are compared as one
-        touch = _merged(crowds.select(F.col("node").alias("u"), "root").filter("u <> root"), _touching(crowds, threshold, BLOCK))
+        touch = _merged(crowds.select(F.col("node").alias("u"), "root").filter("u <> root"), _touching(crowds, threshold, total), total)
         whole = crowds.withColumnRenamed("root", "part").join(touch, F.col("node") == F.col("u"), "left")
-        compared = _exact(whole.select(F.coalesce("root", "node").alias("root"), "part", "node", "w", "vec"), threshold, BLOCK)
-        exact, roots = _counts(compared), _joined(roots, compared)
-        weight = reps.select(F.col("node").alias("v"), "w")
+        compared = _exact(whole.select(F.coalesce("root", "node").alias("root"), "part", "node", "w", "vec"), threshold, total)
+        exact, roots = _counts(compared), _joined(roots, compared, total)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        listed = both.join(weight, "v").groupBy("u").agg(F.sum("w").alias("links")).select(F.col("u").alias("node"), "links")
+        weight = reps.select(F.col("node").alias("v"), "w").join(both.groupBy("v").agg(F.count("*").alias("n")), "v")
+        listed = spread_join(both, weight, ["v"], total).groupBy("u").agg(F.sum("w").alias("links")).select(F.col("u").alias("node"), "links")
         links = cut(exact.union(listed.join(exact.select("node"), "node", "left_anti")))
         if truth is None:
             break
-        seen = truth.join(links, "node", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0))))).first()
-        if not seen[0] or seen[1] >= recall * seen[0]:
+        got = _recall(truth, links)
+        if report is not None:
+            report.append(got)
+        if got[0] >= recall:
             break
-        k *= 2  # too few of the audit's links: longer lists, more rounds
+        k *= 2  # too few of the audit's links: new tables, longer lists, more rounds
     else:  # still too few: all rows of a label are compared
         part = reps.join(roots, F.col("node") == F.col("u"), "left")
-        compared = _exact(part.select(F.col("grp").alias("root"), F.coalesce("root", "node").alias("part"), "node", "w", "vec"), threshold, BLOCK)
-        links, roots = _counts(compared), _joined(roots, compared)
-    of_class = (
-        reps.select("grp", "h1", "h2", "node", "w").join(links, "node", "left")
+        compared = _exact(part.select(F.col("grp").alias("root"), F.coalesce("root", "node").alias("part"), "node", "w", "vec"), threshold, total)
+        links, roots = _counts(compared), _joined(roots, compared, total)
+    classes = cut(
+        reps.select("grp", "h1", "h2", "node", "least", "w").join(links, "node", "left")
         .join(roots.select(F.col("u").alias("node"), "root"), "node", "left")
         .select(
-            F.col("grp").alias("_g"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"),
-            (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"),
+            "grp", "h1", "h2", "least", F.col("w").alias("n"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+            F.coalesce("root", "node").alias("root"),
         )
     )
-    found = keyed.drop("embedding").join(
-        of_class, (F.col("grp") == F.col("_g")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left"
-    )
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    of_class = spread_join(classes, least, ["root"], total, "members").select("grp", "h1", "h2", "n", "n_links", "component_id")
+    all_rows = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = spread_join(keyed.drop("embedding"), of_class, ["grp", "h1", "h2"], all_rows, how="left")
     component = F.coalesce("component_id", "vec_id")
     return found.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

@@ -404,32 +404,90 @@ def test_passages_in_short_lines(spark):
 # ---------------------------------------------------------------- 8
 
 
-def test_shares():
-    assert mixing.share([100, 100], [5, 2], 200, 3) == pytest.approx([200 * 5 / 7, 200 * 2 / 7])
-    assert mixing.share([10, 100], [5, 2], 110, 3) == pytest.approx([30, 80])
-    assert mixing.share([0, 0], [5, 2], 0, 3) == [0, 0]
-    assert mixing.share([], [], 0, 3) == []
-
-
-def test_mixture(spark, docs):
-    sized = docs.select("doc_id", "source", mixing.words(F.coalesce("text", F.lit(""))).alias("size"))
-    out = mixing.mix(sized, ["doc_id"]).collect()
-    assert len(out) == docs.count()
-    text = {r.doc_id: r.text or "" for r in docs.collect()}
-    taken, target, largest = Counter(), {}, Counter()
-    for r in out:
-        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id]))
-        assert 0 <= r.taken <= 3 * r.size
-        taken[r.source] += r.taken
-        target[r.source] = r.target
-        largest[r.source] = max(largest[r.source], r.size)
-    assert sum(taken.values()) <= sum(target.values()) + 1
-    total_slack = max(largest.values())
-    for s, goal in target.items():
-        assert abs(taken[s] - goal) <= largest[s] + total_slack
-    again = {(r.doc_id, r.taken) for r in mixing.mix(sized, ["doc_id"]).collect()}
-    assert again == {(r.doc_id, r.taken) for r in out}
-    assert mixing.mix(sized.limit(0), ["doc_id"]).count() == 0
+def share(sizes, weights, total, most):
+    """Targets by the rule's own words: what is above a bound is shared again until none is."""
+    out, open_ = [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        left = total - sum(out[i] for i in range(len(sizes)) if i not in open_)
+        w = sum(weights[i] for i in open_)
+        for i in open_:
+            out[i] = left * weights[i] / w
+        over = {i for i in open_ if out[i] > most * sizes[i]}
+        for i in over:
+            out[i] = most * sizes[i]
+        if not over:
+            break
+        open_ -= over
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100}, {"a": 10, "b": 100, None: 7}, {"a": 0, "b": 0}, {"z": 1, "é": 900, "y": 3, "": 5, "aa": 400}, {None: 5}])
+@pytest.mark.parametrize("fraction", [1.0, 2.5, 4.0])
+def test_targets(spark, sizes, fraction):
+    rows = [(s, n // 2) for s, n in sizes.items()] + [(s, n - n // 2) for s, n in sizes.items()]
+    out = {r.source: r for r in mixing.targets(spark.createDataFrame(rows, "source string, size long"), fraction=fraction).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    want = share([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], fraction * sum(sizes.values()), 3)
+    assert [out[s].target for s in order] == pytest.approx(want)
+    assert [(out[s].source_size, out[s].n) for s in order] == [(sizes[s], 2) for s in order]
+    assert mixing.targets(spark.createDataFrame([], "source string, size long")).count() == 0
+
+
+def queue_by_hand(spark, rows, key, seed=7):
+    """The words that the mix takes, by a loop over one sorted list: {key of a row: words of all its copies}."""
+    goal = {r.source: r for r in mixing.targets(spark.createDataFrame([(r["source"], r["size"]) for r in rows], "source string, size long")).collect()}
+    seen, own = Counter(), []
+    for r in rows:
+        k = (r["source"], r["size"], *(r[c] for c in key))
+        own.append((*k, seen[k]))
+        seen[k] += 1
+    names = ["source", "size", *key, "copy"]
+    kinds = "source string, size long, " + ", ".join(f"{c} long" for c in key) + ", copy long"
+    hashes = spark.createDataFrame(own, kinds).withColumn("h", F.xxhash64(F.lit(seed), *names)).collect()
+    by_source = defaultdict(list)
+    for r in hashes:
+        by_source[r.source].append((r.h % 2**64, r))
+    low = lambda x: (x is not None, x if x is not None else 0)
+    queue = []
+    for s, rows_ in by_source.items():
+        total, target, n = 0, goal[s].target, goal[s].source_size
+        for _, r in sorted(rows_, key=lambda x: x[0]):
+            total += r.size
+            for turn in range(min(2, int(target // max(n, 1))) + 1):
+                finish = (total + turn * n) / target if target > 0 else 0.0
+                queue.append(((finish, turn, *(low(r[c]) for c in names)), r))
+    taken, run, budget = Counter(), 0, sum(g.target for g in goal.values())
+    for _, r in sorted(queue, key=lambda x: x[0]):
+        run += r.size
+        if run > budget + 0.5:
+            break
+        taken[tuple(r[c] for c in names[:-1])] += r.size
+    return taken
+
+
+def test_mixture_equals_a_queue_by_hand(spark, docs):
+    rng = random.Random(2)
+    rows = [{"source": s, "size": rng.randrange(0, 40), "doc_id": rng.choice([None, *range(30)]), "h1": rng.randrange(3)} for s in "aaaaabbc" for _ in range(25)]
+    rows += [{"source": None, "size": 9, "doc_id": 4, "h1": 1}] * 40 + [{"source": "b", "size": 0, "doc_id": None, "h1": 0}] * 3
+    want = queue_by_hand(spark, rows, ["doc_id", "h1"])
+    for seed in (1, 2):  # whatever the order of the rows
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame([(r["source"], r["size"], r["doc_id"], r["h1"]) for r in rows], "source string, size long, doc_id long, h1 long")
+        out = mixing.mix(df.repartition(seed + 1), ["doc_id", "h1"]).collect()
+        assert len(out) == len(rows) and all(r.taken <= 3 * r.size for r in out)
+        got = Counter()
+        for r in out:
+            got[(r.source, r.size, r.doc_id, r.h1)] += r.taken
+        assert +got == +want
+    assert mixing.mix(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_copies(spark):
+    from quotemill.llm._common import copies
+
+    df = spark.createDataFrame([("a", 3), ("b", 0), ("c", 70_000), ("d", 65_536), ("e", 65_537)], "k string, n long")
+    got = {r.k: r for r in copies(df).groupBy("k").agg(F.count("*").alias("c"), F.max("copy").alias("m"), F.min("copy").alias("l")).collect()}
+    assert {k: (r.c, r.l, r.m) for k, r in got.items()} == {"a": (3, 0, 2), "c": (70_000, 0, 69_999), "d": (65_536, 0, 65_535), "e": (65_537, 0, 65_536)}
 
 
 # ---------------------------------------------------------------- 9
@@ -464,6 +522,41 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_ids_that_repeat(spark):
+    rng = np.random.default_rng(3)
+    v0, v1 = rng.normal(size=(2, 16))
+    near = lambda v: v + rng.normal(size=16) * 0.01
+    rows = [(1, v0), (1, v1), (2, near(v0)), (3, near(v1)), (4, v0), (4, v0), (None, v0)]
+    df = spark.createDataFrame([(i, v.astype("f4").tolist(), "a", "c") for i, v in rows], "vec_id long, embedding array<float>, label string, node string")
+    out = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect())
+    assert out == Counter({(1, 3, 1, True): 1, (1, 1, 1, True): 1, (2, 3, 1, False): 1, (3, 1, 1, False): 1, (4, 3, 1, False): 2, (None, 0, None, True): 1})
+
+
+def test_lonely_pairs_beside_a_crowd(spark):
+    """Recall is measured by query: a crowd with all its links doesn't make up for lost pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    twin = x[:400] + rng.normal(size=(400, 64)) * 0.36 / 8
+    crowd = x[-1] + rng.normal(size=(300, 64)) * 0.1 / 8
+    v = np.concatenate([x, twin, crowd]).astype("f4")
+    df = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    report = []
+    out = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, report=report).collect()}
+    y = v.astype("f8")
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    want = (y @ y.T >= 0.93).sum(1) - 1
+    alone = [i for i in range(4400) if want[i] == 1]
+    assert len(alone) > 500
+    assert sum(out[i] for i in alone) >= 0.95 * len(alone) and all(out[i] <= want[i] for i in out)
+    assert report[-1][0] >= embeddings.RECALL and report[-1][1] > 100
+
+
+def test_tables_grow_with_a_label():
+    n = [embeddings.tables_for(10**e, embeddings.LEAF, 0.93) for e in range(1, 9)]
+    assert n[0] == 1 and n == sorted(n) and n[-1] > 30
+
+
 def twins(seed=6):
     """Six pairs of tight crowds of 30: cosine about .99 inside, .95 across."""
     rng = np.random.default_rng(seed)
@@ -509,34 +602,70 @@ def copies(seed=9):
     return rows
 
 
-@pytest.mark.parametrize("group", [jaccard.GROUP, 3000])
-def test_jaccard_join_equals_brute_force(spark, group):
-    rows = copies()
-    df = spark.createDataFrame([(*r, "c") for r in [*rows, (None, "nobody")]], "doc_id long, text string, kept string")
-    out = jaccard.similar(df, group=group).collect()
-    assert len(out) == len(rows) + 1
-    sets = [(d, frozenset(shingles(t or "")[0].tolist())) for d, t in rows]
-    links, parent = Counter(), {d: d for d, _ in rows}
+def jaccard_brute_force(rows):
+    """Links and smallest reachable id of each row of (doc_id, text), by all pairs of rows."""
+    sets = [frozenset(shingles(t or "")[0].tolist()) for _, t in rows]
+    links, parent = Counter(), list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, (a, x) in enumerate(sets):
+    for i, x in enumerate(sets):
         for j in range(i + 1, len(sets)):
-            b, y = sets[j]
+            y = sets[j]
             if x == y or (x and y and len(x & y) >= 0.8 * len(x | y)):
                 links[i] += 1
                 links[j] += 1
-                p, q = find(a), find(b)
-                parent[max(p, q)] = min(p, q)
-    want = Counter((d, links[i], find(d)) for i, (d, _) in enumerate(rows))
-    assert Counter((r.doc_id, r.n_links, r.group_id) for r in out if r.doc_id is not None) == want
-    assert all(r.kept == (r.doc_id == r.group_id) for r in out if r.doc_id is not None)
+                parent[find(j)] = find(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return Counter((d, links[i], least[find(i)]) for i, (d, _) in enumerate(rows)), len(least)
+
+
+@pytest.mark.parametrize(("group", "block"), [(jaccard.GROUP, jaccard.BLOCK), (3000, 16)])
+def test_jaccard_join_equals_brute_force(spark, group, block):
+    rows = copies()
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 60)
+    # ids that repeat with another text, and rows that repeat wholly
+    rows += [(500, a), (500, b), (501, a), (502, b), (503, a.rsplit(" ", 1)[0] + " other"), (500, a), (500, a), (504, b + " more"), (504, b + " more")]
+    want, groups = jaccard_brute_force(rows)
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame([(*r, "c", "c") for r in [*rows, (None, "nobody"), (None, a)]], "doc_id long, text string, kept string, row string")
+        out = jaccard.similar(df.repartition(1 + seed), group=group, block=block).collect()
+        assert len(out) == len(rows) + 2
+        assert Counter((r.doc_id, r.n_links, r.group_id) for r in out if r.doc_id is not None) == want
+        kept = [r for r in out if r.kept and r.doc_id is not None]
+        assert len(kept) == groups and all(r.doc_id == r.group_id for r in kept)
+        assert all((r.n_links, r.group_id, r.kept) == (0, None, True) for r in out if r.doc_id is None)
     assert jaccard.similar(df.limit(0)).count() == 0
 
 
+def test_forest_of_a_bucket_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (4, jaccard.HASHES), dtype=np.uint8)
+    rows = np.concatenate([np.where(rng.random((12, jaccard.HASHES)) < 0.05, rng.integers(0, 256, (12, jaccard.HASHES)), b) for b in base]).astype(np.uint8)
+    rows = rows[rng.permutation(len(rows))]
+    steps = jaccard.least_matches(jaccard.agreement(0.8), 1e-6)
+    a, b = map(np.array, zip(*[(i, j) for i in range(len(rows)) for j in range(i)], strict=True))
+    x, y = jaccard.surviving(a, b, rows, steps)
+    u, v = jaccard._connected(rows, steps)
+    assert len(u) == len(rows) - 4
+
+    def roots(p, q):
+        r = list(range(len(rows)))
+        for _ in range(len(rows)):
+            for i, j in zip(p, q, strict=True):
+                r[i] = r[j] = min(r[i], r[j])
+        return r
+
+    assert roots(x.tolist(), y.tolist()) == roots(u.tolist(), v.tolist())
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     for k, m in jaccard.least_matches(0.8, 1e-6):
         assert 0 < m < 0.8 * k
