@@ -12,9 +12,11 @@ uniform values that a term's hash selects; ties go to the smaller hash.
 
 Defined results: a null text is the empty text; texts without a word share one
 fingerprint; a text of fewer than five words is one shingle of them all; capitals and
-punctuation don't count; repeated rows are each fingerprinted; the successor of a
-row is the next in the order of doc_id (nulls first), then of a hash of the text,
-and that of the last row is the first.
+punctuation don't count; very long texts are taken in stretches; repeated rows are each
+fingerprinted; the successor of a row is the next in the order of doc_id (nulls first), then
+of a hash of the text, and that of the last row is the first; other columns are ignored,
+whatever their names; an empty table gives an empty table. Rows that are equal in doc_id and
+text can't be told apart by a range, so they share a task.
 """
 
 from __future__ import annotations
@@ -151,8 +153,8 @@ def _seam(batches):
 def compare_successors(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness.
 
-    One range-sort by doc_id brings successors together; only the first and last row
-    of each partition (two rows a partition) meet in the seam.
+    One range-sort by doc_id brings successors together; the last row of each partition
+    is joined with what it needs of the first row of the next.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
@@ -162,16 +164,16 @@ def compare_successors(docs: DataFrame) -> DataFrame:
         .repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
     )
     done = stored(ranged.mapInArrow(_walk, _ROW))
-    ends = done.filter("kind <> 'row'").withColumn("rank", F.when(F.col("kind") == "first", 0).otherwise(1))
-    by = Window.orderBy("pid", "rank")  # two rows a partition
+    # which partition follows: ids of partitions meet in one task, their rows don't
+    by = Window.orderBy("pid")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def following(c: str):
-        return F.coalesce(F.lead(c).over(by), F.first(c).over(whole))
-
-    seam = ends.withColumn("next_text", following("text")).withColumn("next_fingerprint", following("fingerprint"))
-    last = seam.filter("kind = 'last'").mapInArrow(_seam, _ROW)
-    return done.filter("kind = 'row'").unionByName(last).drop("pid", "kind", "text")
+    after = done.filter("kind = 'first'").select("pid", F.coalesce(F.lead("pid").over(by), F.first("pid").over(whole)).alias("next_pid"))
+    last = done.filter("kind = 'last'").join(after, "pid")
+    need = last.select(F.col("next_pid").alias("pid"), F.floor(F.col("n_chars") / 4).cast("int").alias("need"), F.col("pid").alias("before"))
+    start = done.filter("kind = 'first'").select("pid", "text", F.col("fingerprint").alias("next_fingerprint")).join(need, "pid")
+    start = start.select(F.col("before").alias("pid"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("next_text"), "next_fingerprint")
+    seam = last.join(start, "pid").mapInArrow(_seam, _ROW)
+    return done.filter("kind = 'row'").unionByName(seam).drop("pid", "kind", "text")
 
 
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -10,19 +10,21 @@ moves keys only into or out of the subtrees whose weights changed.
 hence one more shard takes rows only into itself.
 
 Defined results: a null key is a key like any other (hash of nothing), equal keys
-share a shard, an empty table gives an empty table, a null text has size 16 and
-crc32 0. Columns of the input other than the key and text are ignored.
+share a shard, whatever their texts, rows that are wholly equal have slots of their own, an
+empty table gives an empty table, a null text has size 16 and crc32 0, a very long text is
+only measured. Columns of the input other than the key and text are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import read, text_or_empty
+from ._common import copies, read, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -47,57 +49,69 @@ def grow(topo: list[Shard], weight: float = 1.0) -> list[Shard]:
     return [*topo, Shard(new, f"grown{new}", "rack0", weight)]
 
 
-def _winner(key: Column, children: list[tuple[str, float, Column]]) -> Column:
-    """The payload of the child with the smallest weighted draw (ties: first named)."""
-    if len(children) == 1:
-        return children[0][2]
-    draws = []
-    for i, (name, weight, payload) in enumerate(children):
-        unit = (F.shiftrightunsigned(F.xxhash64(F.lit(name), key), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-        draws.append(F.struct((-F.log(unit) / F.lit(float(weight))).alias("d"), F.lit(i).alias("i"), payload.alias("p")))
-    return F.least(*draws)["p"]
+def _winner(key: Column, names: Column, weights: Column) -> Column:
+    """Place (from 0) of the child with the smallest weighted draw among parallel arrays of
+    names and weights (ties: the first)."""
+
+    def draw(name: Column, i: Column) -> Column:
+        unit = (F.shiftrightunsigned(F.xxhash64(name, key), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+        return F.struct((-F.log(unit) / F.get(weights, i)).alias("d"), i.alias("i"))
+
+    return F.array_min(F.transform(names, draw))["i"]
+
+
+def _tree(topo: list[Shard], fields: tuple[str, ...]) -> tuple[list[str], list[list[str]], list[list[float]]]:
+    """Paths of one level's parents, and the names and weights of each one's children."""
+    found: dict[str, dict[str, float]] = {}
+    for s in topo:
+        path = "".join(f"/{getattr(s, f)}" for f in fields[:-1])
+        children = found.setdefault(path, {})
+        name = f"{path}/{getattr(s, fields[-1])}"
+        children[name] = children.get(name, 0.0) + s.weight
+    return list(found), [list(c) for c in found.values()], [list(map(float, c.values())) for c in found.values()]
 
 
 def assign(key: Column, topo: list[Shard]) -> Column:
-    """Shard of ``key``; a shard of weight 0 or less gets nothing."""
+    """Shard of ``key``; a shard of weight 0 or less gets nothing.
+
+    Each level is one expression over literal arrays, in which the path chosen so far
+    selects the children; so its size is that of the topology.
+    """
     live = [s for s in topo if s.weight > 0 and math.isfinite(s.weight)]
     if not live:
         raise ValueError("no shard has a positive weight")
 
-    def level(rows: list[Shard], path: str, fields: tuple[str, ...]) -> Column:
-        if not fields:
-            return _winner(key, [(f"{path}/{s.shard}", s.weight, F.lit(s.shard)) for s in rows])
-        groups: dict[str, list[Shard]] = {}
-        for s in rows:
-            groups.setdefault(getattr(s, fields[0]), []).append(s)
-        names = list(groups)
-        pick = _winner(key, [(f"{path}/{n}", sum(s.weight for s in groups[n]), F.lit(i)) for i, n in enumerate(names)])
-        out = level(groups[names[-1]], f"{path}/{names[-1]}", fields[1:])
-        for i, n in enumerate(names[:-1]):
-            out = F.when(pick == i, level(groups[n], f"{path}/{n}", fields[1:])).otherwise(out)
-        return out
+    def literal(values: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), f"array<array<{kind}>>")
 
-    return level(live, "", ("region", "rack")).cast("int")
+    levels, path = ("region", "rack", "shard"), None
+    for depth in range(len(levels)):
+        parents, names, weights = _tree(live, levels[: depth + 1])
+        at = F.lit(0) if path is None else F.element_at(F.from_json(F.lit(json.dumps({p: i for i, p in enumerate(parents)})), "map<string,int>"), path)
+        own, heavy = F.get(literal(names, "string"), at), F.get(literal(weights, "double"), at)
+        path = F.get(own, _winner(key, own, heavy))
+    return F.element_at(F.split(path, "/"), -1).cast("int")
 
 
 def with_slots(df: DataFrame, shard: str, order: list[str], salts: int = 256) -> DataFrame:
-    """``slot``: gapless from 0 within each shard, the same on every run.
+    """Each row's ``shard`` and columns of ``order``, with ``slot``: gapless from 0 within each
+    shard, the same on every run. Other columns must be functions of these, and are kept.
 
-    A shard may hold any share of the rows, so it is numbered in salted runs:
-    row_number within (shard, salt), plus the rows of the lower salts. The counts
-    have at most shards x salts rows, whatever the input.
+    A shard may hold any share of the rows, so it is numbered in salted runs, plus the rows
+    of the lower salts. Rows that are equal in ``order`` are one with a count until they are
+    numbered, so no salt holds all copies of a row. The sums of salts have at most shards x
+    salts rows, whatever the input.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    counts = salted.groupBy(shard, "_salt").agg(F.count("*").alias("_n"))
+    rest = [c for c in df.columns if c not in (shard, *order)]
+    firsts = [F.first(c).alias(c) for c in rest]
+    one = df.groupBy(shard, *order).agg(F.count("*").alias("_n"), *firsts).withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    sums = one.groupBy(shard, "_salt").agg(F.sum("_n").alias("_s"))
     below = Window.partitionBy(shard).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard, "_salt", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
-    rank = F.row_number().over(Window.partitionBy(shard, "_salt").orderBy(*order)) - 1
-    return (
-        salted.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), [shard, "_salt"])
-        .withColumn("slot", (F.col("_off") + F.col("_rank")).cast("long"))
-        .drop("_salt", "_rank", "_off")
-    )
+    offsets = sums.select(shard, "_salt", F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_off"))
+    up = Window.partitionBy(shard, "_salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = one.withColumn("_rank", F.coalesce(F.sum("_n").over(up), F.lit(0))).join(F.broadcast(offsets), [shard, "_salt"])
+    dealt = copies(placed, "_n", "_copy")
+    return dealt.select(*df.columns, (F.col("_off") + F.col("_rank") + F.col("_copy")).cast("long").alias("slot"))
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

@@ -5,12 +5,14 @@ pre-tokenised on its own, wherever the cluster has room. The pattern looks only
 ahead, so once two parses have a boundary at the same place they agree from there
 on: a chunk's parse takes over from its predecessor's at the first boundary that
 both have in their overlap. Where none exists (one run longer than the overlap)
-the chunks are joined and encoded as one. The stitched pieces are encoded
-separately, and decoding concatenates the raw bytes of the ids.
+the two neighbours are joined and parsed again, until all neighbours agree; other chunks of
+the text stay apart. The stitched pieces are encoded separately, and decoding concatenates
+the raw bytes of the ids.
 
 Defined results: a null text is the empty text, with no ids; special-token strings
-are ordinary text; repeated rows are each encoded; an empty table gives an empty
-table; columns of the input other than those named are ignored.
+are ordinary text; repeated rows are each encoded; a very long text is cut once, and only
+a single run without a boundary is as large in one task as it is; an empty table gives an
+empty table; columns of the input other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import parts, read, small_batches, text_or_empty
+from ._common import parts, read, small_batches, stored, text_or_empty
 
 #: Code points of a chunk, and of the stretch it shares with the next.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -90,6 +92,30 @@ def _encoder(path: str, keys: int):
     return run
 
 
+def _cut(chunk: int, overlap: int):
+    """Texts (doc_id, row, text) -> overlapping chunks (doc_id, row, no, upto, last, text):
+    chunk ``no``, which holds the chunks up to ``upto``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for doc, row, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                n = -(-len(text) // chunk)
+                for s in range(0, n, 16):  # a few chunks at a time
+                    nos = range(s, min(n, s + 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([doc] * len(nos), pa.int64()), pa.array([row] * len(nos), pa.int64()), pa.array(nos, pa.int32()),
+                            pa.array(nos, pa.int32()), pa.array([x == n - 1 for x in nos], pa.bool_()),
+                            pa.array([text[x * chunk : (x + 1) * chunk + overlap] for x in nos], pa.string()),
+                        ],
+                        names=["doc_id", "row", "no", "upto", "last", "text"],
+                    )
+
+    return run
+
+
 def _parse(chunk: int, overlap: int):
     """Chunks -> chunks with the boundaries in the stretches shared with their neighbours,
     as places in the whole text."""
@@ -99,16 +125,55 @@ def _parse(chunk: int, overlap: int):
 
         for b in batches:
             heads, tails = [], []
-            for no, last, text in zip(*(b.column(k).to_pylist() for k in ("no", "last", "text")), strict=True):
+            for no, upto, last, text in zip(*(b.column(k).to_pylist() for k in ("no", "upto", "last", "text")), strict=True):
                 found = boundaries(text, 0, len(text) + 1 if last else len(text) - _UNSURE)
+                shared = (upto + 1 - no) * chunk
                 heads.append([no * chunk + x for x in found if x < overlap] if no else [])
-                tails.append([] if last else [no * chunk + x for x in found if x >= chunk])
+                tails.append([] if last else [no * chunk + x for x in found if x >= shared])
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, kind), pa.array(tails, kind)], names=[*b.schema.names, "head", "tail"])
 
     return run
 
 
+_CHUNK = "doc_id long, row long, no int, upto int, last boolean, text string"
+
+
+def _stitched(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """Chunks that all agree with their neighbours, with ``begin``, where each takes over.
+
+    Neighbours without a boundary in common become one chunk and are parsed again. A chunk
+    that was joined before and fails again takes as many followers as it has chunks, so
+    there are only as many rounds as a run's length has binary digits.
+    """
+    order = Window.partitionBy("row").orderBy("no")
+    done = None
+    while True:
+        parsed = stored(_map(chunks, _parse(chunk, overlap), f"{_CHUNK}, head array<long>, tail array<long>"))
+        begin = F.when(F.col("no") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
+        found = parsed.withColumn("begin", begin)
+        apart = stored(found.filter("begin is null").groupBy("row").agg(F.min("no").alias("first")).select("row"))
+        good = found.join(apart, "row", "left_anti").select(*[x.split()[0] for x in _CHUNK.split(", ")], "begin")
+        done = good if done is None else done.unionByName(good)
+        if apart.isEmpty():
+            return done
+        bad = found.join(apart, "row")
+        # how far a chunk reaches that its successor doesn't agree with
+        fails = F.lead("begin").over(order).isNull() & ~F.col("last")
+        reach = F.when(fails, F.col("upto") + (F.col("upto") - F.col("no") + 1)).otherwise(F.col("upto"))
+        before = Window.partitionBy("row").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+        new = bad.withColumn("reach", reach).withColumn("far", F.max("reach").over(before))
+        lead = F.when(F.col("far").isNull() | (F.col("far") < F.col("no")), F.col("no"))
+        whole = new.withColumn("to", F.last(lead, ignorenulls=True).over(order))
+        part = F.struct("no", "upto", "last", "text")
+        joined = whole.groupBy("row", F.col("to").alias("no")).agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(part)).alias("p"))
+        final = F.element_at("p", -1)
+        own = F.transform(
+            "p", lambda x: F.when(x["no"] == final["no"], x["text"]).otherwise(F.substring(x["text"], F.lit(1), (x["upto"] + 1 - x["no"]) * chunk))
+        )
+        chunks = joined.select("doc_id", "row", "no", final["upto"].alias("upto"), final["last"].alias("last"), F.array_join(own, "").alias("text"))
+
+
 def _joined(pdf):
     """The encoded pieces of one document, in order -> its row."""
     import pandas as pd
@@ -124,32 +189,14 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
     size = F.char_length("text")
     short = _map(docs.filter(size <= chunk), _encoder(path, 1), "doc_id long, n_tokens long, ids binary")
 
-    n = F.ceil(size / chunk).cast("int")
-    long = docs.filter(size > chunk).select("doc_id", F.monotonically_increasing_id().alias("row"), "text", n.alias("n"))
-    pieces = long.select(
-        "doc_id", "row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("no"), "n", "text"
-    ).select(
-        "doc_id", "row", "no", (F.col("no") == F.col("n") - 1).alias("last"),
-        F.substring(F.col("text"), F.col("no") * chunk + 1, F.lit(chunk + overlap)).alias("text"),
-    ).repartition(parts(docs.sparkSession), "row", "no")
-    cols = "doc_id long, row long, no int, last boolean, text string"
-    parsed = _map(pieces, _parse(chunk, overlap), f"{cols}, head array<long>, tail array<long>")
+    long = docs.filter(size > chunk).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    chunks = _map(long, _cut(chunk, overlap), _CHUNK).repartition(parts(docs.sparkSession), "row", "no")
+    stitched = _stitched(chunks, chunk, overlap).withColumn("start", F.col("no") * F.lit(chunk).cast("long"))
     order = Window.partitionBy("row").orderBy("no")
-    begin = F.when(F.col("no") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
-    stitched = (
-        parsed.withColumn("begin", begin)
-        .withColumn("end", F.when(F.col("last"), F.lit(1 << 40)).otherwise(F.lead("begin").over(order)))
-        .withColumn("apart", F.max(F.col("begin").isNull()).over(Window.partitionBy("row")))
-    )
-    mine = F.substring(F.col("text"), (F.col("begin") - F.col("no") * chunk + 1).cast("int"), (F.least(F.col("end"), F.col("begin") + chunk + overlap) - F.col("begin")).cast("int"))
-    # no boundary in common somewhere: the chunks without their overlaps are one piece again
-    piece = F.when(F.col("apart"), F.substring("text", 1, chunk)).otherwise(mine)
-    ready = (
-        stitched.withColumn("piece", F.when(F.col("apart"), F.lit(0)).otherwise(F.col("no")))
-        .groupBy("row", "piece")
-        .agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("no", piece.alias("t")))).alias("c"))
-        .select("doc_id", "row", F.col("piece").alias("no"), F.array_join("c.t", "").alias("text"))
-    )
+    begin, end = F.col("begin"), F.when(F.col("last"), F.lit(1 << 40)).otherwise(F.lead("begin").over(order))
+    stitched = stitched.withColumn("end", end)
+    mine = F.substring(F.col("text"), (begin - F.col("start") + 1).cast("int"), F.least(F.col("end") - begin, F.char_length("text").cast("long")).cast("int"))
+    ready = stitched.select("doc_id", "row", "no", mine.alias("text"))
     done = _map(ready, _encoder(path, 3), "doc_id long, row long, no int, n_tokens long, ids binary")
     return short.unionByName(done.groupBy("row").applyInPandas(_joined, "doc_id long, n_tokens long, ids binary"))
 
