@@ -1,21 +1,26 @@
-"""Substring dedup by hashing groups of sentences and stretches between words chosen by content.
-
-There are units of two kinds. One is a run of whole sentences of one line with at least
-``LEAST`` words; a sentence longer than ``LONGEST`` words is cut after words that their own
-hash selects (one in ``CUT``), or else after ``MOST`` words. Where such a run begins depends
-on what precedes it in the line. The other is anchored: a word begins a piece if the hash
-of it and its successor is the least among the ``REACH`` words on either side, and two neighbouring
-pieces are a unit, across line ends. So a passage that is pasted anywhere falls into the same units but for its edges, whatever surrounds it.
-
-Sentences are normalised (lower case, single spaces, no outer punctuation), pieces are compared by
-their words in lower case. Digests are grouped over all documents, the earliest occurrence by
-(doc_id, offset) stays, and the others are removed. Their original offsets are kept;
-those of the two kinds can overlap. What is removed has an earlier copy that stays.
-
-Defined results: a null text stays null; a text without a repeated unit is returned as it
-was; rows that repeat a doc_id and its text are one document, so they keep what it
+"""Substring dedup by hashing lines, and stretches between words chosen by content.
+
+The units are whole lines (or paragraphs, by ``separator``), of any length from one
+character on, and below them sentences of at least ``LEAST`` words: normalised, digested and
+numbered in the JVM. A last level is for passages that begin and end anywhere and whose
+lines are wrapped differently: a word begins a piece if the hash of it and its successor is the least among the ``REACH`` words on either side, and two neighbouring
+pieces of at least ``LEAST`` words are a unit. So a passage that is pasted anywhere falls into
+the same units but for its edges, whatever surrounds it and wherever its lines end.
+
+Lines and sentences are compared in lower case, with single spaces and without outer punctuation
+(a line of punctuation alone is compared as it is), pieces by their words in lower case. Digests
+are grouped over all documents, the earliest occurrence by (doc_id, place) stays, and the
+others are removed, whole lines with their line break. The original offsets of what went are kept;
+those of different levels can overlap. What is removed has an earlier copy.
+
+A document that shares a line with an earlier one loses it, however short the line: that is
+the method. A document without a unit of an earlier one, or of its own, is returned as it was.
+
+Defined results: a null text stays null; an empty text stays empty; a very long text is taken
+in pieces; ties in doc_id go to the smaller hash of the text; rows that repeat a doc_id and
+its text are one document, so they keep what it
 keeps; rows with a null doc_id rank first; an empty table gives an empty table; extra
-columns are carried along.
+columns are carried along, but a column ``removed`` is replaced, and names must not begin with two underscores.
 """
 
 from __future__ import annotations
@@ -24,20 +29,23 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from ._common import cut, read, small_batches, stored
+from ._common import cut, read, small_batches, spread_join, stored
 
-LEAST, LONGEST, CUT, MOST = 8, 16, 8, 40
+#: Words of a unit of the second level at least, and of a piece of words that have no least one.
+LEAST, MOST = 8, 40
 #: Words on either side that decide whether a word begins a piece: pieces are longer than that, and about twice as long.
 REACH = 4
-#: Share of all units beyond which one is joined by broadcast: at most so many of them.
-HOT = 1000
-_LINE = re.compile(r"[^\n]+")
-_STOP = re.compile(r"""[.!?…。！？]+["'”’»)\]]*(?:\s+|$)""")
+#: What ends a unit of the first level: a pattern that Java and Python read alike.
+LINE, PARAGRAPH = "\n", r"\n[ \t\r]*\n"
+SENTENCE = r"""\n|[.!?…。！？]+["'”’»)\]]*[ \t\r]+"""
+#: What stands for the end in a span whose start is the number of a line or a sentence.
+_LINE_NO, _SENTENCE_NO = -1, -2
 _WORD = re.compile(r"\S+")
+#: Characters about a line that don't count.
 _OUTER = " \t\r.,;:!?…\"'“”‘’«»()[]-–—*#"
 
 
@@ -109,70 +117,46 @@ def anchored(text: str) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def units(text: str) -> list[tuple[int, int, str | bytes]]:
-    """(start, end, normalised unit) in code points, in order: groups of sentences, which
-    don't overlap, and anchored units."""
-    return sorted(sentences(text) + anchored(text), key=lambda u: u[:2])
-
-
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalised group of sentences) in code points, in order, without overlap."""
-    from zlib import crc32
-
-    out = []
-    for line in _LINE.finditer(text):
-        base, row = line.start(), line.group()
-        ends = [m.end() for m in _STOP.finditer(row)]
-        if not ends or ends[-1] < len(row):
-            ends.append(len(row))
-        words: list[str] = []
-        begin = last = 0
-        for end in ends:
-            own = row[last:end].split()
-            if len(own) > LONGEST:
-                for m in _WORD.finditer(row, last, end):
-                    words.append(m.group())
-                    chosen = crc32(m.group().lower().encode("utf-8", "replace")) % CUT == 0
-                    if len(words) >= MOST or (len(words) >= LEAST and chosen):
-                        out.append((base + begin, base + m.end(), words))
-                        begin, words = m.end(), []
-            else:
-                words += own
-            last = end
-            if len(words) >= LEAST:
-                out.append((base + begin, base + end, words))
-                begin, words = end, []
-            elif not words:
-                begin = end
-    whole = []
-    for start, end, words in out:
-        part = text[start:end]
-        lead, tail = len(part) - len(part.lstrip()), len(part.rstrip())
-        whole.append((start + lead, start + tail, " ".join(words).lower().strip(_OUTER)))
-    return whole
-
-
 def without(text: str, starts, ends) -> str:
     """``text`` without the spans; the space after a span goes too, and the line break
     if the span was the whole line."""
-    kept, at = [], 0
+    whole: list[list[int]] = []
     for start, end in sorted(zip(starts, ends, strict=True)):
-        if end <= at:
-            continue
-        start = max(start, at)
+        if whole and start <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], end)
+        else:
+            whole.append([start, end])
+    kept, at, before = [], 0, "\n"
+    for start, end in whole:
+        if start > at:
+            kept.append(text[at:start])
+            before = text[start - 1]
         while end < len(text) and text[end] in " \t\r":
             end += 1
-        head = "".join(kept[-1:])[-1:] if start == at and kept else text[start - 1 : start]
-        if end < len(text) and text[end] == "\n" and (start == 0 or head == "\n"):
+        if before == "\n" and end < len(text) and text[end] == "\n":
             end += 1
-        kept.append(text[at:start])
         at = max(at, end)
     kept.append(text[at:])
     return "".join(kept)
 
 
-def unit_digests(docs: DataFrame) -> DataFrame:
-    """(h, check, doc_id, version, start, end) of every unit; h and check are 96 bits of its digest."""
+def normalised(line: Column) -> Column:
+    """Lower case, single spaces, no outer punctuation unless there is nothing else."""
+    single = F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    return F.coalesce(F.nullif(F.btrim(single, F.lit(_OUTER)), F.lit("")), single)
+
+
+def line_digests(docs: DataFrame, separator: str = LINE, level: int = _LINE_NO, least: int = 1) -> DataFrame:
+    """(h, check, doc_id, version, start, end) of every unit between separators that has
+    ``least`` words; start is its number, end the level; h and check are 96 bits of its digest."""
+    own = docs.select("doc_id", "version", F.posexplode(F.split("text", separator, -1)).alias("start", "line"))
+    own = own.withColumn("unit", normalised(F.col("line"))).filter((F.col("unit") != "") & (F.size(F.split("unit", " ")) >= least))
+    digest = F.xxhash64(F.lit(level), "unit").alias("h"), F.hash(F.lit(level), "unit").alias("check")
+    return own.select(*digest, "doc_id", "version", "start", F.lit(level).alias("end"))
+
+
+def piece_digests(docs: DataFrame) -> DataFrame:
+    """(h, check, doc_id, version, start, end) of every unit of the second level, in code points."""
 
     def run(batches):
         import pyarrow as pa
@@ -181,8 +165,8 @@ def unit_digests(docs: DataFrame) -> DataFrame:
         for b in batches:
             digest, doc, version, starts, ends = [], [], [], [], []
             for d, v, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for start, end, unit in units(text):
-                    digest.append(xxhash.xxh3_128_digest(unit if isinstance(unit, bytes) else unit.encode("utf-8", "replace")))
+                for start, end, unit in anchored(text):
+                    digest.append(xxhash.xxh3_128_digest(unit))
                     doc.append(d)
                     version.append(v)
                     starts.append(start)
@@ -197,59 +181,66 @@ def unit_digests(docs: DataFrame) -> DataFrame:
             )
 
     small_batches(docs.sparkSession, 500)
-    own = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    return own.mapInArrow(run, "h long, check int, doc_id long, version long, start int, end int")
+    return docs.mapInArrow(run, "h long, check int, doc_id long, version long, start int, end int")
 
 
-def _with(found: DataFrame, of_unit: DataFrame, total: int) -> DataFrame:
-    """``found`` joined with ``of_unit``, one row (h, check, n, ...) for each of some units."""
+def repeats(docs: DataFrame, separator: str = LINE) -> DataFrame:
+    """(doc_id, version, spans): what of each document an earlier place holds, as (number, level) or (start, end)."""
     key = ["h", "check"]
-    # a unit with more than 1 in HOT of all rows would fill one task: those, at most HOT, are broadcast
-    crowded = F.col("n") > F.lit(total // HOT)
-    hot, rest = of_unit.filter(crowded).drop("n"), of_unit.filter(~crowded).drop("n")
-    plain = found.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key)
-    return found.join(F.broadcast(hot), key).unionByName(plain)
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, removed): the spans of each document that an earlier one holds."""
-    key = ["h", "check"]
-    found = stored(unit_digests(docs))
+    own = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    named = line_digests(own, separator).unionByName(line_digests(own, SENTENCE, _SENTENCE_NO, LEAST))
+    found = stored(named.unionByName(piece_digests(own)))
     # only counts of all units are dealt out; places only of those that repeat
     often = cut(found.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"))
-    again = stored(_with(found, often, found.count()))
+    again = stored(spread_join(found, often, key, found.count()))
     place = F.struct(F.col("doc_id"), F.col("version"), F.col("start"))
     first = cut(again.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    later = _with(again, first, again.count()).filter(place > F.col("first"))
-    later = later.select("doc_id", "version", "start", "end")
+    later = spread_join(again, first, key, again.count()).filter(place > F.col("first"))
     # a document that is there twice names each span twice
-    spans = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    return spans
+    return later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+
+def offsets(text: str, spans, separator: str = LINE) -> list[tuple[int, int]]:
+    """Spans of ``repeats`` as (start, end) in code points, in order."""
+    out = [(s["start"], s["end"]) for s in spans if s["end"] >= 0]
+    for level, between in ((_LINE_NO, separator), (_SENTENCE_NO, SENTENCE)):
+        numbers, at = {s["start"] for s in spans if s["end"] == level}, 0
+        for i, m in enumerate([*re.finditer(between, text), None] if numbers else []):
+            if i in numbers:  # what ends a sentence belongs to it
+                unit = text[at : m.end() if m else len(text)]
+                out.append((at + len(unit) - len(unit.lstrip()), at + len(unit.rstrip())))
+            at = m.end() if m else len(text)
+    return sorted(set(out))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, separator: str = LINE) -> DataFrame:
     """``docs`` with its repeated units removed from ``text``, and ``removed``, the
     array of (start, end) of what went, as offsets into the original text."""
 
-    @F.pandas_udf("string")
-    def cut_out(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        rows = zip(text, starts, ends, strict=True)
-        return pd.Series([None if t is None or s is None else without(t, s, e) for t, s, e in rows], dtype=object)
+    @F.pandas_udf("text string, removed array<struct<start:int,end:int>>")
+    def cut_out(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        texts, removed = [], []
+        for t, s in zip(text, spans, strict=True):
+            own = [] if t is None or s is None else offsets(t, s, separator)
+            texts.append(without(t, *zip(*own, strict=True)) if own else t)
+            removed.append([{"start": a, "end": b} for a, b in own])
+        return pd.DataFrame({"text": pd.Series(texts, dtype=object), "removed": pd.Series(removed, dtype=object)})
 
     small_batches(docs.sparkSession, 500)
-    spans = repeats(docs).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.col("removed").alias("_removed"))
+    # written first, so that adaptive execution can split a join in which many rows are one document
+    spans = stored(repeats(docs, separator)).select(F.col("doc_id").alias("__d"), F.col("version").alias("__v"), F.col("spans").alias("__spans"))
     joined = docs.join(
-        spans, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_v")), "left"
+        spans, docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__v")), "left"
     )
-    hit = F.col("_removed").isNotNull()
-    shorter = cut_out(F.when(hit, docs["text"]), F.col("_removed.start"), F.col("_removed.end"))
+    hit = F.col("__spans").isNotNull()
+    joined = joined.withColumn("__cut", cut_out(F.when(hit, docs["text"]), F.col("__spans")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    columns = [F.when(hit, F.col("_cut")).otherwise(docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns if c != "removed"]
-    return joined.withColumn("_cut", shorter).select(*columns, F.coalesce("_removed", none).alias("removed"))
+    columns = [F.when(hit, F.col("__cut.text")).otherwise(docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns if c != "removed"]
+    return joined.select(*columns, F.when(hit, F.col("__cut.removed")).otherwise(none).alias("removed"))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents without the units that an earlier document holds."""
+    """All documents without the lines and pieces that an earlier document holds."""
     return dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "text", "removed", F.size("removed").alias("n_removed")
     )

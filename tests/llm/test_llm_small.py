@@ -317,36 +317,62 @@ def test_substrings(spark):
     base = [prose(rng, 80) for _ in range(6)]
     texts = {
         1: base[0], 2: base[1] + " " + passage + " " + base[2], 3: base[3][:60] + " " + passage + " " + base[4],
-        4: base[5] + "\n" + passage + "\n" + "Short line.", 5: None, 6: "", 7: "Short line.", 8: base[0],
+        4: base[5] + "\n" + passage + "\n" + "Short line.", 5: None, 6: "", 7: "short  LINE\nown words", 8: base[0],
+        9: "\n".join(["short repeated line"] * 5), 10: "\n".join(["short repeated line"] * 5) + "\n---", 11: "---\n\n- Own. -",
     }
     df = spark.createDataFrame([(k, v, "c") for k, v in texts.items()] + [(2, texts[2], "c")], "doc_id long, text string, removed string")
     out = by_id(passages.dedup(df))
-    assert out[1].text == texts[1] and out[2].text == texts[2] and out[7].text == "Short line." and out[5].text is None and out[6].text == ""
+    assert all(out[i].text == texts[i] for i in (1, 2, 5, 6))
     words = passage.split()
     for d in (3, 4):
         runs = {tuple(out[d].text.split()[i : i + 20]) for i in range(len(out[d].text.split()) - 19)}
         assert not any(tuple(words[i : i + 20]) in runs for i in range(len(words) - 19))
-        assert all(texts[d][r.start : r.end] in passage or r.end - r.start > 0 for r in out[d].removed)
-    assert len(out[8].text) < 40
-    assert out[4].text.endswith("Short line.")
+        assert all(texts[d][r.start : r.end] in passage for r in out[d].removed)
+    assert out[8].text == "" and out[4].text.endswith("Short line.")
+    assert out[7].text == "own words" and [(r.start, r.end) for r in out[7].removed] == [(0, 11)]
+    assert out[9].text == "short repeated line\n" and out[10].text == "---" and out[11].text == "\n- Own. -"
     assert passages.dedup(df.limit(0)).count() == 0
 
 
-def test_substrings_equal_brute_force(spark, docs):
-    rows = sorted({(r.doc_id, r.text) for r in docs.collect() if r.text is not None})
+def lines_of(text, separator):
+    """(start, end, words) of each unit, by plain string handling."""
+    out, at = [], 0
+    for piece in re.split(f"({separator})", text):
+        if not re.fullmatch(separator, piece) and piece.strip():
+            start = at + len(piece) - len(piece.lstrip())
+            word = " ".join(piece.lower().split())
+            out.append((start, start + len(piece.strip()), word.strip(passages._OUTER) or word))
+        at += len(piece)
+    return out
+
+
+@pytest.mark.parametrize("separator", [passages.LINE, passages.PARAGRAPH])
+def test_removed_lines_equal_brute_force(spark, docs, separator):
+    rng = random.Random(1)
+    extra = [(800 + i, "\n".join(rng.choice(["A b.", "  a  B ", "c", "...", "d e f", "", "\t", "Ünï «c»", "c\n"]) for _ in range(rng.randrange(12)))) for i in range(40)]
+    rows = sorted({(r.doc_id, r.text) for r in docs.collect() if r.text is not None} | set(extra))
     seen, want = set(), {}
     for d, text in rows:
-        spans = []
-        for start, end, unit in passages.units(text):
+        want[d] = set()
+        for start, end, unit in lines_of(text, separator):
             if unit in seen:
-                spans.append((start, end))
+                want[d].add((start, end))
             seen.add(unit)
-        want[d] = spans
-    got = by_id(passages.dedup(docs))
-    assert {d: [(s.start, s.end) for s in got[d].removed] for d in want} == want
+    df = spark.createDataFrame(rows[::-1] + [(None, None)], "doc_id long, text string").repartition(5)
+    got = by_id(passages.dedup(df, separator))
     for d, text in rows:
-        if not want[d]:
+        spans = {(s.start, s.end) for s in got[d].removed}
+        whole = {(a, b) for a, b, _ in lines_of(text, separator)}
+        assert spans & whole == want[d]
+        left = "".join("" if any(a <= i < b for a, b in spans) else c for i, c in enumerate(text))
+        assert got[d].text.split() == left.split()  # nothing else but white space goes
+        if not spans:
             assert got[d].text == text
+
+
+def test_repeated_sentences_and_offsets():
+    text = "One two. Three four five! Six.\nSeven"
+    assert passages.offsets(text, [{"start": 1, "end": -2}, {"start": 1, "end": -1}, {"start": 2, "end": 5}]) == [(2, 5), (9, 25), (31, 36)]
     assert passages.without("Ab. Cd. Ef", [4], [7]) == "Ab. Ef"
     assert passages.without("Ab.\nCd.\nEf", [4], [7]) == "Ab.\nEf"
 
@@ -394,11 +420,11 @@ def test_passages_in_short_lines(spark):
             words = words[k:]
         passage[i + 1] = "\n".join(lines)
         again = passage[i + 1] if i % 4 else passage[i + 1].replace("\n", " ")  # wrapped differently
-        rows += [(i, f"{invented(rng, 15)}\n{again}\n{invented(rng, 20)}"), (i + 1, f"{invented(rng, 4)}\n\n{passage[i + 1]}\nThe end.")]
+        rows += [(i, f"{invented(rng, 15)}\n{again}\n{invented(rng, 20)}"), (i + 1, f"{invented(rng, 4)}\n\n{passage[i + 1]}\nThe end of {i + 1}.")]
     out = by_id(passages.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
     assert all(out[d].text == t for d, t in rows if d % 2 == 0)
     assert not any(left_over(passage[d], out[d].text, 30) for d in passage)
-    assert all(out[d].text.endswith("The end.") for d in passage)
+    assert all(out[d].text.endswith(f"The end of {d}.") for d in passage)
 
 
 # ---------------------------------------------------------------- 8
