@@ -6,9 +6,16 @@ gives the window's language; a text takes the language with the largest mean log
 probability over all its windows. A filter of width w is w tables of 256 byte
 values, so a convolution is w look-ups and sums over a whole batch of windows.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
-rows without a label teach nothing; if no row teaches, every text is ``und``;
-repeated rows are each predicted; ties go to the first language in order.
+One more output stands for no language: it learns from invented windows (bytes of training
+windows in random order, random letters of any script, random digits), so what no learned
+language explains has a low score in all of them. ``cutoff`` says how low is too low: by
+the scores of labelled documents that the model didn't learn from.
+
+Defined results: a null or empty text, or one without a letter, is ``und`` with score 0;
+rows without a label teach nothing; if no row teaches, every text is ``und``; a very long
+text is taken in pieces, all of it; repeated rows are each predicted; ties go to the first language in
+order; an empty table gives an empty table; other columns are carried along by ``identify``,
+and their names must not begin with an underscore.
 """
 
 from __future__ import annotations
@@ -27,6 +34,11 @@ UNKNOWN = "und"
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 #: Bound of the training sample: texts a language (about) and windows a text.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 700, 4
+#: Languages that are learned at most: the most frequent ones.
+LANGUAGES = 400
+#: Held-out documents (about) that the cutoff is calibrated on, the share of them that lies under
+#: four times the cutoff, and the score from which a prediction outweighs another label.
+CALIBRATION, UNDER, SURE = 4000, 0.001, 0.99
 #: Windows that are convolved together.
 BATCH = 32
 
@@ -41,8 +53,8 @@ class Model:
     languages: list[str]
     tables: list[np.ndarray]  # for each width: (width, 256, FILTERS)
     bias: np.ndarray  # (pooled filters,)
-    dense: np.ndarray  # (pooled filters, languages)
-    offset: np.ndarray  # (languages,)
+    dense: np.ndarray  # (pooled filters, languages and none)
+    offset: np.ndarray  # (languages and none,)
 
     def pooled(self, x: np.ndarray, where: bool = False):
         """Windows (n, WINDOW) of bytes -> maxima (n, filters), and their places."""
@@ -90,6 +102,22 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat[np.array(starts)[:, None] + np.arange(WINDOW)], np.array(owner)
 
 
+def nonsense(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """``n`` windows in no language: bytes of windows ``x`` in random order, letters of random
+    scripts, and random hexadecimal digits."""
+    out = x[rng.integers(0, len(x), n)].copy()
+    for i in range(n):
+        if i % 3 == 0:
+            out[i] = rng.permutation(out[i])
+        elif i % 3 == 1:
+            first = int(rng.choice([0x61, 0x370, 0x410, 0x5D0, 0x620, 0x905, 0xE01, 0x3041, 0x4E00, 0xAC00]))
+            chars = [chr(c) for c in first + rng.integers(0, 26 if first < 0x370 else 48, WINDOW)]
+            out[i] = np.frombuffer("".join(" " if rng.random() < 0.15 else c for c in chars).encode()[:WINDOW], np.uint8)
+        else:
+            out[i] = np.frombuffer(rng.choice(list(b"0123456789abcdef"), WINDOW).astype(np.uint8).tobytes(), np.uint8)
+    return _FOLD[out]
+
+
 def train(rows: list[tuple[str, str]], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Model | None:
     """Fit on (window text, language) pairs with Adam on the cross entropy."""
     languages = sorted({lang for _, lang in rows})
@@ -98,18 +126,21 @@ def train(rows: list[tuple[str, str]], epochs: int = 8, batch: int = 64, rate: f
     rng = np.random.default_rng(seed)
     # a training text is at most one window long
     x, _ = windows([text.encode("utf-8", "replace")[:WINDOW] for text, _ in rows])
-    y = np.array([languages.index(lang) for _, lang in rows])
-    n_pooled = FILTERS * len(WIDTHS)
+    place = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([place[lang] for _, lang in rows])
+    none = max(1, len(y) // len(languages))
+    x, y = np.concatenate([x, nonsense(x, none, rng)]), np.concatenate([y, np.full(none, len(languages))])
+    n_pooled, n_out = FILTERS * len(WIDTHS), len(languages) + 1
     m = Model(
         languages,
         [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS],
         np.zeros(n_pooled, np.float32),
-        rng.normal(0, 0.2, (n_pooled, len(languages))).astype(np.float32),
-        np.zeros(len(languages), np.float32),
+        rng.normal(0, 0.2, (n_pooled, n_out)).astype(np.float32),
+        np.zeros(n_out, np.float32),
     )
     params = [*m.tables, m.bias, m.dense, m.offset]
     mean, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    weight = (len(y) / (len(languages) * np.bincount(y, minlength=len(languages)).clip(1))).astype(np.float32)
+    weight = (len(y) / (n_out * np.bincount(y, minlength=n_out).clip(1))).astype(np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for s in range(0, len(y), batch):
@@ -147,7 +178,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
         x, owner = windows(segments)
         owner = np.array(which)[owner]
         for i in range(0, len(x), BATCH):
-            lp = model.log_probabilities(x[i : i + BATCH]).astype(np.float64)
+            lp = model.log_probabilities(x[i : i + BATCH])[:, :-1].astype(np.float64)
             np.add.at(total, owner[i : i + BATCH], lp)
             np.add.at(seen, owner[i : i + BATCH], np.exp(lp))
         count += np.bincount(owner, minlength=len(texts))
@@ -184,10 +215,12 @@ def sample(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> list[tupl
     own = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.char_length("text") > 0)).filter(
         F.col("text").rlike(r"\p{L}")
     )
-    counts = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").count().collect()
-    chance = F.lit(0.0)
-    for r in counts:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(chance)
+    counts = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
+    counts = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return []
+    table = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"]))])
+    chance = F.coalesce(F.try_element_at(table, F.col("lang")), F.lit(0.0))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11).cast("double") / float(1 << 53)
     spare = F.greatest(F.char_length("text") - WINDOW, F.lit(0))
     at = F.transform(
@@ -216,6 +249,19 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     ).drop("_g")
 
 
+def cutoff(docs: DataFrame, model: Model | None, about: int = CALIBRATION, under: float = UNDER) -> float:
+    """Score below which a document is in no learned language: a quarter of the score that a share
+    ``under`` of held-out labelled documents stays below. A quarter, because those documents are clean."""
+    known = docs.filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    n = known.count() if model is not None else 0
+    if not n:
+        return 0.0
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit("cutoff"), "doc_id"), 11).cast("double") / float(1 << 53)
+    scores = identify(known.filter(unit < min(1.0, about / n)).select("text"), model)
+    low = scores.agg(F.percentile("_score", F.lit(under))).first()[0]
+    return 0.25 * (low or 0.0)
+
+
 def op5_langid(spark, sf_dir: str) -> DataFrame:
     """Language of every whole text of documents."""
     docs = read(spark, sf_dir, "documents")

@@ -30,8 +30,10 @@ page AS (
   UNION ALL
   SELECT node, url, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?\s*refresh\b'))[1], '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM page WHERE node IS NOT NULL
 ), resolved AS (
-  SELECT node AS u, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link
-    WHEN link LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link END AS target
+  SELECT node AS u, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN link LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link WHEN link LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
+    WHEN link LIKE '#%' THEN NULL WHEN link LIKE '?%' THEN regexp_extract(url, '(?s)^([^?#]*)', 1) || link
+    ELSE rtrim(regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || link END AS target
   FROM (SELECT node, url, replace(link, '&amp;', '&') AS link FROM found) WHERE link <> ''
 ), edge AS (
   SELECT u, translate(regexp_extract(target, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(target, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS v

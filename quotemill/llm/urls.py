@@ -9,7 +9,8 @@ allowed, which takes precedence. What nothing decides is allowed.
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits
 no rule and has no aliases; a link that can't be resolved gives no edge; repeated
 rows are each judged; empty tables give empty tables; ties between rules of one length
-go to the allowing one.
+go to the allowing one; of several canonical links or refreshes in a page the first counts; very
+long pages are searched whole, once for each kind of link that they mention; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,8 +135,10 @@ def resolve(base: Column, link: Column) -> Column:
 def link_edges(pages: DataFrame) -> DataFrame:
     """(u, v): page to its canonical link, and to the target of a refresh redirect."""
     html = F.col("html")
-    tag = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?\s*canonical\b)[^>]*>""", 0)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b)[^>]*>""", 0)
+    # the patterns run only over pages that mention what they look for
+    canonical, refresh = (F.when(html.rlike(f"(?i){word}"), html).otherwise(F.lit("")) for word in ("canonical", "http-equiv"))
+    tag = F.regexp_extract(canonical, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?\s*canonical\b)[^>]*>""", 0)
+    meta = F.regexp_extract(refresh, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b)[^>]*>""", 0)
     href = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     goal = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
     found = pages.filter(F.col("url").contains("://") & html.rlike("(?i)canonical|http-equiv"))
