@@ -1,12 +1,14 @@
 """Identity: bookmakers, names, events; set-based where it can be, sequential where it must.
 
-A feed's keys resolve in three steps. Known mappings, exact names and aliases are joins,
-which serve nearly all rows in a steady state. Names left over meet only candidates of
-their own scope, digits and qualifiers, and one clear winner is taken. Records that may
-create identities depend on what came before them; they run in order through a resolver
-for each sport, on distinct keys only, and join back.
-
-False merges are worse than duplicates: what is ambiguous makes a new identity.
+Names resolve in steps: aliases and exact names are joins, and names left over meet only
+candidates of their own scope and marks. Records that may create identities depend on what
+came before them: their distinct keys run in order through a ``Resolver``, which is a fold
+over an append log, the identity catalogue. It starts from the log so far and its own entries
+are the next part of the log. What can't depend on each other runs apart: sports, and the
+countries of a sport whose competitions all name one.
+
+False merges are worse than duplicates: what is ambiguous or merely similar makes a new,
+unverified identity.
 """
 
 from __future__ import annotations
@@ -82,15 +84,17 @@ def match_by_time(records: DataFrame, events: DataFrame, key: list[str], toleran
     ).drop("_n", "_found")
 
 
-def normalize_names(names: DataFrame, pool: DataFrame, aliases: DataFrame, threshold: float = 80.0, margin: float = 5.0) -> DataFrame:
+def normalize_names(
+    names: DataFrame, pool: DataFrame, aliases: DataFrame, threshold: float = 80.0, margin: float = 5.0, tokens: dict[str, str] | None = None
+) -> DataFrame:
     """``names`` (scope, name) against ``pool`` (scope, canonical_name): adds canonical_name,
     confidence and method (alias, exact, fuzzy, ambiguous or unknown).
 
-    ``aliases`` (alias, target) outrank exact names. Only names of equal digits and
-    qualifiers are scored, and only the distinct names that joins left over.
+    ``tokens`` replaces single words first; then ``aliases`` (alias, target) outrank exact
+    names. Only names of equal marks are scored, and only the distinct names that joins left over.
     """
-    key, block, ratio = T.comparison_key_udf(), T.block_key_udf(), T.ratio_udf()
-    asked = names.select("scope", "name").distinct().withColumn("key", key("name"))
+    key, block, ratio = T.comparison_key_udf(), T.marks, T.ratio_udf()
+    asked = names.select("scope", "name").distinct().withColumn("key", T.expand_tokens(key("name"), tokens or {}))
     known = pool.withColumn("key", key("canonical_name")).groupBy("scope", "key").agg(F.min("canonical_name").alias("canonical"))
     given = aliases.select(key("alias").alias("key"), F.col("target").alias("target")).withColumn("tkey", key("target"))
     target = F.col("k.canonical")
@@ -103,8 +107,8 @@ def normalize_names(names: DataFrame, pool: DataFrame, aliases: DataFrame, thres
             F.when(F.col("a.target").isNotNull(), "alias").when(target.isNotNull(), "exact").alias("method"),
         )
     )
-    left = step.filter("method is null").select("scope", "name", "key").withColumn("block", block("key"))
-    against = known.withColumn("block", block("key")).select(F.col("scope").alias("_s"), F.col("block").alias("_b"), F.col("key").alias("_key"), "canonical")
+    left = step.filter("method is null").select("scope", "name", "key").withColumn("block", block(F.col("key")))
+    against = known.withColumn("block", block(F.col("key"))).select(F.col("scope").alias("_s"), F.col("block").alias("_b"), F.col("key").alias("_key"), "canonical")
     scored = left.join(against, (F.col("scope") == F.col("_s")) & (F.col("block") == F.col("_b"))).withColumn("score", ratio("key", "_key"))
     w = Window.partitionBy("scope", "name").orderBy(F.desc("score"), "_key")
     best = scored.withColumn("rn", F.row_number().over(w)).filter("rn <= 2").groupBy("scope", "name").agg(
@@ -137,179 +141,334 @@ def context_score(home: Column, away: Column, home_trusted: Column, away_trusted
 
 # ------------------------------------------------------------- in order
 
+VERIFIED, UNVERIFIED, SUSPECT, REJECTED = "VERIFIED", "UNVERIFIED", "SUSPECT", "REJECTED"
+#: An entry of the catalogue. ``kind``: competition, team (once a competition it plays in), event, kickoff,
+#: reference, or what a mapping maps: <competition|team>-name, <competition|team>-id, event-id.
+ENTRY = "kind string, source string, name string, marks string, context string, target string, state string, method string, at double"
+_FIELDS = [x.split()[0] for x in ENTRY.split(", ")]
+
 
 def _new_id(kind: str, *parts: object) -> str:
     return f"{kind}-" + hashlib.sha256("|".join(str(p) for p in parts).encode()).hexdigest()[:10]
 
 
+@dataclass(frozen=True)
+class Name:
+    key: str
+    marks: str
+
+
 @dataclass
 class Resolver:
-    """One sport's identities while its records come in order.
-
-    Competitions and teams are found by verified source ids (if the name is still like
-    the one that was verified; else the mapping turns suspect), by verified names, by
-    exact or alias names that one entity owns, or by a clear fuzzy winner within their scope. What is
-    fuzzy, ambiguous or unknown makes a new identity; a fuzzy winner is reused unverified.
+    """One sport's identities (or one country's of it) as a fold over the catalogue's entries.
+
+    Competitions and teams are found by a verified source id, if the name is still like the
+    verified one (else the mapping turns suspect and is frozen); by a verified name of their
+    context, or of none; by the exact name, if one entity of the scope has it; for teams also by
+    an exact name that one team of the sport has, in a compatible country and without another
+    reference id. A name that is merely similar, or ambiguous, makes a new unverified identity; an
+    unknown one a new verified one.
     """
 
-    aliases: dict[str, str] = field(default_factory=dict)
+    sport: str = ""
     threshold: float = 85.0
     margin: float = 5.0
     tolerance: int = 1800
-    teams: dict[str, dict[str, str]] = field(default_factory=dict)  # competition -> key -> team id
-    competitions: dict[str, tuple[str, str]] = field(default_factory=dict)  # id -> (key, country)
-    ids: dict[tuple, list] = field(default_factory=dict)  # (kind, source, source id) -> [target, name key, state]
+    reference: str | None = None  # the provider whose ids and kickoffs have authority
+    competitions: dict[str, tuple[Name, str]] = field(default_factory=dict)  # id -> name, country
+    teams: dict[str, Name] = field(default_factory=dict)
+    plays: dict[str, set[str]] = field(default_factory=dict)  # competition -> teams
+    lands: dict[str, set[str]] = field(default_factory=dict)  # team -> known countries
+    by_key: dict[tuple[str, str], set[str]] = field(default_factory=dict)  # (kind, key) -> ids
     names: dict[tuple, list] = field(default_factory=dict)  # (kind, source, key, context) -> [target, state]
-    events: dict[tuple, list] = field(default_factory=dict)  # (competition, home, away) -> [(start, id)]
-    event_ids: dict[tuple, list] = field(default_factory=dict)  # (source, source event id) -> [event, home key, away key, state]
-    log: list[tuple] = field(default_factory=list)
-
-    def _key(self, name: str) -> str:
-        k = T.comparison_key(name)
-        return T.comparison_key(self.aliases.get(k, k))
-
-    def _alike(self, a: str, b: str) -> bool:
-        return a == b or (T.comparable(a, b) and T.token_sort_ratio(a, b) >= self.threshold)
-
-    def _pick(self, key: str, pool: dict[str, str]) -> tuple[str | None, float, str]:
-        if key in pool:
-            return pool[key], 100.0, "exact"
-        scored = sorted(((T.token_sort_ratio(key, k), k) for k in pool if T.comparable(key, k)), key=lambda x: (-x[0], x[1]))
-        if not scored or scored[0][0] < self.threshold:
-            return None, scored[0][0] if scored else 0.0, "unknown"
-        if len(scored) > 1 and scored[0][0] - scored[1][0] < self.margin:
-            return None, scored[0][0], "ambiguous"
-        return pool[scored[0][1]], scored[0][0], "fuzzy"
-
-    def _entity(self, kind: str, source: str, name: str, source_id, context: str, pool: dict[str, str], make) -> tuple[str, float, str]:
-        """(target, confidence, trust state)."""
-        key = self._key(name)
-        if source_id is not None and (m := self.ids.get((kind, source, source_id))) and m[2] == "VERIFIED":
-            if self._alike(key, m[1]):
-                return m[0], 100.0, "VERIFIED"
-            m[2] = "SUSPECT"  # the id was given to something else
-            self.log.append((kind, source, str(source_id), m[0], "SUSPECT", "id-drift"))
-        if (m := self.names.get((kind, source, key, context))) and m[1] == "VERIFIED":
-            target, score, method = m[0], 100.0, "mapping"
+    ids: dict[tuple, list] = field(default_factory=dict)  # (kind, source, id) -> [target, state, name]
+    events: dict[str, list] = field(default_factory=dict)  # id -> [competition, home, away, start, provider]
+    of_pair: dict[tuple, list[str]] = field(default_factory=dict)  # (competition, home, away) -> events
+    of_competition: dict[str, list[str]] = field(default_factory=dict)
+    references: dict[tuple, str] = field(default_factory=dict)  # (kind, id of the reference provider) -> target
+    referenced: dict[str, str] = field(default_factory=dict)  # target -> id of the reference provider
+    log: list[dict] = field(default_factory=list)
+
+    # -- the log
+
+    def apply(self, e: dict) -> None:
+        """One entry. Frozen mappings change by hand only."""
+        kind, target, state = e["kind"], e["target"], e["state"]
+        by_hand = e["method"] == "manual"
+        if kind == "competition":
+            self.competitions[target] = (Name(e["name"], e["marks"]), e["context"])
+            self.by_key.setdefault((kind, e["name"]), set()).add(target)
+        elif kind == "team":
+            self.teams.setdefault(target, Name(e["name"], e["marks"]))
+            self.by_key.setdefault((kind, self.teams[target].key), set()).add(target)
+            self.plays.setdefault(e["context"], set()).add(target)
+            land = self.competitions[e["context"]][1] if e["context"] in self.competitions else ""
+            if land:
+                self.lands.setdefault(target, set()).add(land)
+        elif kind == "event":
+            home, away = e["name"].split(" ", 1)
+            self.events[target] = [e["context"], home, away, e["at"], e["source"]]
+            self.of_pair.setdefault((e["context"], home, away), []).append(target)
+            self.of_competition.setdefault(e["context"], []).append(target)
+        elif kind == "kickoff":
+            self.events[target][3:] = [e["at"], e["source"]]
+        elif kind == "reference":
+            self.references[(e["context"], e["name"])], self.referenced[target] = target, e["name"]
+        elif kind.endswith("-name"):
+            known = self.names.get((kind, e["source"], e["name"], e["context"]))
+            if known is None or known[1] == UNVERIFIED or by_hand:
+                self.names[(kind, e["source"], e["name"], e["context"])] = [target, state]
+        else:
+            known = self.ids.get((kind, e["source"], e["name"]))
+            if known is None or known[1] not in (SUSPECT, REJECTED) or by_hand:
+                self.ids[(kind, e["source"], e["name"])] = [target, state, Name(e["context"], e["marks"])]
+
+    def write(self, kind: str, source: str, name: str, target: str, state: str, method: str, marks: str = "", context: str = "", at: float | None = None) -> None:
+        e = dict(zip(_FIELDS, (kind, source, name, marks, context, target, state, method, at), strict=True))
+        self.apply(e)
+        self.log.append(e)
+
+    # -- names
+
+    def alike(self, a: Name, b: Name) -> bool:
+        return a.key == b.key or (a.marks == b.marks and T.token_sort_ratio(a.key, b.key) >= self.threshold)
+
+    def similarity(self, a: Name, b: Name) -> float:
+        return 100.0 if a.key == b.key else T.token_sort_ratio(a.key, b.key) if a.marks == b.marks else 0.0
+
+    def mapped(self, kind: str, source: str, source_id, name: Name, context: str) -> str | None:
+        """The target of a verified mapping. An id that now has another name turns suspect."""
+        m = self.ids.get((f"{kind}-id", source, source_id)) if source_id is not None else None
+        if m and m[1] == VERIFIED:
+            if self.alike(name, m[2]):
+                return m[0]
+            self.write(f"{kind}-id", source, source_id, m[0], SUSPECT, "id-drift", m[2].marks, m[2].key)
+        for where in dict.fromkeys((context, "")):
+            m = self.names.get((f"{kind}-name", source, name.key, where))
+            if m and m[1] == VERIFIED:
+                return m[0]
+        return None
+
+    def settle(self, name: Name, pool: dict[str, Name]) -> tuple[str | None, float, str]:
+        """(target, confidence, method) of a name among a scope's entities."""
+        same = [i for i, n in pool.items() if n.key == name.key]
+        if len(same) == 1:
+            return same[0], 100.0, "exact"
+        if same:
+            return None, 100.0, "ambiguous"
+        scores = sorted((self.similarity(name, n) for n in pool.values()), reverse=True)
+        if not scores or scores[0] < self.threshold:
+            return None, scores[0] if scores else 0.0, "unknown"
+        return None, scores[0], "ambiguous" if len(scores) > 1 and scores[0] - scores[1] < self.margin else "fuzzy"
+
+    def learn(self, kind: str, source: str, source_id, name: Name, context: str, target: str, state: str, method: str) -> None:
+        self.write(f"{kind}-name", source, name.key, target, state, method, name.marks, context)
+        if source_id is not None:
+            self.write(f"{kind}-id", source, source_id, target, state, method, name.marks, name.key)
+            if source == self.reference and state == VERIFIED and (kind, source_id) not in self.references and target not in self.referenced:
+                self.write("reference", source, source_id, target, state, method, context=kind)
+
+    def contradicted(self, target: str, source: str, source_id) -> bool:
+        """Whether the reference provider knows the target by another id."""
+        return source == self.reference and source_id is not None and self.referenced.get(target, source_id) != source_id
+
+    def elsewhere(self, name: Name, source: str, source_id, country: str) -> str | None:
+        """The one team of the sport with this name, if its countries and reference id allow it."""
+        found = []
+        for t in self.by_key.get(("team", name.key), ()):
+            lands = self.lands.get(t, set())
+            other = source == self.reference and source_id is not None and self.referenced.get(t, source_id) != source_id
+            if (not country or not lands or country in lands) and not other:
+                found.append(t)
+        return found[0] if len(found) == 1 else None
+
+    # -- records
+
+    def competition(self, r: dict, country: str) -> tuple[str, float, str]:
+        name, source, source_id = Name(r["league_key"], r["league_marks"]), r["source"], r.get("competition_source_id")
+        target = self.mapped("competition", source, source_id, name, country)
+        if target is not None:
+            score, method = 100.0, "mapping"
         else:
-            target, score, method = self._pick(key, pool)
+            pool = {i: n for i, (n, land) in self.competitions.items() if not country or not land or country == land}
+            target, score, method = self.settle(name, pool)
         if target is None:
-            target = make(key, "" if method == "unknown" else source)
-            pool.setdefault(key, target)
-        state = "UNVERIFIED" if method in ("fuzzy", "ambiguous") else "VERIFIED"
-        known = self.names.get((kind, source, key, context))
-        if known is None or known[1] == "UNVERIFIED":  # verified, suspect and rejected names are frozen
-            self.names[(kind, source, key, context)] = [target, state]
-            self.log.append((kind, source, name, target, state, method))
-        if source_id is not None and self.ids.get((kind, source, source_id), ["", "", "NEW"])[2] not in ("SUSPECT", "REJECTED"):
-            self.ids[(kind, source, source_id)] = [target, key, state]
+            apart = () if method == "unknown" else (source, source_id, len(self.log))
+            target = _new_id("competition", self.sport, name.key, country, *apart)
+            self.write("competition", source, name.key, target, UNVERIFIED if apart else VERIFIED, method, name.marks, country)
+        state = UNVERIFIED if method in ("fuzzy", "ambiguous") else VERIFIED
+        self.learn("competition", source, source_id, name, country, target, state, method)
         return target, score if method != "unknown" else 100.0, state
 
+    def team(self, r: dict, side: str, comp: str, country: str) -> tuple[str, float, str]:
+        name, source, source_id = Name(r[f"{side}_key"], r[f"{side}_marks"]), r["source"], r.get(f"{side}_source_id")
+        target = self.mapped("team", source, source_id, name, comp)
+        scope = {t: self.teams[t] for t in self.plays.get(comp, ())}
+        if target is not None and not self.contradicted(target, source, source_id):
+            score, method = 100.0, "mapping"
+        else:
+            target, score, method = self.settle(name, {t: n for t, n in scope.items() if not self.contradicted(t, source, source_id)})
+            if target is None and method != "ambiguous" and (known := self.elsewhere(name, source, source_id, country)):
+                target, score, method = known, 100.0, "exact"
+        if target is None:
+            apart = () if method == "unknown" and name.key not in {n.key for n in scope.values()} else (source, source_id, len(self.log))
+            target = _new_id("team", self.sport, comp, name.key, *apart)
+        state = UNVERIFIED if method in ("fuzzy", "ambiguous") else VERIFIED
+        if target not in self.plays.get(comp, ()):
+            self.write("team", source, self.teams.get(target, name).key, target, state, method, self.teams.get(target, name).marks, comp)
+        self.learn("team", source, source_id, name, comp, target, state, method)
+        return target, score if method != "unknown" else 100.0, state
+
+    def sides(self, r: dict, event: str) -> list[float]:
+        """How well a record's teams fit those of an event: 100 by id, -1 if the id says otherwise."""
+        comp, *teams = self.events[event][:3]
+        out = []
+        for side, team in zip(("home", "away"), teams, strict=True):
+            source_id, name = r.get(f"{side}_source_id"), Name(r[f"{side}_key"], r[f"{side}_marks"])
+            m = self.ids.get(("team-id", r["source"], source_id)) if source_id is not None else None
+            n = self.names.get(("team-name", r["source"], name.key, comp))
+            if m and m[1] == VERIFIED and self.alike(name, m[2]):
+                out.append(100.0 if m[0] == team else -1.0)
+            elif n and n[1] == VERIFIED:
+                out.append(100.0 if n[0] == team else -1.0)
+            else:
+                out.append(self.similarity(name, self.teams[team]))
+        return out
+
+    def by_context(self, r: dict, comp: str, at: float) -> tuple[str, float] | None:
+        """The one event of a competition at this time whose teams both fit."""
+        found = []
+        for event in self.of_competition.get(comp, ()):
+            if abs(self.events[event][3] - at) > self.tolerance:
+                continue
+            low, high = sorted(self.sides(r, event))
+            if low == 100:
+                return None  # the plain way finds it
+            if low >= self.threshold and (high == 100 or (low + high) / 2 >= 90):
+                found.append(((low + high) / 2, event))
+            elif low >= 0 and high == 100:
+                found.append((90.0, event))
+        found.sort(key=lambda x: (-x[0], x[1]))
+        clear = found and (len(found) == 1 or found[0][0] - found[1][0] >= self.margin)
+        return (found[0][1], found[0][0]) if clear else None
+
+    def fits(self, r: dict, event: str, country: str) -> bool:
+        """Whether an event that an id names can still be the one of the record."""
+        land = self.competitions[self.events[event][0]][1] if self.events[event][0] in self.competitions else ""
+        return (not country or not land or country == land) and min(self.sides(r, event)) >= self.threshold
+
+    def sync(self, r: dict, event: str, at: float) -> None:
+        """The kickoff moves with the reference provider, or, without one, with who set it."""
+        start, provider = self.events[event][3:]
+        if at != start and (r["source"] == self.reference or (provider == r["source"] and provider != self.reference)):
+            self.write("kickoff", r["source"], "", event, VERIFIED, "kickoff", at=at)
+
     def resolve(self, r: dict) -> tuple[str | None, float, str]:
         """(event id, confidence, how) of one record."""
-        home, away = (r["home_team"] or "").strip(), (r["away_team"] or "").strip()
-        if not home or not away:
+        if not r["home_key"] or not r["away_key"]:
             return None, 0.0, "missing-team-name"
-        if home == away:
+        if r["same"]:
             return None, 0.0, "home-equals-away"
-        source, at, country = r["source"], float(r["start"]), T.country_key(r.get("country"))
-        hk, ak = self._key(home), self._key(away)
-        mapped = (source, r.get("source_event_id"))
-        if mapped[1] is not None and (m := self.event_ids.get(mapped)) and m[3] == "VERIFIED":
-            if self._alike(hk, m[1]) and self._alike(ak, m[2]):
+        source, at, country, event_id = r["source"], float(r["start"]), r["land"], r.get("source_event_id")
+        m = self.ids.get(("event-id", source, event_id)) if event_id is not None else None
+        if m and m[1] == VERIFIED and m[0] in self.events:
+            if self.fits(r, m[0], country):
+                self.sync(r, m[0], at)
                 return m[0], 100.0, "resolved"
-            m[3] = "SUSPECT"
-            self.log.append(("event", source, str(mapped[1]), m[0], "SUSPECT", "recycled-id"))
-        pool: dict[str, str] = {}
-        seen: dict[str, int] = {}
-        for cid, (key, land) in self.competitions.items():
-            if not country or not land or country == land:
-                seen[key] = seen.get(key, 0) + 1
-                pool[key] = cid
-        pool = {k: c for k, c in pool.items() if seen[k] == 1}  # a name of two competitions identifies neither
-
-        def new_competition(key: str, salt: str) -> str:
-            cid = _new_id("competition", r["sport"], key, country, salt)
-            self.competitions[cid] = (key, country)
-            return cid
-
-        comp, c_score, c_state = self._entity("competition", source, r["league"], r.get("competition_source_id"), country, pool, new_competition)
-        if c_state == "VERIFIED" and (hit := self._by_context(comp, hk, ak, at)):
-            event, score, home_id, away_id = hit
-            for kind_key, target in ((hk, home_id), (ak, away_id)):
-                self.names.setdefault(("team", source, kind_key, comp), [target, "VERIFIED"])
-            if mapped[1] is not None and mapped not in self.event_ids:
-                self.event_ids[mapped] = [event, hk, ak, "VERIFIED"]
+            self.write("event-id", source, event_id, m[0], SUSPECT, "recycled-id")
+        comp, c_score, c_state = self.competition(r, country)
+        if c_state == VERIFIED and (hit := self.by_context(r, comp, at)):
+            event, score = hit
+            for side, team in zip(("home", "away"), self.events[event][1:3], strict=True):
+                self.learn("team", source, r.get(f"{side}_source_id"), Name(r[f"{side}_key"], r[f"{side}_marks"]), comp, team, VERIFIED, "fixture-context")
+            if event_id is not None:
+                self.write("event-id", source, event_id, event, VERIFIED, "fixture-context")
+            self.sync(r, event, at)
             return event, score, "resolved-by-fixture-context"
-        own = self.teams.setdefault(comp, {})
-
-        def new_team(key: str, salt: str) -> str:
-            return _new_id("team", r["sport"], comp, key, salt)
-
-        h, h_score, h_state = self._entity("team", source, home, r.get("home_source_id"), comp, own, new_team)
-        a, a_score, a_state = self._entity("team", source, away, r.get("away_source_id"), comp, own, new_team)
-        starts = self.events.setdefault((comp, h, a), [])
-        near = sorted((abs(at - s), e) for s, e in starts if abs(at - s) <= self.tolerance)
+        home, h_score, h_state = self.team(r, "home", comp, country)
+        away, a_score, a_state = self.team(r, "away", comp, country)
+        near = [e for e in self.of_pair.get((comp, home, away), ()) if abs(self.events[e][3] - at) <= self.tolerance]
         if len(near) == 1:
-            event = near[0][1]
+            event = near[0]
+            self.sync(r, event, at)
         else:  # none, or two that can't be told apart
-            event = _new_id("event", comp, h, a, int(at), len(near))
-            starts.append((at, event))
-        if mapped[1] is not None and self.event_ids.get(mapped, ["", "", "", "NEW"])[3] not in ("SUSPECT", "REJECTED"):
-            trusted = h_state == a_state == c_state == "VERIFIED"
-            self.event_ids[mapped] = [event, hk, ak, "VERIFIED" if trusted else "UNVERIFIED"]
+            event = _new_id("event", comp, home, away, int(at), len(near))
+            if event not in self.events:
+                self.write("event", source, f"{home} {away}", event, VERIFIED, "new", context=comp, at=at)
+        trusted = h_state == a_state == c_state == VERIFIED
+        if event_id is not None:
+            self.write("event-id", source, event_id, event, VERIFIED if trusted else UNVERIFIED, "resolved")
         return event, min(h_score, a_score, c_score), "resolved"
 
-    def _by_context(self, comp: str, hk: str, ak: str, at: float):
-        """The one event of the competition at this time whose teams both fit well."""
-        by_id = {t: k for k, t in self.teams.get(comp, {}).items()}
-        found = []
-        for (c, h, a), starts in self.events.items():
-            if c != comp or h not in by_id or a not in by_id:
-                continue
-            near = [(abs(at - s), e) for s, e in starts if abs(at - s) <= self.tolerance]
-            if not near:
-                continue
-            scores = []
-            for want, have in ((hk, by_id[h]), (ak, by_id[a])):
-                scores.append(100.0 if want == have else T.token_sort_ratio(want, have) if T.comparable(want, have) else 0.0)
-            if scores == [100.0, 100.0]:
-                continue  # the plain way finds it
-            sure, mean = 100.0 in scores, sum(scores) / 2
-            if min(scores) >= 85 and (sure or mean >= 90):
-                found.append((mean, min(near)[1], h, a))
-            elif sure:
-                found.append((90.0, min(near)[1], h, a))
-        found.sort(key=lambda x: (-x[0], x[1]))
-        if not found or (len(found) > 1 and found[0][0] - found[1][0] < self.margin):
-            return None
-        return found[0][1], found[0][0], found[0][2], found[0][3]
-
 
-_RECORD = "id long, event_id string, confidence double, resolution string"
+KEY = ["sport", "source", "league", "country", "home_team", "away_team", "start_time", "source_event_id", "competition_source_id", "home_source_id", "away_source_id"]
+_OUT = f"_k string, sport string, lot string, no long, event_id string, confidence double, resolution string, {ENTRY}"
 
 
-def resolve_records(records: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """``records`` (id, seq, sport, source, league, country, home_team, away_team, start_time,
-    source_event_id) -> id, event_id, confidence, resolution.
+def resolve(
+    records: DataFrame, catalogue: DataFrame | None = None, aliases: dict[str, str] | None = None, tokens: dict[str, str] | None = None,
+    reference: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``records`` (id, seq and the columns of ``KEY``, of which ids may be missing) ->
+    (id, event_id, confidence, resolution) and the entries to append to the ``catalogue`` (sport, lot, no, ``ENTRY``).
 
-    Distinct keys of a sport run in the order of ``seq`` through one resolver: what a
-    record finds depends on those before it. A sport's distinct fixtures, not its quotes, are what one task holds.
+    Distinct keys run in the order of ``seq``: what a record finds depends on those before it.
+    A lot is a sport, or a country of a sport all of whose competitions, old and new, name their
+    country and none of whose source ids occurs in two; so one task holds the distinct fixtures and
+    the catalogue of a lot, not its quotes. Both results come from one run: persist or write the first use.
     """
     importable()
-    key = ["sport", "source", "league", "country", "home_team", "away_team", "start_time", "source_event_id"]
-    given = {T.comparison_key(k): v for k, v in (aliases or {}).items()}
-    hashed = records.withColumn("_k", F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256))
-    firsts = hashed.groupBy("_k", *key).agg(F.min("seq").alias("seq"))
-    firsts = firsts.withColumn("start", F.unix_micros(F.col("start_time").cast("timestamp")) / 1e6)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        resolver, out = Resolver(given), []
-        rows = pdf.sort_values(["seq", "_k"]).astype(object)
-        for r in rows.where(rows.notna(), None).to_dict("records"):
-            event, score, how = resolver.resolve(r)
-            out.append((r["_k"], event, score, how))
-        return pd.DataFrame(out, columns=["_k", "event_id", "confidence", "resolution"])
-
-    done = firsts.groupBy("sport").applyInPandas(run, "_k string, event_id string, confidence double, resolution string")
-    return hashed.select("id", "_k").join(done, "_k", "left").select("id", "event_id", "confidence", "resolution")
+    spark = records.sparkSession
+    for c in KEY:
+        if c not in records.columns:
+            records = records.withColumn(c, F.lit(None).cast("string"))
+    key = T.comparison_key_udf()
+    whole = {key_text: target for key_text, target in (aliases or {}).items()}
+    folded = {T.comparison_key(k): T.comparison_key(v) for k, v in whole.items()}
+    hashed = records.withColumn("_k", F.sha2(F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"}), 256))
+    firsts = hashed.groupBy("_k", *KEY).agg(F.min("seq").alias("seq"))
+    firsts = firsts.withColumns(
+        {
+            "start": F.unix_micros(F.col("start_time").cast("timestamp")) / 1e6, "land": T.country_key(F.col("country")),
+            "same": F.coalesce(F.trim("home_team") == F.trim("away_team"), F.lit(False)),
+        }
+    )
+    for c in ("league", "home", "away"):
+        plain = T.expand_tokens(key(c if c == "league" else f"{c}_team"), {T.comparison_key(k): T.comparison_key(v) for k, v in (tokens or {}).items()})
+        firsts = firsts.withColumn(f"{c}_key", plain).withColumn(f"{c}_key", F.coalesce(T.lookup(folded, F.col(f"{c}_key")), F.col(f"{c}_key")))
+        firsts = firsts.withColumn(f"{c}_marks", T.marks(F.col(f"{c}_key")))
+    if catalogue is None:
+        catalogue = spark.createDataFrame([], f"sport string, lot string, no long, {ENTRY}")
+    ids = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), "source", F.col(c).alias("name")) for c in KEY[-4:]]))
+    crossing = firsts.select("sport", "land", ids.alias("i")).filter("i.name is not null").groupBy("sport", "i").agg(F.count_distinct("land").alias("n"))
+    mixed = (
+        firsts.groupBy("sport").agg(F.max(F.col("land") == "").alias("m"))
+        .union(catalogue.groupBy("sport").agg(F.max((F.col("lot") == "") | ((F.col("kind") == "competition") & (F.col("context") == "")))))
+        .union(crossing.groupBy("sport").agg(F.max(F.col("n") > 1))).groupBy("sport").agg(F.max("m").alias("mixed"))
+    )
+    lot = F.when(F.col("mixed"), "").otherwise(F.col("land"))
+    dealt = firsts.join(mixed, "sport").withColumn("lot", lot)
+    known = catalogue.withColumnRenamed("lot", "land").join(mixed, "sport").withColumn("lot", lot).drop("mixed")
+    dealt, known = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (dealt.drop("mixed"), known))  # attributes of their own
+
+    def run(pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        sport, place = (pdf if len(pdf) else old).iloc[0][["sport", "lot"]]
+        resolver, out = Resolver(sport or "", reference=reference), []
+        plain = lambda x: x.astype(object).where(x.notna(), None).to_dict("records")
+        for e in plain(old.sort_values(["no", "land"])):
+            resolver.apply(e)
+        for r in plain(pdf.sort_values(["seq", "_k"])):
+            out.append({"_k": r["_k"], **dict(zip(("event_id", "confidence", "resolution"), resolver.resolve(r), strict=True))})
+        last = int(old["no"].max()) + 1 if len(old) else 0
+        entries = [{"sport": sport, "lot": place, "no": last + i, **e} for i, e in enumerate(resolver.log)]
+        return pd.DataFrame(out + entries, columns=[x.split()[0] for x in _OUT.split(", ")])
+
+    done = dealt.groupBy("sport", "lot").cogroup(known.groupBy("sport", "lot")).applyInPandas(run, _OUT)
+    found = done.filter("_k is not null").select("_k", "event_id", "confidence", "resolution")
+    entries = done.filter("_k is null").select("sport", "lot", "no", *_FIELDS)
+    return hashed.select("id", "_k").join(found, "_k", "left").select("id", "event_id", "confidence", "resolution"), entries
+
+
+def resolve_records(records: DataFrame, aliases: dict[str, str] | None = None, **options) -> DataFrame:
+    """The first result of ``resolve``: id, event_id, confidence, resolution."""
+    return resolve(records, aliases=aliases, **options)[0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import country_key_column
+from ..functions.text import country_key
 
 VERIFIED, UNVERIFIED, SUSPECT, REJECTED = "VERIFIED", "UNVERIFIED", "SUSPECT", "REJECTED"
 
@@ -52,7 +52,7 @@ def drifted(id_mappings: DataFrame, seen: DataFrame, key: list[str], similar: Co
 def country_compatible(candidates: DataFrame, team_competitions: DataFrame, competitions: DataFrame) -> DataFrame:
     """(team_id, competition_id) pairs whose country fits: it is unknown on either side, or
     the team is known in a competition of the same country."""
-    land = competitions.select(F.col("id").alias("competition_id"), country_key_column(F.col("country")).alias("land"))
+    land = competitions.select(F.col("id").alias("competition_id"), country_key(F.col("country")).alias("land"))
     known = team_competitions.join(land, "competition_id").filter("land <> ''").select("team_id", F.col("land").alias("_land")).distinct()
     placed = candidates.join(land, "competition_id", "left").withColumn("land", F.coalesce("land", F.lit("")))
     any_known = known.select("team_id").distinct().withColumn("_any", F.lit(True))

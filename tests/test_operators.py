@@ -1,7 +1,7 @@
 """Golden values and small cases of the quote operators."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -287,17 +287,32 @@ def test_name_functions():
     assert T.common_subsequence("manchester united", "man united") == 10
     assert T.token_sort_ratio("manchester united", "man united") == pytest.approx(74.07, abs=0.01)
     assert T.token_sort_ratio("Barcelona FC", "FC Barcelona") == 100
-    assert T.qualifiers("arsenal u21") == T.qualifiers("arsenal m21") != T.qualifiers("arsenal")
-    assert T.qualifiers("barcelona b") == {"reserve", "group:b"}
-    assert not T.similar_names("Engleska 1", "Engleska 3")
-    assert T.similar_names("Real Madrid", "real  madrid")
-    assert T.country_key(" Engleska ") == "england"
 
 
-def test_country_key_column_equals_function(spark):
-    names = ["Engleska", "Juzna  Koreja", "Narnia", "", None]
-    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.country_key_column(F.col("n")).alias("k")).collect()
-    assert [r.k for r in rows] == [T.country_key(n) for n in names]
+def test_marks_keep_names_apart(spark):
+    want = {
+        "arsenal": "|", "arsenal u21": "21|age:21", "arsenal m21": "21|age:21", "barcelona b": "|group:b,reserve", "real 2 ii 10": "2/10|reserve",
+        "lyon zene": "|women", "lyon žene w": "|women", "group a": "|group:a", "a group": "|", "": "|", "u u1x 3": "1/3|",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "k string").select("k", T.marks(F.col("k")).alias("m")).collect()
+    assert {r.k: r.m for r in rows} == want
+    ratio = T.ratio_udf()
+    pairs = [("engleska 1", "engleska 3", False), ("real madrid", "real madrid", True), ("manchester unitd", "manchester united", True), ("arsenal", "arsenal u21", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", T.alike(F.col("a"), F.col("b"), ratio("a", "b")).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
+
+
+def test_country_key(spark):
+    want = {" Engleska ": "england", "Juzna  Koreja": "south korea", "Narnia": "narnia", "": "", None: ""}
+    rows = spark.createDataFrame([(n,) for n in want], "n string").select("n", T.country_key(F.col("n")).alias("k")).collect()
+    assert {r.n: r.k for r in rows} == want
+
+
+def test_token_expansion(spark):
+    df = spark.createDataFrame([("man utd",), ("utd",), ("",)], "k string")
+    got = [r[0] for r in df.select(T.expand_tokens(F.col("k"), {"utd": "united"})).collect()]
+    assert got == ["man united", "united", ""]
+    assert [r[0] for r in df.select(T.expand_tokens(F.col("k"), {})).collect()] == ["man utd", "utd", ""]
 
 
 def test_canonical_line(spark):
@@ -355,9 +370,106 @@ def test_resolver_uses_the_fixture_as_context(spark):
     assert r[2].event_id == r[1].event_id
 
 
+WIDE = FIXTURE + ", competition_source_id string, home_source_id string, away_source_id string"
+
+
+def wide(seq, source, home, away, minutes=0, league="Premier", country="England", event=None, ids=(None, None, None)):
+    return (*fixture(seq, source, home, away, minutes, league, country, event), *ids)
+
+
+def with_entries(spark, *rows, **options):
+    out, entries = I.resolve(spark.createDataFrame(list(rows), WIDE), **options)
+    return {r.id: r for r in out.collect()}, entries.collect()
+
+
+def targets(entries, kind, **match):
+    return [e.target for e in entries if e.kind == kind and all(e[k] == v for k, v in match.items())]
+
+
 def test_recycled_event_id_turns_suspect(spark):
-    r = resolved(spark, fixture(1, "a", "Arsenal", "Chelsea", event="7"), fixture(2, "a", "Leeds", "Fulham", 600, event="7"))
-    assert r[1].event_id != r[2].event_id
+    r, log = with_entries(spark, wide(1, "a", "Arsenal", "Chelsea", event="7"), wide(2, "a", "Leeds", "Fulham", 600, event="7"), wide(3, "a", "Leeds", "Fulham", 600, event="7"))
+    assert r[1].event_id != r[2].event_id == r[3].event_id
+    assert [e.state for e in log if e.kind == "event-id"] == ["VERIFIED", "SUSPECT", "VERIFIED"]  # the last doesn't count any more
+
+
+def test_similar_names_make_new_identities(spark):
+    r, log = with_entries(
+        spark, wide(1, "a", "Crvena Zvezda Beograd", "Partizan"), wide(2, "b", "Crvena Zvezda Belgrade", "Vojvodina", 900),
+        wide(3, "b", "Crvena Zvezda Belgrade", "Vojvodina", 900),
+    )
+    teams = {e.name: e.target for e in log if e.kind == "team"}
+    assert teams["crvena zvezda beograd"] != teams["crvena zvezda belgrade"]
+    assert [e.state for e in log if e.kind == "team-name" and e.name == "crvena zvezda belgrade"][0] == "UNVERIFIED"
+    assert 85 <= r[2].confidence < 100
+
+
+def test_source_ids_are_reused_and_drift_turns_suspect(spark):
+    ids = ("L", "H", "A")
+    r, log = with_entries(
+        spark, wide(1, "a", "Manchester United", "Chelsea", ids=ids), wide(2, "a", "Manchester Utd", "Chelsea", 2000, ids=ids),
+        wide(3, "a", "Leeds", "Chelsea", 4000, ids=ids),
+    )
+    home = targets(log, "team-id", name="H")
+    assert home[0] == home[1]  # the name has changed a little: by id it is the same
+    assert [e.method for e in log if e.kind == "team-id" and e.name == "H" and e.state == "SUSPECT"] == ["id-drift"]
+    assert len({r[i].event_id for i in (1, 2, 3)}) == 3
+
+
+def test_a_club_in_two_competitions_is_one_team(spark):
+    _, log = with_entries(
+        spark, wide(1, "a", "Arsenal", "Chelsea"), wide(2, "a", "Arsenal", "Leeds", 3000, league="Cup"), wide(3, "a", "Arsenal", "Penarth", 3000, country="Wales"),
+    )
+    teams = [(e.context, e.target) for e in log if e.kind == "team" and e.name == "arsenal"]
+    assert len(teams) == 3 and len({t for _, t in teams}) == 2  # another country's is another club
+
+
+def test_the_catalogue_goes_on_where_it_ended(spark):
+    rows = [wide(1, "a", "Arsenal", "Chelsea", event="7"), wide(2, "b", "Leeds", "Fulham", 5), wide(3, "a", "Sabah Masazir", "Neftchi", 900), wide(4, "c", "Sabah", "Neftchi", 905)]
+    rows += [wide(5, "b", "Arsenal", "Chelsea", 10), wide(6, "a", "Arsenal", "Chelsea", 3, event="7"), wide(7, "c", "Sabah", "Neftchi", 5000)]
+    whole, log = with_entries(spark, *rows)
+    first, entries = with_entries(spark, *rows[:4])
+    kinds = f"sport string, lot string, no long, {I.ENTRY}"
+    second, more = with_entries(spark, *rows[4:], catalogue=spark.createDataFrame(entries, kinds))
+    assert {i: r.event_id for i, r in whole.items()} == {i: r.event_id for i, r in [*first.items(), *second.items()]}
+    assert sorted(map(str, log)) == sorted(map(str, [*entries, *more]))
+    assert {e.lot for e in log} == {"england"} and whole[4].resolution == "resolved-by-fixture-context"
+    mapped = {(e.name, e.target) for e in log if e.kind == "team-name" and e.source == "c"}
+    assert len({t for n, t in mapped if n == "sabah"}) == 1  # what the fixture taught holds later
+
+
+def test_decisions_by_hand_count(spark):
+    rows = [wide(1, "a", "Arsenal", "Chelsea"), wide(2, "b", "Gunners", "Leeds", 3000)]
+    _, entries = with_entries(spark, *rows)
+    arsenal = targets(entries, "team", name="arsenal")[0]
+    comp = targets(entries, "competition")[0]
+    by_hand = [*map(tuple, entries), ("football", "england", 999, "team-name", "b", "gunners", "|", comp, arsenal, "VERIFIED", "manual", None)]
+    kinds = f"sport string, lot string, no long, {I.ENTRY}"
+    r, more = with_entries(spark, wide(3, "b", "Gunners", "Chelsea", 5), catalogue=spark.createDataFrame(by_hand, kinds))
+    first, _ = with_entries(spark, *rows)
+    assert r[3].event_id == first[1].event_id
+
+
+def test_reference_ids_and_kickoffs(spark):
+    rows = [wide(1, "a", "Arsenal", "Chelsea"), wide(2, "ref", "Arsenal", "Chelsea", 10, ids=("L", "1", "2")), wide(3, "b", "Arsenal", "Chelsea", 20), wide(4, "ref", "Arsenal", "Spurs", 4000, ids=("L", "9", "3"))]
+    r, log = with_entries(spark, *rows, reference="ref")
+    assert r[1].event_id == r[2].event_id == r[3].event_id
+    assert [(e.source, e.at - T0.replace(tzinfo=UTC).timestamp()) for e in log if e.kind == "kickoff"] == [("ref", 600.0)]
+    same_name = {e.target for e in log if e.kind == "team" and e.name == "arsenal"}
+    assert len(same_name) == 2  # the reference provider says that these are two
+    assert {(e.context, e.name) for e in log if e.kind == "reference"} >= {("team", "1"), ("team", "9"), ("competition", "L")}
+
+
+def test_token_aliases(spark):
+    r, _ = with_entries(spark, wide(1, "a", "Manchester United", "Leeds"), wide(2, "b", "Manchester Utd", "LEEDS FC"), tokens={"utd": "united"}, aliases={"Leeds FC": "Leeds"})
+    assert r[1].event_id == r[2].event_id and r[2].confidence == 100
+
+
+def test_countries_run_apart_only_if_nothing_crosses(spark):
+    rows = [wide(1, "a", "Arsenal", "Chelsea"), wide(2, "a", "Real", "Betis", country="Spain")]
+    assert {e.lot for e in with_entries(spark, *rows)[1]} == {"england", "spain"}
+    assert {e.lot for e in with_entries(spark, *rows, wide(3, "b", "Real", "Betis", country=None))[1]} == {""}
+    crossing = [wide(1, "a", "Arsenal", "Chelsea", ids=(None, "7", None)), wide(2, "a", "Arsenal", "Betis", country="Spain", ids=(None, "7", None))]
+    assert {e.lot for e in with_entries(spark, *crossing)[1]} == {""}
 
 
 def test_guarded_mapping_log(spark):
