@@ -79,8 +79,8 @@ def freshness_summary(quotes: DataFrame, policy: Freshness, now: Column, group:
         F.count("*").alias("snapshots"),
         F.count_if(fresh).alias("fresh"),
         ((F.max(at) - F.min(at)) / 1e6).alias("spread_seconds"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~fresh, F.col("bookmaker_id")).cast("string"))), ",").alias("stale_sources"),
-    )
+        F.collect_set(F.when(~fresh, F.col("bookmaker_id")).cast("string")).alias("stale_sources"),
+    ).withColumn("stale_sources", F.array_join(F.sort_array("stale_sources"), ","))
     reason = (
         F.when(F.col("snapshots") == 0, "no-snapshots")
         .when(F.col("fresh") == 0, "no-fresh-snapshots")
@@ -106,22 +106,25 @@ def arbitrage(best: DataFrame, group: list[str] | None = None) -> DataFrame:
     """
     group = group or GROUP
     need = required(F.col("market_type"))
-    priced = F.array_contains(need, F.col("outcome"))
-    inverse = F.when(priced, F.lit(1.0) / F.col("odds").cast("double"))
-    # a fixed order of summation makes the margin the same on every run
+    # one value an outcome, so the aggregate is partial before the shuffle and the sum has a fixed order
+    codes = sorted({o for kind in REQUIRED_OUTCOMES.values() for o in kind})
     out = supported(best).groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("outcome", inverse.alias("inv")))).alias("_all"),
-    )
-    names = F.transform("_all", lambda x: x["outcome"])
-    margin = F.aggregate(F.filter("_all", lambda x: x["inv"].isNotNull()), F.lit(0.0), lambda a, x: a + x["inv"])
+        *[F.max(F.when(F.col("outcome") == c, F.lit(1.0) / F.col("odds").cast("double"))).alias(f"_{c}") for c in codes],
+        *[F.max(F.col("outcome") == c).alias(f"_has_{c}") for c in codes],
+        F.count_if(~F.col("outcome").isin(*codes) | F.col("outcome").isNull()).alias("_strange"),
+    )
+    if "market_type" not in group:
+        raise ValueError("a market's type is part of its identity")
+    names = F.array_compact(F.array(*[F.when(F.col(f"_has_{c}"), F.lit(c)) for c in codes]))
+    margin = sum((F.when(F.array_contains(need, F.lit(c)), F.coalesce(f"_{c}", F.lit(0.0))).otherwise(F.lit(0.0)) for c in codes), F.lit(0.0))
     missing = F.array_except(need, names)
     return (
         out.withColumn("missing_outcomes", F.array_join(missing, ","))
-        .withColumn("evaluated", (F.size(missing) == 0) & (F.size(F.array_except(names, need)) == 0))
+        .withColumn("evaluated", (F.size(missing) == 0) & (F.size(F.array_except(names, need)) == 0) & (F.col("_strange") == 0))
         .withColumn("margin", F.when(F.size(missing) == 0, margin))
         .withColumn("is_surebet", F.col("margin") < 1)
         .withColumn("profit_percent", F.when(F.col("is_surebet"), (1 / F.col("margin") - 1) * 100).when(F.col("margin").isNotNull(), F.lit(0.0)))
-        .drop("_all")
+        .drop("_strange", *[f"_{c}" for c in codes], *[f"_has_{c}" for c in codes])
     )
 
 

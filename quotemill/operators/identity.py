@@ -277,8 +277,7 @@ class Resolver:
         found = []
         for t in self.by_key.get(("team", name.key), ()):
             lands = self.lands.get(t, set())
-            other = source == self.reference and source_id is not None and self.referenced.get(t, source_id) != source_id
-            if (not country or not lands or country in lands) and not other:
+            if (not country or not lands or country in lands) and not self.contradicted(t, source, source_id):
                 found.append(t)
         return found[0] if len(found) == 1 else None
 

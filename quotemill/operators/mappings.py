@@ -124,6 +124,8 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
         found.append(("INFO", f"gc-safe-provisional-{what}", sorted_out.filter("safe_to_delete")))
         found.append(("WARNING", f"protected-orphan-{what}", sorted_out.filter("not safe_to_delete")))
         found.append(("ERROR", f"conflicting-{what}", (teams if what == "teams" else comps).filter("identity_status = 'CONFLICT'")))
+    if "identity_status" in events.columns:
+        found.append(("ERROR", "conflicting-events", events.filter("identity_status = 'CONFLICT'")))
     out = O.identity_audit({code: (severity, rows) for severity, code, rows in found})
     for name, view in tables.items():
         if not name.endswith("_mappings"):
@@ -132,7 +134,10 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
         out = out.unionByName(
             waiting.filter("n > 0").select(F.lit(f"unresolved-{name}").alias("code"), F.when(F.col("s"), "ERROR").otherwise("WARNING").alias("severity"), "n")
         )
-        out = out.unionByName(O.identity_audit({f"rejected-{name}": ("WARNING", view.filter(F.col("trust_state") == REJECTED))}))
+        # one finding a decision: of a source and sport, for one reason, at one time
+        decision = [c for c in ("source", "sport", "rejection_reason", "rejected_at") if c in view.columns]
+        rejected = view.filter(F.col("trust_state") == REJECTED).groupBy(*decision).agg(F.count("*").alias("n"))
+        out = out.unionByName(O.identity_audit({f"rejected-{name}": ("WARNING", rejected)}))
         if {"source_id", "target_id"} <= set(view.columns):
             clash = O.reference_id_conflicts(view, ["source", "source_id"], "target_id")
             out = out.unionByName(O.identity_audit({f"multiple-reference-ids-{name}": ("ERROR", clash)}))

@@ -236,6 +236,12 @@ def event_listing(events: DataFrame, teams: DataFrame) -> DataFrame:
     return events.join(home, "home_team_id").join(away, "away_team_id").withColumn("display_name", F.concat_ws(" vs ", "home_name", "away_name"))
 
 
+def team_scope(events: DataFrame, teams: DataFrame) -> DataFrame:
+    """Teams with each competition that they play in."""
+    plays = events.select("competition_id", F.explode(F.array("home_team_id", "away_team_id")).alias("id")).distinct()
+    return teams.join(plays, "id")
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():

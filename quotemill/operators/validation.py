@@ -15,7 +15,7 @@ HIGH_ODDS = 1000
 
 
 def _blank(c: str) -> Column:
-    return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    return F.coalesce(F.col(c), F.lit("")).rlike(r"^\s*$")
 
 
 def _codes(*pairs: tuple[str, Column]) -> Column:
@@ -44,13 +44,17 @@ def validate(raw: DataFrame) -> DataFrame:
     def price(v: Column) -> Column:
         return v.try_cast("double")
 
+    def exact(v: Column) -> Column:  # 1.00000000000000001 is more than 1
+        return v.try_cast("decimal(38,28)")
+
     def per_entry(e: Column) -> Column:
         number = price(e["value"])
         finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+        low = F.coalesce(exact(e["value"]) <= F.lit(1).cast("decimal(38,28)"), number <= 1.0)
         return _codes(
             ("missing-outcome", F.trim(e["key"]) == ""),
             ("invalid-odds-type", number.isNull()),
-            ("invalid-odds-value", number.isNotNull() & (~finite | (number <= 1.0))),
+            ("invalid-odds-value", number.isNotNull() & (~finite | low)),
         )
 
     keys = F.array_sort(F.map_keys("odds"))

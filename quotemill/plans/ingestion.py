@@ -22,17 +22,17 @@ class Ingested:
 
 
 def known_events(records: DataFrame, events: DataFrame) -> DataFrame:
-    """Resolution against a fixed list of events (id, sport, home_team, away_team, start_time):
-    event_id and resolution for each record id; nothing is created."""
+    """Resolution against a fixed list of events (id, sport, league, home_team, away_team,
+    start_time): event_id and resolution for each record id; nothing is created."""
     key = T.ascii_comparison_key
     named = records.select(
-        "id", key(F.col("sport")).alias("s"), key(F.col("home_team")).alias("h"), key(F.col("away_team")).alias("a"),
+        "id", key(F.col("sport")).alias("s"), key(F.col("league")).alias("l"), key(F.col("home_team")).alias("h"), key(F.col("away_team")).alias("a"),
         F.try_to_timestamp("start_time").alias("start_time"),
     )
     pool = events.select(
-        F.col("id").alias("event_id"), key(F.col("sport")).alias("s"), key(F.col("home_team")).alias("h"), key(F.col("away_team")).alias("a"), "start_time"
+        F.col("id").alias("event_id"), key(F.col("sport")).alias("s"), key(F.col("league")).alias("l"), key(F.col("home_team")).alias("h"), key(F.col("away_team")).alias("a"), "start_time"
     )
-    return I.match_by_time(named, pool, ["s", "h", "a"], 1800).select("id", "event_id", F.col("result").alias("resolution"))
+    return I.match_by_time(named, pool, ["s", "l", "h", "a"], 1800).select("id", "event_id", F.col("result").alias("resolution"))
 
 
 def ingest(records: DataFrame, resolve, run_id: str, now, complete: bool = True) -> Ingested:

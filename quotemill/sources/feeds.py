@@ -297,6 +297,17 @@ def wildcard(pattern: str) -> str:
     return "^" + ".*".join("".join("\\" + c if not c.isalnum() else c for c in part) for part in pattern.split("*")) + "$"
 
 
+def checked_items(items: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """``har_items`` that all have the ``required`` fields; archives without any item, or with
+    items of another shape among them, raise: half a capture would look like a whole one."""
+    missing = F.lit(False)
+    for field in required:
+        missing = missing | F.get_json_object("item", f"$.{field}").isNull()
+    found = items.agg(F.count("*").alias("n"), F.count_if(missing).alias("odd"))
+    fault = F.when(F.col("n") == 0, F.raise_error(F.lit("the archive holds no item"))).when(F.col("odd") > 0, F.raise_error(F.lit("the archive holds items of another shape")))
+    return items.crossJoin(F.broadcast(found.select(F.coalesce(fault.cast("int"), F.lit(0)).alias("_f")))).filter("_f = 0").drop("_f")  # one row
+
+
 def har_items(df: DataFrame, url: str, array: str = "$.items", key: str = "$.id") -> DataFrame:
     """(position, item): the items of all JSON responses to ``url`` in browser archives
     (payload rows), one an id: the last body wins, at the place of the first."""

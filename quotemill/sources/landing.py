@@ -7,55 +7,70 @@ that is a plan over files.
 
 from __future__ import annotations
 
+import json
+import re
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+from datetime import UTC, datetime
+from email.utils import parsedate_to_datetime
+from html import unescape
+from urllib.parse import urlencode, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Statuses worth another try, and query fields that must not be logged.
+#: Statuses worth another try.
 RETRY_STATUSES = frozenset({429, 500, 502, 503, 504})
-SECRET_FIELDS = frozenset({"apikey", "api_key", "key", "token", "access_token"})
 
 
 def redact(url: str) -> str:
-    """``url`` with the values of secret fields hidden."""
-    parts = urlsplit(url)
-    query = [(k, "***" if k.lower() in SECRET_FIELDS else v) for k, v in parse_qsl(parts.query, keep_blank_values=True)]
-    return urlunsplit(parts._replace(query=urlencode(query, safe="*")))
+    """What of ``url`` may be logged: scheme, host, port and path. Credentials travel in the
+    rest, under any name."""
+    try:
+        parts = urlsplit(url)
+        host = parts.hostname or ""
+        return f"{parts.scheme}://{host}{f':{parts.port}' if parts.port else ''}{parts.path}" if parts.scheme else parts.path
+    except ValueError:
+        return "(an address that can't be read)"
 
 
-def retry_after(value: str | None) -> float | None:
-    """Seconds of a Retry-After header, if it names seconds."""
+def retry_after(value: str | None, now: datetime | None = None) -> float | None:
+    """Seconds that a Retry-After header asks for, given in seconds or as a date."""
+    text = (value or "").strip()
+    if re.fullmatch(r"\d+(\.\d+)?", text):
+        return float(text)
     try:
-        return max(0.0, float(value)) if value is not None else None
-    except ValueError:
+        then = parsedate_to_datetime(text)
+    except (TypeError, ValueError):
         return None
+    then = then if then.tzinfo else then.replace(tzinfo=UTC)
+    return max(0.0, (then - (now or datetime.now(UTC))).total_seconds())
 
 
 def fetch(
-    url: str, open_url: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep,
-    attempts: int = 3, base: float = 1.0, most: float = 60.0,
+    url: str, headers: dict[str, str] | None = None, sleep: Callable[[float], None] = time.sleep, attempts: int = 3, base: float = 1.0,
+    most: float = 60.0, timeout: float = 30.0,
 ) -> bytes:
     """The body of ``url``; retryable statuses and connection errors are tried again, with
-    growing pauses or as long as the server asks for, up to a bound."""
-    for n in range(attempts):
+    growing pauses or as long as the server asks for, up to a bound. Messages name no secret."""
+    if attempts < 1:
+        raise ValueError("attempts must be positive")
+    for left in reversed(range(attempts)):
+        wanted = None
         try:
-            with open_url(url) as response:
-                return response.read()
+            with urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}), timeout=timeout) as answer:
+                return answer.read()
         except urllib.error.HTTPError as e:
-            if e.code not in RETRY_STATUSES or n == attempts - 1:
-                raise RuntimeError(f"{redact(url)}: HTTP {e.code}") from None
-            pause = retry_after(e.headers.get("Retry-After") if e.headers else None)
+            why, final = f"HTTP {e.code}", e.code not in RETRY_STATUSES
+            wanted = retry_after((e.headers or {}).get("Retry-After"))
         except urllib.error.URLError as e:
-            if n == attempts - 1:
-                raise RuntimeError(f"{redact(url)}: {e.reason}") from None
-            pause = None
-        sleep(min(most, pause if pause is not None else base * 2**n))
-    raise ValueError("attempts must be positive")
+            why, final = type(e.reason).__name__ if isinstance(e.reason, Exception) else "no connection", False
+        if final or not left:
+            raise RuntimeError(f"{redact(url)}: {why}") from None
+        sleep(min(most, base * 2 ** (attempts - 1 - left) if wanted is None else wanted))
+    raise AssertionError
 
 
 def fetch_pages(page: Callable[[int], dict], most: int = 50) -> tuple[list[dict], bool]:
@@ -66,6 +81,72 @@ def fetch_pages(page: Callable[[int], dict], most: int = 50) -> tuple[list[dict]
     return pages, total <= most
 
 
+def pages_until_empty(page: Callable[[int], list], most: int = 200) -> tuple[list[list], bool]:
+    """Pages from 0 on up to the first empty one: (pages, whether the end was reached). No
+    page at all is an error: an answer without anything is no listing."""
+    pages = []
+    for n in range(most):
+        rows = page(n)
+        if not rows:
+            if not pages:
+                raise ValueError("the listing has no page")
+            return pages, True
+        pages.append(rows)
+    return pages, False
+
+
+def address(base: str, path: str, **query: object) -> str:
+    """``base`` and ``path`` with the query's fields that have a value."""
+    given = {k: v for k, v in query.items() if v is not None}
+    return f"{base.rstrip('/')}/{path.strip('/')}" + (f"?{urlencode(given)}" if given else "")
+
+
+def land(spark: SparkSession, folder: str, name: str, payloads: list[str], observed_at: datetime) -> DataFrame:
+    """Captures (payload, observed_at) written as one drop, a row a page, and read back: what
+    is parsed is what is kept. A drop has its name once: the same one again replaces it."""
+    rows = spark.createDataFrame([(p, observed_at) for p in payloads], "payload string, observed_at timestamp")
+    rows.coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+    return spark.read.schema(rows.schema).json(f"{folder.rstrip('/')}/{name}")
+
+
+def token_of(html: str, script_id: str, field: str) -> str:
+    """``state_token`` of one page, on the driver; no token is an error."""
+    tag = re.search(rf"""<script[^>]*\bid=["']{re.escape(script_id)}["'][^>]*>(.*?)</script>""", html, re.S)
+    body = unescape(tag[1]).replace("&q;", '"').replace("&a;", "&") if tag else ""
+    found = re.search(rf'"{re.escape(field)}"\s*:\s*"([^"]+)"', body)
+    if not found:
+        raise ValueError(f"no {field} in the page's state")
+    return found[1]
+
+
+def collect_single(get: Callable[[str], bytes], url: str) -> list[str]:
+    """One response as one payload."""
+    return [get(url).decode("utf-8")]
+
+
+def collect_paged(get: Callable[[str], bytes], url_of: Callable[[int], str], most: int = 50) -> tuple[list[str], bool]:
+    """All pages that the first one announces, and whether they are complete."""
+    pages, whole = fetch_pages(lambda n: json.loads(get(url_of(n))), most)
+    return [json.dumps(p, ensure_ascii=False) for p in pages], whole
+
+
+def collect_with_token(
+    get: Callable[..., bytes], page_url: str, url_of: Callable[[int], str], script_id: str, field: str, rows_of: Callable[[dict], list], most: int = 200
+) -> tuple[list[str], bool]:
+    """A token out of a web page, then all pages until an empty one."""
+    token, kept = token_of(get(page_url).decode("utf-8"), script_id, field), []
+
+    def page(n: int) -> list:
+        body = get(url_of(n), {"Authorization": f"Bearer {token}"}).decode("utf-8")
+        rows = rows_of(json.loads(body))
+        if rows:
+            kept.append(body)
+        return rows
+
+    _, whole = pages_until_empty(page, most)
+    return kept, whole
+
+
 def state_token(html: Column, script_id: str, field: str) -> Column:
     """A token field of the JSON in the page's state script; null if there is none."""
     body = F.regexp_extract(html, rf"""(?s)<script[^>]*\bid=["']{script_id}["'][^>]*>(.*?)</script>""", 1)

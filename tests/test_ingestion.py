@@ -30,7 +30,7 @@ def dirty():
 def test_dirty_file_keeps_the_valid_row(spark, tmp_path):
     (tmp_path / "f.json").write_text(json.dumps(dirty()))
     records = feeds.flat_quotes(spark, str(tmp_path / "f.json")).withColumn("id", F.monotonically_increasing_id())
-    events = spark.createDataFrame([("event-1", "football", "Manchester United", "Liverpool", datetime(2026, 9, 1, 20, 10))], "id string, sport string, home_team string, away_team string, start_time timestamp")
+    events = spark.createDataFrame([("event-1", "football", "L", "Manchester United", "Liverpool", datetime(2026, 9, 1, 20, 10)), ("event-2", "football", "Cup", "Manchester United", "Liverpool", datetime(2026, 9, 1, 20, 5))], "id string, sport string, league string, home_team string, away_team string, start_time timestamp")
     out = ingestion.ingest(records, lambda r: ingestion.known_events(r, events), "run-1", F.current_timestamp())
     run = out.run.first()
     assert (run.records_received, run.records_accepted, run.records_rejected, run.status) == (5, 1, 4, "partial")

@@ -42,14 +42,45 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-def test_queries_without_sql(spark):
-    """Similarity and order-dependent resolution: whole results, checked by their shape."""
+def similarity(a, b):
+    """2 x longest common subsequence / both lengths, in percent, by the textbook table."""
+    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+    return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def test_only_these_have_no_sql():
     assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_names", "resolved_fixtures"}
-    names = QUERIES["fuzzy_names"](spark, SF)
-    assert names.filter("method = 'fuzzy' and confidence < 80").count() == 0
-    fixtures = QUERIES["resolved_fixtures"](spark, SF)
-    assert fixtures.filter("event_id is null").count() == 0
-    assert fixtures.count() == spark.read.parquet(f"{SF}/events.parquet").filter("event_id % 5 = 0").count()
+
+
+def test_fuzzy_names_equal_all_pairs(spark):
+    names = sorted({r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").collect()})
+    pool = {n.lower() for n in names}
+    got = {r.name: r for r in QUERIES["fuzzy_names"](spark, SF).collect()}
+    asked = sorted({n[:-1] for n in names})
+    assert sorted(got) == asked
+    for name in asked[:60]:
+        r, key = got[name], " ".join(name.lower().split())
+        if key in pool:
+            assert (r.method, r.canonical_name.lower(), r.confidence) == ("exact", key, 100)
+            continue
+        scores = sorted(((similarity(key, n), n) for n in pool), reverse=True)
+        want = "unknown" if scores[0][0] < 80 else "ambiguous" if scores[0][0] - scores[1][0] < 5 else "fuzzy"
+        assert (r.method, r.confidence) == (want, pytest.approx(scores[0][0]))
+        assert r.canonical_name is None if want != "fuzzy" else r.canonical_name.lower() == scores[0][1]
+
+
+def test_resolved_fixtures_equal_their_natural_key(spark):
+    """Teams of other numbers are never alike, so a fixture is its two teams and its day."""
+    events = {r.event_id: (r.user_id % 12, r.ts.date()) for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
+    got = {r.id: r for r in QUERIES["resolved_fixtures"](spark, SF).collect()}
+    assert set(got) == set(events)
+    assert all((r.resolution, r.confidence) == ("resolved", 100) for r in got.values())
+    assert len({(events[i], r.event_id) for i, r in got.items()}) == len(set(events.values())) == len({r.event_id for r in got.values()})
 
 
 def test_entry_runs(spark):

@@ -1,15 +1,19 @@
 """Feeds, captures, archives, fetching and snapshots on small payloads."""
 
+import http.server
 import json
-import urllib.error
-from datetime import datetime
+import re
+import threading
+from datetime import UTC, datetime, timedelta
 from decimal import Decimal
+from email.utils import format_datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators import validation as V
 from quotemill.sources import feeds, landing
+from quotemill.streaming import poll
 
 AT = datetime(2026, 1, 1)
 
@@ -119,35 +123,128 @@ def test_drop_folder(spark, tmp_path):
     assert feeds.captures(spark, str(tmp_path), "other.json").count() == 0
 
 
-def test_fetch_retries_and_hides_secrets():
-    class Body:
-        def __enter__(self):
-            return self
-
-        def __exit__(self, *a):
-            return False
-
-        def read(self):
-            return b"ok"
-
-    def opener(fails):
-        left = list(fails)
-
-        def open_url(url):
-            if left:
-                raise left.pop(0)
-            return Body()
-
-        return open_url
-
-    def http(code, after=None):
-        return urllib.error.HTTPError("u", code, "x", {"Retry-After": after} if after else {}, None)
-
+@pytest.fixture
+def server():
+    """A web server on this machine that answers from a script: [(status, headers, body)] by path."""
+    script, asked = {}, []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            path = self.path.split("?")[0]
+            asked.append((self.path, self.headers.get("Authorization")))
+            answers = script[path]
+            status, headers, body = answers.pop(0) if len(answers) > 1 else answers[0]
+            self.send_response(status)
+            for k, v in headers.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(body if isinstance(body, bytes) else body(self.path).encode())
+
+        def log_message(self, *_):
+            pass
+
+    web = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{web.server_port}", script, asked
+    web.shutdown()
+    web.server_close()
+
+
+def test_fetch_waits_as_told_and_names_no_secret(server):
+    base, script, asked = server
+    later = format_datetime(datetime.now(UTC) + timedelta(seconds=30), usegmt=True)
+    script["/a"] = [(503, {}, b""), (429, {"Retry-After": "7"}, b""), (200, {}, b"ok")]
+    script["/b"] = [(502, {"Retry-After": later}, b""), (500, {"Retry-After": "9999"}, b""), (200, {}, b"ok")]
+    script["/c"] = [(404, {}, b"")]
+    script["/d"] = [(500, {"Retry-After": "soon"}, b"")]
     slept = []
-    assert landing.fetch("http://h/?apiKey=s", opener([http(503), http(429, "7")]), slept.append) == b"ok"
-    assert slept == [1.0, 7.0]
-    with pytest.raises(RuntimeError, match=r"apiKey=\*\*\*"):
-        landing.fetch("http://h/?apiKey=s", opener([http(404)]), slept.append)
+    assert landing.fetch(f"{base}/a?apiKey=s", sleep=slept.append) == b"ok" and slept == [1.0, 7.0]
+    slept.clear()
+    assert landing.fetch(f"{base}/b", sleep=slept.append) == b"ok"
+    assert 20 < slept[0] <= 30 and slept[1] == 60
+    slept.clear()
+    for path, times in (("/c", 0), ("/d", 2)):
+        with pytest.raises(RuntimeError, match="HTTP") as e:
+            landing.fetch(f"{base}{path}?signature=hidden&x=1", sleep=slept.append)
+        assert "hidden" not in str(e.value) and path in str(e.value) and len(slept) == times
+    assert slept == [1.0, 2.0]
+    with pytest.raises(RuntimeError, match=r"http://127.0.0.1:1/x: "):
+        landing.fetch("http://127.0.0.1:1/x?k=v", sleep=slept.append, attempts=1)
+
+
+def test_what_may_be_logged():
+    assert landing.redact("https://me:pw@host:8443/v4/odds?apiKey=s&region=eu#f") == "https://host:8443/v4/odds"
+    assert landing.redact("/only/path?x=1") == "/only/path" and "x" not in landing.redact("http://[bad")
+    now = datetime(2026, 1, 1, tzinfo=UTC)
+    assert landing.retry_after("Thu, 01 Jan 2026 00:01:00 GMT", now) == 60 and landing.retry_after("Wed, 31 Dec 2025 00:00:00 GMT", now) == 0
+    assert [landing.retry_after(x) for x in ("5", " 2.5 ", "", None, "-3", "soon")] == [5, 2.5, None, None, None, None]
+    assert landing.address("http://h/", "/v4/odds", a=1, b=None, c="x y") == "http://h/v4/odds?a=1&c=x+y"
+
+
+def test_collectors_land_what_they_parse(spark, server, tmp_path):
+    base, script, asked = server
+    number = lambda path, field: int(re.search(rf"{field}=(\d+)", path)[1])
+    script["/one"] = [(200, {}, b"[]")]
+    script["/pages"] = [(200, {}, lambda p: json.dumps({"n": number(p, "page"), "paging": {"total": 3}}))]
+    script["/html"] = [(200, {}, b'<script id="st">{&q;tok&q; : &q;abc&q;}</script>')]
+    script["/list"] = [(200, {}, lambda p: json.dumps({"rows": [1, 2] if number(p, "p") < 2 else []}))]
+    script["/empty"] = [(200, {}, b'{"rows": []}')]
+    assert landing.collect_single(landing.fetch, f"{base}/one") == ["[]"]
+    pages, whole = landing.collect_paged(landing.fetch, lambda n: f"{base}/pages?page={n}")
+    assert [json.loads(p)["n"] for p in pages] == [1, 2, 3] and whole
+    assert landing.collect_paged(landing.fetch, lambda n: f"{base}/pages?page={n}", most=2)[1] is False
+    rows = lambda d: d["rows"]
+    kept, whole = landing.collect_with_token(landing.fetch, f"{base}/html", lambda n: f"{base}/list?p={n}", "st", "tok", rows)
+    assert len(kept) == 2 and whole and asked[-1][1] == "Bearer abc"
+    assert landing.collect_with_token(landing.fetch, f"{base}/html", lambda n: f"{base}/list?p={n}", "st", "tok", rows, most=1)[1] is False
+    with pytest.raises(ValueError, match="no page"):
+        landing.collect_with_token(landing.fetch, f"{base}/html", lambda n: f"{base}/empty?p={n}", "st", "tok", rows)
+    with pytest.raises(ValueError, match="no other"):
+        landing.token_of("<script id='st'>{}</script>", "st", "other")
+    back = landing.land(spark, str(tmp_path), "drop-1", kept, datetime(2026, 1, 1, 10))
+    assert sorted(r.payload for r in back.collect()) == sorted(kept) and back.first().observed_at == datetime(2026, 1, 1, 10)
+    assert landing.land(spark, str(tmp_path), "drop-1", kept[:1], datetime(2026, 1, 1, 10)).count() == 1
+
+
+def test_archives_of_another_shape_stop(spark):
+    def archive(*items):
+        return capture(spark, {"log": {"entries": [{"request": {"url": "u"}, "response": {"content": {"text": json.dumps({"items": list(items)})}}}]}})
+
+    good = feeds.checked_items(feeds.har_items(archive({"id": 1, "home": "a"}), "u"), ("id", "home"))
+    assert [r.id for r in good.collect()] == ["1"]
+    for bad in (archive(), archive({"id": 1, "home": "a"}, {"id": 2})):
+        with pytest.raises(Exception, match="archive holds"):
+            feeds.checked_items(feeds.har_items(bad, "u"), ("id", "home")).collect()
+
+
+def test_a_failing_cycle_does_not_end_the_loop():
+    seen, slept, said = [], [], []
+
+    def cycle(n):
+        seen.append(n)
+        if n == 1:
+            raise OSError("secret address")
+        if n == 4:
+            raise KeyboardInterrupt
+
+    out = poll.poll(cycle, lambda: 23, 300, 60, 22, 2, max_cycles=9, sleep=slept.append, report=said.append)
+    assert (seen, out.done, out.failed) == ([0, 1, 2, 3, 4], 4, {1: "OSError"})
+    assert slept == [60] * 4 and said == ["cycle 1 failed: OSError"]
+
+
+def test_stream_runs_whole_cycles(spark, tmp_path):
+    schema = "payload string, n long"
+    spark.createDataFrame([("x", i) for i in range(20)], schema).repartition(4).write.json(str(tmp_path / "in"))
+    captures = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={number}"))
+    for _ in range(2):  # the second start finds nothing new
+        q = poll.stream_cycles(captures, write, str(tmp_path / "cp"), report=lambda _: None).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.n for r in out.collect()) == list(range(20)) and out.select("batch").distinct().count() == 4
+
+
+def test_pages_and_their_end():
     pages = {n: {"n": n, "paging": {"total": 3}} for n in (1, 2, 3)}
     assert landing.fetch_pages(pages.get) == ([pages[1], pages[2], pages[3]], True)
     assert landing.fetch_pages(pages.get, most=2)[1] is False
