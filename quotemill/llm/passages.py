@@ -1,7 +1,7 @@
 """Substring dedup by hashing lines, and stretches between words chosen by content.
 
 The units are whole lines (or paragraphs, by ``separator``), of any length from one
-character on, and below them sentences of at least ``LEAST`` words: normalised, digested and
+character on, and below them sentences of at least ``SENTENCE_LEAST`` characters: normalised, digested and
 numbered in the JVM. A last level is for passages that begin and end anywhere and whose
 lines are wrapped differently: a word begins a piece if the hash of it and its successor is the least among the ``REACH`` words on either side, and two neighbouring
 pieces of at least ``LEAST`` words are a unit. So a passage that is pasted anywhere falls into
@@ -29,14 +29,16 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
 from ._common import cut, read, small_batches, spread_join, stored
 
-#: Words of a unit of the second level at least, and of a piece of words that have no least one.
+#: Words of a unit of the last level at least, and of a piece of words that have no least one.
 LEAST, MOST = 8, 40
+#: Characters of a sentence that is a unit.
+SENTENCE_LEAST = 40
 #: Words on either side that decide whether a word begins a piece: pieces are longer than that, and about twice as long.
 REACH = 4
 #: What ends a unit of the first level: a pattern that Java and Python read alike.
@@ -140,18 +142,19 @@ def without(text: str, starts, ends) -> str:
     return "".join(kept)
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, single spaces, no outer punctuation unless there is nothing else."""
-    single = F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
-    return F.coalesce(F.nullif(F.btrim(single, F.lit(_OUTER)), F.lit("")), single)
-
-
 def line_digests(docs: DataFrame, separator: str = LINE, level: int = _LINE_NO, least: int = 1) -> DataFrame:
     """(h, check, doc_id, version, start, end) of every unit between separators that has
-    ``least`` words; start is its number, end the level; h and check are 96 bits of its digest."""
-    own = docs.select("doc_id", "version", F.posexplode(F.split("text", separator, -1)).alias("start", "line"))
-    own = own.withColumn("unit", normalised(F.col("line"))).filter((F.col("unit") != "") & (F.size(F.split("unit", " ")) >= least))
-    digest = F.xxhash64(F.lit(level), "unit").alias("h"), F.hash(F.lit(level), "unit").alias("check")
+    ``least`` characters; start is its number, end the level; h and check are 96 bits of its
+    digest. Case and spaces are settled once a text, and a unit is an attribute before it is used."""
+    low = F.lower("text")
+    spaced = low.contains("  ") | low.contains("\t") | low.contains("\r")
+    low = F.when(spaced, F.regexp_replace(low, r"[ \t\r]+", " ")).otherwise(low)
+    own = docs.select("doc_id", "version", F.posexplode(F.split(low, separator, -1)).alias("start", "line"))
+    single = F.trim("line") if separator in (LINE, SENTENCE) else F.trim(F.regexp_replace("line", r"[ \n]+", " "))
+    own = own.filter(F.char_length(single) >= least)
+    inner = F.btrim(single, F.lit(_OUTER))
+    unit = F.when(inner == "", single).otherwise(inner)
+    digest = F.xxhash64(F.lit(level), unit).alias("h"), F.hash(F.lit(level), unit).alias("check")
     return own.select(*digest, "doc_id", "version", "start", F.lit(level).alias("end"))
 
 
@@ -188,7 +191,7 @@ def repeats(docs: DataFrame, separator: str = LINE) -> DataFrame:
     """(doc_id, version, spans): what of each document an earlier place holds, as (number, level) or (start, end)."""
     key = ["h", "check"]
     own = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    named = line_digests(own, separator).unionByName(line_digests(own, SENTENCE, _SENTENCE_NO, LEAST))
+    named = line_digests(own, separator).unionByName(line_digests(own, SENTENCE, _SENTENCE_NO, SENTENCE_LEAST))
     found = stored(named.unionByName(piece_digests(own)))
     # only counts of all units are dealt out; places only of those that repeat
     often = cut(found.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"))

@@ -340,7 +340,7 @@ def lines_of(text, separator):
     for piece in re.split(f"({separator})", text):
         if not re.fullmatch(separator, piece) and piece.strip():
             start = at + len(piece) - len(piece.lstrip())
-            word = " ".join(piece.lower().split())
+            word = " ".join(re.split(r"[ \t\r\n]+", piece.lower().strip(" \t\r\n")))
             out.append((start, start + len(piece.strip()), word.strip(passages._OUTER) or word))
         at += len(piece)
     return out
