@@ -239,6 +239,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         return pd.DataFrame({"lang": names, "score": scores})
 
     small_batches(docs.sparkSession, 500)
+    guess = guess.asNondeterministic()  # so that a filter on its result doesn't run it twice
     legible = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     found = docs.withColumn("_g", guess("text"))
     return found.withColumns(
