@@ -85,7 +85,7 @@ def mix(docs: DataFrame, key: list[str], weights=WEIGHTS, most: int = MOST_PASSE
     goal = goal.withColumns({"_source": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()}).drop("source")
     named = rows.withColumns({"_source": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()})
     order = [*columns, "copy"]
-    bits = max(4, min(40, (largest // BUCKET).bit_length()))  # of the bucket number, as the largest source asks for
+    bits = max(8, min(40, (largest // BUCKET).bit_length()))  # of the bucket number, as the largest source asks for
     shuffled = spread_join(named, goal, ["_source", "_null"], total).withColumn("_h", F.xxhash64(F.lit(seed), *order))
     shuffled = shuffled.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
     # cumulative size within the source: sums of hash-range buckets first, then inside each
