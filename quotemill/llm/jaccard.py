@@ -225,7 +225,7 @@ def _connected(sketches: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray]:
         if not queue:
             queue, left = [int(left[0])], left[1:]
             continue
-        at = queue.pop()
+        at = queue.pop(0)
         _, near = surviving(np.full(len(left), at), left, sketches, steps)
         if len(near):
             a.append(np.full(len(near), at))
@@ -299,7 +299,8 @@ def _crowds(reps: DataFrame, total: int, threshold: float, tolerance: float, blo
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     cell = F.when(F.col("nb") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")))
     dealt = met.select(cell.alias("cell"), "node").join(reps.select("node", "sketch"), "node").select("cell", "node", "sketch")
-    dealt = dealt.repartition(parts(reps.sparkSession), "cell").sortWithinPartitions("cell")
+    # the smallest of a cell comes first and so is the hub in all bands: edges repeat and few are left
+    dealt = dealt.repartition(parts(reps.sparkSession), "cell").sortWithinPartitions("cell", "node")
     found = dealt.mapInArrow(_buckets(least_matches(agreement(threshold), tolerance)), "u long, v long")
     roots = components(found)
     return roots.union(roots.select(F.col("root").alias("u"), "root").distinct())
