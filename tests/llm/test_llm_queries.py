@@ -181,8 +181,10 @@ def test_sharding(spark, sf):
         slots[r.shard].append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     uneven = [sharding.Shard(i, f"r{i % 3}", f"k{i % 2}", 0.5 + i) for i in range(7)]
-    keys = spark.range(500).select("id", sharding.assign(F.col("id"), uneven).alias("s")).collect()
-    assert all(r.s == descend(r.id, uneven) for r in keys)
+    wide = [sharding.Shard(i, "r", f"k{i % 20}", 1.0 + i % 3) for i in range(60)]
+    for topology in (uneven, wide):
+        keys = spark.range(500).select("id", sharding.assign(F.col("id"), topology).alias("s")).collect()
+        assert all(r.s == descend(r.id, topology) for r in keys)
 
 
 def test_substring_dedup(spark, sf):
