@@ -18,6 +18,7 @@ each other; an empty table gives folders without blocks.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
@@ -69,6 +70,7 @@ class Encoder:
         self.model, self.table = self.whole.model, _byte_chars()
         # two bytes an id halve what is stored and shuffled
         self.kind = "<u2" if max(self.whole.get_vocab_size(True), max(self.whole.get_vocab(True).values()) + 1) <= 1 << 16 else "<u4"
+        self.code = {"<u2": "H", "<u4": "I"}[self.kind]  # workers are little-endian, as the format is
         letter = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
         number = "0-9²³¹¼½¾"
         self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s")
@@ -77,10 +79,11 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
 
     def _part(self, piece: str) -> bytes:
-        import numpy as np
-
-        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.table))]
-        out = np.asarray(ids, dtype=self.kind).tobytes()
+        if piece.isascii():  # printable characters stand for themselves
+            alphabet = piece.replace(" ", self.table[32]).replace("\n", self.table[10])
+        else:
+            alphabet = piece.encode("utf-8").decode("latin-1").translate(self.table)
+        out = array(self.code, [t.id for t in self.model.tokenize(alphabet)]).tobytes()
         if len(self.parts) < REMEMBERED:
             self.parts[piece] = out
         return out
@@ -99,14 +102,17 @@ class Encoder:
         import numpy as np
 
         words = text.replace("\n", " \n").split(" ") if text else [""]
-        head, known, out = words[0], self.words.get, []
+        head, out = words[0], list(map(self.words.get, words))  # known words at once
         if self.regular.fullmatch(head) and head[0] != "\n" and not any(s in head for s in self.special):
-            out.append(b"".join(self.parts.get(p) or self._part(p) for p in self.pieces.findall(head)))
-            for w in words[1:]:
-                ids = known(w)
-                if ids is None and (not w or (ids := self._word(w)) is None):
+            out[0] = b"".join(self.parts.get(p) or self._part(p) for p in self.pieces.findall(head))
+            if all(out):
+                return b"".join(out)
+            for at in [i for i, ids in enumerate(out) if not ids]:
+                w = words[at]
+                # a word that came up before in this text is known by now
+                out[at] = self.words.get(w) or (self._word(w) if w else None)
+                if not out[at]:
                     break
-                out.append(ids)
             else:
                 return b"".join(out)
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
