@@ -67,6 +67,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.simple = not any(c.isalpha() and c.isascii() for c in self.special)
         self.model, self.table = self.whole.model, _byte_chars()
         # two bytes an id halve what is stored and shuffled
         self.kind = "<u2" if max(self.whole.get_vocab_size(True), max(self.whole.get_vocab(True).values()) + 1) <= 1 << 16 else "<u4"
@@ -78,17 +79,28 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _part(self, piece: str) -> bytes:
+    def _ids(self, piece: str) -> bytes:
         if piece.isascii():  # printable characters stand for themselves
             alphabet = piece.replace(" ", self.table[32]).replace("\n", self.table[10])
         else:
             alphabet = piece.encode("utf-8").decode("latin-1").translate(self.table)
-        out = array(self.code, [t.id for t in self.model.tokenize(alphabet)]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(alphabet)]).tobytes()
+
+    def _part(self, piece: str) -> bytes:
+        out = self._ids(piece)
         if len(self.parts) < REMEMBERED:
             self.parts[piece] = out
         return out
 
     def _word(self, word: str) -> bytes | None:
+        stem, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        if self.simple and stem.isascii() and stem.isalpha():  # one piece, and a mark is another
+            out = (self.words.get(stem) if mark else None) or self._ids(" " + stem)
+            if mark:
+                out += self.parts.get(mark) or self._part(mark)
+            if len(self.words) < REMEMBERED:
+                self.words[word] = out
+            return out
         if not self.regular.fullmatch(word) or any(s in word for s in self.special):
             return None
         text = word if word[0] == "\n" else " " + word
