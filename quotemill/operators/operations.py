@@ -223,9 +223,10 @@ def repoint(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 def cross_provider_events(events: DataFrame, mappings: DataFrame) -> DataFrame:
     """Events whose teams both or either are known to two or more sources."""
     sides = events.select("id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
-    return sides.join(mappings.select("team_id", "source"), "team_id").groupBy("id").agg(
-        F.count_distinct("source").alias("sources"),
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source_names"),
+    known = mappings.select("team_id", "source").distinct()  # a source may map a team many times
+    found = sides.join(known, "team_id").groupBy("id").agg(F.collect_set("source").alias("s"))
+    return found.select(
+        "id", F.size("s").cast("long").alias("sources"), F.array_join(F.sort_array("s"), ",").alias("source_names")
     ).filter("sources >= 2")
 
 
