@@ -194,14 +194,6 @@ def identity_audit(findings: dict[str, tuple[str, DataFrame]]) -> DataFrame:
     return out.filter("n > 0")
 
 
-def unresolved_mappings(mappings: DataFrame) -> DataFrame:
-    """Counts of mappings that aren't verified or rejected, an error if any is suspect."""
-    rows = mappings.filter(F.col("trust_state").isin("UNVERIFIED", "SUSPECT"))
-    return rows.groupBy("trust_state").agg(F.count("*").alias("n")).withColumn(
-        "severity", F.when(F.max(F.col("trust_state") == "SUSPECT").over(Window.partitionBy(F.lit(1))), "ERROR").otherwise("WARNING")
-    )
-
-
 # ------------------------------------------------------------- merging, inspection
 
 

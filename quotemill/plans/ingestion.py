@@ -35,6 +35,28 @@ def known_events(records: DataFrame, events: DataFrame) -> DataFrame:
     return I.match_by_time(named, pool, ["s", "l", "h", "a"], 1800).select("id", "event_id", F.col("result").alias("resolution"))
 
 
+class Catalogue:
+    """``resolve`` of an ingestion run against the identity catalogue: records may create
+    identities. ``entries`` are then what to append to the catalogue; ``aliases`` and ``tokens``
+    are configuration (see ``functions.aliases``), never looked up unasked."""
+
+    #: Columns of feeds and what resolution calls them.
+    FIELDS = {"source_home_team_id": "home_source_id", "source_away_team_id": "away_source_id", "source_competition_id": "competition_source_id"}
+
+    def __init__(self, log: DataFrame | None = None, aliases: dict[str, str] | None = None, tokens: dict[str, str] | None = None, reference: str | None = None):
+        self.log, self.aliases, self.tokens, self.reference = log, aliases, tokens, reference
+        self.entries: DataFrame | None = None
+
+    def __call__(self, records: DataFrame) -> DataFrame:
+        provider = F.coalesce("provider_id", "source") if "provider_id" in records.columns else F.col("source")
+        named = records.withColumnsRenamed({k: v for k, v in self.FIELDS.items() if k in records.columns})
+        named = named.withColumns({"source": provider, "start_time": F.try_to_timestamp(F.col("start_time").cast("string"))})
+        if "seq" not in named.columns:
+            named = named.withColumn("seq", F.col("id"))
+        found, self.entries = I.resolve(named, self.log, self.aliases, self.tokens, self.reference)
+        return found.select("id", "event_id", "resolution")
+
+
 def ingest(records: DataFrame, resolve, run_id: str, now, complete: bool = True) -> Ingested:
     """``records`` as feeds and flat files give them, with an ``id`` for each.
 

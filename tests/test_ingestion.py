@@ -42,6 +42,23 @@ def test_dirty_file_keeps_the_valid_row(spark, tmp_path):
     assert [reasons[k].split(":")[0] for k in ("Empty", "Naive", "Low", "Ghost")] == ["structural", "semantic", "semantic", "identity"]
 
 
+def test_ingestion_against_a_catalogue(spark, tmp_path):
+    row = dirty()[0]
+    first = [row | {"bookmaker": "One"}, row | {"bookmaker": "Two", "home_team": "Man Utd", "away_team": "Liverpool FC"}, row | {"bookmaker": "Blank", "home_team": " "}]
+    second = [row | {"bookmaker": "Two", "home_team": "Man. United", "start_time": "2026-09-01T20:05:00+00:00"}]
+    log, events = None, []
+    for n, rows in enumerate((first, second)):
+        (tmp_path / f"{n}.json").write_text(json.dumps(rows))
+        records = feeds.flat_quotes(spark, str(tmp_path / f"{n}.json")).withColumn("id", F.monotonically_increasing_id())
+        resolve = ingestion.Catalogue(log, TEAM_ALIASES | LEAGUE_ALIASES, TOKEN_ALIASES)
+        out = ingestion.ingest(records, resolve, f"run-{n}", F.current_timestamp())
+        events += [s.event_id for s in out.snapshots.select("event_id", "bookmaker_name").distinct().collect()]
+        sinks.append(resolve.entries, str(tmp_path / "catalogue"))
+        log = spark.read.parquet(str(tmp_path / "catalogue"))
+    assert len(events) == 3 and len(set(events)) == 1
+    assert {r.name for r in log.filter("kind = 'team'").collect()} == {"manchester united", "liverpool"}
+
+
 def test_movements_are_appended_once(spark, tmp_path):
     row = (1, 2, "three_way", "f", "p", None, None, None, "1", Decimal("2.2"), Decimal("1.1"), T0, T0 + timedelta(minutes=3))
     schema = "event_id long, bookmaker_id long, market_type string, market_period string, market_phase string, market_line string, market_rules string, market_specifier string, outcome string, previous_odds decimal(18,6), current_odds decimal(18,6), previous_observed_at timestamp, current_observed_at timestamp"
