@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, huffman, jaccard, langid, mixing, passages, sharding, tokens, urls
+from . import collocations, concurrency, embeddings, fingerprints, huffman, jaccard, langid, mixing, passages, sharding, tokens, urls, wordtrie
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_word_bpe": wordtrie.op11_word_bpe,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_peak_concurrency": concurrency.op13_peak_concurrency,
 }
 
 #: DuckDB. Redirect and canonical edges as a recursive closure; rules by longest fit.
@@ -81,4 +84,39 @@ SELECT doc_id, least(doc_id, coalesce(twin, doc_id)) AS class_id, coalesce(n, 0)
 FROM documents LEFT JOIN root ON root.a = doc_id LEFT JOIN deg ON deg.u = doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _URLS, "op9_embeddings": _EMBEDDINGS, "op10_jaccard_join": _JACCARD}
+#: DuckDB. All phrases as texts, the worst cut by window, one-word extensions by their two ends.
+_COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece
+), gram AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM words, unnest(range(1, 4)) AS x(k), unnest(range(1, len(w) - k + 2)) AS y(i)
+), freq AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY ALL
+), total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM freq WHERE k = 1 GROUP BY lang
+), cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM freq WHERE k >= 2 AND f >= 10
+), cuts AS (
+  SELECT cand.lang, cand.k, cand.phrase, a, j, x.f AS l, y.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cand, unnest(range(1, cand.k)) AS z(j) JOIN freq x ON x.lang = cand.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN freq y ON y.lang = cand.lang AND y.phrase = array_to_string(w[j + 1:], ' ')
+), worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts
+), longer AS (
+  SELECT lang, part, max(a) AS f FROM (SELECT lang, array_to_string(w[1:2], ' ') AS part, a FROM cand WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM cand WHERE k = 3) GROUP BY ALL
+), kept AS (SELECT worst.* FROM worst LEFT JOIN longer ON longer.lang = worst.lang AND part = phrase WHERE o = 1 AND (longer.f IS NULL OR 100 * longer.f < 50 * a)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+"""
+
+#: DuckDB. Changes summed up in order of time.
+_CONCURRENCY = """
+WITH shipped AS (SELECT sale_id, min(shipped_at) AS s FROM sale_lines GROUP BY sale_id),
+nation_of AS (SELECT client_id, min(nation_id) AS nation_id FROM clients GROUP BY client_id),
+spans AS (
+  SELECT coalesce(nation_id, -1) AS nation_id, CAST(floor(epoch(sold_at)) AS BIGINT) AS b, CAST(floor(epoch(s)) AS BIGINT) + 86400 AS e, coalesce(CAST(floor(100 * total + 0.5) AS BIGINT), 0) AS cents
+  FROM sales LEFT JOIN shipped USING (sale_id) LEFT JOIN nation_of USING (client_id) WHERE sold_at IS NOT NULL
+), kept AS (SELECT * FROM spans WHERE e IS NULL OR e > b), doubled AS (SELECT * FROM kept UNION ALL SELECT -2, b, e, cents FROM kept),
+change AS (SELECT nation_id, b AS t, 1 AS dn, cents AS dc FROM doubled UNION ALL SELECT nation_id, e, -1, -cents FROM doubled WHERE e IS NOT NULL),
+moment AS (SELECT nation_id, t, sum(dn) AS dn, sum(dc) AS dc FROM change GROUP BY ALL HAVING sum(dn) <> 0 OR sum(dc) <> 0),
+run AS (SELECT nation_id, t, lead(t) OVER w AS t2, sum(dn) OVER w AS n, sum(dc) OVER w AS c FROM moment WINDOW w AS (PARTITION BY nation_id ORDER BY t))
+SELECT CAST(nation_id AS INTEGER) AS nation_id, t AS from_s, t2 AS to_s, CAST(n AS BIGINT) AS n_open, CAST(c AS BIGINT) AS open_cents,
+  CAST(max(n) OVER (PARTITION BY nation_id ORDER BY t) AS BIGINT) AS high_open, c = max(c) OVER (PARTITION BY nation_id) AS is_peak FROM run
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _URLS, "op9_embeddings": _EMBEDDINGS, "op10_jaccard_join": _JACCARD, "op12_collocations": _COLLOCATIONS, "op13_peak_concurrency": _CONCURRENCY}
