@@ -57,6 +57,6 @@ def detect(
 
 
 def as_log(sweep: Sweep, at: Column) -> tuple[DataFrame, DataFrame]:
-    """The sweep's rows for the append logs that ``signals.sweep_rows`` folds: candidates
+    """The sweep's rows for the append logs that ``signals.signals`` reads: candidates
     and evaluated keys, each with the time of the sweep."""
     return sweep.candidates.withColumn("sweep_ts", at), sweep.evaluated.withColumn("sweep_ts", at)

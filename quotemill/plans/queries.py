@@ -429,7 +429,7 @@ SIGNAL_KEY = ["event_id", "market_type", "line"]
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sweep a day over the tape, folded to states."""
+    """One sweep a day over the tape, folded to findings and what ended them."""
     daily = tape(spark, sf_dir).withColumn("sweep_ts", F.date_trunc("day", "quote_time").cast("timestamp_ntz"))
     w = Window.partitionBy("sweep_ts", *A.GROUP, "outcome").orderBy(F.desc("odds"), "bookmaker_id", "id")
     best = daily.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
@@ -441,8 +441,7 @@ def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", (F.col("s") + F.make_dt_interval(days=(F.lit(10) + F.col("event_id") % 17).cast("int"))).alias("start_time")
     )
     status = starts.filter("event_id % 10 = 0").select("event_id", F.lit("2024-01-15").cast("timestamp_ntz").alias("updated_at"), F.lit("finished").alias("lifecycle"))
-    rows = S.sweep_rows(seen.filter("edge is not null"), seen, daily, SIGNAL_KEY)
-    return S.fold(S.with_expiry(rows, starts, status, 3), SIGNAL_KEY)
+    return S.signals(seen.filter("edge is not null"), seen, daily, starts, status, SIGNAL_KEY, 3)
 
 
 @query(_SIGNALS + """SELECT event_id, market_type, line, max_by(status, sweep_ts) AS status, max_by(peak, sweep_ts) AS peak_edge, max(sweep_ts) FILTER (kind = 'C') AS last_seen_at, CAST(max_by(episode, sweep_ts) AS BIGINT) AS episode FROM folded GROUP BY ALL""")
@@ -457,7 +456,7 @@ def signal_history(spark, sf_dir):
 
 @query(_SIGNALS + "SELECT event_id, market_type, line, sweep_ts FROM folded WHERE history_event = 'expired'")
 def signals_expired(spark, sf_dir):
-    return _folded(spark, sf_dir).filter("history_event = 'expired'").select(*SIGNAL_KEY, "sweep_ts")
+    return _folded(spark, sf_dir).filter("ended_as = 'EXPIRED'").select(*SIGNAL_KEY, F.col("ended_at").alias("sweep_ts"))
 
 
 @query(_SIGNALS + "SELECT event_id, market_type, line FROM (SELECT event_id, market_type, line, max_by(status, sweep_ts) AS s FROM folded GROUP BY ALL) WHERE s = 'ACTIVE'")
@@ -467,7 +466,8 @@ def active_signals(spark, sf_dir):
 
 @query(_SIGNALS + "SELECT sweep_ts, count(*) FILTER (status = 'ACTIVE' OR history_event = 'expired') AS active_before_expiry, count(*) FILTER (status = 'ACTIVE') AS active_after FROM folded GROUP BY ALL")
 def active_counts(spark, sf_dir):
-    return S.active_counts(_folded(spark, sf_dir))
+    sweeps = tape(spark, sf_dir).select(F.date_trunc("day", "quote_time").cast("timestamp_ntz").alias("sweep_ts"))
+    return S.active_counts(_folded(spark, sf_dir), sweeps)
 
 
 # ---------------------------------------------------------------- identity and operations

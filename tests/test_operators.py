@@ -249,28 +249,72 @@ def machine(kinds):
 
 
 def sweep_data(seed, identities=40, sweeps=15):
-    rng = random.Random(seed)
+    """Rows a state machine reads: for each identity and sweep what was found (C), looked at in vain (M) or
+    not looked at (N), and whether the event was over. Sweeps lie hours to days apart."""
+    rng, at = random.Random(seed), [T0]
+    while len(at) < sweeps:
+        at.append(at[-1] + timedelta(minutes=rng.choice([1, 30, 700, 3000])))
     return [
-        (i, T0 + timedelta(minutes=s), k, float(rng.randrange(1, 6)) if k == "C" else None, rng.random() < 0.3)
+        (i, at[s], k, float(rng.randrange(1, 6)) if k == "C" else None, rng.random() < 0.3)
         for i in range(identities)
-        for s, k in enumerate(["C", *(rng.choice("CMN") for _ in range(sweeps - 1))])
+        for s, k in enumerate(rng.choice("CMN") for _ in range(sweeps))
     ]
 
 
-def test_signal_fold_equals_the_state_machine(spark):
-    rows = sweep_data(1)
-    folded = S.fold(spark.createDataFrame(rows, "event_id long, sweep_ts timestamp, kind string, edge double, over boolean"), ["event_id"])
-    got = {(r.event_id, r.sweep_ts): (r.status, r.history_event, r.peak_edge) for r in folded.collect()}
+def logs(spark, rows, starts=()):
+    """The append logs of such rows; an event is over by its statuses, which change between sweeps, or late."""
+    c = [(i, None, t, e) for i, t, k, e, _ in rows if k == "C"]
+    m = [(i, None, t) for i, t, k, _, _ in rows if k in "CM"]
+    life = [(i, t - timedelta(seconds=20), "finished" if over else "live") for i, t, _, _, over in rows]
+    return (
+        spark.createDataFrame(c, "event_id long, line string, sweep_ts timestamp, edge double"), spark.createDataFrame(m, "event_id long, line string, sweep_ts timestamp"),
+        spark.createDataFrame([(t,) for t in {r[1] for r in rows}], "sweep_ts timestamp"),
+        spark.createDataFrame(list(starts), "event_id long, start_time timestamp"), spark.createDataFrame(life, "event_id long, updated_at timestamp, lifecycle string"),
+    )
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_signals_equal_the_state_machine(spark, seed):
+    rows = sweep_data(seed)
+    starts = [(i, T0 + timedelta(hours=i * 7)) for i in range(20)]
+    ttl = timedelta(hours=3)
+    rows = [(i, t, k, e, over or (i < 20 and T0 + timedelta(hours=i * 7) < t - ttl)) for i, t, k, e, over in rows]
+    plain = [(*r[:4], r[4] and not (r[0] < 20 and T0 + timedelta(hours=r[0] * 7) < r[1] - ttl)) for r in rows]
+    key = ["event_id", "line"]
+    c, m, sweeps, begun, life = logs(spark, plain, starts)
+    found = S.signals(c.union(c), m, sweeps, begun, life, key, 3)
+    want, state, active = set(), {}, {t: [0, 0, False] for t in {r[1] for r in rows}}
+    first = min(r[1] for r in rows if r[2] == "C")
     for i in range(40):
         own = [r for r in rows if r[0] == i]
-        for r, want in zip(own, machine([x[2:] for x in own]), strict=True):
-            assert got[(i, r[1])] == want
+        while own and own[0][2] != "C":
+            own = own[1:]
+        for r, (status, event, peak) in zip(own, machine([x[2:] for x in own]), strict=True):
+            if event:
+                want.add((i, r[1], event, r[3], status))
+            state[i] = (status, peak)
+            active[r[1]][0] += status == "ACTIVE" or event == "expired"
+            active[r[1]][1] += status == "ACTIVE"
+    got = [(r.event_id, r.sweep_ts, r.history_event, r.edge, r.status) for r in S.history(found, key).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r.event_id: (r.status, r.peak_edge) for r in S.current(found, key).collect()} == state
+    counts = {r.sweep_ts: (r.active_before_expiry, r.active_after) for r in S.active_counts(found, sweeps).collect()}
+    assert counts == {t: (a, b) for t, (a, b, _) in active.items() if t >= first}
 
 
 def test_peak_is_not_regained(spark):
     rows = [(1, T0 + timedelta(minutes=i), "C", e, False) for i, e in enumerate((10.0, 8.0, 9.0))]
-    folded = S.fold(spark.createDataFrame(rows, "event_id long, sweep_ts timestamp, kind string, edge double, over boolean"), ["event_id"])
-    assert [r.history_event for r in folded.orderBy("sweep_ts").collect()] == ["created", None, None]
+    found = S.signals(*logs(spark, rows), ["event_id", "line"], 3)
+    assert [r.found_event for r in found.orderBy("sweep_ts").collect()] == ["created", None, None]
+
+
+def test_signals_of_nothing_and_without_a_grid(spark, capsys):
+    none = [x.filter("false") for x in logs(spark, sweep_data(1, 2, 2))]
+    found = S.signals(*none, ["event_id", "line"], 3)
+    assert [x.count() for x in (found, S.history(found, ["event_id"]), S.current(found, ["event_id"]), S.active_counts(found, none[2]))] == [0] * 4
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_unevaluated_candidates_are_reported(spark):
