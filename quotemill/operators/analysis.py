@@ -224,6 +224,11 @@ def movements(quotes: DataFrame, percent: float = 10.0, window_seconds: float =
     both = pair.groupBy(*key).agg(
         F.max(F.when(F.col("reading") == 1, side)).alias("c"), F.max(F.when(F.col("reading") == 2, side)).alias("p")
     ).filter("p is not null")
+    return compared(both, key, percent, window_seconds)
+
+
+def compared(both: DataFrame, key: list[str], percent: float, window_seconds: float) -> DataFrame:
+    """Movements from the last two readings of each series, ``c`` and ``p`` before it (odds, observed_at, quote_time, id)."""
     elapsed = (_micros(F.col("c.quote_time")) - _micros(F.col("p.quote_time"))) / 1e6
     change = F.col("c.odds") - F.col("p.odds")
     limit = F.lit(Decimal(str(percent))).cast("decimal(8,4)")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,40 +31,3 @@ def latest(quotes: DataFrame) -> DataFrame:
     order = F.struct("quote_time", "observed_at", "id")
     return quotes.groupBy(*SERIES).agg(F.max_by(F.struct("id", "odds", "quote_time", "provider_id"), order).alias("r")).select(*SERIES, "r.*")
 
-
-_STATE = "status string, episode long, peak double"
-_HISTORY = "history_event string, sweep_ts timestamp, edge double, status string, episode long, peak_edge double"
-
-
-def signals(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Signal history from sweep rows (key, sweep_ts, kind, edge, over) as they come; equal
-    to the batch fold when sweeps arrive in order, a sweep's rows in one batch."""
-    kinds = dict(rows.dtypes)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, episode, peak = state.get if state.exists else (None, 0, None)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("sweep_ts").itertuples():
-            event = None
-            if r.kind == "C":
-                if status != "ACTIVE":
-                    event, episode, peak = "created" if status is None else "reactivated", episode + 1, r.edge
-                elif peak is None or r.edge > peak:
-                    event, peak = "edge_peak", r.edge
-                status = "ACTIVE"
-            elif status == "ACTIVE":
-                if r.kind == "M":
-                    event = status = "RESOLVED"
-                elif r.over:
-                    event = status = "EXPIRED"
-                event = event and event.lower()
-            if event:
-                edge = None if pd.isna(r.edge) else r.edge
-                out.append((*k, event, r.sweep_ts, edge, status, episode, peak))
-        state.update((status, episode, peak))
-        if out:
-            names = [*key, "history_event", "sweep_ts", "edge", "status", "episode", "peak_edge"]
-            yield pd.DataFrame(out, columns=names)
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", " + _HISTORY
-    return rows.groupBy(*key).applyInPandasWithState(step, schema, _STATE, "append", "NoTimeout")

@@ -4,17 +4,21 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
-from pyspark.sql import functions as F
+import pytest
 
+from quotemill.model import SERIES
+from quotemill.operators import analysis as A
 from quotemill.operators import quotes as Q
 from quotemill.operators import signals as S
 from quotemill.sources.tape import tape
 from quotemill.streaming import quotes as stream
+from quotemill.streaming import state
 
 
 def drain(df, spark, name, mode):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(240)
+    spark.streams_done = [*getattr(spark, "streams_done", []), q.lastProgress]
     return spark.table(name)
 
 
@@ -45,18 +49,74 @@ def test_captures_carry_their_time(spark, tmp_path):
     assert got.observed_at is not None
 
 
-def test_signal_stream_equals_fold(spark, tmp_path):
-    rng, t0 = random.Random(2), datetime(2026, 1, 1)
+def by_files(spark, folder, parts):
+    """A stream of ``parts`` (data frames), a batch each, in their order."""
+    import time
+
+    for i, df in enumerate(parts):
+        df.coalesce(1).write.parquet(f"{folder}/{i:03d}")
+        time.sleep(0.02)  # the order of files is that of their times
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def test_signal_stream_equals_batch_whatever_the_order(spark, tmp_path, seed=1):
+    """Rows up to an hour late; signals expire by timers where no sweep looks at them again; state falls to zero."""
+    rng, t0 = random.Random(seed), datetime(2026, 1, 1, 10, 0, 0)
+    at = [t0 + timedelta(seconds=s) for s in sorted(rng.sample(range(6 * 3600), 40))]
+    start = {e: t0 + timedelta(minutes=rng.randrange(-180, 60), seconds=rng.randrange(60)) if e % 3 else None for e in range(9)}
+    c, m, life = [], [], []
+    for t in at:
+        for e in range(9):
+            for line in (None, "2.5"):
+                kind = rng.choice("CCMNNN")
+                if kind == "C":
+                    c.append((e, line, t, start[e], float(rng.randrange(5))))
+                if kind in "CM":
+                    m.append((e, line, t, start[e]))
+            if rng.random() < 0.05:
+                life.append((e, t + timedelta(seconds=rng.randrange(-90, 90)), rng.choice(["finished", "live", "postponed_or_canceled"])))
+    life += [(e, at[-1] + timedelta(minutes=2), "finished") for e in range(9) if not start[e]]
+    end = t0 + timedelta(days=9)
+    c.append((99, None, end, None, 1.0))  # moves the watermark past all else
+    m.append((99, None, end, None))
+    candidates = spark.createDataFrame(c, "event_id long, line string, sweep_ts timestamp, start_time timestamp, edge double")
+    evaluated = spark.createDataFrame(m, "event_id long, line string, sweep_ts timestamp, start_time timestamp")
+    lifecycle = spark.createDataFrame(life, "event_id long, updated_at timestamp, lifecycle string")
+    key = ["event_id", "line"]
+    log = state.signal_log(candidates, evaluated, lifecycle, key).cache()
+    rows = sorted(log.collect(), key=lambda r: r.us + rng.randrange(3_500_000_000))
+    lots = [rows[i : i + 250] for i in range(0, len(rows) - 2, 250)] + [rows[-2:]]
+    source = by_files(spark, tmp_path / "log", [spark.createDataFrame(x, log.schema) for x in lots])
+    got = drain(state.signals(source, key, 3, 60, 24, "1 hour"), spark, f"signals_{seed}", "append")
+    ticks = spark.createDataFrame([(t0.replace(minute=0) + timedelta(minutes=i - 300),) for i in range(2400)], "sweep_ts timestamp")
+    starts = spark.createDataFrame([(e, s) for e, s in start.items()], "event_id long, start_time timestamp")
+    want = S.history(S.signals(candidates, evaluated, ticks, starts, lifecycle, key, 3), key)
+    plain = lambda df: sorted(((r.event_id, r.line, r.sweep_ts, r.history_event, r.edge, r.status) for r in df.filter("event_id < 99").collect()), key=str)
+    assert plain(got) == plain(want)
+    assert {r.history_event for r in got.collect()} == {"created", "reactivated", "edge_peak", "resolved", "expired"}
+    progress = spark.streams_done[-1]["stateOperators"][0]
+    assert 0 < progress["numRowsTotal"] <= 5  # what is left is the last event's own
+
+
+def test_movement_stream_equals_batch(spark, tmp_path):
+    rng, t0 = random.Random(3), datetime(2026, 1, 1)
     rows = []
-    for s in range(8):
-        for i in range(12):
-            k = rng.choice("CMN") if s else "C"
-            rows.append((i, t0 + timedelta(hours=s), k, float(rng.randrange(9)) if k == "C" else None, rng.random() < 0.3))
-    schema = "event_id long, sweep_ts timestamp, kind string, edge double, over boolean"
-    df = spark.createDataFrame(rows, schema)
-    for s in range(8):
-        df.filter(F.col("sweep_ts") == t0 + timedelta(hours=s)).coalesce(1).write.parquet(str(tmp_path / "sweeps" / f"{s}"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "sweeps" / "*"))
-    got = drain(stream.signals(source, ["event_id"]), spark, "signal_stream", "append")
-    want = S.history(S.fold(df, ["event_id"]), ["event_id"])
-    assert {(r.event_id, r.sweep_ts, r.history_event) for r in got.collect()} == {(r.event_id, r.sweep_ts, r.history_event) for r in want.collect()}
+    for i in range(900):
+        t = t0 + timedelta(minutes=rng.randrange(600))
+        market = ("totals", "full_time", "pre_match", rng.choice([None, "2.5"]), None, None)
+        rows.append((i, rng.randrange(6), rng.randrange(2), rng.choice([1, 2, None]), *market, rng.choice(["OVER", "UNDER"]), Decimal(rng.randrange(110, 400)) / 100, t, t - timedelta(minutes=rng.choice([0, 0, 30, 90]))))
+    names = "id long, event_id long, bookmaker_id long, provider_id long, market_type string, market_period string, market_phase string, market_line string, market_rules string, market_specifier string, outcome string, odds decimal(18,6), observed_at timestamp, quote_time timestamp"
+    df = spark.createDataFrame(rows, names)
+    rng.shuffle(rows)
+    source = by_files(spark, tmp_path / "quotes", [spark.createDataFrame(rows[i : i + 300], names) for i in range(0, 900, 300)])
+    last = {}
+
+    def keep(batch, number):
+        for r in batch.collect():
+            last[tuple(r[k] for k in SERIES)] = tuple(r)
+
+    q = state.movements(source).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    want = A.movements(df)
+    assert sorted(last.values(), key=str) == sorted(map(tuple, want.select(*state.movements(source).columns).collect()), key=str)
+    assert sum(r.order_violation for r in want.collect()) > 0 and sum(r.detected for r in want.collect()) > 0
