@@ -164,18 +164,16 @@ def surebet_legs(quotes: DataFrame, policy: Freshness, now: Column) -> DataFrame
 # ------------------------------------------------------------- outliers
 
 
-def exact_median(values: Column) -> Column:
-    """Median of an array of decimals as a decimal; the mean of the middle two if even."""
-    s, n = F.array_sort(values), F.size(values)
-    low, high = F.element_at(s, F.floor((n + 1) / 2).cast("int")), F.element_at(s, (F.floor(n / 2) + 1).cast("int"))
-    return ((low + high) * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(24,6)")
-
-
 def medians(quotes: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Per outcome: number of quotes and exact median (a group is as large as its
-    bookmakers are many)."""
+    """Per outcome: number of quotes and exact median, the mean of the middle two if even. Quotes are counted by
+    value before they meet; the middle ones are order statistics of the running counts."""
     group = group or [*GROUP, "outcome"]
-    return quotes.groupBy(*group).agg(F.count("*").alias("n"), exact_median(F.collect_list("odds")).alias("median"))
+    counted = quotes.filter("odds is not null").groupBy(*group, "odds").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*group).orderBy("odds")
+    upto = counted.withColumn("_u", F.sum("_c").over(w)).withColumn("n", F.sum("_c").over(Window.partitionBy(*group)))
+    low = F.min(F.when(F.col("_u") >= F.floor((F.col("n") + 1) / 2), F.col("odds")))
+    high = F.min(F.when(F.col("_u") >= F.floor(F.col("n") / 2) + 1, F.col("odds")))
+    return upto.groupBy(*group, "n").agg(((low + high) * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(24,6)").alias("median"))
 
 
 def outliers(quotes: DataFrame, percent: float = 15.0, least: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ unverified identity.
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -22,23 +23,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..workers import importable
+from .fuzzy import similar
 
 # ------------------------------------------------------------- joins
 
 
 def stable_id(kind: str, *parts: Column) -> Column:
-    """Deterministic id of a new entity from its natural key: the same on every retry."""
-    return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 10))
+    """Deterministic id of a new entity from its natural key: the same on every retry. 128 bits of a
+    hash of the parts as JSON, so nulls, and separators within parts, make other ids."""
+    return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256), 1, 32))
 
 
-def resolve_bookmakers(feed: DataFrame, bookmakers: DataFrame, mappings: DataFrame, key) -> DataFrame:
+def resolve_bookmakers(feed: DataFrame, bookmakers: DataFrame, mappings: DataFrame) -> DataFrame:
     """``feed`` (provider_id, source_bookmaker_id, name) with bookmaker_id and method: the
-    provider's mapping, else the normalised name, else a new identity; never fuzzy.
-    ``key``: a function from a name column to its normalised form."""
+    provider's mapping, else the normalised name, else a new identity; never fuzzy."""
     m = mappings.select(F.col("provider_id").alias("_p"), F.col("source_bookmaker_id").alias("_s"), F.col("bookmaker_id").alias("_mapped"))
-    b = bookmakers.groupBy(key(F.col("canonical_name")).alias("_key")).agg(F.min("bookmaker_id").alias("_named"))
+    b = T.with_key(bookmakers, "canonical_name", "_key", "bookmaker").groupBy("_key").agg(F.min("bookmaker_id").alias("_named"))
     out = feed.join(m, (F.col("provider_id") == F.col("_p")) & (F.col("source_bookmaker_id") == F.col("_s")), "left")
-    out = out.withColumn("_k", key(F.col("name"))).join(b, F.col("_k") == F.col("_key"), "left")
+    out = T.with_key(out, "name", "_nk", "bookmaker").withColumnRenamed("_nk", "_k").join(b, F.col("_k") == F.col("_key"), "left")
     return out.select(
         *feed.columns,
         F.coalesce("_mapped", "_named", stable_id("bookmaker", F.col("_k"))).alias("bookmaker_id"),
@@ -47,9 +49,9 @@ def resolve_bookmakers(feed: DataFrame, bookmakers: DataFrame, mappings: DataFra
 
 
 def prioritised(feed: DataFrame, mappings: DataFrame, key: list[str], context: str) -> DataFrame:
-    """The mapping of a key in its own context, or else the one without a context."""
+    """The mapping of a key in its own context, or else one without a context that was set by hand."""
     specific = mappings.select(*key, F.col(context), F.col("target_id").alias("_specific"))
-    generic = mappings.filter(F.col(context) == "").select(*key, F.col("target_id").alias("_generic"))
+    generic = mappings.filter((F.col(context) == "") & (F.col("resolution_method") == "manual")).select(*key, F.col("target_id").alias("_generic"))
     return feed.join(specific, [*key, context], "left").join(generic, key, "left").withColumn(
         "target_id", F.coalesce("_specific", "_generic")
     ).drop("_specific", "_generic")
@@ -91,9 +93,10 @@ def normalize_names(
     confidence and method (alias, exact, fuzzy, ambiguous or unknown).
 
     ``tokens`` replaces single words first; then ``aliases`` (alias, target) outrank exact
-    names. Only names of equal marks are scored, and only the distinct names that joins left over.
+    names. Only names of equal marks are alike, and only the distinct names that joins left over are compared, by an exact
+    similarity join; the confidence of an unknown name is 0 unless its best is within ``margin`` of the threshold.
     """
-    key, block, ratio = T.comparison_key_udf(), T.marks, T.ratio_udf()
+    key, block = T.comparison_key_udf(), T.marks
     asked = names.select("scope", "name").distinct().withColumn("key", T.expand_tokens(key("name"), tokens or {}))
     known = pool.withColumn("key", key("canonical_name")).groupBy("scope", "key").agg(F.min("canonical_name").alias("canonical"))
     given = aliases.select(key("alias").alias("key"), F.col("target").alias("target")).withColumn("tkey", key("target"))
@@ -108,13 +111,12 @@ def normalize_names(
         )
     )
     left = step.filter("method is null").select("scope", "name", "key").withColumn("block", block(F.col("key")))
-    against = known.withColumn("block", block(F.col("key"))).select(F.col("scope").alias("_s"), F.col("block").alias("_b"), F.col("key").alias("_key"), "canonical")
-    scored = left.join(against, (F.col("scope") == F.col("_s")) & (F.col("block") == F.col("_b"))).withColumn("score", ratio("key", "_key"))
-    w = Window.partitionBy("scope", "name").orderBy(F.desc("score"), "_key")
-    best = scored.withColumn("rn", F.row_number().over(w)).filter("rn <= 2").groupBy("scope", "name").agg(
-        F.max(F.when(F.col("rn") == 1, F.struct("score", "canonical"))).alias("b"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second")
-    )
-    fuzzy = left.join(best, ["scope", "name"], "left").select(
+    against = known.withColumn("block", block(F.col("key")))
+    # a second best counts if it is within the margin of a best that reaches the threshold
+    scored = similar(left, against, threshold - margin).join(known.select("scope", F.col("key").alias("other"), "canonical"), ["scope", "other"])
+    best = scored.groupBy("scope", "key").agg(F.max(F.struct("score", "canonical")).alias("b"), F.sort_array(F.collect_list("score"), False).alias("s"))
+    best = best.select("scope", "key", "b", F.try_element_at("s", F.lit(2)).alias("second"))
+    fuzzy = left.join(best, ["scope", "key"], "left").select(
         "scope", "name", F.coalesce("b.score", F.lit(0.0)).alias("score"), F.col("b.canonical").alias("found"),
         F.when(F.coalesce("b.score", F.lit(0.0)) < threshold, "unknown")
         .when(F.col("b.score") - F.col("second") < margin, "ambiguous").otherwise("fuzzy").alias("method"),
@@ -149,7 +151,7 @@ _FIELDS = [x.split()[0] for x in ENTRY.split(", ")]
 
 
 def _new_id(kind: str, *parts: object) -> str:
-    return f"{kind}-" + hashlib.sha256("|".join(str(p) for p in parts).encode()).hexdigest()[:10]
+    return f"{kind}-" + hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:32]
 
 
 @dataclass(frozen=True)
@@ -180,7 +182,7 @@ class Resolver:
     plays: dict[str, set[str]] = field(default_factory=dict)  # competition -> teams
     lands: dict[str, set[str]] = field(default_factory=dict)  # team -> known countries
     by_key: dict[tuple[str, str], set[str]] = field(default_factory=dict)  # (kind, key) -> ids
-    names: dict[tuple, list] = field(default_factory=dict)  # (kind, source, key, context) -> [target, state]
+    names: dict[tuple, list] = field(default_factory=dict)  # (kind, source, key, context) -> [target, state, method]
     ids: dict[tuple, list] = field(default_factory=dict)  # (kind, source, id) -> [target, state, name]
     events: dict[str, list] = field(default_factory=dict)  # id -> [competition, home, away, start, provider]
     of_pair: dict[tuple, list[str]] = field(default_factory=dict)  # (competition, home, away) -> events
@@ -217,7 +219,7 @@ class Resolver:
         elif kind.endswith("-name"):
             known = self.names.get((kind, e["source"], e["name"], e["context"]))
             if known is None or known[1] == UNVERIFIED or by_hand:
-                self.names[(kind, e["source"], e["name"], e["context"])] = [target, state]
+                self.names[(kind, e["source"], e["name"], e["context"])] = [target, state, e["method"]]
         else:
             known = self.ids.get((kind, e["source"], e["name"]))
             if known is None or known[1] not in (SUSPECT, REJECTED) or by_hand:
@@ -236,18 +238,21 @@ class Resolver:
     def similarity(self, a: Name, b: Name) -> float:
         return 100.0 if a.key == b.key else T.token_sort_ratio(a.key, b.key) if a.marks == b.marks else 0.0
 
-    def mapped(self, kind: str, source: str, source_id, name: Name, context: str) -> str | None:
-        """The target of a verified mapping. An id that now has another name turns suspect."""
+    def mapped(self, kind: str, source: str, source_id, name: Name, context: str) -> tuple[str | None, bool]:
+        """The target of a verified mapping, and whether the source's id is suspect. An id that now has another
+        name turns suspect, and what is written of the record is then unverified. Outside its context
+        a name counts only as mapped by hand."""
         m = self.ids.get((f"{kind}-id", source, source_id)) if source_id is not None else None
         if m and m[1] == VERIFIED:
             if self.alike(name, m[2]):
-                return m[0]
+                return m[0], False
             self.write(f"{kind}-id", source, source_id, m[0], SUSPECT, "id-drift", m[2].marks, m[2].key)
+        suspect = bool(m) and m[1] != UNVERIFIED
         for where in dict.fromkeys((context, "")):
             m = self.names.get((f"{kind}-name", source, name.key, where))
-            if m and m[1] == VERIFIED:
-                return m[0]
-        return None
+            if m and m[1] == VERIFIED and (where == context or m[2] == "manual"):
+                return m[0], suspect
+        return None, suspect
 
     def settle(self, name: Name, pool: dict[str, Name]) -> tuple[str | None, float, str]:
         """(target, confidence, method) of a name among a scope's entities."""
@@ -285,23 +290,23 @@ class Resolver:
 
     def competition(self, r: dict, country: str) -> tuple[str, float, str]:
         name, source, source_id = Name(r["league_key"], r["league_marks"]), r["source"], r.get("competition_source_id")
-        target = self.mapped("competition", source, source_id, name, country)
-        if target is not None:
+        target, suspect = self.mapped("competition", source, source_id, name, country)
+        lands = {i: n for i, (n, land) in self.competitions.items() if not country or not land or country == land}
+        if target is not None and not self.contradicted(target, source, source_id):
             score, method = 100.0, "mapping"
         else:
-            pool = {i: n for i, (n, land) in self.competitions.items() if not country or not land or country == land}
-            target, score, method = self.settle(name, pool)
+            target, score, method = self.settle(name, {i: n for i, n in lands.items() if not self.contradicted(i, source, source_id)})
+        state = UNVERIFIED if suspect or method in ("fuzzy", "ambiguous") else VERIFIED
         if target is None:
-            apart = () if method == "unknown" else (source, source_id, len(self.log))
+            apart = () if method == "unknown" and name.key not in {n.key for n in lands.values()} else (source, source_id, len(self.log))
             target = _new_id("competition", self.sport, name.key, country, *apart)
-            self.write("competition", source, name.key, target, UNVERIFIED if apart else VERIFIED, method, name.marks, country)
-        state = UNVERIFIED if method in ("fuzzy", "ambiguous") else VERIFIED
+            self.write("competition", source, name.key, target, state, method, name.marks, country)
         self.learn("competition", source, source_id, name, country, target, state, method)
         return target, score if method != "unknown" else 100.0, state
 
     def team(self, r: dict, side: str, comp: str, country: str) -> tuple[str, float, str]:
         name, source, source_id = Name(r[f"{side}_key"], r[f"{side}_marks"]), r["source"], r.get(f"{side}_source_id")
-        target = self.mapped("team", source, source_id, name, comp)
+        target, suspect = self.mapped("team", source, source_id, name, comp)
         scope = {t: self.teams[t] for t in self.plays.get(comp, ())}
         if target is not None and not self.contradicted(target, source, source_id):
             score, method = 100.0, "mapping"
@@ -312,7 +317,7 @@ class Resolver:
         if target is None:
             apart = () if method == "unknown" and name.key not in {n.key for n in scope.values()} else (source, source_id, len(self.log))
             target = _new_id("team", self.sport, comp, name.key, *apart)
-        state = UNVERIFIED if method in ("fuzzy", "ambiguous") else VERIFIED
+        state = UNVERIFIED if suspect or method in ("fuzzy", "ambiguous") else VERIFIED
         if target not in self.plays.get(comp, ()):
             self.write("team", source, self.teams.get(target, name).key, target, state, method, self.teams.get(target, name).marks, comp)
         self.learn("team", source, source_id, name, comp, target, state, method)

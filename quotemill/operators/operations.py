@@ -39,20 +39,24 @@ def provider_health(runs: DataFrame, now: Column, window_hours: int = 24, stale_
     """Per source: last run, last success, last fresh capture, window totals, trailing
     failures among the newest 50 runs, staleness. A success without a payload (nothing new
     was captured) is a success but leaves the source stale."""
-    w = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id"))
-    ranked = runs.withColumn("_rn", F.row_number().over(w))
+    order = F.struct("started_at", "id")
     good = F.col("status").isin("success", "partial")
     recent = F.col("started_at") >= now - F.make_dt_interval(hours=F.lit(window_hours))
-    near = F.col("_rn") <= STREAK_RUNS
-    out = ranked.groupBy("source").agg(
-        F.max(F.when(F.col("_rn") == 1, F.col("started_at"))).alias("last_run_at"),
-        F.max(F.when(F.col("_rn") == 1, F.col("status"))).alias("last_status"),
+    # a source's newest runs alone are ranked; the limit is pushed below the shuffle
+    w = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id"))
+    newest = runs.select("source", "status", "started_at", "id").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= STREAK_RUNS)
+    streak = newest.groupBy(F.col("source").alias("_source")).agg(
+        F.coalesce(F.min(F.when(F.col("status") != "failed", F.col("_rn"))) - 1, F.count("*")).cast("long").alias("consecutive_failures")
+    )
+    out = runs.groupBy("source").agg(
+        F.max("started_at").alias("last_run_at"),
+        F.max_by("status", order).alias("last_status"),
         F.max(F.when(good, F.col("started_at"))).alias("last_success_at"),
         F.max(F.when(good & F.col("source_payload").isNotNull(), F.col("started_at"))).alias("last_fresh_at"),
         F.count_if(recent).alias("runs_in_window"),
         F.count_if(recent & (F.col("status") == "failed")).alias("failures_in_window"),
-        F.coalesce(F.min(F.when(near & (F.col("status") != "failed"), F.col("_rn"))) - 1, F.count_if(near)).cast("long").alias("consecutive_failures"),
     )
+    out = out.join(streak, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     stale = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_fresh_at").cast("timestamp"))) / 1e6
     return out.withColumns(
         {

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OFFSET = r"(Z|z|[+-]\d{2}:?\d{2}(:?\d{2})?)$"
+#: A time of day and its offset: Z, or hours with or without minutes and seconds.
+OFFSET = r"[T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?\s?(Z|z|[+-]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?)$"
 HIGH_ODDS = 1000
 
 

@@ -156,19 +156,20 @@ def token_expansion(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.expand_tokens(F.lower("p_name"), {"green": "verde", "blue": "azul"}).alias("name"))
 
 
-@query("SELECT s_suppkey AS id, 'team-' || substr(sha256(s_name || '|' || CAST(s_nationkey AS VARCHAR)), 1, 10) AS entity_id FROM supplier")
+@query("SELECT s_suppkey AS id, 'team-' || substr(sha256(CAST(to_json([s_name, CAST(s_nationkey AS VARCHAR)]) AS VARCHAR)), 1, 32) AS entity_id FROM supplier")
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), I.stable_id("team", F.col("s_name"), F.col("s_nationkey").cast("string")).alias("entity_id"))
 
 
-@query("""WITH m AS (SELECT c_mktsegment AS source, CAST(c_nationkey AS VARCHAR) AS context, max(c_custkey) AS t FROM customer GROUP BY ALL), g AS (SELECT c_mktsegment AS source, min(c_custkey) AS t FROM customer GROUP BY ALL),
+@query("""WITH m AS (SELECT c_mktsegment AS source, CAST(c_nationkey AS VARCHAR) AS context, max(c_custkey) AS t FROM customer GROUP BY ALL), g AS (SELECT c_mktsegment AS source, min(c_custkey) AS t FROM customer GROUP BY ALL HAVING min(c_custkey) % 2 = 0),
 asked AS (SELECT DISTINCT c_mktsegment AS source, CAST(s_nationkey + s_suppkey % 3 AS VARCHAR) AS context FROM customer, supplier)
 SELECT asked.source, asked.context, coalesce(m.t, g.t) AS target_id FROM asked LEFT JOIN m ON m.source = asked.source AND m.context = asked.context LEFT JOIN g ON g.source = asked.source""")
 def prioritised_mapping(spark, sf_dir):
-    """A mapping of the own context, or else the one without a context."""
+    """A mapping of the own context, or else one without a context that was set by hand."""
     c = table(spark, sf_dir, "customer")
-    own = c.groupBy(F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("string").alias("context")).agg(F.max("c_custkey").alias("target_id"))
-    generic = c.groupBy(F.col("c_mktsegment").alias("source")).agg(F.min("c_custkey").alias("target_id")).select("source", F.lit("").alias("context"), "target_id")
+    own = c.groupBy(F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("string").alias("context")).agg(F.max("c_custkey").alias("target_id")).withColumn("resolution_method", F.lit("exact"))
+    by_hand = F.when(F.col("target_id") % 2 == 0, "manual").otherwise("exact").alias("resolution_method")
+    generic = c.groupBy(F.col("c_mktsegment").alias("source")).agg(F.min("c_custkey").alias("target_id")).select("source", F.lit("").alias("context"), "target_id", by_hand)
     contexts = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + F.col("s_suppkey") % 3).cast("string").alias("context")).distinct()
     asked = c.select(F.col("c_mktsegment").alias("source")).distinct().crossJoin(contexts)  # a few segments by a few nations
     return I.prioritised(asked, own.unionByName(generic), ["source"], "context").select("source", "context", "target_id")

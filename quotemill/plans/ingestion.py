@@ -24,14 +24,10 @@ class Ingested:
 def known_events(records: DataFrame, events: DataFrame) -> DataFrame:
     """Resolution against a fixed list of events (id, sport, league, home_team, away_team,
     start_time): event_id and resolution for each record id; nothing is created."""
-    key = T.ascii_comparison_key
-    named = records.select(
-        "id", key(F.col("sport")).alias("s"), key(F.col("league")).alias("l"), key(F.col("home_team")).alias("h"), key(F.col("away_team")).alias("a"),
-        F.try_to_timestamp("start_time").alias("start_time"),
-    )
-    pool = events.select(
-        F.col("id").alias("event_id"), key(F.col("sport")).alias("s"), key(F.col("league")).alias("l"), key(F.col("home_team")).alias("h"), key(F.col("away_team")).alias("a"), "start_time"
-    )
+    named, pool = records.withColumn("start_time", F.try_to_timestamp("start_time")), events.withColumn("event_id", F.col("id"))
+    for c, out in (("sport", "s"), ("league", "l"), ("home_team", "h"), ("away_team", "a")):
+        named, pool = T.with_key(named, c, out), T.with_key(pool, c, out)
+    named, pool = named.select("id", *"slha", "start_time"), pool.select("event_id", *"slha", "start_time")
     return I.match_by_time(named, pool, ["s", "l", "h", "a"], 1800).select("id", "event_id", F.col("result").alias("resolution"))
 
 
@@ -75,8 +71,8 @@ def ingest(records: DataFrame, resolve, run_id: str, now, complete: bool = True)
     good = seen.filter("_accepted")
     at, source_at = F.try_to_timestamp("observed_at"), F.try_to_timestamp("source_timestamp")
     have = set(records.columns)
-    snapshots = good.select(
-        "event_id", F.col("source").alias("bookmaker_name"), T.ascii_bookmaker_key(F.col("source")).alias("bookmaker_key"),
+    snapshots = T.with_key(good, "source", "bookmaker_key", "bookmaker").select(
+        "event_id", F.col("source").alias("bookmaker_name"), "bookmaker_key",
         *[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in MARKET],
         F.explode("odds").alias("outcome", "_price"), at.alias("observed_at"), source_at.alias("source_timestamp"), run.alias("collector_run_id"),
     ).withColumn("odds", F.col("_price").cast("decimal(18,6)")).drop("_price").withColumn("quote_time", F.coalesce("source_timestamp", "observed_at"))

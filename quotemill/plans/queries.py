@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import Freshness, Settings
 from ..functions import text as T
 from ..operators import analysis as A
+from ..operators import fuzzy as Z
 from ..operators import identity as I
 from ..operators import mappings as M
 from ..operators import operations as O
@@ -595,29 +596,30 @@ def replay_diff(spark, sf_dir):
     return O.counter_diff(counted("orders", "o_orderstatus"), counted("lineitem", "l_linestatus"))
 
 
-@query(""" SELECT s_suppkey AS id, lower(trim(regexp_replace(s_name, '\\s+', ' ', 'g'))) AS comparison_key, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS bookmaker_key,
- array_to_string(regexp_extract_all(s_name, '\\d+'), ',') AS digits FROM supplier""")
+@query(""" SELECT client_id AS id, lower(trim(regexp_replace(coalesce(name, ''), '\\s+', ' ', 'g'))) AS comparison_key, regexp_replace(lower(coalesce(name, '')), '[^\\p{L}\\p{N}]', '', 'g') AS bookmaker_key,
+ array_to_string(regexp_extract_all(coalesce(email, ''), '\\d+'), ',') AS digits FROM clients""")
 def name_keys(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("id"), T.ascii_comparison_key(F.col("s_name")).alias("comparison_key"),
-        T.ascii_bookmaker_key(F.col("s_name")).alias("bookmaker_key"), F.array_join(T.digit_runs(F.col("s_name")), ",").alias("digits"),
-    )
+    """Keys of clients' names, of which many have letters outside ASCII."""
+    named = T.with_key(T.with_key(table(spark, sf_dir, "clients"), "name", "comparison_key"), "name", "bookmaker_key", "bookmaker")
+    digits = F.array_join(T.digit_runs(F.coalesce("email", F.lit(""))), ",").alias("digits")
+    return named.select(F.col("client_id").alias("id"), "comparison_key", "bookmaker_key", digits)
 
 
-@query("""WITH feeds AS (SELECT event_id AS id, 'book ' || CAST(user_id % 25 AS VARCHAR) AS name, user_id % 50 AS source_key FROM events),
-known AS (SELECT 'Book-' || CAST(s_suppkey AS VARCHAR) AS canonical, s_suppkey AS bookmaker_id FROM supplier)
-SELECT f.id, CASE WHEN source_key < 10 THEN source_key WHEN k.bookmaker_id IS NOT NULL THEN k.bookmaker_id END AS bookmaker_id, CASE WHEN source_key < 10 THEN 'mapping' WHEN k.bookmaker_id IS NOT NULL THEN 'name' ELSE 'new' END AS method
-FROM feeds f LEFT JOIN known k ON regexp_replace(lower(f.name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(k.canonical), '[^a-z0-9]', '', 'g')""")
+@query("""WITH feeds AS (SELECT event_id AS id, user_id % 25 AS number, user_id % 50 AS source_key FROM events)
+SELECT f.id, CASE WHEN source_key < 10 THEN source_key ELSE s_suppkey END AS bookmaker_id, CASE WHEN source_key < 10 THEN 'mapping' WHEN s_suppkey IS NOT NULL THEN 'name' ELSE 'new' END AS method
+FROM feeds f LEFT JOIN supplier ON s_suppkey = f.number""")
 def bookmaker_resolution(spark, sf_dir):
+    """Spellings that are one name once compatibility forms, case and signs are gone."""
+    spelled = F.element_at(F.array(*[F.lit(x) for x in ("strasse ", "ＳＴＲＡＳＳＥ ", "Straße-", " S.trasse (")]), (F.col("event_id") % 4 + 1).cast("int"))
     feeds = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), F.lit("p").alias("provider_id"), F.concat(F.lit("book "), (F.col("user_id") % 25).cast("string")).alias("name"),
+        F.col("event_id").alias("id"), F.lit("p").alias("provider_id"), F.concat(spelled, (F.col("user_id") % 25).cast("string")).alias("name"),
         (F.col("user_id") % 50).alias("source_bookmaker_id"),
     )
     known = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").cast("string").alias("bookmaker_id"), F.concat(F.lit("Book-"), F.col("s_suppkey").cast("string")).alias("canonical_name")
+        F.col("s_suppkey").cast("string").alias("bookmaker_id"), F.concat(F.lit("Straße "), F.col("s_suppkey").cast("string")).alias("canonical_name")
     )
     mappings = spark.range(10).select(F.lit("p").alias("provider_id"), F.col("id").alias("source_bookmaker_id"), F.col("id").cast("string").alias("bookmaker_id"))
-    out = I.resolve_bookmakers(feeds, known, mappings, T.ascii_bookmaker_key)
+    out = I.resolve_bookmakers(feeds, known, mappings)
     return out.select("id", F.when(F.col("method") != "new", F.col("bookmaker_id").cast("long")).alias("bookmaker_id"), "method")
 
 
@@ -767,6 +769,26 @@ def fuzzy_names(spark, sf_dir):
     return I.normalize_names(names, pool, aliases).select("name", "canonical_name", "confidence", "method")
 
 
+@query(r"""
+WITH name AS (SELECT DISTINCT lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS k FROM clients WHERE name IS NOT NULL
+), sorted AS (SELECT k, array_to_string(list_sort(string_split(k, ' ')), ' ') AS t FROM name WHERE k <> ''
+), text AS (SELECT DISTINCT t, length(t) AS n FROM sorted
+), masked AS (
+  -- a bit for each place of a letter
+  SELECT a.t AS x, b.t AS y, a.n, b.n AS m, (CAST(1 AS HUGEINT) << a.n) - 1 AS whole,
+    list_transform(string_split(b.t, ''), lambda c: list_sum(list_transform(range(1, a.n + 1), lambda i: CASE WHEN substr(a.t, i, 1) = c THEN CAST(1 AS HUGEINT) << (i - 1) ELSE CAST(0 AS HUGEINT) END))) AS masks
+  FROM text a JOIN text b ON a.t < b.t AND 200 * least(a.n, b.n) >= 85 * (a.n + b.n)
+), scored AS (
+  SELECT x, y, 200.0 * (n - bit_count(list_reduce(list_prepend(whole, list_transform(masks, lambda q: CAST(q AS HUGEINT))), lambda v, q: (v + (v & q) | (v - (v & q))) & whole))) / (n + m) AS score FROM masked
+), pair AS (SELECT x, y, score FROM scored WHERE score >= 85 UNION ALL SELECT t, t, 100.0 FROM text)
+SELECT least(a.k, b.k) AS key, greatest(a.k, b.k) AS other, round(score, 6) AS score FROM pair JOIN sorted a ON a.t = x JOIN sorted b ON b.t = y WHERE x <> y OR a.k < b.k""")
+def similar_client_names(spark, sf_dir):
+    """All pairs of clients' names that are at least 85 % alike."""
+    named = table(spark, sf_dir, "clients").filter("name is not null").select("name").distinct()
+    keys = named.select(F.lit("s").alias("scope"), F.lit("").alias("block"), T.comparison_key_udf()("name").alias("key")).distinct()
+    return Z.similar(keys, keys, 85.0).filter("key < other").select("key", "other", F.round("score", 6).alias("score"))
+
+
 @query()
 def resolved_fixtures(spark, sf_dir):
     """Events of the tape's users as fixtures of two sources, resolved in order (no SQL)."""

@@ -1,6 +1,7 @@
 """Golden values and small cases of the quote operators."""
 
 import random
+import statistics
 from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 
@@ -97,11 +98,16 @@ def test_outliers_at_the_threshold(spark):
     assert A.outliers(quotes(spark, [(1, 1, "1", 2, 0), (2, 2, "1", 3, 0)])).count() == 0
 
 
-def test_exact_median_of_even_numbers(spark):
-    rows = quotes(spark, [(i, i, "1", o, 0) for i, o in enumerate((2.000001, 2.000002))])
-    assert A.medians(rows).first().median == Decimal("2.000002") or A.medians(rows).first().median == Decimal("2.000001")
-    four = quotes(spark, [(i, i, "1", o, 0) for i, o in enumerate((1.5, 2.5, 3.5, 9))])
-    assert A.medians(four).first().median == Decimal("3.000000")
+def test_exact_medians_without_lists(spark, capsys):
+    rng, rows = random.Random(8), []
+    for g in range(30):
+        rows += [(g, Decimal(rng.randrange(100, 130)) / 100) for _ in range(rng.randrange(1, 40))] + [(g, None)]
+    df = spark.createDataFrame(rows + [(99, None)], "g int, odds decimal(18,6)")
+    got = {r.g: (r.n, r.median) for r in A.medians(df, ["g"]).collect()}
+    of = {g: [o for x, o in rows if x == g and o is not None] for g in range(30)}
+    assert got == {g: (len(v), statistics.median(v)) for g, v in of.items()}
+    A.medians(df, ["g"]).explain()
+    assert "collect_list" not in capsys.readouterr().out
 
 
 def test_lag_of_five_minutes(spark):
@@ -566,3 +572,64 @@ def test_sources_due(spark):
     runs = spark.createDataFrame([(1, "a", T0 - timedelta(hours=1), T0, "success", None, None)], RUNS)
     sources = spark.createDataFrame([("a", 4000), ("b", 4000)], "source string, min_interval_seconds int")
     assert [r.source for r in O.sources_due(runs, sources, now()).collect()] == ["b"]
+
+
+def test_offsets_of_timestamps(spark):
+    has = ["2026-01-01T10:00:00Z", "2026-01-01T10:00:00+01", "2026-01-01 10:00-0330", "2026-01-01T10:00:00.123+05:30", "2026-01-01T10:00:00+05:30:15", "20260101T1000-05"]
+    hasn = ["2026-01-01T10:00:00", "2026-01-01", "2026-01-01 10:00", "20260101T1000", "2026-01-01T10:00:00.123", ""]
+    df = spark.createDataFrame([(x,) for x in has + hasn + [None]], "t string")
+    assert [r.n for r in df.select(V.naive("t").alias("n")).collect()] == [False] * len(has) + [True] * len(hasn) + [False]
+
+
+def test_ids_tell_parts_apart(spark):
+    rows = spark.createDataFrame([("x", None), (None, "x"), ("x|y", "z"), ("x", "y|z"), ("x", "null")], "a string, b string")
+    ids = [r.i for r in rows.select(I.stable_id("team", F.col("a"), F.col("b")).alias("i")).collect()]
+    assert len(set(ids)) == 5 and all(len(i) == len("team-") + 32 for i in ids)
+    assert len({I._new_id("t", *p) for p in [("x", None), (None, "x"), ("x|y", "z"), ("x", "y|z"), ("x", "None")]}) == 5
+
+
+def test_keys_of_names_outside_ascii(spark):
+    names = ["Bet365", "Ｂｅｔ３６５", "Café  Bar", "Café Bar", "STRASSE", "Straße", None, " a\tb "]
+    df = spark.createDataFrame([(n,) for n in names * 2], "n string")
+    got = {(r.n, r.c, r.b) for r in T.with_key(T.with_key(df, "n", "c"), "n", "b", "bookmaker").collect()}
+    assert got == {(n, T.comparison_key(n), T.bookmaker_key(n)) for n in names}
+    assert T.with_key(df, "n", "c").count() == 16
+
+
+def _fixture(i, **k):
+    base = {"id": i, "seq": i, "sport": "football", "source": "s", "league": "Premier League", "country": "", "home_team": "Leeds", "away_team": "Everton", "start_time": T0}
+    base |= {c: None for c in ("source_event_id", "competition_source_id", "home_source_id", "away_source_id")}
+    return base | k
+
+
+_FIXTURE = "id long, seq long, sport string, source string, league string, country string, home_team string, away_team string, start_time timestamp, source_event_id string, competition_source_id string, home_source_id string, away_source_id string"
+
+
+def _resolved(spark, rows, **options):
+    found, entries = I.resolve(spark.createDataFrame([tuple(r.values()) for r in rows], _FIXTURE), **options)
+    return {r.id: r for r in found.collect()}, [r for r in entries.collect()]
+
+
+def test_a_drifted_id_is_not_trusted(spark):
+    rows = [_fixture(1, home_team="Manchester United", home_source_id="H"), _fixture(2, home_team="Leeds", home_source_id="H", source_event_id="E2", start_time=T0 + timedelta(days=1))]
+    _, log = _resolved(spark, rows)
+    state = {(e.kind, e.name): e.state for e in sorted(log, key=lambda e: e.no)}
+    assert state["team-id", "H"] in ("SUSPECT", "UNVERIFIED") and any(e.kind == "team-id" and e.state == "SUSPECT" for e in log)
+    assert state["team-name", "leeds"] == "UNVERIFIED" and state["event-id", "E2"] == "UNVERIFIED" and state["team-name", "everton"] == "VERIFIED"
+    assert [e.state for e in log if e.kind == "team" and e.name == "leeds"] == ["UNVERIFIED"]
+
+
+def test_reference_ids_keep_competitions_apart(spark):
+    rows = [_fixture(1, competition_source_id="L1", country=""), _fixture(2, competition_source_id="L2", start_time=T0 + timedelta(days=2))]
+    found, log = _resolved(spark, rows, reference="s")
+    assert len({e.target for e in log if e.kind == "competition"}) == 2 and found[1].event_id != found[2].event_id
+    assert len({e.target for e in _resolved(spark, rows)[1] if e.kind == "competition"}) == 1
+
+
+def test_a_name_outside_its_context_counts_by_hand_only(spark):
+    entry = lambda no, kind, name, target, method, context="": ("football", "", no, kind, "s", name, "|", context, target, "VERIFIED", method, None)
+    for method, used in (("manual", True), ("exact", False)):
+        log = [entry(0, "competition", "elsewhere", "c0", "unknown", "spain"), entry(1, "team", "leeds united", "t1", "unknown", "c0"), entry(2, "team-name", "leeds", "t1", method)]
+        catalogue = spark.createDataFrame(log, f"sport string, lot string, no long, {I.ENTRY}")
+        _, new = _resolved(spark, [_fixture(1)], catalogue=catalogue)
+        assert any(e.kind == "team" and e.target == "t1" for e in new) == used

@@ -10,7 +10,7 @@ import pytest
 from quotemill.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 @pytest.fixture(scope="module")
@@ -63,14 +63,14 @@ def test_fuzzy_names_equal_all_pairs(spark):
     got = {r.name: r for r in QUERIES["fuzzy_names"](spark, SF).collect()}
     asked = sorted({n[:-1] for n in names})
     assert sorted(got) == asked
-    for name in asked[:60]:
+    for name in asked:
         r, key = got[name], " ".join(name.lower().split())
         if key in pool:
             assert (r.method, r.canonical_name.lower(), r.confidence) == ("exact", key, 100)
             continue
         scores = sorted(((similarity(key, n), n) for n in pool), reverse=True)
         want = "unknown" if scores[0][0] < 80 else "ambiguous" if scores[0][0] - scores[1][0] < 5 else "fuzzy"
-        assert (r.method, r.confidence) == (want, pytest.approx(scores[0][0]))
+        assert (r.method, r.confidence) == (want, pytest.approx(scores[0][0] if scores[0][0] >= 75 else 0))
         assert r.canonical_name is None if want != "fuzzy" else r.canonical_name.lower() == scores[0][1]
 
 
