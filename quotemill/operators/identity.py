@@ -86,6 +86,30 @@ def match_by_time(records: DataFrame, events: DataFrame, key: list[str], toleran
     ).drop("_n", "_found")
 
 
+def nearest_by_time(records: DataFrame, events: DataFrame, key: list[str], tolerance: int) -> DataFrame:
+    """The event of the same key that starts nearest to a record, within ``tolerance`` seconds. Two events at the same
+    distance, before and after or at one time, are ambiguous and match none.
+
+    A two-sided as-of merge: records and events of a key in order of time, each record with the last event up to it and the
+    first from it on. Nothing is fanned out, however dense the calendar is."""
+    at = F.unix_micros(F.col("start_time").cast("timestamp")).alias("at")
+    starts = events.select(*key, at, "event_id").groupBy(*key, "at").agg(F.count("*").alias("n"), F.min("event_id").alias("event_id"))
+    hit = F.struct("at", "n", "event_id").alias("hit")
+    asked = records.select("id", *key, at)
+    both = asked.withColumn("hit", F.lit(None).cast(starts.select(hit).schema["hit"].dataType)).unionByName(starts.select(F.lit(None).cast(asked.schema["id"].dataType).alias("id"), *key, "at", hit))
+    # at equal times the event comes first, in either direction
+    upto, onward = (Window.partitionBy(*key).orderBy(o("at"), F.desc(F.col("hit").isNotNull())).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc, F.desc))
+    sides = both.withColumn("b", F.last("hit", ignorenulls=True).over(upto)).withColumn("a", F.last("hit", ignorenulls=True).over(onward)).filter("hit is null")
+    before, after = F.col("at") - F.col("b.at"), F.col("a.at") - F.col("at")
+    least, limit = F.least(before, after), int(tolerance * 1_000_000)
+    best = F.when(F.coalesce(before, after + 1) <= F.coalesce(after, before), F.col("b")).otherwise(F.col("a"))
+    tie = (before == after) & (before > 0) | (best["n"] > 1)
+    found = sides.filter(least <= limit).select(F.col("id").alias("_id"), best["event_id"].alias("_e"), F.coalesce(tie, F.lit(False)).alias("_tie"))
+    out = records.join(found, F.col("id").eqNullSafe(F.col("_id")), "left")
+    result = F.when(F.col("_tie"), "ambiguous-event").when(F.col("_e").isNotNull(), "matched").otherwise("no-event-match")
+    return out.withColumn("event_id", F.when(~F.col("_tie"), F.col("_e"))).withColumn("result", result).drop("_id", "_e", "_tie")
+
+
 def normalize_names(
     names: DataFrame, pool: DataFrame, aliases: DataFrame, threshold: float = 80.0, margin: float = 5.0, tokens: dict[str, str] | None = None
 ) -> DataFrame:

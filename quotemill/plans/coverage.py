@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import analysis as A
 from ..operators import identity as I
 from ..operators import mappings as M
+from ..operators import merging as G
 from ..operators import operations as O
 from ..operators import quotes as Q
 from ..operators import sinks
@@ -221,13 +222,24 @@ def waiting_mappings(spark, sf_dir):
     return M.listing({"by line": lines, "by order": orders})
 
 
-@query("""SELECT p_partkey AS source_id, 'SUSPECT' AS trust_state FROM part WHERE p_size % 3 = 0 AND p_partkey % 2 = 0""")
+@query(r"""
+WITH k AS (SELECT client_id AS source_id, name AS was, CASE client_id % 4 WHEN 0 THEN substr(name, 2) WHEN 1 THEN upper(name) WHEN 2 THEN substr(name, 5) ELSE name || ' U21' END AS now FROM clients WHERE name IS NOT NULL AND client_id % 3 <> 0
+), s AS (SELECT source_id, array_to_string(list_sort(string_split(lower(trim(was)), ' ')), ' ') AS x, array_to_string(list_sort(string_split(lower(trim(now)), ' ')), ' ') AS y, regexp_extract_all(was, '[0-9]+') = regexp_extract_all(now, '[0-9]+') AS marks FROM k
+), m AS (
+  SELECT source_id, x, y, marks, (CAST(1 AS HUGEINT) << length(x)) - 1 AS whole,
+    list_transform(string_split(y, ''), lambda c: list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN substr(x, i, 1) = c THEN CAST(1 AS HUGEINT) << (i - 1) ELSE CAST(0 AS HUGEINT) END))) AS masks FROM s
+), r AS (SELECT source_id, x, y, marks, 200.0 * (length(x) - bit_count(list_reduce(list_prepend(whole, list_transform(masks, lambda q: CAST(q AS HUGEINT))), lambda v, q: (v + (v & q) | (v - (v & q))) & whole))) / (length(x) + length(y)) AS ratio FROM m)
+SELECT source_id, 'SUSPECT' AS trust_state FROM r WHERE NOT (x = y OR (marks AND ratio >= 85))""")
 def drifted_mappings(spark, sf_dir):
-    """Verified ids that now come with another name."""
-    part = table(spark, sf_dir, "part")
-    known = part.select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("verified_name"), F.when(F.col("p_partkey") % 2 == 0, "VERIFIED").otherwise("UNVERIFIED").alias("trust_state"))
-    seen = part.select(F.col("p_partkey").alias("source_id"), F.when(F.col("p_size") % 3 == 0, F.reverse("p_name")).otherwise(F.upper("p_name")).alias("name"))
-    return M.drifted(known, seen, ["source_id"], F.lower("name") == F.lower("verified_name")).select("source_id", "trust_state")
+    """Verified ids that now come with a name that isn't like the verified one: letters lost, upper case, a youth team."""
+    named = table(spark, sf_dir, "clients").filter("name is not null")
+    known = named.select(F.col("client_id").alias("source_id"), F.col("name").alias("verified_name"), F.when(F.col("client_id") % 3 != 0, "VERIFIED").otherwise("UNVERIFIED").alias("trust_state"))
+    kind = F.col("client_id") % 4
+    now = F.when(kind == 0, F.substring("name", 2, 999)).when(kind == 1, F.upper("name")).when(kind == 2, F.substring("name", 5, 999)).otherwise(F.concat("name", F.lit(" U21")))
+    both = known.join(named.select(F.col("client_id").alias("source_id"), now.alias("name")), "source_id")
+    keyed = T.with_key(T.with_key(both, "verified_name", "was"), "name", "is")
+    like = T.alike(F.col("is"), F.col("was"), T.ratio_udf()("is", "was"))
+    return M.drifted(keyed.drop("name"), keyed.select("source_id", "name"), ["source_id"], like).select("source_id", "trust_state")
 
 
 @query(_IDENTITY + """ SELECT competition_id, canonical_name, sport, id FROM (SELECT DISTINCT competition_id, home_team_id AS t FROM evs UNION SELECT DISTINCT competition_id, away_team_id FROM evs) JOIN teams ON teams.id = t""")
@@ -252,10 +264,10 @@ def known_event_match(spark, sf_dir):
     return known_events(records, events)
 
 
-@query(_IDENTITY + " SELECT id, home_team_id FROM evs WHERE competition_id = 7")
+@query(_IDENTITY + " SELECT id, home_team_id FROM evs WHERE competition_id = 9")
 def events_of_competition(spark, sf_dir):
     t = _identity(spark, sf_dir)["events"].withColumn("sport", F.col("competition_id").cast("string"))
-    return O.events_of(t, "7").select("id", "home_team_id")
+    return O.events_of(t, "9").select("id", "home_team_id")
 
 
 _KIND = "CASE {0} % 7 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'REFERENCE' ELSE 'PROVISIONAL' END"
@@ -390,3 +402,52 @@ def state_tokens(spark, sf_dir):
     state = F.concat(F.lit('<script id="app-state" type="application/json">{&q;a&q;:1,&q;auth&q;: &q;tok'), F.col("page_id").cast("string"), F.lit("&q;}</script>"))
     html = F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 3 == 0, "<script>{}</script>").otherwise(state))
     return table(spark, sf_dir, "pages").select("page_id", landing.state_token(html, "app-state", "auth").alias("token"))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS event_id, o_custkey % 50 AS k, o_orderdate + to_minutes(CAST(o_orderkey % 7 * 100 AS INT)) AS start_time FROM orders),
+r AS (SELECT o_orderkey AS id, o_custkey % 50 AS k, o_orderdate + to_minutes(CAST(o_orderkey % 60 * 15 AS INT)) AS at FROM orders),
+hits AS (SELECT r.id, e.event_id, rank() OVER (PARTITION BY r.id ORDER BY abs(epoch(e.start_time) - epoch(r.at))) AS o FROM r JOIN e ON e.k = r.k AND abs(epoch(e.start_time) - epoch(r.at)) <= 10800),
+best AS (SELECT id, count(*) AS n, min(event_id) AS event_id FROM hits WHERE o = 1 GROUP BY id)
+SELECT r.id, CASE WHEN n = 1 THEN event_id END AS event_id, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous-event' ELSE 'no-event-match' END AS result FROM r LEFT JOIN best ON best.id = r.id""")
+def nearest_event(spark, sf_dir):
+    """The event nearest in time, before or after."""
+    o, at, minutes = table(spark, sf_dir, "orders"), F.col("o_orderdate").cast("timestamp_ntz"), lambda c: F.make_dt_interval(mins=c.cast("int"))
+    k = (F.col("o_custkey") % 50).alias("k")
+    events = o.select(F.col("o_orderkey").alias("event_id"), k, (at + minutes(F.col("o_orderkey") % 7 * 100)).alias("start_time"))
+    records = o.select(F.col("o_orderkey").alias("id"), k, (at + minutes(F.col("o_orderkey") % 60 * 15)).alias("start_time"))
+    return I.nearest_by_time(records, events, ["k"], 10_800).select("id", "event_id", "result")
+
+
+@query("""WITH new AS (
+  SELECT client_id, CASE WHEN client_id % 50 = 0 THEN city ELSE name END AS name, CASE WHEN client_id % 50 = 0 THEN name WHEN client_id % 60 = 3 THEN NULL ELSE city END AS city, balance FROM clients WHERE client_id % 70 <> 1
+  UNION ALL SELECT client_id, name, city, balance FROM clients WHERE client_id % 90 = 2
+), sides AS (SELECT client_id, name, city, balance, -1 AS n FROM clients UNION ALL SELECT *, 1 FROM new)
+SELECT client_id, name, city, balance, CAST(sum(n) AS BIGINT) AS copies FROM sides GROUP BY ALL HAVING sum(n) <> 0""")
+def snapshot_difference(spark, sf_dir):
+    """Clients and a later version of them: rows changed, values moved between columns, rows gone and doubled."""
+    old, i = table(spark, sf_dir, "clients").select("client_id", "name", "city", "balance"), F.col("client_id")
+    moved = F.when(i % 50 == 0, F.col("city")).otherwise(F.col("name"))
+    city = F.when(i % 50 == 0, F.col("name")).when(i % 60 == 3, None).otherwise(F.col("city"))
+    new = old.filter(i % 70 != 1).select("client_id", moved.alias("name"), city.alias("city"), "balance").unionByName(old.filter(i % 90 == 2))
+    return landing.difference(old, new)
+
+
+def _duplicated(spark, sf_dir):
+    """Nations, customers and orders as identities of which many are doubles, with the ids that two sources have for events."""
+    nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    comps = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.lit("football").alias("sport"), F.lit("").alias("country"), (F.col("n_nationkey") % 17).cast("string").alias("name"))
+    teams = customer.select(F.col("c_custkey").cast("long").alias("id"), (F.col("c_custkey") % 25).alias("competition_id"), F.concat(F.lit("t"), (F.floor(F.col("c_custkey") / 25) % 40).cast("string")).alias("name"))
+    # a team plays in its own competition, against one of the same
+    other = F.col("o_custkey") + 25 * (F.col("o_orderkey") % 5 + 1)
+    known = teams.select(F.col("id").alias("away_team_id")).withColumn("_k", F.col("away_team_id"))
+    events = orders.withColumn("_o", other).join(known, F.col("_o") == F.col("_k")).select(
+        F.col("o_orderkey").cast("long").alias("id"), (F.col("o_custkey") % 25).alias("competition_id"), F.col("o_custkey").cast("long").alias("home_team_id"), "away_team_id", F.col("o_orderdate").alias("start_time")
+    )
+    ids = events.filter("id % 9 = 0").select(F.lit("a").alias("source"), F.floor(F.col("id") / 1800).cast("string").alias("source_event_id"), F.col("id").alias("event_id"))
+    return comps, teams, events, ids
+
+
+@query()
+def merged_identities(spark, sf_dir):
+    """Doubles of competitions, teams and events merged to a fixpoint (no SQL: tested against a union-find)."""
+    return G.merged(*_duplicated(spark, sf_dir))

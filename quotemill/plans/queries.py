@@ -475,14 +475,17 @@ def active_counts(spark, sf_dir):
 
 _IDENTITY = """
 WITH teams AS (SELECT c_custkey AS id, c_name AS canonical_name, c_mktsegment AS sport, CASE WHEN c_custkey % 5 = 0 THEN 'ref' END AS reference_provider FROM customer
-), evs AS (SELECT o_orderkey AS id, o_custkey AS home_team_id, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS away_team_id, o_custkey % 30 AS competition_id, o_orderdate AS start_time FROM orders
+), evs AS (SELECT o_orderkey AS id, o_custkey - o_custkey % 3 AS home_team_id, a - a % 3 AS away_team_id, o_custkey % 10 * 3 AS competition_id, o_orderdate AS start_time FROM (SELECT *, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS a FROM orders)
 ), comps AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS canonical_name, CASE WHEN n_regionkey = 0 THEN '' ELSE CAST(n_regionkey AS VARCHAR) END AS country FROM nation
-), maps AS (SELECT l_partkey % (SELECT count(*) FROM customer) AS team_id, 'src' || CAST(l_suppkey % 4 AS VARCHAR) AS source, l_orderkey % 997 AS source_id, CASE l_linenumber WHEN 1 THEN 'VERIFIED' WHEN 2 THEN 'UNVERIFIED' WHEN 3 THEN 'SUSPECT' WHEN 4 THEN 'REJECTED' ELSE 'ODD' END AS trust_state FROM lineitem
+), maps AS (SELECT t - t % 4 AS team_id, 'src' || CAST(l_suppkey % 4 AS VARCHAR) AS source, l_orderkey % 997 AS source_id, CASE (l_partkey // 4 + l_linenumber // 6) % 7 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'SUSPECT' WHEN 2 THEN 'REJECTED' WHEN 3 THEN 'ODD' ELSE 'UNVERIFIED' END AS trust_state FROM (SELECT *, l_partkey % (SELECT count(*) FROM customer) AS t FROM lineitem)
 )"""
 
 
 def _identity(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Customers, orders, nations and line items read as teams, events, competitions and mappings."""
+    """Customers, orders, nations and line items read as teams, events, competitions and mappings. One team in three
+    plays and one in four is mapped, so there are orphans, used and unused competitions, and mappings of each state."""
+    down = lambda c, n: c - c % n
+    state = (F.floor(F.col("l_partkey") / 4) + F.floor(F.col("l_linenumber") / 6)) % 7
     customer = table(spark, sf_dir, "customer")
     # one row, as a scalar subquery of the plan
     n = customer.agg(F.count("*").alias("_n"))
@@ -492,8 +495,8 @@ def _identity(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.when(F.col("c_custkey") % 5 == 0, "ref").alias("reference_provider"),
         ),
         "events": table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select(
-            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("home_team_id"),
-            ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % F.col("_n")).alias("away_team_id"), (F.col("o_custkey") % 30).alias("competition_id"),
+            F.col("o_orderkey").alias("id"), down(F.col("o_custkey"), 3).alias("home_team_id"),
+            down((F.col("o_custkey") * 7 + F.col("o_orderkey")) % F.col("_n"), 3).alias("away_team_id"), (F.col("o_custkey") % 10 * 3).alias("competition_id"),
             F.col("o_orderdate").cast("timestamp_ntz").alias("start_time"),
         ),
         "competitions": table(spark, sf_dir, "nation").select(
@@ -501,10 +504,9 @@ def _identity(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.when(F.col("n_regionkey") == 0, "").otherwise(F.col("n_regionkey").cast("string")).alias("country"),
         ),
         "mappings": table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n)).select(
-            (F.col("l_partkey") % F.col("_n")).alias("team_id"), F.concat(F.lit("src"), (F.col("l_suppkey") % 4).cast("string")).alias("source"),
+            down(F.col("l_partkey") % F.col("_n"), 4).alias("team_id"), F.concat(F.lit("src"), (F.col("l_suppkey") % 4).cast("string")).alias("source"),
             (F.col("l_orderkey") % 997).alias("source_id"),
-            F.when(F.col("l_linenumber") == 1, "VERIFIED").when(F.col("l_linenumber") == 2, "UNVERIFIED").when(F.col("l_linenumber") == 3, "SUSPECT")
-            .when(F.col("l_linenumber") == 4, "REJECTED").otherwise("ODD").alias("trust_state"),
+            F.when(state == 0, "VERIFIED").when(state == 1, "SUSPECT").when(state == 2, "REJECTED").when(state == 3, "ODD").otherwise("UNVERIFIED").alias("trust_state"),
         ),
     }
 
@@ -683,13 +685,14 @@ def kickoff_sync(spark, sf_dir):
     return M.synced_kickoffs(events, first.unionByName(second), "ref").select("id", "start_time")
 
 
-@query(_IDENTITY + """, held AS (SELECT id, CASE WHEN id % 5 = 0 THEN CAST(id % 100 AS VARCHAR) END AS ref FROM teams), claims AS (SELECT DISTINCT team_id AS id, CAST(source_id % 300 AS VARCHAR) AS ref FROM maps WHERE source = 'src1')
+@query(_IDENTITY + """, held AS (SELECT id, CASE WHEN id % 5 = 0 THEN CAST(id % 1000 AS VARCHAR) END AS ref FROM teams), claims AS (SELECT DISTINCT team_id AS id, CAST(CASE WHEN source_id % 5 = 0 THEN team_id % 1000 ELSE source_id * 1000 + team_id % 1000 END AS VARCHAR) AS ref FROM maps WHERE source = 'src1')
 SELECT id, ref FROM claims WHERE (SELECT count(*) FROM claims c WHERE c.ref = claims.ref) = 1 AND NOT EXISTS (SELECT 1 FROM held WHERE held.ref = claims.ref)
  AND NOT EXISTS (SELECT 1 FROM held WHERE held.id = claims.id AND held.ref IS NOT NULL) AND EXISTS (SELECT 1 FROM held WHERE held.id = claims.id)""")
 def promotable_references(spark, sf_dir):
     t = _identity(spark, sf_dir)
-    held = t["teams"].select("id", F.lit("r").alias("reference_provider"), F.when(F.col("id") % 5 == 0, (F.col("id") % 100).cast("string")).alias("reference_provider_id"))
-    claims = t["mappings"].filter("source = 'src1'").select(F.col("team_id").alias("id"), F.lit("r").alias("reference_provider"), (F.col("source_id") % 300).cast("string").alias("reference_provider_id")).distinct()
+    held = t["teams"].select("id", F.lit("r").alias("reference_provider"), F.when(F.col("id") % 5 == 0, (F.col("id") % 1000).cast("string")).alias("reference_provider_id"))
+    claimed = F.when(F.col("source_id") % 5 == 0, F.col("team_id") % 1000).otherwise(F.col("source_id") * 1000 + F.col("team_id") % 1000)
+    claims = t["mappings"].filter("source = 'src1'").select(F.col("team_id").alias("id"), F.lit("r").alias("reference_provider"), claimed.cast("string").alias("reference_provider_id")).distinct()
     return M.promotable(held, claims).select("id", F.col("reference_provider_id").alias("ref"))
 
 

@@ -180,10 +180,59 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str, version: str) -> D
     return read_manifest(spark, folder, version)
 
 
+#: Hex digits of the nodes of a digest tree, root first: each but the lowest has 256 children at most.
+LEVELS = (0, 2, 4, 6)
+
+
+def _row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a row as JSON, nulls and names of columns included, times in UTC."""
+    how = {"ignoreNullFields": "false", "timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), how), 256)
+
+
+def tree(df: DataFrame) -> DataFrame:
+    """The digest tree of a table: (level, prefix, rows, digest). Equal rows are counted first; a node is the rows whose
+    digest begins with its prefix, and its digest that of its children in order. The root, which always
+    exists, stands for the whole table whatever the order of its rows."""
+    counted = df.select(_row_digest(df).alias("d")).groupBy("d").agg(F.count("*").alias("rows"))
+    nodes, out = counted.select(F.col("d").alias("prefix"), "rows", F.concat_ws(":", "d", "rows").alias("digest")), None
+    for level in reversed(LEVELS):
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda x: x["digest"]), ",")
+        grouped = nodes.groupBy(F.substring("prefix", 1, level).alias("p")) if level else nodes.groupBy(F.lit("").alias("p"))
+        nodes = grouped.agg(F.sum("rows").alias("rows"), F.sha2(children, 256).alias("digest")).select(F.col("p").alias("prefix"), "rows", "digest")
+        if not level:  # of nothing as well
+            nodes = nodes.groupBy().agg(F.lit("").alias("prefix"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"))
+        one = nodes.select(F.lit(level).alias("level"), "prefix", "rows", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """One row: number of rows and an order-free sum of row hashes."""
-    row = F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+    """One row: number of rows and the root of the digest tree."""
+    return tree(df).filter("level = 0").select("rows", "digest")
+
+
+def unequal_leaves(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(prefix): leaves in which two trees differ, found from the root down: only children of unequal nodes are compared."""
+    found = None
+    for level in LEVELS:
+        a, b = (t.filter(F.col("level") == level) for t in (old, new))
+        both = a.select("prefix", F.col("digest").alias("x")).join(b.select("prefix", F.col("digest").alias("y")), "prefix", "full")
+        if found is not None:
+            both = both.withColumn("above", F.substring("prefix", 1, level - 2)).join(found.withColumnRenamed("prefix", "above"), "above", "left_semi")
+        found = both.filter(~F.col("x").eqNullSafe(F.col("y"))).select("prefix")
+    return found
+
+
+def difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows that ``new`` has more often than ``old`` (``copies`` > 0) or less often (< 0), with all their columns. Rows of
+    leaves that agree are never compared."""
+    leaves = unequal_leaves(tree(old), tree(new))
+    side = lambda df, n: df.withColumn("_d", _row_digest(df)).withColumn("_p", F.substring("_d", 1, LEVELS[-1])).withColumn("_n", F.lit(n))
+    rows = side(old, -1).unionByName(side(new, 1)).join(leaves, F.col("_p") == F.col("prefix"), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in new.columns])
+    changed = rows.groupBy("_d").agg(F.sum("_n").alias("copies"), F.first(whole).alias("r")).filter("copies <> 0")
+    return changed.select("r.*", "copies")
 
 
 def read_manifest(spark: SparkSession, folder: str, version: str) -> DataFrame:

@@ -54,7 +54,7 @@ def similarity(a, b):
 
 
 def test_only_these_have_no_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_names", "resolved_fixtures"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_names", "resolved_fixtures", "merged_identities"}
 
 
 def test_fuzzy_names_equal_all_pairs(spark):
