@@ -5,11 +5,11 @@ order, n and m are the lengths. A bigram of one text survives in the other unles
 something comes between them. So texts of L common letters share at least 3 L - (n + m) - 1 bigrams, counted with
 repeats, and L single letters. With the threshold this bounds from below what a pair must share:
 
-* two bigrams or more: both texts have two of the common ones among their rarest (all but the bound, plus two), so
-  pairs meet on pairs of bigrams, of which there are enough to keep buckets small;
-* one bigram: on their rarest bigrams; none (short texts): on their rarest letters.
+* c bigrams: of the common ones both texts have r among their rarest, which are all but c, plus r. Pairs meet on sets of
+  r = 3 if c is at least 5, on 2 if c is at least 2, else on one: sets keep buckets small where names are of the same syllables;
+* none (short texts): on their rarest letters.
 
-Which of these holds depends on n + m alone, so a text makes keys for each that some admissible length leads to.
+Which of these holds depends on n + m alone, so a text makes keys for each that a partner's length can lead to.
 Pairs that meet are made distinct, counted, and only then compared. No pair at or above the threshold is lost.
 """
 
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Longest text with bounds of its own; those of longer ones are taken from the formula by length classes of the same kind.
+#: Texts of more letters share the bounds of the longest of these.
 _TABLE = 256
+#: Most letters of a pair that meets on three bigrams: longer texts would have too many sets of three.
+_THREE = 48
 
 
 def common_letters(total: int, threshold: float) -> int:
@@ -35,22 +37,21 @@ def shared_bigrams(total: int, threshold: float) -> int:
     return 3 * common_letters(total, threshold) - total - 1
 
 
-def _bounds(n: int, threshold: float) -> tuple[int | None, bool, int | None]:
-    """For a text of n letters: the fewest bigrams that it shares with any partner of which two or more are due (or None),
-    whether one is due with some partner, and the fewest letters with partners that need share no bigram."""
-    two, one, letters = [], False, []
+def _regime(total: int, threshold: float) -> int:
+    """On how many bigrams at once pairs of ``total`` letters meet; 0: on a letter."""
+    c = shared_bigrams(total, threshold)
+    return 3 if c >= 5 and total <= _THREE else 2 if c >= 2 else max(c, 0)
+
+
+def _bounds(n: int, threshold: float) -> dict[int, int]:
+    """For a text of n letters, by regime: the fewest bigrams (in regime 0: letters) that it shares with a partner of it."""
+    out: dict[int, int] = {}
     for m in range(1, int(n * (200 / threshold - 1)) + 2 if n else 1):
         need = common_letters(n + m, threshold)
-        if need > min(n, m):
-            continue
-        c = shared_bigrams(n + m, threshold)
-        if c >= 2:
-            two.append(c)
-        elif c == 1:
-            one = True
-        else:
-            letters.append(need)
-    return min(two, default=None), one, min(letters, default=None)
+        if need <= min(n, m):
+            r = _regime(n + m, threshold)
+            out[r] = min(out.get(r, 1 << 20), shared_bigrams(n + m, threshold) if r else need)
+    return out
 
 
 def _numbered(items: Column) -> Column:
@@ -66,50 +67,59 @@ def _by_rarity(texts: DataFrame, items: str, out: str) -> DataFrame:
     return ranked.select("scope", "block", "text", F.col("r.h").alias(out))
 
 
-def _keys(threshold: float):
-    """Columns n, grams, letters -> keys of a text."""
+def _choices(threshold: float) -> Column:
+    """Columns n, bag, letters -> for each regime that a partner of the text can lead to: (r, items), its rarest bigrams or letters."""
     table = [_bounds(n, threshold) for n in range(_TABLE)]
+    # beyond the table bounds only grow, so those of its last row are safe
     at = F.least(F.col("n"), F.lit(_TABLE - 1)) + 1
-    # beyond the table: bounds grow with the length, so those of its last row are safe
-    take = lambda i, none: F.element_at(F.array(*[F.lit(none if row[i] is None else int(row[i])) for row in table]), at)
-    two, one, few = take(0, 0), take(1, 0), take(2, 0)
-    size, letters = F.size("grams"), F.size("letters")
-    head = lambda items, k: F.slice(items, F.lit(1), F.greatest(k, F.lit(0)))
-    long = head(F.col("grams"), F.least(size, size - two + 2))
-    pairs = F.flatten(F.transform(long, lambda a, i: F.transform(F.slice(long, i + 2, F.size(long)), lambda b: F.xxhash64(F.lit(2), a, b))))
-    none = F.array().cast("array<bigint>")
-    return F.array_distinct(
-        F.concat(
-            F.when(two > 0, pairs).otherwise(none),
-            F.when(one > 0, F.transform("grams", lambda a: F.xxhash64(F.lit(1), a))).otherwise(none),
-            F.when(few > 0, F.transform(head(F.col("letters"), letters - few + 1), lambda a: F.xxhash64(F.lit(0), a))).otherwise(none),
-        )
-    )
-
-
-def _indexed(texts: DataFrame, threshold: float) -> DataFrame:
-    """(scope, block, text) -> scope, block, text, n, bag, k: a row a key. ``bag``: its bigrams as hashes."""
+    out = []
+    for r in range(4):
+        items, due = F.col("bag" if r else "letters"), F.element_at(F.array(*[F.lit(row.get(r, 0)) for row in table]), at)
+        count = F.greatest(F.least(F.size(items), F.size(items) - due + max(r, 1)), F.lit(0))
+        out.append(F.when(due > 0, F.struct(F.lit(r).alias("r"), F.slice(items, F.lit(1), count).alias("items"))))
+    return F.array(*out)
+
+
+def _sets(r: int) -> Column:
+    """Column items -> hashes of all sets of r of them (in regime 0: of each)."""
+
+    def more(left: int, begin: Column, chosen: list[Column]) -> Column:
+        each = lambda x, i: F.xxhash64(F.lit(r), *chosen, x) if left <= 1 else more(left - 1, begin + i + 1, [*chosen, x])
+        found = F.transform(F.slice("items", begin, F.greatest(F.size("items"), F.lit(1))), each)
+        return found if left <= 1 else F.flatten(found)
+
+    return more(r, F.lit(1), [])
+
+
+def _indexed(texts: DataFrame) -> DataFrame:
+    """(scope, block, text, side) -> with n, and bag and letters: hashes of its bigrams and letters, the rarest first."""
     n = F.char_length("text")
     letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("text"), i, F.lit(1)))
     grams = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("text"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    named = texts.filter(n > 0).withColumns({"n": n, "letters": letters, "grams": grams}).withColumns({"letters": _numbered(F.col("letters")), "grams": _numbered(F.col("grams"))})
-    plain = named.select("scope", "block", "text", "n")
-    out = plain.join(_by_rarity(named, "grams", "grams"), ["scope", "block", "text"], "left").join(_by_rarity(named, "letters", "letters"), ["scope", "block", "text"], "left")
-    out = out.withColumn("grams", F.coalesce("grams", F.array().cast("array<bigint>")))
-    return out.select("scope", "block", "text", "n", F.col("grams").alias("bag"), F.explode(_keys(threshold)).alias("k"))
+    named = texts.filter(n > 0).withColumns({"letters": letters, "bag": grams}).withColumns({"letters": _numbered(F.col("letters")), "bag": _numbered(F.col("bag"))})
+    key = ["scope", "block", "text"]
+    out = texts.filter(n > 0).withColumn("n", n).join(_by_rarity(named, "bag", "bag"), key, "left").join(_by_rarity(named, "letters", "letters"), key)
+    return out.withColumn("bag", F.coalesce("bag", F.array().cast("array<bigint>")))
 
 
 def candidates(texts: DataFrame, threshold: float) -> DataFrame:
     """``texts`` (scope, block, text, side: 1 asked, 2 known, 3 both) -> distinct pairs (scope, block, text, other) that
     share as much as the threshold asks for."""
-    once = texts.groupBy("scope", "block", "text").agg(F.bit_or("side").alias("side"))
-    index = _indexed(once.select("scope", "block", "text"), threshold).join(once, ["scope", "block", "text"])
-    a = index.filter(F.col("side").bitwiseAND(1) > 0).drop("side")
-    b = index.filter(F.col("side").bitwiseAND(2) > 0).select("scope", "block", "k", F.col("text").alias("other"), F.col("n").alias("m"), F.col("bag").alias("bag2"))
-    total = F.col("n") + F.col("m")
-    need = F.ceil(F.lit(threshold) * total / 200 - 1e-9)
-    fits = (F.col("text") != F.col("other")) & (need <= F.least("n", "m")) & (F.size(F.array_intersect("bag", "bag2")) >= 3 * need - total - 1)
-    return a.join(b, ["scope", "block", "k"]).filter(fits).select("scope", "block", "text", "other").distinct()
+    index = _indexed(texts.groupBy("scope", "block", "text").agg(F.bit_or("side").alias("side")))
+    # what meets on keys is narrow: a hash of the text and its length
+    chosen = index.select("scope", "block", "side", "n", F.xxhash64("text").alias("h"), F.inline(_choices(threshold))).filter("r is not null")
+    sets = F.when(F.col("r") == 3, _sets(3)).when(F.col("r") == 2, _sets(2)).when(F.col("r") == 1, _sets(1)).otherwise(_sets(0))
+    slim = chosen.select("scope", "block", "side", "n", "h", F.explode(sets).alias("k"))
+    a = slim.filter(F.col("side").bitwiseAND(1) > 0).drop("side")
+    b = slim.filter(F.col("side").bitwiseAND(2) > 0).select("scope", "block", "k", F.col("h").alias("h2"), F.col("n").alias("m"))
+    need = lambda: F.ceil(F.lit(threshold) * (F.col("n") + F.col("m")) / 200 - 1e-9)
+    met = a.join(b, ["scope", "block", "k"]).filter((F.col("h") != F.col("h2")) & (need() <= F.least("n", "m"))).select("scope", "block", "h", "h2").distinct()
+    whole = index.select("scope", "block", F.xxhash64("text").alias("h"), "text", "n", "bag", "side")
+    left = whole.filter(F.col("side").bitwiseAND(1) > 0).drop("side")
+    right = whole.filter(F.col("side").bitwiseAND(2) > 0).select("scope", "block", F.col("h").alias("h2"), F.col("text").alias("other"), F.col("n").alias("m"), F.col("bag").alias("bag2"))
+    both = met.join(left, ["scope", "block", "h"]).join(right, ["scope", "block", "h2"])
+    enough = F.size(F.array_intersect("bag", "bag2")) >= 3 * need() - (F.col("n") + F.col("m")) - 1
+    return both.filter(enough & (F.col("text") != F.col("other"))).select("scope", "block", "text", "other")
 
 
 def similar(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
