@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder of spark.checkpoint.dir; in local mode, where none is named, in one of its own."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -28,7 +28,7 @@ def _cut(df: DataFrame) -> DataFrame:
 def connected(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) -> (id, label): of each id but the smallest of its group, that smallest. Every node is linked to the smallest
     of its neighbours, its larger and its smaller ones in turn, so that paths halve; a hub's links become a star's."""
-    edges = _cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         # larger neighbours go to the smallest neighbour, or the node itself
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,7 +37,7 @@ def connected(pairs: DataFrame) -> DataFrame:
         # smaller neighbours, and the node, go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        new = _cut(small.distinct())
+        new = cut(small.distinct())
         if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
             return new.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
         edges = new
@@ -78,9 +78,9 @@ def merged(competitions: DataFrame, teams: DataFrame, events: DataFrame, event_i
             "team": _same(of(named(teams, "team"), "competition_id", "competition"), ["competition_id_is", "name"]).unionByName(by_source("home_team_id_is")).unionByName(by_source("away_team_id_is")),
             "event": _same(known, [*parts, "start_time"]).unionByName(by_source("label")),
         }
-        moved = {k: _cut(connected(p)) for k, p in pairs.items()}
+        moved = {k: cut(connected(p)) for k, p in pairs.items()}
         if all(m.isEmpty() for m in moved.values()):
             break
-        state = {k: _cut(_relabelled(labels, moved[k])) for k, labels in state.items()}
+        state = {k: cut(_relabelled(labels, moved[k])) for k, labels in state.items()}
     rows = [labels.filter("id <> label").select(F.lit(k).alias("kind"), "id", F.col("label").alias("survivor_id")) for k, labels in state.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merging import cut
+
 ACTIVE, RESOLVED, EXPIRED = "ACTIVE", "RESOLVED", "EXPIRED"
 TERMINAL = ("finished", "postponed_or_canceled")
 
@@ -72,7 +74,7 @@ def _first_over(found: DataFrame, sweeps: DataFrame, starts: DataFrame, lifecycl
     late = F.greatest("sweep_ts", F.col("_start") + F.make_dt_interval(hours=F.lit(ttl_hours)))
     rows = found.join(begun, "event_id", "left").withColumn("_late", F.when(F.col("_start").isNotNull(), late)).drop("_start")
     times = [rows.select(F.col("_late").alias("at")), rows.select(F.col("sweep_ts").alias("at")), ended.select(F.col("_since").alias("at")), ended.select(F.col("_until").alias("at"))]
-    near = around(times[0].unionByName(times[1]).unionByName(times[2]).unionByName(times[3]), sweeps)
+    near = cut(around(times[0].unionByName(times[1]).unionByName(times[2]).unionByName(times[3]), sweeps))
 
     def looked_up(df: DataFrame, at: str, what: str, out: str) -> DataFrame:
         return df.join(near.select(F.col("at").alias(at), F.col(what).alias(out)), at, "left")
@@ -99,7 +101,8 @@ def signals(
     """A row for each finding: key, sweep_ts, edge, found_event (created, reactivated, edge_peak or null), ended_at
     and ended_as (null while it holds or was found again), status after it, episode, peak_edge so far in
     the episode. ``key`` has event_id; ``sweeps`` (sweep_ts) are all that ran; ``starts`` (event_id, start_time)."""
-    found = _first_over(findings(candidates, evaluated, key), sweeps, starts, lifecycle, ttl_hours)
+    # read many times below; what precedes it can be a whole detection
+    found = _first_over(cut(findings(candidates, evaluated, key)), sweeps, starts, lifecycle, ttl_hours)
     expired = F.col("over_at").isNotNull() & (F.col("next_ts").isNull() | (F.col("over_at") < F.col("next_ts")))
     resolved = F.col("next_ts").isNotNull() & ~F.col("next_found")
     rows = found.withColumn("ended_as", F.when(expired, EXPIRED).when(resolved, RESOLVED)).withColumn("ended_at", F.when(expired, F.col("over_at")).when(resolved, F.col("next_ts")))
