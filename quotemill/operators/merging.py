@@ -19,7 +19,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not named and not spark.sparkContext.master.startswith("local["):
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quotemill-"))
     return df.checkpoint(eager=True)
