@@ -99,46 +99,3 @@ def backfilled(rows: DataFrame, column: str, lookup: DataFrame, on: str, value:
     """``column`` filled from a lookup where it is null (the smallest of several values)."""
     found = lookup.groupBy(F.col(on).alias("_k")).agg(F.min(value).alias("_v"))
     return rows.join(found, F.col(on) == F.col("_k"), "left").withColumn(column, F.coalesce(column, "_v")).drop("_k", "_v")
-
-
-def audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """(severity, code, n): every finding of the identity audit that has rows.
-
-    ``tables``: events, teams, competitions (with identity_status), and the mapping views
-    team, competition, event, team_id, competition_id by name ``<name>_mappings``, those of ids
-    with source, sport, source_id and target_id.
-    """
-    from . import operations as O
-
-    found: list[tuple[str, str, DataFrame]] = []
-    events, teams, comps = tables["events"], tables["teams"], tables["competitions"]
-    key = ["sport", "competition_id", "home_team_id", "away_team_id", "start_time"]
-    found.append(("ERROR", "duplicate-canonical-events", O.duplicate_groups(events, key)))
-    provisional = F.col("identity_status") == "PROVISIONAL"
-    orphans = {"teams": O.orphan_teams(teams.filter(provisional), events), "competitions": O.orphan_competitions(comps.filter(provisional), events)}
-    for what, rows in orphans.items():
-        one = what[:-1]
-        found.append(("WARNING", f"orphan-provisional-{what}", rows))
-        counts = O.trust_counts(tables[f"{one}_mappings"], "target_id").withColumnRenamed("target_id", "id")
-        sorted_out = O.cleanup_candidates(rows, counts, rows.select("id").limit(0))
-        found.append(("INFO", f"gc-safe-provisional-{what}", sorted_out.filter("safe_to_delete")))
-        found.append(("WARNING", f"protected-orphan-{what}", sorted_out.filter("not safe_to_delete")))
-        found.append(("ERROR", f"conflicting-{what}", (teams if what == "teams" else comps).filter("identity_status = 'CONFLICT'")))
-    if "identity_status" in events.columns:
-        found.append(("ERROR", "conflicting-events", events.filter("identity_status = 'CONFLICT'")))
-    out = O.identity_audit({code: (severity, rows) for severity, code, rows in found})
-    for name, view in tables.items():
-        if not name.endswith("_mappings"):
-            continue
-        waiting = view.filter(F.col("trust_state").isin(UNVERIFIED, SUSPECT)).agg(F.count("*").alias("n"), F.max(F.col("trust_state") == SUSPECT).alias("s"))
-        out = out.unionByName(
-            waiting.filter("n > 0").select(F.lit(f"unresolved-{name}").alias("code"), F.when(F.col("s"), "ERROR").otherwise("WARNING").alias("severity"), "n")
-        )
-        # one finding a decision: of a source and sport, for one reason, at one time
-        decision = [c for c in ("source", "sport", "rejection_reason", "rejected_at") if c in view.columns]
-        rejected = view.filter(F.col("trust_state") == REJECTED).groupBy(*decision).agg(F.count("*").alias("n"))
-        out = out.unionByName(O.identity_audit({f"rejected-{name}": ("WARNING", rejected)}))
-        if {"source_id", "target_id"} <= set(view.columns):
-            clash = O.reference_id_conflicts(view, ["source", "source_id"], "target_id")
-            out = out.unionByName(O.identity_audit({f"multiple-reference-ids-{name}": ("ERROR", clash)}))
-    return out.unionByName(O.identity_audit({"countryless-competition-collisions": ("WARNING", O.countryless_collisions(comps))}))

@@ -189,15 +189,6 @@ def countryless_collisions(competitions: DataFrame) -> DataFrame:
     )
 
 
-def identity_audit(findings: dict[str, tuple[str, DataFrame]]) -> DataFrame:
-    """(code, severity, n) of every finding that has rows. {code: (severity, rows)}."""
-    out = None
-    for code, (severity, rows) in findings.items():
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out.filter("n > 0")
-
-
 # ------------------------------------------------------------- merging, inspection
 
 

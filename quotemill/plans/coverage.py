@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analysis as A
+from ..operators import counters as C
+from ..operators import daily as D
 from ..operators import identity as I
 from ..operators import mappings as M
 from ..operators import merging as G
@@ -15,6 +18,7 @@ from ..operators import operations as O
 from ..operators import quotes as Q
 from ..operators import sinks
 from ..operators import validation as V
+from ..shared import scratch
 from ..sources import feeds, landing
 from ..sources.tape import table, tape
 from .ingestion import known_events
@@ -306,7 +310,7 @@ def identity_audit_all(spark, sf_dir):
         "competitions": t["competitions"].withColumns({"identity_status": status, "sport": F.lit("s"), "reference_provider": F.lit(None).cast("string")}),
         **{f"{k}_mappings": views for k in ("team", "competition", "event", "team_id", "competition_id")},
     }
-    return M.audit(tables).select("code", "severity", "n")
+    return C.audit(tables).select("code", "severity", "n")
 
 
 # ---------------------------------------------------------------- feeds, from payloads written as a provider would
@@ -451,3 +455,74 @@ def _duplicated(spark, sf_dir):
 def merged_identities(spark, sf_dir):
     """Doubles of competitions, teams and events merged to a fixpoint (no SQL: tested against a union-find)."""
     return G.merged(*_duplicated(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- counters in one pass
+
+_COUNTED = """, t2 AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'CONFLICT' WHEN id % 7 = 1 THEN NULL ELSE 'PROVISIONAL' END AS st FROM teams),
+m AS (SELECT source, trust_state, CASE WHEN source = 'src0' THEN NULL ELSE 'by-' || source END AS method, source_id FROM maps)"""
+
+
+def _counted(where_events: str, where_maps: str) -> str:
+    """The counters in SQL over events and mappings of a condition."""
+    return f"""SELECT counter, count(*) AS n FROM (SELECT 'table_counts.teams' AS counter FROM t2 UNION ALL SELECT 'table_counts.competitions' FROM comps UNION ALL SELECT 'table_counts.events' FROM evs WHERE {where_events}
+ UNION ALL SELECT 'table_counts.team_mappings' FROM m WHERE {where_maps} UNION ALL SELECT 'identity_states.teams.' || coalesce(st, '(null)') FROM t2
+ UNION ALL SELECT 'trust_states.team_mappings.' || coalesce(trust_state, '(null)') FROM m WHERE {where_maps} UNION ALL SELECT 'resolution_methods.team_mappings.' || coalesce(method, '(null)') FROM m WHERE {where_maps}
+ UNION ALL SELECT 'orphan_counts.teams' FROM t2 WHERE NOT EXISTS (SELECT 1 FROM evs WHERE (home_team_id = t2.id OR away_team_id = t2.id) AND {where_events})
+ UNION ALL SELECT 'orphan_counts.competitions' FROM comps WHERE NOT EXISTS (SELECT 1 FROM evs WHERE competition_id = comps.id AND {where_events})) GROUP BY ALL"""
+
+
+def _counters(spark, sf_dir, events: str, maps: str):
+    t = _identity(spark, sf_dir)
+    status = F.when(F.col("id") % 7 == 0, "CONFLICT").when(F.col("id") % 7 != 1, "PROVISIONAL")
+    method = F.when(F.col("source") != "src0", F.concat(F.lit("by-"), "source"))
+    return C.counters(
+        {
+            "teams": t["teams"].withColumn("identity_status", status), "competitions": t["competitions"], "events": t["events"].filter(events),
+            "team_mappings": t["mappings"].filter(maps).withColumn("resolution_method", method),
+        }
+    )
+
+
+@query(_IDENTITY + _COUNTED + _counted("TRUE", "TRUE"))
+def identity_counters(spark, sf_dir):
+    """Rows, trust states, methods, identity states and orphans of all identity tables, each scanned once."""
+    return _counters(spark, sf_dir, "true", "true")
+
+
+@query(_IDENTITY + _COUNTED + f""", b AS ({_counted("competition_id % 2 = 0", "source_id > 500")}), a AS ({_counted("TRUE", "TRUE")})
+SELECT coalesce(b.counter, a.counter) AS counter, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM b FULL JOIN a ON a.counter = b.counter WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def replay_counters(spark, sf_dir):
+    """What a replay changed: the counters before half of the events and mappings came, and after."""
+    return O.counter_diff(_counters(spark, sf_dir, "competition_id % 2 = 0", "source_id > 500"), _counters(spark, sf_dir, "true", "true"))
+
+
+# ---------------------------------------------------------------- tables by day
+
+_DAILY_KEY = ["event_id", "bookmaker_id", "market_type", "market_line", "outcome", "observed_at"]
+
+
+@query(_TAPE + """, hourly AS (SELECT *, date_trunc('hour', observed_at) AS slot FROM tape),
+old AS (SELECT * FROM hourly WHERE id % 3 = 0), new AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id, bookmaker_id, market_type, market_line, outcome, slot ORDER BY id) AS r FROM hourly WHERE id % 3 <> 0) WHERE r = 1)
+SELECT id, event_id, odds FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.event_id = new.event_id AND old.bookmaker_id = new.bookmaker_id
+ AND old.market_type = new.market_type AND old.market_line IS NOT DISTINCT FROM new.market_line AND old.outcome = new.outcome AND old.slot = new.slot)""")
+def inserted_by_day(spark, sf_dir):
+    """A third of the tape stored by day, and the readings of the rest that a run would append to it."""
+    hourly = tape(spark, sf_dir).withColumn("observed_at", F.date_trunc("hour", "observed_at").cast("timestamp_ntz"))
+    folder = scratch(spark, "history")
+    D.append_days(hourly.filter("id % 3 = 0"), folder, "observed_at")
+    batch = Q.first_wins(hourly.filter("id % 3 <> 0"))
+    return D.absent(D.stored(spark, folder, batch), batch, _DAILY_KEY, "observed_at").select("id", "event_id", "odds")
+
+
+@query("""WITH c AS (SELECT max(arrived_at) - INTERVAL 45 DAY AS m FROM sales), kept AS (SELECT * FROM sales WHERE arrived_at IS NULL OR arrived_at >= (SELECT m FROM c))
+SELECT CAST(date_trunc('day', arrived_at) AS DATE) AS day, count(*) AS n, count(sale_id) AS ids, sum(CAST(sale_id AS HUGEINT))::DOUBLE AS id_sum FROM kept GROUP BY ALL""")
+def cleaned_by_day(spark, sf_dir):
+    """Sales stored by day of arrival, after a clean-up of what is older than 45 days before the last."""
+    sales, folder = table(spark, sf_dir, "sales").withColumn("arrived_at", F.col("arrived_at").cast("timestamp_ntz")), scratch(spark, "sales")
+    D.append_days(sales, folder, "arrived_at")
+    last = sales.agg(F.max("arrived_at").cast("timestamp").alias("m")).select(F.unix_micros("m")).first()[0]
+    if last is not None:
+        D.clean(spark, folder, "arrived_at", D.limit_of(45, datetime.fromtimestamp(last / 1e6, UTC)))
+    kept = D.stored(spark, folder, sales)
+    return kept.groupBy(F.col("arrived_at").cast("date").alias("day")).agg(F.count("*").alias("n"), F.count("sale_id").alias("ids"), F.sum("sale_id").cast("double").alias("id_sum"))

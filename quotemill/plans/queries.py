@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import Freshness, Settings
 from ..functions import text as T
 from ..operators import analysis as A
+from ..operators import counters as C
 from ..operators import fuzzy as Z
 from ..operators import identity as I
 from ..operators import mappings as M
@@ -721,7 +722,7 @@ def identity_audit(spark, sf_dir):
         "competitions": t["competitions"].withColumns({"identity_status": status, "sport": F.lit("s"), "reference_provider": F.lit(None).cast("string")}),
         "team_mappings": mappings, "competition_mappings": mappings.limit(0),
     }
-    return M.audit(tables).select("code", "severity", "n")
+    return C.audit(tables).select("code", "severity", "n")
 
 
 @query(_TAPE + """ SELECT event_id, max(odds) FILTER (outcome = '1') AS home, max(odds) FILTER (outcome = 'X') AS draw, max(odds) FILTER (outcome = '2') AS away, CASE WHEN count(*) = 3 THEN ROUND(sum(1.0 / CAST(odds AS DOUBLE)), 8) END AS margin

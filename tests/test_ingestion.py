@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.functions.aliases import LEAGUE_ALIASES, TEAM_ALIASES, TOKEN_ALIASES
+from quotemill.operators import counters as C
 from quotemill.operators import mappings as M
 from quotemill.operators import operations as O
 from quotemill.operators import sinks
@@ -111,7 +112,7 @@ def test_audit_codes(spark):
         "team_mappings": spark.createDataFrame([("a", "1", 3, "VERIFIED"), ("a", "1", 1, "SUSPECT"), ("a", "2", 2, "REJECTED")], maps),
         "competition_mappings": spark.createDataFrame([], maps),
     }
-    got = {r.code: (r.severity, r.n) for r in M.audit(tables).collect()}
+    got = {r.code: (r.severity, r.n) for r in C.audit(tables).collect()}
     assert got == {
         "duplicate-canonical-events": ("ERROR", 1), "orphan-provisional-teams": ("WARNING", 2), "gc-safe-provisional-teams": ("INFO", 1),
         "protected-orphan-teams": ("WARNING", 1), "conflicting-teams": ("ERROR", 1), "orphan-provisional-competitions": ("WARNING", 1),
