@@ -16,7 +16,7 @@ that doesn't help in ``ATTEMPTS``, all rows of a label are compared, in blocks.
 Defined results: vectors without a label, null, empty, zero, or with null or non-finite
 components link with nothing and stay; rows without vec_id likewise; rows that repeat a
 vec_id are vectors of their own, and are copies only of equal vectors; vectors of different
-lengths don't link; ties in similarity go to the smaller number; other columns are ignored,
+lengths don't link; components of other types than float are compared as doubles; ties in similarity go to the smaller number; other columns are ignored,
 whatever their names; an empty table gives an empty table.
 """
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ._common import cut, parts, read, small_batches, spread_join
 from .components import components
@@ -40,8 +41,11 @@ ENOUGH = 20
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
-    """Rows of float32 bytes -> unit vectors in double precision."""
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+    """Rows of bytes, the first of which names the type -> unit vectors in double precision."""
+    kind = "<f8" if raw and raw[0][:1] == b"d" else "<f4"
+    x = np.frombuffer(b"".join(memoryview(r)[1:] for r in raw), kind).reshape(len(raw), -1).astype(np.float64)
+    if kind == "<f8" and len(x):  # squares of large and small doubles leave their range
+        x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -125,10 +129,10 @@ def _leaves(reps: DataFrame, counts: DataFrame, total: int, attempt: int, leaf:
             by_kind: dict[tuple[int, int], list[int]] = {}
             for i, r in enumerate(raw):
                 by_kind.setdefault((len(r), size[i]), []).append(i)
-            for (length, n), own in by_kind.items():
+            for (_, n), own in by_kind.items():
                 x, width = _unit([raw[i] for i in own]), code_length(n, leaf)
                 for t in range(tables_for(n, leaf, threshold)):
-                    planes = np.random.default_rng([attempt, t, length]).normal(size=(length // 4, width))
+                    planes = np.random.default_rng([attempt, t, 4 * x.shape[1]]).normal(size=(x.shape[1], width))
                     bits = (x @ planes > 0).astype(np.int64) @ (np.int64(1) << np.arange(width))
                     leaves = [f"{t}|{group[i]}|{code}" for i, code in zip(own, bits.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
@@ -343,7 +347,10 @@ def near_duplicates(
     gets (recall, audit queries with links) of each attempt."""
     spark = rows.sparkSession
     small_batches(spark, 4000)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    # floats are kept as such, anything else as doubles
+    element = getattr(rows.schema["embedding"].dataType, "elementType", None)
+    kind = "float" if isinstance(element, FloatType) else "double"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), "label")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False)
@@ -360,7 +367,7 @@ def near_duplicates(
         import pyarrow as pa
 
         for b in batches:
-            vec = [np.asarray(x, np.float32).tobytes() for x in b.column(5).to_pylist()]
+            vec = [kind[:1].encode() + np.asarray(x, "<f4" if kind == "float" else "<f8").tobytes() for x in b.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(vec, pa.binary())], names=["grp", "h1", "h2", "least", "w", "vec"])
 
     packed = classes.mapInArrow(pack, "grp string, h1 long, h2 long, least long, w long, vec binary").sortWithinPartitions("h1", "h2", "grp")

@@ -558,6 +558,18 @@ def test_embeddings_with_ids_that_repeat(spark):
     assert out == Counter({(1, 3, 1, True): 1, (1, 1, 1, True): 1, (2, 3, 1, False): 1, (3, 1, 1, False): 1, (4, 3, 1, False): 2, (None, 0, None, True): 1})
 
 
+def test_embeddings_of_doubles(spark):
+    """Pairs on either side of the threshold by less than a float can tell, beyond its range, and very small."""
+    pair = lambda cos, scale=1.0: ([scale, 0.0, 0.0], [scale * cos, scale * float(np.sqrt(1 - cos * cos)), 0.0])
+    cases = [pair(0.93 + 1e-12), pair(0.93 - 1e-12), pair(0.95, 1e200), pair(0.95, 1e-200), pair(0.9, 1e300)]
+    table = [(2 * i + j, v, i) for i, two in enumerate(cases) for j, v in enumerate(two)] + [(90, [float("inf"), 0.0, 0.0], 0), (91, [0.0, -0.0, 0.0], 0)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    linked = {0, 2, 3}
+    want = {2 * i + j: (1, 2 * i) if i in linked else (0, 2 * i + j) for i in range(len(cases)) for j in (0, 1)}
+    assert got == want | {90: (0, 90), 91: (0, 91)}
+
+
 def test_lonely_pairs_beside_a_crowd(spark):
     """Recall is measured by query: a crowd with all its links doesn't make up for lost pairs."""
     rng = np.random.default_rng(8)
