@@ -433,20 +433,10 @@ KEY = ["sport", "source", "league", "country", "home_team", "away_team", "start_
 _OUT = f"_k string, sport string, lot string, no long, event_id string, confidence double, resolution string, {ENTRY}"
 
 
-def resolve(
-    records: DataFrame, catalogue: DataFrame | None = None, aliases: dict[str, str] | None = None, tokens: dict[str, str] | None = None,
-    reference: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """``records`` (id, seq and the columns of ``KEY``, of which ids may be missing) ->
-    (id, event_id, confidence, resolution) and the entries to append to the ``catalogue`` (sport, lot, no, ``ENTRY``).
-
-    Distinct keys run in the order of ``seq``: what a record finds depends on those before it.
-    A lot is a sport, or a country of a sport all of whose competitions, old and new, name their
-    country and none of whose source ids occurs in two; so one task holds the distinct fixtures and
-    the catalogue of a lot, not its quotes. Both results come from one run: persist or write the first use.
-    """
+def distinct_fixtures(records: DataFrame, aliases: dict[str, str] | None, tokens: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
+    """``records`` with a hash of their ``KEY`` as _k, and the distinct keys with their first seq, start (seconds), land and,
+    for league, home and away, the comparison key and marks."""
     importable()
-    spark = records.sparkSession
     for c in KEY:
         if c not in records.columns:
             records = records.withColumn(c, F.lit(None).cast("string"))
@@ -465,6 +455,23 @@ def resolve(
         plain = T.expand_tokens(key(c if c == "league" else f"{c}_team"), {T.comparison_key(k): T.comparison_key(v) for k, v in (tokens or {}).items()})
         firsts = firsts.withColumn(f"{c}_key", plain).withColumn(f"{c}_key", F.coalesce(T.lookup(folded, F.col(f"{c}_key")), F.col(f"{c}_key")))
         firsts = firsts.withColumn(f"{c}_marks", T.marks(F.col(f"{c}_key")))
+    return hashed, firsts
+
+
+def resolve(
+    records: DataFrame, catalogue: DataFrame | None = None, aliases: dict[str, str] | None = None, tokens: dict[str, str] | None = None,
+    reference: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``records`` (id, seq and the columns of ``KEY``, of which ids may be missing) ->
+    (id, event_id, confidence, resolution) and the entries to append to the ``catalogue`` (sport, lot, no, ``ENTRY``).
+
+    Distinct keys run in the order of ``seq``: what a record finds depends on those before it.
+    A lot is a sport, or a country of a sport all of whose competitions, old and new, name their
+    country and none of whose source ids occurs in two; so one task holds the distinct fixtures and
+    the catalogue of a lot, not its quotes. Both results come from one run: persist or write the first use.
+    """
+    spark = records.sparkSession
+    hashed, firsts = distinct_fixtures(records, aliases, tokens)
     if catalogue is None:
         catalogue = spark.createDataFrame([], f"sport string, lot string, no long, {ENTRY}")
     ids = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), "source", F.col(c).alias("name")) for c in KEY[-4:]]))
