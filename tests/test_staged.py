@@ -55,13 +55,14 @@ def firsts(spark, rows):
 
 @pytest.mark.parametrize(("seed", "reference"), [(1, None), (2, "b")])
 def test_each_record_as_the_fold_alone_says(spark, seed, reference):
-    past, batch = world(seed, 200, 0, ["a", "b"]), world(100 + seed, 80, 1000, ["a", "b", "c"])
+    past, batch = world(seed, 200, 0, ["a", "b"]), world(100 + seed, 140, 1000, ["a", "b", "c"])
     _, entries = I.resolve(spark.createDataFrame(past, WIDE), reference=reference)
     old = [e.asDict() for e in entries.collect()]
     schema = "sport string, lot string, no long, " + I.ENTRY
     found, log = run(spark, batch, spark.createDataFrame([tuple(e[c] for c in ("sport", "lot", "no", *I._FIELDS)) for e in old], schema), reference=reference)
     known = {e["target"] for e in old}
     shown = lambda x: x if x in known else "new"
+    where = lambda x: shown(x) if x.startswith("competition-") else x  # noqa: E731  ids of new ones are made in two ways
     asked = firsts(spark, batch)
     # what the fold alone can't know: names of the batch that lead, or are similar to, others of it
     names, ids = {}, {}
@@ -72,7 +73,7 @@ def test_each_record_as_the_fold_alone_says(spark, seed, reference):
     crowd = {(kind, a) for kind, of in names.items() for a, m in of for b, o in of if a != b and m == o and T.token_sort_ratio(a, b) >= 85}
     wrote = {}
     for e in log.collect():
-        wrote.setdefault((e.kind, e.source, e.name, e.context), set()).add((shown(e.target), e.state, e.method))
+        wrote.setdefault((e.kind, e.source, e.name, where(e.context)), set()).add((shown(e.target), e.state, e.method))
     checked = new = context = 0
     for seq, r in asked.items():
         alone = I.Resolver("football", reference=reference)
@@ -91,7 +92,7 @@ def test_each_record_as_the_fold_alone_says(spark, seed, reference):
         context += how == "resolved-by-fixture-context"
         for e in alone.log:
             if e["kind"] in ("competition-name", "team-name", "event-id") or (e["kind"].endswith("-id") and not shared):
-                assert (shown(e["target"]), e["state"], e["method"]) in wrote[(e["kind"], e["source"], e["name"], e["context"])], (seq, e)
+                assert (shown(e["target"]), e["state"], e["method"]) in wrote[(e["kind"], e["source"], e["name"], where(e["context"]))], (seq, e)
     assert checked > 30 and context > 0 and new > 0, (checked, context, new)
 
 
