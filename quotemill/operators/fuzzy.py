@@ -1,125 +1,136 @@
-"""Exact similarity join of names: an inverted index of bigrams with prefix, length and count filters.
+"""Exact similarity join of names: all pairs of a block, in chunks of bounded size, many pairs an instruction.
 
 The similarity of two keys is 200 L / (n + m): L is the longest common subsequence of their texts with words in
-order, n and m are the lengths. A bigram of one text survives in the other unless one of its letters is left out or
-something comes between them. So texts of L common letters share at least 3 L - (n + m) - 1 bigrams, counted with
-repeats, and L single letters. With the threshold this bounds from below what a pair must share:
-
-* c bigrams: of the common ones both texts have r among their rarest, which are all but c, plus r. Pairs meet on sets of
-  r = 3 if c is at least 5, on 2 if c is at least 2, else on one: sets keep buckets small where names are of the same syllables;
-* none (short texts): on their rarest letters.
-
-Which of these holds depends on n + m alone, so a text makes keys for each that a partner's length can lead to.
-Pairs that meet are made distinct, counted, and only then compared. No pair at or above the threshold is lost.
+order, n and m are the lengths. Names made of the same few syllables share their bigrams, and sets of them, so an
+inverted index meets on nearly every pair and pays for each with a shuffled row. Here texts are dealt into chunks of a few thousand
+(by length where a block has more), chunks whose lengths can reach the threshold are paired, and a task compares two
+chunks: pairs that share too few letters are ruled out by bits of a machine word, the others are compared many at once, a letter at a time.
+Only pairs at or above the threshold leave a task. No pair is lost; the work is quadratic in a block, memory is not.
 """
 
 from __future__ import annotations
 
-from math import ceil
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
-#: Texts of more letters share the bounds of the longest of these.
-_TABLE = 256
-#: Most letters of a pair that meets on three bigrams: longer texts would have too many sets of three.
-_THREE = 48
-
-
-def common_letters(total: int, threshold: float) -> int:
-    """The least L of a pair of ``total`` letters at the threshold."""
-    return max(0, ceil(threshold * total / 200 - 1e-9))
+from ..workers import importable
 
+#: Texts of a chunk (about), texts of the other that are compared with them at once, and rows of a batch of results.
+CHUNK, BLOCK, ROWS = 2048, 128, 8192
+#: Words of the letters' masks at most: longer texts and larger alphabets are taken fewer at a time.
+_MASKS = 1 << 22
 
-def shared_bigrams(total: int, threshold: float) -> int:
-    return 3 * common_letters(total, threshold) - total - 1
 
-
-def _regime(total: int, threshold: float) -> int:
-    """On how many bigrams at once pairs of ``total`` letters meet; 0: on a letter."""
-    c = shared_bigrams(total, threshold)
-    return 3 if c >= 5 and total <= _THREE else 2 if c >= 2 else max(c, 0)
-
-
-def _bounds(n: int, threshold: float) -> dict[int, int]:
-    """For a text of n letters, by regime: the fewest bigrams (in regime 0: letters) that it shares with a partner of it."""
-    out: dict[int, int] = {}
-    for m in range(1, int(n * (200 / threshold - 1)) + 2 if n else 1):
-        need = common_letters(n + m, threshold)
-        if need <= min(n, m):
-            r = _regime(n + m, threshold)
-            out[r] = min(out.get(r, 1 << 20), shared_bigrams(n + m, threshold) if r else need)
+def _signatures(texts: list[str], slots: dict[tuple[str, int], int]) -> np.ndarray:
+    """Bits for letters counted with repeats: what two texts share is at most their common bits, and the letters without a bit of their own."""
+    out = np.zeros(len(texts), np.uint64)
+    for j, text in enumerate(texts):
+        seen: dict[str, int] = {}
+        bits = 0
+        for c in text:
+            k = seen[c] = seen.get(c, 0) + 1
+            bits |= 1 << slots.setdefault((c, k), len(slots) % 64)
+        out[j] = bits
     return out
 
 
-def _numbered(items: Column) -> Column:
-    """Items made distinct: each with how often it came before."""
-    return F.transform(items, lambda x, i: F.struct(x.alias("g"), F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x)).alias("o")))
-
-
-def _by_rarity(texts: DataFrame, items: str, out: str) -> DataFrame:
-    """(scope, block, text) and its numbered ``items`` -> hashes of the items, the rarest of the scope first."""
-    each = texts.select("scope", "block", "text", F.explode(items).alias("x"))
-    count = each.groupBy("scope", "block", "x").agg(F.count("*").alias("df"))
-    ranked = each.join(count, ["scope", "block", "x"]).groupBy("scope", "block", "text").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("x").alias("h")))).alias("r"))
-    return ranked.select("scope", "block", "text", F.col("r.h").alias(out))
-
-
-def _choices(threshold: float) -> Column:
-    """Columns n, bag, letters -> for each regime that a partner of the text can lead to: (r, items), its rarest bigrams or letters."""
-    table = [_bounds(n, threshold) for n in range(_TABLE)]
-    # beyond the table bounds only grow, so those of its last row are safe
-    at = F.least(F.col("n"), F.lit(_TABLE - 1)) + 1
-    out = []
-    for r in range(4):
-        items, due = F.col("bag" if r else "letters"), F.element_at(F.array(*[F.lit(row.get(r, 0)) for row in table]), at)
-        count = F.greatest(F.least(F.size(items), F.size(items) - due + max(r, 1)), F.lit(0))
-        out.append(F.when(due > 0, F.struct(F.lit(r).alias("r"), F.slice(items, F.lit(1), count).alias("items"))))
-    return F.array(*out)
-
-
-def _sets(r: int) -> Column:
-    """Column items -> hashes of all sets of r of them (in regime 0: of each)."""
-
-    def more(left: int, begin: Column, chosen: list[Column]) -> Column:
-        each = lambda x, i: F.xxhash64(F.lit(r), *chosen, x) if left <= 1 else more(left - 1, begin + i + 1, [*chosen, x])
-        found = F.transform(F.slice("items", begin, F.greatest(F.size("items"), F.lit(1))), each)
-        return found if left <= 1 else F.flatten(found)
-
-    return more(r, F.lit(1), [])
-
-
-def _indexed(texts: DataFrame) -> DataFrame:
-    """(scope, block, text, side) -> with n, and bag and letters: hashes of its bigrams and letters, the rarest first."""
-    n = F.char_length("text")
-    letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("text"), i, F.lit(1)))
-    grams = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("text"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    named = texts.filter(n > 0).withColumns({"letters": letters, "bag": grams}).withColumns({"letters": _numbered(F.col("letters")), "bag": _numbered(F.col("bag"))})
-    key = ["scope", "block", "text"]
-    out = texts.filter(n > 0).withColumn("n", n).join(_by_rarity(named, "bag", "bag"), key, "left").join(_by_rarity(named, "letters", "letters"), key)
-    return out.withColumn("bag", F.coalesce("bag", F.array().cast("array<bigint>")))
+def _step(row: list[np.ndarray], mask: list[np.ndarray]) -> None:
+    """One letter of the other text, a pair a place: bits that turn 0 are letters of the subsequence."""
+    carry = None
+    for w, bits in enumerate(mask):
+        hit = row[w] & bits
+        total = row[w] + hit
+        over = total < hit
+        if carry is not None:  # a sum that overflows goes on in the next word
+            total += carry
+            over |= total < carry
+        carry = over
+        row[w] = total | (row[w] - hit)
+
+
+def alike_pairs(xs: list[str], ys: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in xs, places in ys, scores) of all pairs at or above the threshold; texts aren't empty."""
+    letters = {c: i + 1 for i, c in enumerate(sorted(set().union(*xs)))}
+    words = (max(map(len, xs), default=0) + 63) >> 6
+    lanes = max(1, min(CHUNK, _MASKS // ((len(letters) + 1) * max(words, 1))))
+    m = np.array([len(y) for y in ys])
+    for s in range(0, len(xs), lanes):
+        own = xs[s : s + lanes]
+        n, slots = np.array([len(x) for x in own]), {}
+        masks = np.zeros((words, len(letters) + 1, len(own)), np.uint64)  # where in the texts a letter is; letter 0 is nowhere
+        for j, x in enumerate(own):
+            for i, c in enumerate(x):
+                masks[i >> 6, letters[c], j] |= np.uint64(1 << (i & 63))
+        sx, sy = _signatures(own, slots), _signatures(ys, slots)
+        # letters of x that share a bit may be common without being seen
+        least = (threshold * n / 200 - (n - np.bitwise_count(sx)) - 1e-3).astype(np.float32)
+        for t in range(0, len(ys), BLOCK):
+            block = slice(t, t + BLOCK)
+            common = np.bitwise_count(sy[block, None] & sx)
+            js, xi = np.nonzero(common >= least + (threshold * m[block, None] / 200).astype(np.float32))
+            if not len(xi):
+                continue
+            part = ys[block]
+            codes = np.zeros((max(map(len, part)), len(part)), np.int64)
+            for j, y in enumerate(part):
+                codes[: len(y), j] = [letters.get(c, 0) for c in y]
+            row = [np.full(len(xi), 2**64 - 1, np.uint64) for _ in range(words)]
+            for code in codes:
+                at = code[js]
+                _step(row, [mask[at, xi] for mask in masks])
+            length = 64 * words - sum(np.bitwise_count(r).astype(np.int64) for r in row)
+            score = 200.0 * length / (n[xi] + m[t + js])
+            good = score >= threshold
+            yield s + xi[good], t + js[good], score[good]
+
+
+def _chunks(texts: DataFrame) -> DataFrame:
+    """(scope, block, text, side) -> (scope, block, side, id, texts, lo, hi): chunks and the range of their lengths."""
+    own = ["scope", "block", "side"]
+    index = texts.filter("text <> ''").groupBy("scope", "block", "text").agg(F.bit_or("side").alias("side")).withColumn("n", F.char_length("text"))
+    by_length = index.groupBy(*own, "n").agg(F.count("*").alias("c"))
+    sizes = by_length.join(by_length.groupBy(*own).agg(F.sum("c").alias("all")), own)
+    small = F.col("all") <= CHUNK
+    dealt = sizes.select(*own, "n", F.when(small, 0).otherwise(F.col("n")).alias("band"), F.when(small, 1).otherwise(F.ceil(F.col("c") / CHUNK)).alias("parts"))
+    parted = index.join(dealt, [*own, "n"]).withColumn("part", F.pmod(F.xxhash64("text"), "parts"))
+    return parted.groupBy(*own, "band", "part").agg(F.collect_list("text").alias("texts"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumn("id", F.struct("side", "band", "part"))
 
 
 def candidates(texts: DataFrame, threshold: float) -> DataFrame:
-    """``texts`` (scope, block, text, side: 1 asked, 2 known, 3 both) -> distinct pairs (scope, block, text, other) that
-    share as much as the threshold asks for."""
-    index = _indexed(texts.groupBy("scope", "block", "text").agg(F.bit_or("side").alias("side")))
-    # what meets on keys is narrow: a hash of the text and its length
-    chosen = index.select("scope", "block", "side", "n", F.xxhash64("text").alias("h"), F.inline(_choices(threshold))).filter("r is not null")
-    sets = F.when(F.col("r") == 3, _sets(3)).when(F.col("r") == 2, _sets(2)).when(F.col("r") == 1, _sets(1)).otherwise(_sets(0))
-    slim = chosen.select("scope", "block", "side", "n", "h", F.explode(sets).alias("k"))
-    a = slim.filter(F.col("side").bitwiseAND(1) > 0).drop("side")
-    b = slim.filter(F.col("side").bitwiseAND(2) > 0).select("scope", "block", "k", F.col("h").alias("h2"), F.col("n").alias("m"))
-    need = lambda: F.ceil(F.lit(threshold) * (F.col("n") + F.col("m")) / 200 - 1e-9)
-    met = a.join(b, ["scope", "block", "k"]).filter((F.col("h") != F.col("h2")) & (need() <= F.least("n", "m"))).select("scope", "block", "h", "h2").distinct()
-    whole = index.select("scope", "block", F.xxhash64("text").alias("h"), "text", "n", "bag", "side")
-    left = whole.filter(F.col("side").bitwiseAND(1) > 0).drop("side")
-    right = whole.filter(F.col("side").bitwiseAND(2) > 0).select("scope", "block", F.col("h").alias("h2"), F.col("text").alias("other"), F.col("n").alias("m"), F.col("bag").alias("bag2"))
-    both = met.join(left, ["scope", "block", "h"]).join(right, ["scope", "block", "h2"])
-    enough = F.size(F.array_intersect("bag", "bag2")) >= 3 * need() - (F.col("n") + F.col("m")) - 1
-    return both.filter(enough & (F.col("text") != F.col("other"))).select("scope", "block", "text", "other")
+    """``texts`` (scope, block, text, side: 1 asked, 2 known, 3 both) -> the pairs (scope, block, text, other, score) of a text
+    asked and another known that reach the threshold."""
+    importable()
+    spark = texts.sparkSession
+    chunks = _chunks(texts)
+    end = lambda i: chunks.select("scope", "block", F.col("id").alias(f"id{i}"), F.col("side").alias(f"side{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}"))
+    full = lambda i: chunks.select("scope", "block", F.col("id").alias(f"id{i}"), F.col("texts").alias(f"texts{i}"))
+    asks = lambda a, b: (F.col(f"side{a}").bitwiseAND(1) > 0) & (F.col(f"side{b}").bitwiseAND(2) > 0)
+    # the best that lengths allow: all of the shorter text is common
+    fits = lambda a, b: 200.0 * F.least(f"hi{a}", f"lo{b}") / (F.least(f"hi{a}", f"lo{b}") + F.col(f"lo{b}")) >= threshold - 1e-9
+    slim = end(1).join(end(2), ["scope", "block"]).filter((F.col("id1") <= F.col("id2")) & (asks(1, 2) | asks(2, 1)) & fits(1, 2) & fits(2, 1))
+    slim = slim.select("scope", "block", "id1", "id2", asks(1, 2).alias("there"), asks(2, 1).alias("back"))
+    both = slim.join(full(1), ["scope", "block", "id1"]).join(full(2), ["scope", "block", "id2"]).withColumn("same", F.col("id1") == F.col("id2"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    both = both.repartition(tasks, "scope", "block", "id1", "id2").select("scope", "block", "there", "back", "same", "texts1", "texts2")
+    schema = pa.schema([("scope", pa.string()), ("block", pa.string()), ("text", pa.string()), ("other", pa.string()), ("score", pa.float64())])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                scope, block, there, back, same, xs, ys = (batch.column(c)[k].as_py() for c in range(7))
+                for i, j, score in alike_pairs(xs, ys, threshold):
+                    if same:  # each pair comes in both orders
+                        i, j, score = (v[i < j] for v in (i, j, score))
+                    for s in range(0, len(i), ROWS):
+                        x, y = ([texts[k] for k in at[s : s + ROWS]] for texts, at in ((xs, i), (ys, j)))
+                        for a, b in [(x, y)] * there + [(y, x)] * back:
+                            yield pa.RecordBatch.from_arrays([pa.array([scope] * len(a)), pa.array([block] * len(a)), pa.array(a), pa.array(b), pa.array(score[s : s + ROWS])], schema=schema)
+
+    return both.mapInArrow(compared, "scope string, block string, text string, other string, score double")
 
 
 def similar(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
@@ -128,10 +139,8 @@ def similar(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     ordered = F.array_join(F.array_sort(F.split("key", " ")), " ")
     a, b = (df.select("scope", "block", "key", ordered.alias("text")).distinct() for df in (asked, known))
     sides = a.select("scope", "block", "text", F.lit(1).alias("side")).unionByName(b.select("scope", "block", "text", F.lit(2).alias("side")))
-    ratio = T.ratio_udf()
-    pairs = candidates(sides, threshold).withColumn("score", ratio("text", "other")).filter(F.col("score") >= threshold)
     same = a.select("scope", "block", "text").distinct().withColumn("other", F.col("text")).withColumn("score", F.lit(100.0))
-    pairs = pairs.unionByName(same)  # the same words in another order
+    pairs = candidates(sides, threshold).unionByName(same)  # the same words in another order
     left = a.withColumnRenamed("key", "_key")
     right = b.select("scope", "block", F.col("text").alias("other"), F.col("key").alias("_other"))
     out = pairs.join(left, ["scope", "block", "text"]).join(right, ["scope", "block", "other"])

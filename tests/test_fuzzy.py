@@ -63,3 +63,22 @@ def test_nothing_is_like_nothing(spark):
     none = spark.createDataFrame([], "scope string, block string, key string")
     assert fuzzy.similar(none, none, 80.0).count() == 0
     assert fuzzy.similar(none.union(spark.range(1).select(F.lit("s"), F.lit(""), F.lit(""))), none, 80.0).count() == 0
+
+
+def test_pairs_of_common_syllables_meet_at_the_threshold_only(spark):
+    """Names of the same few syllables share most bigrams: what leaves a task are the pairs that are alike, whatever the length."""
+    rng = random.Random(8)
+    names = sorted({" ".join("".join(rng.choice(["an", "el", "ma", "jo"]) for _ in range(3)) for _ in range(2)) for _ in range(150)} | {"an" * 40, "an" * 39 + "el"})
+    both = spark.createDataFrame([("s", "", n, 3) for n in names], "scope string, block string, text string, side int")
+    got = [(r.text, r.other) for r in fuzzy.candidates(both, 85.0).collect()]
+    alike = lambda a, b: 200 * T.common_subsequence(a, b) / (len(a) + len(b)) >= 85
+    assert sorted(got) == [(a, b) for a in names for b in names if a != b and alike(a, b)]
+
+
+def test_chunks_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(fuzzy, "CHUNK", 7)
+    keys = sorted({changed(rng, "anders berström") for _ in range(60)})
+    rows = spark.createDataFrame([("s", "", k) for k in keys], "scope string, block string, key string")
+    got = {(r.key, r.other) for r in fuzzy.similar(rows, rows, 85.0).collect()}
+    assert got == {(a, b) for a in keys for b in keys if a != b and T.token_sort_ratio(a, b) >= 85}
