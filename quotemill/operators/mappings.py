@@ -45,8 +45,12 @@ def listing(views: dict[str, DataFrame], states: tuple[str, ...] = (SUSPECT, REJ
 def drifted(id_mappings: DataFrame, seen: DataFrame, key: list[str], similar: Column) -> DataFrame:
     """Verified id mappings whose newly seen name (``name``) is not like the verified one
     (``verified_name``): they turn suspect. ``similar`` compares the two."""
-    both = id_mappings.filter(F.col("trust_state") == VERIFIED).join(seen, key)
-    return both.filter(~similar).withColumn("trust_state", F.lit(SUSPECT))
+    return suspected(id_mappings.join(seen, key), similar)
+
+
+def suspected(both: DataFrame, similar: Column) -> DataFrame:
+    """``drifted`` of mappings that have the newly seen name beside them, row by row."""
+    return both.filter(F.col("trust_state") == VERIFIED).filter(~similar).withColumn("trust_state", F.lit(SUSPECT))
 
 
 def country_compatible(candidates: DataFrame, team_competitions: DataFrame, competitions: DataFrame) -> DataFrame:
