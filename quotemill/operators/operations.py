@@ -181,12 +181,13 @@ def reference_id_conflicts(mappings: DataFrame, key: list[str], target: str) ->
 
 def countryless_collisions(competitions: DataFrame) -> DataFrame:
     """Names that a competition without a country shares with others of its sport."""
-    a = competitions.filter("country = '' or country is null").select("id", "sport", "canonical_name")
-    b = competitions.select(F.col("id").alias("_id"), F.col("sport").alias("_s"), F.col("canonical_name").alias("_n"))
-    both = a.join(b, (F.col("sport") == F.col("_s")) & (F.col("canonical_name") == F.col("_n")) & (F.col("id") != F.col("_id")))
-    return both.groupBy("sport", "canonical_name").agg(
-        F.count_distinct("_id").alias("others"), F.count_distinct("id").alias("countryless")
-    )
+    none = F.coalesce(F.col("country"), F.lit("")) == ""
+    # an id once, however often it comes; of a name, then, only counts are left
+    ids = competitions.filter("id is not null and sport is not null and canonical_name is not null").groupBy("sport", "canonical_name", "id").agg(F.max(none).alias("none"))
+    counted = ids.groupBy("sport", "canonical_name").agg(F.count("*").alias("all"), F.count_if("none").alias("countryless")).filter("countryless > 0 and all > 1")
+    # an only one without a country is no other of its own
+    others = F.when(F.col("countryless") == 1, F.col("all") - 1).otherwise(F.col("all"))
+    return counted.select("sport", "canonical_name", others.alias("others"), "countryless")
 
 
 # ------------------------------------------------------------- merging, inspection
