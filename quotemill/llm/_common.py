@@ -138,22 +138,24 @@ def numbered(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
     return dealt.join(F.broadcast(offsets), _part() == F.col("_pid")).withColumn(out, F.col("_off") + place).drop("_pid", "_off", "_at")
 
 
-def ranged_prefix(df: DataFrame, order: list[str | Column], value: str, out: str, before: bool = False) -> DataFrame:
-    """Running sum of ``value`` over the whole table in ``order``.
+def ranged_prefix(df: DataFrame, order: list[str | Column], sums: dict[str, str], before: bool = False) -> DataFrame:
+    """Running sums over the whole table in ``order``: of each column that ``sums`` names, under its name there.
 
     Range partitions are summed, the sums (one row a partition) are accumulated,
     and each partition adds its offset: no task sees more than its own range.
     ``before`` excludes the row's own value. ``order`` must be a total order for
     reruns to agree.
     """
-    dealt = _ranged(df, order)
-    offsets = _below(dealt.groupBy(_part().alias("_pid")).agg(F.sum(value).alias("_s")), "_s")
+    dealt, off = _ranged(df, order), {v: f"_off_{v}" for v in sums}
+    upto = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = dealt.groupBy(_part().alias("_pid")).agg(*[F.sum(v).alias(o) for v, o in off.items()])
+    offsets = per_part.select("_pid", *[F.coalesce(F.sum(o).over(upto), F.lit(0)).alias(o) for o in off.values()])
     within = Window.partitionBy("_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     return (
-        dealt.withColumn("_pid", _part()).withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
+        dealt.withColumn("_pid", _part()).withColumns({out: F.coalesce(F.sum(v).over(within), F.lit(0)) for v, out in sums.items()})
         .join(F.broadcast(offsets), "_pid")  # one row a partition: bounded by the partition count
-        .withColumn(out, F.col(out) + F.col("_off"))
-        .drop("_pid", "_off", "_at")
+        .withColumns({out: F.col(out) + F.col(off[v]) for v, out in sums.items()})
+        .drop("_pid", *off.values(), "_at")
     )
 
 

@@ -42,7 +42,7 @@ def words(col: Column) -> Column:
 
 
 def targets(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, fraction: float = 1.0) -> DataFrame:
-    """``docs`` (source, size) -> a row a source: source, source_size, target, and n, its rows.
+    """``docs`` (source, size, and n, where a row stands for n) -> a row a source: source, source_size, target, and n, its rows.
 
     Weights are dealt in code point order. A target is its weight's share of ``fraction`` x
     all sizes, but at most ``most`` x its source's size; the excess is shared again by
@@ -50,7 +50,8 @@ def targets(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, fraction:
     first: the level of a source is what is left after those before it, by weight, and the
     first source that doesn't stop gives the level of all that follow.
     """
-    sizes = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n"))
+    n = F.col("n") if "n" in docs.columns else F.lit(1).cast("long")
+    sizes = docs.groupBy("source").agg(F.sum(F.col("size") * n).cast("long").alias("source_size"), F.sum(n).alias("n"))
     # UTF-8 bytes are in the order of code points
     order = [F.col("source").isNull(), F.encode(F.coalesce("source", F.lit("")), "UTF-8")]
     dealt = numbered(sizes, order, "_rank").withColumn(
@@ -59,8 +60,7 @@ def targets(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, fraction:
     bound = F.col("source_size") * F.lit(float(most))
     dealt = dealt.withColumn("_full", bound / F.col("_w"))
     whole = dealt.agg((F.sum("source_size") * F.lit(float(fraction))).alias("_all"), F.sum("_w").alias("_weights"))
-    run = ranged_prefix(dealt.withColumn("_bound", bound), ["_full", "_rank"], "_bound", "_used", before=True)
-    run = ranged_prefix(run, ["_full", "_rank"], "_w", "_gone", before=True)
+    run = ranged_prefix(dealt.withColumn("_bound", bound), ["_full", "_rank"], {"_bound": "_used", "_w": "_gone"}, before=True)
     run = run.crossJoin(F.broadcast(whole)).withColumn(  # one row
         "_level", (F.col("_all") - F.col("_used")) / (F.col("_weights") - F.col("_gone"))
     )
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, key: list[str], weights=WEIGHTS, most: int = MOST_PASSE
     columns = list(dict.fromkeys(["source", "size", *key]))
     entries = stored(docs.groupBy(*columns).agg(F.count("*").alias("n")))
     rows = copies(entries).drop("n")
-    goal = targets(rows, weights, most)
+    goal = cut(targets(entries, weights, most))  # used often below: its plan must not be part of each of them
     first = goal.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(0))).first()
     total, budget, largest = int(first[0]), float(first[1]), int(first[2])
     goal = goal.withColumns({"_source": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()}).drop("source")
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, key: list[str], weights=WEIGHTS, most: int = MOST_PASSE
     order = [*columns, "copy"]
     bits = max(8, min(40, (largest // BUCKET).bit_length()))  # of the bucket number, as the largest source asks for
     shuffled = spread_join(named, goal, ["_source", "_null"], total).withColumn("_h", F.xxhash64(F.lit(seed), *order))
-    shuffled = shuffled.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
+    shuffled = stored(shuffled.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits)))
     # cumulative size within the source: sums of hash-range buckets first, then inside each
     bucket = ["_source", "_null", "_b"]
     sums = shuffled.groupBy(*bucket).agg(F.sum("size").alias("_n"))
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, key: list[str], weights=WEIGHTS, most: int = MOST_PASSE
         return F.struct(finish.alias("finish"), n.alias("round"), *[F.col(k) for k in order])
 
     queue = placed.select(F.col("size").alias("_size"), F.explode(F.transform(rounds, entry)).alias("e")).select("_size", "e.*")
-    run = ranged_prefix(queue, ["finish", "round", *order], "_size", "_run")
+    run = ranged_prefix(queue, ["finish", "round", *order], {"_size": "_run"})
     end = run.filter(F.col("_run") <= F.lit(budget + 0.5)).agg(F.max(F.struct("finish", "round", *order)).alias("e"))
     cutoff = end.first()["e"]
     if cutoff is None:

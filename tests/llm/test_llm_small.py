@@ -508,6 +508,19 @@ def test_mixture_equals_a_queue_by_hand(spark, docs):
     assert mixing.mix(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_plans_of_the_mixture_stay_small(spark, monkeypatch):
+    """What is used more than once is stored first: large plans fill the driver's memory, however small the data."""
+    seen = []
+    for name in ("cut", "stored"):
+        def record(df, *args, own=getattr(mixing, name)):
+            seen.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+            return own(df, *args)
+        monkeypatch.setattr(mixing, name, record)
+    rows = [("ab"[i % 2], i % 7, i) for i in range(50)]
+    assert mixing.mix(spark.createDataFrame(rows, "source string, size long, doc_id long"), ["doc_id"]).count() == 50
+    assert max(seen) <= 12, seen
+
+
 def test_copies(spark):
     from quotemill.llm._common import copies
 
