@@ -20,6 +20,8 @@ RECORD = [
 ]
 
 PRICE = "decimal(18,6)"
+#: Parts of the join of fixtures and odds, as a multiple of the session's.
+SPREAD = 4
 #: Names that providers give to markets, outcomes, sports and states.
 LISTING_RESULT = "Konačan ishod"
 LEAGUE_RESULT = "Konačan Ishod"
@@ -57,38 +59,57 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def _once(c: Column) -> Column:
+    """``c`` as a generator of one row: no expression above it is put in its place and computed again."""
+    return F.explode(F.array(c))
+
+
 def _shaped(captures: DataFrame, schema: str, whole: Column, what: str) -> DataFrame:
     """Adds ``d``, the parsed payload; a payload without ``whole`` raises."""
     # Optional text fields are read as text whatever their JSON type is
-    parsed = captures.withColumn("d", F.from_json("payload", schema))
+    # generated, so that filters and fields further up read the parsed value and don't parse again
+    parsed = captures.select("*", _once(F.from_json("payload", schema)).alias("d"))
     fault = F.raise_error(F.lit(f"this capture is not {what}"))
     return parsed.withColumn("d", F.when(F.coalesce(whole, F.lit(False)), F.col("d")).otherwise(fault))
 
 
-def _is(code: str):
-    return lambda p: p["code"] == code
-
-
 def _prices(pairs: Column, codes: tuple[str, ...]) -> Column:
-    """Map of outcome to price from (code, price) structs; the last of a code wins; null
+    """Map of outcome to price from (code, price) structs in one pass; the last of a code wins; null
     unless exactly ``codes`` are there."""
-    known = F.filter(pairs, lambda p: p["code"].isin(*codes) & p["price"].isNotNull())
-    each = [F.try_element_at(F.filter(known, _is(c)), F.lit(-1)) for c in codes]
-    whole = F.lit(True)
-    for e in each:
-        whole = whole & e.isNotNull()
-    return F.when(whole, F.create_map(*[x for c, e in zip(codes, each, strict=True) for x in (F.lit(c), e["price"].cast(PRICE))]))
-
-
-def _record(df: DataFrame, market: Market | None = None, **columns: Column) -> DataFrame:
-    if market is not None:
-        columns |= {
-            "market_type": F.lit(market.type), "market_period": F.lit(market.period), "market_phase": F.lit(market.phase),
-            "market_line": F.lit(market.line).cast("string"),
-        }
+    names = [f"p{i}" for i in range(len(codes))]
+    none = F.struct(*[F.lit(None).cast(PRICE).alias(n) for n in names])
+
+    def merge(acc: Column, p: Column) -> Column:
+        price = p["price"].cast(PRICE)
+        return F.struct(*[F.when((p["code"] == c) & price.isNotNull(), price).otherwise(acc[n]).alias(n) for c, n in zip(codes, names, strict=True)])
+
+    def finish(acc: Column) -> Column:
+        whole = F.lit(True)
+        for n in names:
+            whole = whole & acc[n].isNotNull()
+        return F.when(whole, F.create_map(*[x for c, n in zip(codes, names, strict=True) for x in (F.lit(c), acc[n])]))
+
+    return F.aggregate(pairs, none, merge, finish)
+
+
+def _priced(df: DataFrame, markets: list[tuple[Market, Column]], phase: Column | None = None, **columns: Column) -> DataFrame:
+    """``columns`` and a row for each of ``markets`` (market, odds) that has odds, all from one look at a row."""
+    each = [
+        F.struct(
+            F.lit(m.type).alias("type"), F.lit(m.period).alias("period"), (F.lit(m.phase) if phase is None else phase).alias("phase"),
+            F.lit(m.line).cast("string").alias("line"), odds.alias("odds"),
+        )
+        for m, odds in markets
+    ]
+    out = df.select("observed_at", *[c.alias(n) for n, c in columns.items()], F.explode(F.array(*each)).alias("_m")).filter("_m.odds is not null")
+    return out.select("*", *[F.col(f"_m.{n}").alias(f"market_{n}") for n in ("type", "period", "phase", "line")], F.col("_m.odds").alias("odds")).drop("_m")
+
+
+def _record(df: DataFrame) -> DataFrame:
+    """``df`` in the columns of ``RECORD``; what it lacks is null, its sport football."""
     text = F.lit(None).cast("string")
-    defaults = {"source_timestamp": F.lit(None).cast("timestamp"), "sport": F.lit("football"), "observed_at": F.col("observed_at")}
-    out = df.select(*[columns.get(c, defaults.get(c, text)).alias(c) for c in RECORD])
+    defaults = {"source_timestamp": F.lit(None).cast("timestamp"), "sport": F.lit("football")}
+    out = df.select(*[F.col(c) if c in df.columns else defaults.get(c, text).alias(c) for c in RECORD])
     return out.filter(F.col("odds").isNotNull() & F.col("home_team").isNotNull() & F.col("away_team").isNotNull() & F.col("start_time").isNotNull() & F.col("league").isNotNull())
 
 
@@ -131,7 +152,9 @@ def h2h_feed(df: DataFrame, league: str = "", competition: str | None = None) ->
         "array<struct<id:string, home_team:string, away_team:string, commence_time:string, sport_title:string, bookmakers:array<struct<"
         f"key:string, title:string, last_update:string, markets:array<struct<key:string, outcomes:array<struct<name:string, price:{PRICE}>>>>>>>>"
     )
-    is_array = F.get_json_object("payload", "$[0]").isNotNull() | F.col("payload").rlike(r"^\s*\[\s*\]\s*$")
+    # an array with a parsed event is seen at once; any other payload is looked at as JSON
+    is_array = (F.substring(F.ltrim("payload"), 1, 1) == "[") & F.get("d", F.lit(0)).isNotNull()
+    is_array = F.coalesce(is_array, F.lit(False)) | F.get_json_object("payload", "$[0]").isNotNull() | F.col("payload").rlike(r"^\s*\[\s*\]\s*$")
     events = _shaped(df, schema, is_array, "an array of events").select("observed_at", F.explode("d").alias("e"))
     books = events.select("observed_at", "e", F.explode("e.bookmakers").alias("b"))
     market = F.get(F.filter("b.markets", lambda m: m["key"] == "h2h"), F.lit(0))
@@ -143,30 +166,38 @@ def h2h_feed(df: DataFrame, league: str = "", competition: str | None = None) ->
             o["price"].alias("price"),
         ),
     )
-    return _record(
-        books, DEFAULT_MARKET,
+    return _record(_priced(
+        books, [(DEFAULT_MARKET, _prices(pairs, ("1", "X", "2")))],
         source=F.coalesce(F.nullif(F.col("b.title"), F.lit("")), F.col("b.key"), F.lit("unknown")),
         league=F.coalesce("e.sport_title", F.lit(league)), home_team=F.col("e.home_team"), away_team=F.col("e.away_team"),
-        start_time=_time(F.col("e.commence_time")), odds=_prices(pairs, ("1", "X", "2")), source_timestamp=_time(F.col("b.last_update")),
+        start_time=_time(F.col("e.commence_time")), source_timestamp=_time(F.col("b.last_update")),
         source_id=F.col("b.key"), source_event_id=F.col("e.id"), source_competition_id=F.lit(competition).cast("string"),
-    )
+    ))
 
 
 # ------------------------------------------------------------- fixtures joined with odds
 
 
 def fixtures_of(df: DataFrame) -> DataFrame:
-    """(fixture_id, teams, lifecycle) from all pages of the fixtures response."""
+    """(fixture_id, teams, lifecycle) from all pages of the fixtures response, dealt by fixture, one row each."""
     schema = (
         "response array<struct<fixture:struct<id:bigint, status:struct<short:string>>, "
         "teams:struct<home:struct<id:string, name:string>, away:struct<id:string, name:string>>>>, paging struct<current:int, total:int>"
     )
     rows = _shaped(df, schema, F.col("d.response").isNotNull(), "a fixtures response").select(F.explode("d.response").alias("f"))
-    return rows.select(
+    rows = rows.select(
         F.col("f.fixture.id").alias("fixture_id"), F.col("f.teams.home.name").alias("home_team"), F.col("f.teams.away.name").alias("away_team"),
         F.col("f.teams.home.id").alias("source_home_team_id"), F.col("f.teams.away.id").alias("source_away_team_id"),
         _lookup(FIXTURE_STATUS, F.col("f.fixture.status.short")).alias("lifecycle"),
-    ).filter("home_team is not null and away_team is not null").dropDuplicates(["fixture_id"])
+    ).filter("home_team is not null and away_team is not null")
+    # dealt before doubles go: they are sorted once, in small parts, and no map task sorts all of its rows
+    return _by_fixture(rows).dropDuplicates(["fixture_id"])
+
+
+def _by_fixture(rows: DataFrame) -> DataFrame:
+    """Both sides of the join in ``SPREAD`` parts for each usual one, so that a task sorts little."""
+    n = SPREAD * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "fixture_id")
 
 
 def complete_pages(df: DataFrame) -> DataFrame:
@@ -187,7 +218,6 @@ def fixtures_odds_feed(fixtures: DataFrame, odds: DataFrame) -> DataFrame:
         "bookmakers:array<struct<id:string, name:string, bets:array<struct<name:string, values:array<struct<value:string, odd:string>>>>>>>>"
     )
     rows = _shaped(odds, schema, F.col("d.response").isNotNull(), "an odds response").select("observed_at", F.explode("d.response").alias("o"))
-    rows = rows.join(fixtures_of(fixtures), F.col("o.fixture.id") == F.col("fixture_id"))
     books = rows.select("*", F.explode("o.bookmakers").alias("b"))
 
     def pairs(bet: str, code, line: str | None) -> Column:
@@ -210,15 +240,16 @@ def fixtures_odds_feed(fixtures: DataFrame, odds: DataFrame) -> DataFrame:
     common = {
         "source": F.coalesce(F.nullif(F.col("b.name"), F.lit("")), F.lit("unknown")),
         "league": F.when(name != "", F.when(country.isNotNull(), F.concat_ws(" - ", country, name)).otherwise(name)),
-        "home_team": F.col("home_team"), "away_team": F.col("away_team"), "start_time": _time(F.col("o.fixture.date")),
-        "source_timestamp": _time(F.col("o.update")), "source_id": F.col("b.id"), "source_event_id": F.col("fixture_id").cast("string"),
-        "lifecycle": F.col("lifecycle"), "source_home_team_id": F.col("source_home_team_id"), "source_away_team_id": F.col("source_away_team_id"),
-        "source_competition_id": F.col("o.league.id"), "country": country,
+        "fixture_id": F.col("o.fixture.id"), "start_time": _time(F.col("o.fixture.date")), "source_timestamp": _time(F.col("o.update")),
+        "source_id": F.col("b.id"), "source_event_id": F.col("o.fixture.id").cast("string"), "source_competition_id": F.col("o.league.id"), "country": country,
     }
     three, two = ("1", "X", "2"), ("OVER", "UNDER")
-    out = _record(books, DEFAULT_MARKET, odds=_prices(pairs(MATCH_WINNER, by_code, None), three), **common)
-    out = out.unionByName(_record(books, TOTALS_2_5_MARKET, odds=_prices(pairs(OVER_UNDER, by_side, "2.5"), two), **common))
-    return out.unionByName(_record(books, HANDICAP_MINUS_1_MARKET, odds=_prices(pairs(HANDICAP_RESULT, by_code, "-1"), three), **common))
+    markets = [
+        (DEFAULT_MARKET, _prices(pairs(MATCH_WINNER, by_code, None), three)), (TOTALS_2_5_MARKET, _prices(pairs(OVER_UNDER, by_side, "2.5"), two)),
+        (HANDICAP_MINUS_1_MARKET, _prices(pairs(HANDICAP_RESULT, by_code, "-1"), three)),
+    ]
+    # priced first: payloads aren't shuffled
+    return _record(_by_fixture(_priced(books, markets, **common)).join(fixtures_of(fixtures), "fixture_id"))
 
 
 # ------------------------------------------------------------- listings
@@ -240,15 +271,13 @@ def listing_feed(df: DataFrame, source: str) -> DataFrame:
     live = F.coalesce(F.col("m.status.isLive"), F.lit(False))
     sport = _lookup(SPORTS, F.col("m.sport.name"))
     rows = rows.filter(sport.isNotNull() & (live | (F.col("m.status.name") == NOT_STARTED)) & F.col("m.id").isNotNull())
-    return _record(
-        rows, None,
+    return _record(_priced(
+        rows, [(DEFAULT_MARKET, _prices(pairs, ("1", "X", "2")))], F.when(live, LIVE_MARKET.phase).otherwise(DEFAULT_MARKET.phase),
         source=F.lit(source), sport=sport, league=F.col("m.competition.name"), home_team=F.col("m.home.name"), away_team=F.col("m.visitor.name"),
-        start_time=F.timestamp_millis("m.startTime"), odds=_prices(pairs, ("1", "X", "2")),
-        market_type=F.lit(DEFAULT_MARKET.type), market_period=F.lit(DEFAULT_MARKET.period),
-        market_phase=F.when(live, LIVE_MARKET.phase).otherwise(DEFAULT_MARKET.phase),
+        start_time=F.timestamp_millis("m.startTime"),
         lifecycle=F.when(live, "live").otherwise("scheduled"), source_event_id=F.col("m.id"),
         source_home_team_id=F.col("m.home.id"), source_away_team_id=F.col("m.visitor.id"), source_competition_id=F.col("m.competition.id"),
-    )
+    ))
 
 
 def league_feed(df: DataFrame, source: str) -> DataFrame:
@@ -283,10 +312,11 @@ def league_feed(df: DataFrame, source: str) -> DataFrame:
         "source_competition_id": F.col("e.header.league.leagueId"), "country": region,
     }
     rows = rows.filter(F.col("e.header.league.name").isNotNull())
-    out = _record(rows, DEFAULT_MARKET, odds=_prices(pairs(result, lambda n: n), ("1", "X", "2")), **common)
-    return out.unionByName(
-        _record(rows, TOTALS_2_5_MARKET, odds=_prices(pairs(totals, lambda n: _lookup(TOTAL_OUTCOMES, n)), ("OVER", "UNDER")), **common)
-    )
+    markets = [
+        (DEFAULT_MARKET, _prices(pairs(result, lambda n: n), ("1", "X", "2"))),
+        (TOTALS_2_5_MARKET, _prices(pairs(totals, lambda n: _lookup(TOTAL_OUTCOMES, n)), ("OVER", "UNDER"))),
+    ]
+    return _record(_priced(rows, markets, **common))
 
 
 # ------------------------------------------------------------- browser archives

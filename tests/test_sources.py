@@ -264,3 +264,20 @@ def test_snapshot_manifest_notices_changes(spark, tmp_path):
     assert landing.verify_snapshot(spark, str(tmp_path), "v1").count() == 0
     df.filter("id < 9").write.mode("overwrite").parquet(f"{tmp_path}/v1/t")
     assert [r.table_name for r in landing.verify_snapshot(spark, str(tmp_path), "v1").collect()] == ["t"]
+
+
+@pytest.mark.parametrize("name, markets", [("h2h_feed", 1), ("listing_feed", 1), ("league_feed", 2), ("fixtures_odds_feed", 3)])
+def test_payloads_are_parsed_and_priced_once(spark, name, markets):
+    from quotemill.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    sides = 2 if name == "fixtures_odds_feed" else 1
+    assert plan.count("from_json") == plan.count("FileScan") == sides and plan.count("aggregate(") == markets
+    # of fixtures and odds only what is left of a payload is shuffled, in more parts than usual
+    assert plan.count("hashpartitioning(fixture_id") == (2 if sides == 2 else 0) and plan.count(f", {feeds.SPREAD * 4}), REPARTITION_BY_NUM") == sides - (sides == 1)
+
+
+def test_last_price_of_a_code_wins(spark):
+    pairs = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(p).cast(feeds.PRICE).alias("price")) for c, p in (("1", "2"), ("X", "3"), ("1", "4"), ("1", None), ("Y", "9"))])
+    r = spark.range(1).select(feeds._prices(pairs, ("1", "X")).alias("a"), feeds._prices(pairs, ("1", "2")).alias("b"), feeds._prices(F.lit(None).cast(f"array<struct<code:string, price:{feeds.PRICE}>>"), ("1",)).alias("c")).first()
+    assert {k: int(v) for k, v in r.a.items()} == {"1": 4, "X": 3} and r.b is None and r.c is None
