@@ -2,13 +2,14 @@
 
 Teams, competitions and events that are found to be one make others one: competitions of one name share their
 teams' scope, equal teams make equal events, and events that a source calls by one id have the same teams and
-competition. Each round turns what is equal under the labels so far into pairs, resolves chains of pairs at
-once, and ends when no label moves. The smallest id of a group survives.
+competition. What an event's id says of its teams and competition doesn't depend on labels, so merges lead one way only:
+competitions, then teams, then events, each resolved once. Of a kind, the groups of equal keys are contracted to their
+smallest ids first; chains are resolved among these. The smallest id of a group survives.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import shared_dir
@@ -33,22 +34,36 @@ def connected(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         new = cut(small.distinct())
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        if new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty():  # both are distinct
             return new.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
         edges = new
 
 
-def _same(rows: DataFrame, by: list[str | Column]) -> DataFrame:
-    """Rows (label, ...) that agree in ``by`` as pairs: each label with the smallest of its group."""
-    keyed = rows.select("label", *[(F.col(c) if isinstance(c, str) else c).alias(f"_{i}") for i, c in enumerate(by)])
-    keys = [f"_{i}" for i in range(len(by))]
-    known = keyed.dropna(subset=keys).distinct()
-    return known.join(known.groupBy(*keys).agg(F.min("label").alias("m")), keys).select(F.col("label").alias("a"), F.col("m").alias("b"))
+def _starred(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (id, ...) that have all of ``by``: each id with ``m``, the smallest of those that agree with it."""
+    known = rows.select("id", *by).dropna()
+    return known.join(known.groupBy(*by).agg(F.min("id").alias("m")), by).select("id", "m")
 
 
-def _relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
-    m = moved.select(F.col("id").alias("_id"), F.col("label").alias("_to"))
-    return labels.join(m, F.col("label") == F.col("_id"), "left").select("id", F.coalesce("_to", "label").alias("label"))
+def _resolved(ids: DataFrame, keyed: DataFrame, by: list[str], called: list[DataFrame]) -> DataFrame:
+    """(id, label) of those of ``ids`` that aren't the smallest of their group: ``keyed`` (id, ...) are one if they agree in
+    ``by``, ``called`` (id, source, source_event_id) if they do in source and id."""
+    stars = cut(_starred(keyed.join(ids, "id", "left_semi"), by))
+    first = cut(stars.groupBy("id").agg(F.min("m").alias("l")).filter("l < id"))
+    known = first.withColumnRenamed("id", "a")
+    # rows of one id in several groups join these; ids that a source gives join the groups of what they name
+    pairs = stars.join(stars.groupBy("id").agg(F.min("m").alias("l"), F.max("m").alias("_most")).filter("l < _most").drop("_most"), "id").select(F.col("m").alias("a"), F.col("l").alias("b"))
+    for one in called:
+        own = one.join(ids, "id", "left_semi").dropna().distinct().withColumnRenamed("id", "a").join(known, "a", "left")
+        own = own.select("source", "source_event_id", F.coalesce("l", "a").alias("id")).distinct()
+        pairs = pairs.unionByName(_starred(own, ["source", "source_event_id"]).select(F.col("id").alias("a"), F.col("m").alias("b")))
+    moved = cut(connected(pairs))
+    if moved.isEmpty():
+        return first.select("id", F.col("l").alias("label"))
+    # a group's smallest id may move too
+    to = moved.select(F.col("id").alias("l"), F.col("label").alias("_to"))
+    of_groups = first.join(to, "l", "left").select("id", F.coalesce("_to", "l").alias("label"))
+    return cut(of_groups.unionByName(moved.join(first, "id", "left_anti").select("id", "label")))
 
 
 def merged(competitions: DataFrame, teams: DataFrame, events: DataFrame, event_ids: DataFrame) -> DataFrame:
@@ -59,23 +74,23 @@ def merged(competitions: DataFrame, teams: DataFrame, events: DataFrame, event_i
     Competitions are one if sport, country and name agree; teams if name and competition do; events if competition,
     teams and start do, or a source has one id for them, which also makes their teams and competitions one.
     Names are compared as they are: pass comparison keys. Null parts agree with nothing."""
-    state = {k: df.select("id", F.col("id").alias("label")).distinct() for k, df in (("competition", competitions), ("team", teams), ("event", events))}
-    while True:
-        of = lambda df, column, kind: df.join(state[kind].select(F.col("id").alias(column), F.col("label").alias(f"{column}_is")), column, "left")  # noqa: E731, B023
-        named = lambda df, kind: df.join(state[kind], "id")  # noqa: E731, B023
-        known = of(of(of(named(events, "event"), "competition_id", "competition"), "home_team_id", "team"), "away_team_id", "team")
-        parts = ["competition_id_is", "home_team_id_is", "away_team_id_is"]
-        sources = event_ids.join(known.select(F.col("id").alias("event_id"), "label", *parts), "event_id")
-        one = ["source", "source_event_id"]
-        by_source = lambda column: _same(sources.withColumn("label", F.col(column)).filter("label is not null"), one)  # noqa: E731, B023
-        pairs = {
-            "competition": _same(named(competitions, "competition"), ["sport", "country", "name"]).unionByName(by_source("competition_id_is")),
-            "team": _same(of(named(teams, "team"), "competition_id", "competition"), ["competition_id_is", "name"]).unionByName(by_source("home_team_id_is")).unionByName(by_source("away_team_id_is")),
-            "event": _same(known, [*parts, "start_time"]).unionByName(by_source("label")),
-        }
-        moved = {k: cut(connected(p)) for k, p in pairs.items()}
-        if all(m.isEmpty() for m in moved.values()):
-            break
-        state = {k: cut(_relabelled(labels, moved[k])) for k, labels in state.items()}
-    rows = [labels.filter("id <> label").select(F.lit(k).alias("kind"), "id", F.col("label").alias("survivor_id")) for k, labels in state.items()]
+    ids = {k: df.select("id").dropna().distinct() for k, df in (("competition", competitions), ("team", teams), ("event", events))}
+    parts = {"competition_id": "competition", "home_team_id": "team", "away_team_id": "team"}
+    mentioned = event_ids.select("source", "source_event_id", F.col("event_id").alias("id")).dropna().join(events.select("id", *parts), "id")
+    mentioned = cut(mentioned)  # events that a source has an id for, with their parts
+    called = lambda column: mentioned.select(F.col(column).alias("id"), "source", "source_event_id")
+
+    def labelled(df: DataFrame, column: str, kind: str) -> DataFrame:
+        """``column`` as labels; an id that its table doesn't have is null."""
+        known = ids[kind].join(moved[kind], "id", "left").select(F.col("id").alias(column), F.coalesce("label", "id").alias("_is"))
+        return df.join(known, column, "left").withColumn(column, F.col("_is")).drop("_is")
+
+    moved = {"competition": _resolved(ids["competition"], competitions, ["sport", "country", "name"], [called("competition_id")])}
+    scoped = labelled(teams.select("id", "competition_id", "name"), "competition_id", "competition")
+    moved["team"] = _resolved(ids["team"], scoped, ["competition_id", "name"], [called("home_team_id"), called("away_team_id")])
+    named = events.select("id", *parts, "start_time")
+    for column, kind in parts.items():
+        named = labelled(named, column, kind)
+    moved["event"] = _resolved(ids["event"], named, [*parts, "start_time"], [called("id")])
+    rows = [labels.select(F.lit(k).alias("kind"), "id", F.col("label").alias("survivor_id")) for k, labels in moved.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -91,6 +91,26 @@ def test_merging_cascades(spark, seed):
     assert {tuple(r) for r in got.collect()} == by_hand(comps.collect(), teams.collect(), events.collect(), ids.collect())
 
 
+def test_each_kind_is_resolved_once(spark, monkeypatch):
+    """A chain over all kinds costs no rounds: ids are in several groups, name parts are null, events have ids twice."""
+    comps = [(1, "f", "", "a"), (2, "f", "", "a"), (3, "f", "", "b"), (3, "f", "", "c"), (4, "f", "", "c"), (5, "f", "", "b"), (None, "f", "", "a")]
+    teams = [(10, 1, "x"), (11, 2, "x"), (12, 4, "y"), (13, 5, "y"), (14, 77, "x"), (15, None, "x"), (11, 4, "y")]
+    events = [(20, 1, 10, 12, T0), (21, 2, 11, 13, T0), (22, 3, 14, 15, T0), (23, 5, 13, 14, T0), (24, 1, 10, 12, T0 + timedelta(days=1))]
+    ids = [("p", "1", 24), ("p", "1", 22), ("q", "1", 22), ("q", "1", 23), ("q", None, 20), ("p", "9", 99)]
+    made = [
+        spark.createDataFrame(comps, "id long, sport string, country string, name string"), spark.createDataFrame(teams, "id long, competition_id long, name string"),
+        spark.createDataFrame(events, "id long, competition_id long, home_team_id long, away_team_id long, start_time timestamp"), spark.createDataFrame(ids, "source string, source_event_id string, event_id long"),
+    ]
+    calls, own = [], G.connected
+    monkeypatch.setattr(G, "connected", lambda pairs: calls.append(1) or own(pairs))
+    got = {(r.kind, r.id): r.survivor_id for r in G.merged(*made).collect()}
+    assert len(calls) == 3
+    assert got == {
+        ("competition", 2): 1, ("competition", 3): 1, ("competition", 4): 1, ("competition", 5): 1, ("team", 11): 10, ("team", 12): 10, ("team", 13): 10, ("team", 14): 10, ("team", 15): 10,
+        ("event", 21): 20, ("event", 22): 20, ("event", 23): 20, ("event", 24): 20,
+    }
+
+
 def test_nearest_event(spark):
     at = lambda m: T0 + timedelta(minutes=m)
     events = spark.createDataFrame([(1, "a", at(0)), (2, "a", at(10)), (3, "a", at(30)), (4, "a", at(30)), (5, "b", at(5)), (6, None, at(0))], "event_id long, k string, start_time timestamp")
