@@ -101,3 +101,22 @@ def test_each_table_is_scanned_once(spark, tmp_path):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") == len(names)
         assert plan.count("hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_one_view_by_several_names_is_scanned_once(spark, tmp_path):
+    rows = made(4)
+    rows["competition_mappings"] = rows["team_mappings"]
+    for name, df in frames(spark, rows).items():
+        df.write.parquet(str(tmp_path / name))
+    t = {n: spark.read.parquet(str(tmp_path / n)) for n in ("events", "teams", "competitions", "team_mappings")}
+    out = C.audit({**t, "competition_mappings": t["team_mappings"]})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # nothing is sorted to be counted: that would be all facts of all tables
+    assert plan.count("FileScan parquet") == 4 and "SortAggregate" not in plan
+    assert {r.code: (r.severity, r.n) for r in out.collect()} == expected_audit(rows)
+
+
+def test_keys_of_several_columns_are_told_apart(spark):
+    rows = [("a", "b"), ("a1:b", None), ("a", None), (None, "a"), ("", None), (None, ""), (None, None), ("-", None), ("a-", "b")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(C._key(["x", "y"])).distinct().count() == len(rows)
