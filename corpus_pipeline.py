@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be told: no text, no letter, or a score under the
-    cutoff, which held-out labelled documents calibrate. What is unsure stays; texts in two
+    cutoff, which all held-out labelled documents calibrate; all others that are labelled teach. What is unsure stays; texts in two
     languages are clean. A lang that is null or that a sure prediction contradicts is replaced.
 
     Without any labelled document nothing is learned, and all that has a letter stays as it is.
@@ -27,11 +27,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table; columns other than those of documents go.
     """
     own = docs.select(*COLUMNS)
-    model = langid.train(langid.sample(own.select("doc_id", "text", "lang")))
+    model = langid.train(langid.lessons(own))
     if model is None:
         return own.filter(F.col("text").rlike(r"\p{L}"))
-    least = langid.cutoff(own.select("doc_id", "text", "lang"), model)
-    found = langid.identify(own, model).filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= least))
+    judged = stored(langid.identify(own, model))  # each text is judged once
+    least = langid.least_score(langid.known(judged))
+    found = judged.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= least))
     wrong = F.col("lang").isNull() | ((F.col("lang") != F.col("_lang")) & (F.col("_score") >= langid.SURE))
     return found.withColumn("lang", F.when(wrong, F.col("_lang")).otherwise(F.col("lang"))).select(*COLUMNS)
 
