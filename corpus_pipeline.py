@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.llm import jaccard, langid, mixing, passages, tokens
-from quotemill.llm._common import copies, read, stored, text_or_empty
+from quotemill.llm._common import copies, read, settled, stored, text_or_empty
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The language model, the signatures and the shuffle are not SQL; tested by brute force.
@@ -30,9 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(langid.lessons(own))
     if model is None:
         return own.filter(F.col("text").rlike(r"\p{L}"))
-    judged = stored(langid.identify(own, model))  # each text is judged once
-    least = langid.least_score(langid.known(judged))
-    found = judged.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= least))
+    least = langid.cutoff(own, model)  # held-out texts are judged twice; storing what is judged would store all texts
+    found = langid.identify(own, model).filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= least))
     wrong = F.col("lang").isNull() | ((F.col("lang") != F.col("_lang")) & (F.col("_score") >= langid.SURE))
     return found.withColumn("lang", F.when(wrong, F.col("_lang")).otherwise(F.col("lang"))).select(*COLUMNS)
 
@@ -46,7 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     word are copies of each other; an empty table gives an empty table.
     """
     own = docs.select(*COLUMNS).withColumn("_v", F.xxhash64(text_or_empty()))
-    judged = stored(jaccard.similar(own.select("doc_id", "text")).filter("doc_id is not null").select("doc_id", F.col("version").alias("_v"), "kept"))
+    judged = settled(
+        spark, lambda: jaccard.similar(own.select("doc_id", "text")).filter("doc_id is not null").select("doc_id", F.col("version").alias("_v"), "kept")
+    )
     by_row = judged.groupBy("doc_id", "_v").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
     go, again = by_row.filter("not stays").select("doc_id", "_v"), by_row.filter("stays and n > 1").select("doc_id", "_v")
     left = own.join(go, ["doc_id", "_v"], "left_anti")

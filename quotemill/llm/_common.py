@@ -8,7 +8,9 @@ folder, and a re-run gives the same rows.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,7 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths that this thread made: one thread never removes what another still reads."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -59,31 +68,41 @@ def scratch(spark: SparkSession, kind: str) -> str:
     store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(where)  # only what exists can be marked
     store.deleteOnExit(where)
-    _made.append(path)
+    _made.paths.append(path)
     return path
 
 
 @contextmanager
 def free(spark: SparkSession):
-    """Removes, at the end of the block, the tables that were made in it: for long
+    """Removes, at the end of the block, the tables that its thread made in it: for long
     sessions. Results of the block must have been written by then."""
-    before = len(_made)
+    before = len(_made.paths)
     try:
         yield
     finally:
-        for path in _made[before:]:
+        for path in _made.paths[before:]:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        del _made[before:]
+        del _made.paths[before:]
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
-    path = scratch(df.sparkSession, "table")
+    return _written(df, scratch(df.sparkSession, "table"), codec)
+
+
+def _written(df: DataFrame, path: str, codec: str) -> DataFrame:
     df.write.mode("append").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], codec: str = "zstd") -> DataFrame:
+    """``stored`` of what ``make`` returns; the tables that it made on the way go at once."""
+    path = scratch(spark, "table")  # made before the block, so it stays
+    with free(spark):
+        return _written(make(), path, codec)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound an Arrow batch: whole texts are long, 10,000 of them are too many. The bound
     stays in the session, because plans are run after the operator returned."""

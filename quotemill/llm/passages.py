@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from ._common import cut, read, small_batches, spread_join, stored
+from ._common import cut, read, settled, small_batches, spread_join, stored
 
 #: Words of a unit of the last level at least, and of a piece of words that have no least one.
 LEAST, MOST = 8, 40
@@ -231,7 +231,8 @@ def dedup(docs: DataFrame, separator: str = LINE) -> DataFrame:
 
     small_batches(docs.sparkSession, 500)
     # written first, so that adaptive execution can split a join in which many rows are one document
-    spans = stored(repeats(docs, separator)).select(F.col("doc_id").alias("__d"), F.col("version").alias("__v"), F.col("spans").alias("__spans"))
+    spans = settled(docs.sparkSession, lambda: repeats(docs, separator))
+    spans = spans.select(F.col("doc_id").alias("__d"), F.col("version").alias("__v"), F.col("spans").alias("__spans"))
     joined = docs.join(
         spans, docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__v")), "left"
     )

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import threading
 from collections import Counter
+from pathlib import Path
 
 import pytest
 import test_llm_small
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quotemill.llm import langid, mixing, tokens
-from quotemill.llm._common import free, stored
+from quotemill.llm._common import free, settled, shared_dir, stored
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -123,3 +125,40 @@ def test_stages_of_nothing(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, SF))
             assert docs.count() == 0
+
+
+def tables(spark):
+    return set(Path(shared_dir(spark).removeprefix("file:")).glob("quotemill-table-*"))
+
+
+@pytest.mark.parametrize("name", ["language_id", "ngram_jaccard_join", "substring_dedup"])
+def test_a_stage_leaves_one_table_without_texts(spark, docs, name):
+    before = tables(spark)
+    left = STAGES[name](spark, docs, SF)
+    made = tables(spark) - before
+    assert len(made) == 1 and "text" not in spark.read.parquet(str(*made)).columns
+    assert left.count() > 0
+
+
+def test_settled_removes_what_was_made_on_the_way(spark):
+    other = []
+
+    def work():
+        within = stored(spark.range(3))
+        beside = threading.Thread(target=lambda: other.append(stored(spark.range(4))))
+        beside.start()
+        beside.join()
+        return within.selectExpr("2 * id AS id")
+
+    before = tables(spark)
+    assert sorted(r.id for r in settled(spark, work).collect()) == [0, 2, 4]
+    assert other[0].count() == 4 and len(tables(spark) - before) == 2
+
+    def fail():
+        stored(spark.range(3))
+        raise ValueError
+
+    before = tables(spark)
+    with pytest.raises(ValueError):
+        settled(spark, fail)
+    assert all(not any(p.iterdir()) for p in tables(spark) - before)
