@@ -2,42 +2,102 @@
 
 The similarity of two keys is 200 L / (n + m): L is the longest common subsequence of their texts with words in
 order, n and m are the lengths. Names made of the same few syllables share their bigrams, and sets of them, so an
-inverted index meets on nearly every pair and pays for each with a shuffled row. Here texts are dealt into chunks of a few thousand
-(by length where a block has more), chunks whose lengths can reach the threshold are paired, and a task compares two
-chunks: pairs that share too few letters are ruled out by bits of a machine word, the others are compared many at once, a letter at a time.
-Only pairs at or above the threshold leave a task. No pair is lost; the work is quadratic in a block, memory is not.
+inverted index meets on nearly every pair and pays for each with a shuffled row. Here a block of up to a chunk of
+texts is one row; the texts of a larger one are dealt into chunks by length and by letters of a kind, and chunks whose ranges can reach
+the threshold are paired by a cartesian product: its tasks read the chunks, which are shuffled once, so nothing that is written
+grows with the pairs. A task compares two chunks: pairs that share too few letters are ruled out by bits of a machine word, the others
+are compared many at once, a letter at a time. Texts bring the keys they stand for along, and only pairs of keys at
+or above the threshold leave a task, which no join follows. No pair is lost; the work is quadratic in a block, memory and disk are not.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import importable
 
-#: Texts of a chunk (about), texts of the other that are compared with them at once, and rows of a batch of results.
-CHUNK, BLOCK, ROWS = 2048, 128, 8192
-#: Words of the letters' masks at most: longer texts and larger alphabets are taken fewer at a time.
+#: Texts of a chunk (about), texts of the other that are compared with them at once, pairs that bits let through and rows of a batch of results.
+CHUNK, BLOCK, PAIRS, ROWS = 4096, 32, 16384, 8192
+#: Words of the letters' masks, and letters of texts side by side, at most: longer texts and larger alphabets are taken fewer at a time.
 _MASKS = 1 << 22
+#: A letter's occurrences from this one on have no bit.
+_REPEATS = 256
+#: Kinds of letters, each about a quarter of a name; what is in none is the last kind.
+_KINDS = ("aktbzp", "olsgch", "eruvj")
 
 
-def _signatures(texts: list[str], slots: dict[tuple[str, int], int]) -> np.ndarray:
-    """Bits for letters counted with repeats: what two texts share is at most their common bits, and the letters without a bit of their own."""
-    out = np.zeros(len(texts), np.uint64)
-    for j, text in enumerate(texts):
-        seen: dict[str, int] = {}
-        bits = 0
-        for c in text:
-            k = seen[c] = seen.get(c, 0) + 1
-            bits |= 1 << slots.setdefault((c, k), len(slots) % 64)
-        out[j] = bits
+class _Slice(NamedTuple):
+    """Some texts of a chunk: their places in it, lengths, letters (numbered by ``alphabet`` from 1), bits, and where in a text a letter is."""
+
+    at: np.ndarray
+    n: np.ndarray
+    alphabet: np.ndarray
+    bits: np.ndarray
+    signature: np.ndarray
+    masks: np.ndarray
+
+
+def _points(texts: list[str], n: np.ndarray) -> np.ndarray:
+    """Code points plus 1, a text a row; 0 is no letter."""
+    out = np.zeros((len(texts), n.max(initial=0)), np.int64)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
     return out
 
 
+def _repeats(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of each text in order, and how many equal ones are before each."""
+    codes = np.sort(codes, axis=1)
+    place = np.arange(codes.shape[1])
+    first = np.ones(codes.shape, bool)
+    first[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    return codes, np.minimum(place - np.maximum.accumulate(np.where(first, place, 0), axis=1), _REPEATS)
+
+
+def _cuts(n: np.ndarray, cost: int) -> Iterator[slice]:
+    """Slices of texts in order of length; ``cost`` is the words for 64 letters of a text."""
+    start = 0
+    while start < len(n):
+        size = max(1, int(np.searchsorted(np.arange(1, len(n) - start + 1) * ((n[start:] + 63) >> 6) * cost, _MASKS, "right")))
+        yield slice(start, start + size)
+        start += size
+
+
+def _slices(texts: list[str]) -> list[_Slice]:
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(length, kind="stable")
+    letters = len(set().union(*texts)) + 1
+    return [_slice([texts[i] for i in order[s]], order[s], length[order[s]]) for s in _cuts(length[order], max(letters, 64))]
+
+
+def _slice(texts: list[str], at: np.ndarray, n: np.ndarray) -> _Slice:
+    points = _points(texts, n)
+    alphabet, codes = np.unique(points, return_inverse=True)
+    codes = codes.reshape(points.shape)
+    if alphabet[0]:  # no text is shorter than another
+        alphabet, codes = np.concatenate([[0], alphabet]), codes + 1
+    ordered, k = _repeats(codes)
+    # bits for letters counted with repeats, the most frequent ones apart; letter 0 and a repeat too many have none
+    often = np.bincount((ordered * (_REPEATS + 1) + k).ravel(), minlength=len(alphabet) * (_REPEATS + 1)).reshape(len(alphabet), -1)
+    often[0] = often[:, -1] = 0
+    known = np.argsort(-often, axis=None, kind="stable")[: np.count_nonzero(often)]
+    bits = np.zeros(often.size, np.uint64)
+    bits[known] = np.uint64(1) << (np.arange(len(known)) % 64).astype(np.uint64)
+    bits = bits.reshape(often.shape)
+    masks = np.zeros(((points.shape[1] + 63) >> 6, len(alphabet), len(texts)), np.uint64)
+    each = np.arange(len(texts))
+    for i in range(points.shape[1]):
+        masks[i >> 6, codes[:, i], each] |= np.uint64(1 << (i & 63))
+    masks[:, 0] = 0
+    return _Slice(at, n, alphabet, bits, np.bitwise_or.reduce(bits[ordered, k], axis=1), masks)
+
+
 def _step(row: list[np.ndarray], mask: list[np.ndarray]) -> None:
     """One letter of the other text, a pair a place: bits that turn 0 are letters of the subsequence."""
     carry = None
@@ -52,96 +112,183 @@ def _step(row: list[np.ndarray], mask: list[np.ndarray]) -> None:
         row[w] = total | (row[w] - hit)
 
 
-def alike_pairs(xs: list[str], ys: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places in xs, places in ys, scores) of all pairs at or above the threshold; texts aren't empty."""
-    letters = {c: i + 1 for i, c in enumerate(sorted(set().union(*xs)))}
-    words = (max(map(len, xs), default=0) + 63) >> 6
-    lanes = max(1, min(CHUNK, _MASKS // ((len(letters) + 1) * max(words, 1))))
-    m = np.array([len(y) for y in ys])
-    for s in range(0, len(xs), lanes):
-        own = xs[s : s + lanes]
-        n, slots = np.array([len(x) for x in own]), {}
-        masks = np.zeros((words, len(letters) + 1, len(own)), np.uint64)  # where in the texts a letter is; letter 0 is nowhere
-        for j, x in enumerate(own):
-            for i, c in enumerate(x):
-                masks[i >> 6, letters[c], j] |= np.uint64(1 << (i & 63))
-        sx, sy = _signatures(own, slots), _signatures(ys, slots)
-        # letters of x that share a bit may be common without being seen
-        least = (threshold * n / 200 - (n - np.bitwise_count(sx)) - 1e-3).astype(np.float32)
-        for t in range(0, len(ys), BLOCK):
-            block = slice(t, t + BLOCK)
-            common = np.bitwise_count(sy[block, None] & sx)
-            js, xi = np.nonzero(common >= least + (threshold * m[block, None] / 200).astype(np.float32))
-            if not len(xi):
-                continue
-            part = ys[block]
-            codes = np.zeros((max(map(len, part)), len(part)), np.int64)
-            for j, y in enumerate(part):
-                codes[: len(y), j] = [letters.get(c, 0) for c in y]
-            row = [np.full(len(xi), 2**64 - 1, np.uint64) for _ in range(words)]
-            for code in codes:
-                at = code[js]
-                _step(row, [mask[at, xi] for mask in masks])
-            length = 64 * words - sum(np.bitwise_count(r).astype(np.int64) for r in row)
-            score = 200.0 * length / (n[xi] + m[t + js])
+def _common(own: _Slice, codes: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs; ``codes`` has a letter of all other texts a row."""
+    row = [np.full(len(x), 2**64 - 1, np.uint64) for _ in own.masks]
+    for code in codes[: m[y].max()]:
+        at = code[y]
+        _step(row, [mask[at, x] for mask in own.masks])
+    return 64 * len(row) - sum(np.bitwise_count(r).astype(np.int64) for r in row)
+
+
+def _least(own: _Slice, slack: np.ndarray, m: np.ndarray, lost: np.ndarray, threshold: float) -> np.ndarray:
+    """Bits that a text of length m has in common with each of its own at least; 255 where lengths rule out the threshold."""
+    length = np.ceil(threshold * (m[:, None] + own.n) / 200 - 1e-9).astype(np.int64)
+    # letters that share a bit may be common without being seen, of the one text as of the other
+    least = np.maximum(length - np.minimum(lost[:, None], slack), 0)
+    return np.where(length > np.minimum(m[:, None], own.n), 255, least).astype(np.uint8)
+
+
+def _compared(own: _Slice, texts: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in own, places in texts, scores) of the pairs at or above the threshold."""
+    m = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = _points(texts, m)
+    codes = np.minimum(np.searchsorted(own.alphabet, points), len(own.alphabet) - 1)
+    codes[own.alphabet[codes] != points] = 0
+    ordered, k = _repeats(codes)
+    signature = np.bitwise_or.reduce(own.bits[ordered, k], axis=1)
+    slack, lost = own.n - np.bitwise_count(own.signature), m - np.bitwise_count(signature)
+    order = np.lexsort((lost, m))
+    m, lost, signature, codes = m[order], lost[order], signature[order], np.ascontiguousarray(codes[order].T)
+    new = np.ones(len(m), bool)
+    new[1:] = (m[1:] != m[:-1]) | (lost[1:] != lost[:-1])
+    kind, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
+    base, least = 0, np.zeros((0, len(own.n)), np.uint8)
+    wide = -(-len(own.n) // 8) * 8
+    both, seen, enough = np.empty((BLOCK, len(own.n)), np.uint64), np.empty((BLOCK, len(own.n)), np.uint8), np.zeros((BLOCK, wide), bool)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for t in range(0, len(m), BLOCK):
+        kinds = kind[t : t + BLOCK]
+        if kinds[-1] >= base + len(least):
+            base = int(kinds[0])
+            of = firsts[base : base + 2 * BLOCK]
+            least = _least(own, slack, m[of], lost[of], threshold)
+        c = len(kinds)
+        np.bitwise_and(signature[t : t + c, None], own.signature, out=both[:c])
+        np.bitwise_count(both[:c], out=seen[:c])
+        np.greater_equal(seen[:c], least[kinds - base], out=enough[:c, : len(own.n)])
+        eights = enough[:c].reshape(-1, 8)  # most are empty, and looked at as one number each
+        some = np.flatnonzero(eights.view(np.uint64))
+        at, place = np.nonzero(eights[some])
+        y, x = np.divmod(some[at] * 8 + place, wide)
+        held.append((x, y + t))
+        size += len(x)
+        if size >= PAIRS or (size and t + BLOCK >= len(m)):
+            x, y = (np.concatenate(v) for v in zip(*held, strict=True))
+            score = 200.0 * _common(own, codes, m, x, y) / (own.n[x] + m[y])
             good = score >= threshold
-            yield s + xi[good], t + js[good], score[good]
+            yield own.at[x[good]], order[y[good]], score[good]
+            held, size = [], 0
 
 
-def _chunks(texts: DataFrame) -> DataFrame:
-    """(scope, block, text, side) -> (scope, block, side, id, texts, lo, hi): chunks and the range of their lengths."""
-    own = ["scope", "block", "side"]
-    index = texts.filter("text <> ''").groupBy("scope", "block", "text").agg(F.bit_or("side").alias("side")).withColumn("n", F.char_length("text"))
-    by_length = index.groupBy(*own, "n").agg(F.count("*").alias("c"))
-    sizes = by_length.join(by_length.groupBy(*own).agg(F.sum("c").alias("all")), own)
-    small = F.col("all") <= CHUNK
-    dealt = sizes.select(*own, "n", F.when(small, 0).otherwise(F.col("n")).alias("band"), F.when(small, 1).otherwise(F.ceil(F.col("c") / CHUNK)).alias("parts"))
-    parted = index.join(dealt, [*own, "n"]).withColumn("part", F.pmod(F.xxhash64("text"), "parts"))
-    return parted.groupBy(*own, "band", "part").agg(F.collect_list("text").alias("texts"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumn("id", F.struct("side", "band", "part"))
+def alike_pairs(own: list[_Slice], ys: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in the texts of ``own``, places in ys, scores) of all pairs at or above the threshold; texts aren't empty."""
+    order = sorted(range(len(ys)), key=lambda j: len(ys[j]))
+    n = np.array([len(ys[j]) for j in order], np.int64)
+    for s in _cuts(n, 64):
+        at = np.array(order[s])
+        for some in own:
+            for i, j, score in _compared(some, [ys[k] for k in at], threshold):
+                yield i, at[j], score
 
 
-def candidates(texts: DataFrame, threshold: float) -> DataFrame:
-    """``texts`` (scope, block, text, side: 1 asked, 2 known, 3 both) -> the pairs (scope, block, text, other, score) of a text
-    asked and another known that reach the threshold."""
-    importable()
-    spark = texts.sparkSession
-    chunks = _chunks(texts)
-    end = lambda i: chunks.select("scope", "block", F.col("id").alias(f"id{i}"), F.col("side").alias(f"side{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}"))
-    full = lambda i: chunks.select("scope", "block", F.col("id").alias(f"id{i}"), F.col("texts").alias(f"texts{i}"))
-    asks = lambda a, b: (F.col(f"side{a}").bitwiseAND(1) > 0) & (F.col(f"side{b}").bitwiseAND(2) > 0)
-    # the best that lengths allow: all of the shorter text is common
-    fits = lambda a, b: 200.0 * F.least(f"hi{a}", f"lo{b}") / (F.least(f"hi{a}", f"lo{b}") + F.col(f"lo{b}")) >= threshold - 1e-9
-    slim = end(1).join(end(2), ["scope", "block"]).filter((F.col("id1") <= F.col("id2")) & (asks(1, 2) | asks(2, 1)) & fits(1, 2) & fits(2, 1))
-    slim = slim.select("scope", "block", "id1", "id2", asks(1, 2).alias("there"), asks(2, 1).alias("back"))
-    both = slim.join(full(1), ["scope", "block", "id1"]).join(full(2), ["scope", "block", "id2"]).withColumn("same", F.col("id1") == F.col("id2"))
+def _kinds() -> list[Column]:
+    """Numbers of letters of a text: all, and of each kind."""
+    n = F.char_length("text")
+    of = [n - F.char_length(F.translate("text", letters, "")) for letters in _KINDS]
+    return [n, *of, n - sum(of[1:], of[0])]
+
+
+def _chunks(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (scope, block, text, keys, side) -> blocks of at most a chunk (scope, block, one, two, both: texts by side), and
+    the chunks of larger ones (scope, block, side, id, texts, lo, hi: the ranges of ``_kinds``)."""
+    own, entry = ["scope", "block", "side"], F.struct("text", "keys")
+    index = index.withColumn("kinds", F.array(*_kinds()))
+    sizes = index.groupBy(*own, "kinds").agg(F.count("*").alias("c"))
+    block, side = Window.partitionBy("scope", "block"), Window.partitionBy(*own)
+    before = F.sum("c").over(side.orderBy("kinds").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    sizes = sizes.select(*own, "kinds", "c", F.sum("c").over(block).alias("all"), F.floor(before / CHUNK).alias("band"))
+    sizes = sizes.withColumn("parts", F.ceil(F.sum("c").over(Window.partitionBy(*own, "band")) / CHUNK))
+    dealt = index.join(sizes.select(*own, "kinds", "all", "band", "parts"), [*own, "kinds"])
+    spark = index.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    both = both.repartition(tasks, "scope", "block", "id1", "id2").select("scope", "block", "there", "back", "same", "texts1", "texts2")
-    schema = pa.schema([("scope", pa.string()), ("block", pa.string()), ("text", pa.string()), ("other", pa.string()), ("score", pa.float64())])
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, entry)))
+    small = dealt.filter(F.col("all") <= CHUNK).select(*own, "text", "keys").repartition(tasks, "scope", "block")
+    small = small.groupBy("scope", "block").agg(of(1).alias("one"), of(2).alias("two"), of(3).alias("both"))
+    large = dealt.filter(F.col("all") > CHUNK).withColumn("part", F.pmod(F.xxhash64("text"), "parts"))
+    ends = lambda f: F.array(*[f(F.col("kinds")[i]) for i in range(len(_KINDS) + 2)])
+    large = large.groupBy(*own, "band", "part").agg(F.sort_array(F.collect_list(entry)).alias("texts"), ends(F.min).alias("lo"), ends(F.max).alias("hi"))
+    return small, large.select(*own, F.concat_ws(" ", "side", "band", "part").alias("id"), "texts", "lo", "hi")
+
+
+def _met(index: DataFrame, threshold: float) -> DataFrame:
+    """Texts to be compared with each other: (scope, block, id, same, texts, others)."""
+    spark = index.sparkSession
+    small, large = _chunks(index)
+    pair = lambda i, a, b: F.struct(F.lit(i).alias("id"), F.lit(a == b).alias("same"), F.col(a).alias("texts"), F.col(b).alias("others"))
+    pairs = F.array(pair("1", "one", "two"), pair("2", "one", "both"), pair("3", "two", "both"), pair("4", "both", "both"))
+    within = small.select("scope", "block", F.explode(F.filter(pairs, lambda p: (F.size(p["texts"]) > 0) & (F.size(p["others"]) > 0))).alias("p")).select("scope", "block", "p.*")
+    # both ends are shuffled once; a task of the product reads a part of either
+    ends = math.ceil(math.sqrt(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
+    a, b = large.repartition(ends).alias("a"), large.repartition(ends).alias("b")
+    gaps = [F.greatest(F.lit(0), F.col("a.lo")[i] - F.col("b.hi")[i], F.col("b.lo")[i] - F.col("a.hi")[i]) for i in range(len(_KINDS) + 2)]
+    # letters that aren't common are at least those by which the kinds, or the lengths, differ
+    most = (F.col("a.hi")[0] + F.col("b.hi")[0]) * (1 - threshold / 100) + 1e-9
+    fits = (F.greatest(gaps[0], sum(gaps[2:], gaps[1])) <= most) & (F.col("a.id") <= F.col("b.id")) & (F.col("a.side").bitwiseOR(F.col("b.side")) == 3)
+    across = a.hint("shuffle_replicate_nl").join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.block") == F.col("b.block")) & fits)
+    across = across.select("a.scope", "a.block", "a.id", (F.col("a.id") == F.col("b.id")).alias("same"), "a.texts", F.col("b.texts").alias("others"))
+    return within.unionByName(across)
+
+
+def _pairs(index: DataFrame, threshold: float) -> DataFrame:
+    """``index`` (scope, block, text, keys: key and side) -> (scope, block, key, other, score) of keys of different texts that reach the threshold."""
+    importable()
+    sides = F.aggregate("keys", F.lit(0), lambda s, k: s.bitwiseOR(k["side"]))
+    index = index.filter("text <> '' and scope is not null and block is not null").withColumn("side", sides)
+    schema = pa.schema([("scope", pa.string()), ("block", pa.string()), ("key", pa.string()), ("other", pa.string()), ("score", pa.float64())])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, []
         for batch in batches:
             for k in range(batch.num_rows):
-                scope, block, there, back, same, xs, ys = (batch.column(c)[k].as_py() for c in range(7))
-                for i, j, score in alike_pairs(xs, ys, threshold):
+                scope, block, id, same = (batch.column(c)[k].as_py() for c in range(4))
+                texts, others = (batch.column(c)[k].values for c in (4, 5))
+                if (scope, block, id) != last:
+                    last, own = (scope, block, id), _slices(texts.field("text").to_pylist())
+                keys, rows = (texts.field("keys"), others.field("keys")), []
+                for i, j, score in alike_pairs(own, others.field("text").to_pylist(), threshold):
                     if same:  # each pair comes in both orders
                         i, j, score = (v[i < j] for v in (i, j, score))
                     for s in range(0, len(i), ROWS):
-                        x, y = ([texts[k] for k in at[s : s + ROWS]] for texts, at in ((xs, i), (ys, j)))
-                        for a, b in [(x, y)] * there + [(y, x)] * back:
-                            yield pa.RecordBatch.from_arrays([pa.array([scope] * len(a)), pa.array([block] * len(a)), pa.array(a), pa.array(b), pa.array(score[s : s + ROWS])], schema=schema)
+                        xs, ys = (of.take(pa.array(at[s : s + ROWS])).to_pylist() for of, at in zip(keys, (i, j), strict=True))
+                        for x, y, z in zip(xs, ys, score[s : s + ROWS].tolist(), strict=True):
+                            for a in x:
+                                for b in y:
+                                    if a["side"] & 1 and b["side"] & 2:
+                                        rows.append((a["key"], b["key"], z))
+                                    if a["side"] & 2 and b["side"] & 1:
+                                        rows.append((b["key"], a["key"], z))
+                            if len(rows) >= ROWS:
+                                yield _batch(scope, block, rows, schema)
+                                rows = []
+                if rows:
+                    yield _batch(scope, block, rows, schema)
+
+    return _met(index, threshold).mapInArrow(compared, "scope string, block string, key string, other string, score double")
+
+
+def _batch(scope: str, block: str, rows: list[tuple[str, str, float]], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([scope] * len(rows)), pa.array([block] * len(rows)), *(pa.array(c) for c in zip(*rows, strict=True))], schema=schema)
 
-    return both.mapInArrow(compared, "scope string, block string, text string, other string, score double")
+
+def candidates(texts: DataFrame, threshold: float) -> DataFrame:
+    """``texts`` (scope, block, text, side: 1 asked, 2 known, 3 both) -> the pairs (scope, block, text, other, score) of a text
+    asked and another known that reach the threshold."""
+    index = texts.groupBy("scope", "block", "text").agg(F.bit_or("side").alias("side"))
+    index = index.select("scope", "block", "text", F.array(F.struct(F.col("text").alias("key"), "side")).alias("keys"))
+    return _pairs(index, threshold).withColumnRenamed("key", "text")
 
 
 def similar(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """All pairs of comparison keys of one scope and one block whose similarity is at least ``threshold``: (scope, key, other,
     score) from ``asked`` and ``known`` (scope, block, key). Equal keys are no pair; an empty key is like nothing."""
+    sides = asked.select("scope", "block", "key", F.lit(1).alias("side")).unionByName(known.select("scope", "block", "key", F.lit(2).alias("side")))
+    keys = sides.groupBy("scope", "block", "key").agg(F.bit_or("side").alias("side"))
     ordered = F.array_join(F.array_sort(F.split("key", " ")), " ")
-    a, b = (df.select("scope", "block", "key", ordered.alias("text")).distinct() for df in (asked, known))
-    sides = a.select("scope", "block", "text", F.lit(1).alias("side")).unionByName(b.select("scope", "block", "text", F.lit(2).alias("side")))
-    same = a.select("scope", "block", "text").distinct().withColumn("other", F.col("text")).withColumn("score", F.lit(100.0))
-    pairs = candidates(sides, threshold).unionByName(same)  # the same words in another order
-    left = a.withColumnRenamed("key", "_key")
-    right = b.select("scope", "block", F.col("text").alias("other"), F.col("key").alias("_other"))
-    out = pairs.join(left, ["scope", "block", "text"]).join(right, ["scope", "block", "other"])
-    return out.filter("_key <> _other and text <> ''").select("scope", F.col("_key").alias("key"), F.col("_other").alias("other"), "score")
+    index = keys.groupBy("scope", "block", ordered.alias("text")).agg(F.sort_array(F.collect_list(F.struct("key", "side"))).alias("keys"))
+    # the same words in another order
+    same = index.filter("text <> '' and scope is not null and block is not null and size(keys) > 1").select("scope", F.explode("keys").alias("a"), "keys")
+    same = same.select("scope", "a", F.explode("keys").alias("b")).filter("a.key <> b.key and a.side & 1 > 0 and b.side & 2 > 0")
+    same = same.select("scope", F.col("a.key").alias("key"), F.col("b.key").alias("other"), F.lit(100.0).alias("score"))
+    return _pairs(index, threshold).select("scope", "key", "other", "score").unionByName(same)

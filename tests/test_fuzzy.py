@@ -82,3 +82,57 @@ def test_chunks_lose_no_pair(spark, monkeypatch):
     rows = spark.createDataFrame([("s", "", k) for k in keys], "scope string, block string, key string")
     got = {(r.key, r.other) for r in fuzzy.similar(rows, rows, 85.0).collect()}
     assert got == {(a, b) for a in keys for b in keys if a != b and T.token_sort_ratio(a, b) >= 85}
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` write for others to read."""
+    sc = spark.sparkContext
+    new, none = sc._jvm.java.util.ArrayList, sc._gateway.new_array(sc._jvm.double, 0)
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(new(), False, False, none, new())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    run()
+    return sum(v for k, v in written().items() if k not in before)
+
+
+def test_what_is_shuffled_grows_as_the_names_not_as_their_pairs(spark, monkeypatch):
+    """Eight times the names in chunks of the same size: 64 times the pairs of chunks, eight times the bytes."""
+    monkeypatch.setattr(fuzzy, "CHUNK", 16)
+    rng = random.Random(10)
+    names = sorted({" ".join("".join(rng.choice(["an", "el", "ma", "jo", "ri", "to"]) for _ in range(3)) for _ in range(2)) for _ in range(1100)})
+    rows = lambda n: spark.createDataFrame([("s", "", k) for k in names[:n]], "scope string, block string, key string")
+    small, large = (shuffled(spark, lambda n=n: fuzzy.similar(rows(n), rows(n), 99.0).count()) for n in (len(names) // 8, len(names)))
+    assert large < 10 * small
+
+
+def test_chunks_of_names_asked_and_known_lose_no_pair(spark, monkeypatch):
+    """Large and small blocks side by side, keys of the same words, names on one side only."""
+    monkeypatch.setattr(fuzzy, "CHUNK", 9)
+    rng = random.Random(11)
+    keys = sorted({changed(rng, k) for k in ("anders berström", "berström anders", "maria el kové", "x" * 70 + " an") for _ in range(25)} | {"b a", "a b", "c"})
+    rows = sorted({(rng.choice("sst"), rng.choice(["", "", "u21"]), k) for k in keys for _ in range(2)})
+    asked, known = [r for r in rows if rng.random() < 0.6], [r for r in rows if rng.random() < 0.6]
+    make = lambda x: spark.createDataFrame(x, "scope string, block string, key string")
+    got = sorted(tuple(r) for r in fuzzy.similar(make(asked), make(known), 80.0).collect())
+    want = sorted(
+        (s, k, o, T.token_sort_ratio(k, o)) for s, b, k in asked for s2, b2, o in known if (s, b) == (s2, b2) and k != o and T.token_sort_ratio(k, o) >= 80
+    )
+    assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("masks", [400, 1 << 22])
+def test_pairs_are_the_same_however_texts_are_cut(monkeypatch, masks):
+    monkeypatch.setattr(fuzzy, "_MASKS", masks)
+    monkeypatch.setattr(fuzzy, "BLOCK", 3)
+    monkeypatch.setattr(fuzzy, "PAIRS", 10)
+    rng = random.Random(12)
+    keys = [words(rng) for _ in range(60)]
+    keys += [changed(rng, k) for k in keys] + ["a" * 300, "a" * 299 + "b", "b" + "a" * 299, "x" * 64, "x" * 65, "x" * 63 + "y", "😀aé\x00z", "😀aé\x00y"]
+    xs, ys = (rng.sample(sorted({k for k in keys if k}), 80) for _ in range(2))
+    got = sorted((int(i), int(j), float(s)) for found in fuzzy.alike_pairs(fuzzy._slices(xs), ys, 75.0) for i, j, s in zip(*found, strict=True))
+    ratio = lambda x, y: 200.0 * T.common_subsequence(x, y) / (len(x) + len(y))
+    assert got == [(i, j, ratio(x, y)) for i, x in enumerate(xs) for j, y in enumerate(ys) if ratio(x, y) >= 75]
