@@ -3,11 +3,12 @@
 The similarity of two keys is 200 L / (n + m): L is the longest common subsequence of their texts with words in
 order, n and m are the lengths. Names made of the same few syllables share their bigrams, and sets of them, so an
 inverted index meets on nearly every pair and pays for each with a shuffled row. Here a block of up to a chunk of
-texts is one row; the texts of a larger one are dealt into chunks by length and by letters of a kind, and chunks whose ranges can reach
+texts is one row; the texts of a larger one are dealt into chunks by length, and chunks whose lengths can reach
 the threshold are paired by a cartesian product: its tasks read the chunks, which are shuffled once, so nothing that is written
-grows with the pairs. A task compares two chunks: pairs that share too few letters are ruled out by bits of a machine word, the others
-are compared many at once, a letter at a time. Texts bring the keys they stand for along, and only pairs of keys at
-or above the threshold leave a task, which no join follows. No pair is lost; the work is quadratic in a block, memory and disk are not.
+grows with the pairs. A task compares two chunks: pairs whose numbers of letters of a few kinds differ too much are passed over, those that
+share too few letters are ruled out by bits of a machine word, the others are compared many at once, a letter at a time.
+Texts bring the keys they stand for along, and only pairs of keys at or above the threshold leave a task, which no join
+follows. No pair is lost; the work is quadratic in a block, memory and disk are not.
 """
 
 from __future__ import annotations
@@ -18,30 +19,37 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import importable
 
-#: Texts of a chunk (about), texts of the other that are compared with them at once, pairs that bits let through and rows of a batch of results.
-CHUNK, BLOCK, PAIRS, ROWS = 4096, 32, 16384, 8192
+#: Texts of a chunk (about), pairs whose bits are compared at once, pairs that bits let through and rows of a batch of results.
+CHUNK, BLOCK, PAIRS, ROWS = 16384, 1 << 17, 16384, 8192
+#: Groups of texts whose letters by kind are compared with those of all others at once.
+AHEAD = 64
 #: Words of the letters' masks, and letters of texts side by side, at most: longer texts and larger alphabets are taken fewer at a time.
-_MASKS = 1 << 22
+_MASKS = 1 << 23
 #: A letter's occurrences from this one on have no bit.
 _REPEATS = 256
-#: Kinds of letters, each about a quarter of a name; what is in none is the last kind.
-_KINDS = ("aktbzp", "olsgch", "eruvj")
+#: Kinds of letters, about equally frequent.
+_KINDS = 4
 
 
 class _Slice(NamedTuple):
-    """Some texts of a chunk: their places in it, lengths, letters (numbered by ``alphabet`` from 1), bits, and where in a text a letter is."""
+    """Some texts of a chunk, in order of their numbers of letters by kind: places in the chunk, lengths, letters (numbered
+    by ``alphabet`` from 1) with kinds and bits, where in a text a letter is; the distinct numbers by kind, and texts of each."""
 
     at: np.ndarray
     n: np.ndarray
     alphabet: np.ndarray
+    kind: np.ndarray
     bits: np.ndarray
     signature: np.ndarray
+    slack: np.ndarray
     masks: np.ndarray
+    cells: np.ndarray
+    sizes: np.ndarray
 
 
 def _points(texts: list[str], n: np.ndarray) -> np.ndarray:
@@ -76,12 +84,31 @@ def _slices(texts: list[str]) -> list[_Slice]:
     return [_slice([texts[i] for i in order[s]], order[s], length[order[s]]) for s in _cuts(length[order], max(letters, 64))]
 
 
+def _cells(codes: np.ndarray, kind: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of texts by length and numbers of letters by kind (the last: letters without a number), those, and where others begin."""
+    kinds = kind[codes]
+    counts = np.stack([(kinds == c).sum(axis=1) for c in range(_KINDS)], axis=1)
+    counts = np.column_stack([counts, n - counts.sum(axis=1)])
+    order = np.lexsort((*counts.T, n))
+    counts = counts[order]
+    first = np.ones(len(n), bool)
+    first[1:] = (counts[1:] != counts[:-1]).any(axis=1)
+    return order, counts, np.flatnonzero(first)
+
+
 def _slice(texts: list[str], at: np.ndarray, n: np.ndarray) -> _Slice:
     points = _points(texts, n)
     alphabet, codes = np.unique(points, return_inverse=True)
     codes = codes.reshape(points.shape)
     if alphabet[0]:  # no text is shorter than another
         alphabet, codes = np.concatenate([[0], alphabet]), codes + 1
+    kind, total = np.full(len(alphabet), -1), [0] * _KINDS
+    often = np.bincount(codes.ravel(), minlength=len(alphabet))
+    for letter in 1 + np.argsort(-often[1:], kind="stable"):
+        kind[letter] = total.index(min(total))
+        total[kind[letter]] += int(often[letter])
+    order, counts, firsts = _cells(codes, kind, n)
+    at, n, codes = at[order], n[order], codes[order]
     ordered, k = _repeats(codes)
     # bits for letters counted with repeats, the most frequent ones apart; letter 0 and a repeat too many have none
     often = np.bincount((ordered * (_REPEATS + 1) + k).ravel(), minlength=len(alphabet) * (_REPEATS + 1)).reshape(len(alphabet), -1)
@@ -90,12 +117,13 @@ def _slice(texts: list[str], at: np.ndarray, n: np.ndarray) -> _Slice:
     bits = np.zeros(often.size, np.uint64)
     bits[known] = np.uint64(1) << (np.arange(len(known)) % 64).astype(np.uint64)
     bits = bits.reshape(often.shape)
-    masks = np.zeros(((points.shape[1] + 63) >> 6, len(alphabet), len(texts)), np.uint64)
+    masks = np.zeros(((codes.shape[1] + 63) >> 6, len(alphabet), len(texts)), np.uint64)
     each = np.arange(len(texts))
-    for i in range(points.shape[1]):
+    for i in range(codes.shape[1]):
         masks[i >> 6, codes[:, i], each] |= np.uint64(1 << (i & 63))
     masks[:, 0] = 0
-    return _Slice(at, n, alphabet, bits, np.bitwise_or.reduce(bits[ordered, k], axis=1), masks)
+    signature = np.bitwise_or.reduce(bits[ordered, k], axis=1)
+    return _Slice(at, n, alphabet, kind, bits, signature, n - np.bitwise_count(signature), masks, counts[firsts], np.diff(firsts, append=len(texts)))
 
 
 def _step(row: list[np.ndarray], mask: list[np.ndarray]) -> None:
@@ -115,61 +143,83 @@ def _step(row: list[np.ndarray], mask: list[np.ndarray]) -> None:
 def _common(own: _Slice, codes: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Lengths of the longest common subsequences of pairs; ``codes`` has a letter of all other texts a row."""
     row = [np.full(len(x), 2**64 - 1, np.uint64) for _ in own.masks]
-    for code in codes[: m[y].max()]:
+    for code in codes[: m[y].max(initial=0)]:
         at = code[y]
         _step(row, [mask[at, x] for mask in own.masks])
     return 64 * len(row) - sum(np.bitwise_count(r).astype(np.int64) for r in row)
 
 
-def _least(own: _Slice, slack: np.ndarray, m: np.ndarray, lost: np.ndarray, threshold: float) -> np.ndarray:
-    """Bits that a text of length m has in common with each of its own at least; 255 where lengths rule out the threshold."""
-    length = np.ceil(threshold * (m[:, None] + own.n) / 200 - 1e-9).astype(np.int64)
-    # letters that share a bit may be common without being seen, of the one text as of the other
-    least = np.maximum(length - np.minimum(lost[:, None], slack), 0)
-    return np.where(length > np.minimum(m[:, None], own.n), 255, least).astype(np.uint8)
+def _least(n: np.ndarray, m: np.ndarray | int, threshold: float) -> np.ndarray:
+    """Letters that texts of such lengths have in common at least."""
+    return np.ceil(threshold * (n + m) / 200 - 1e-9).astype(np.int64)
+
+
+def _seen(own: _Slice, m: np.ndarray, signature: np.ndarray, counts: np.ndarray, firsts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (of own, of the others) that numbers of letters by kind and bits let through."""
+    starts = np.cumsum(own.sizes) - own.sizes
+    cells, n = own.cells.T.astype(np.int32), own.n[starts]
+    most = BLOCK + len(own.n) + 8
+    both, seen, enough, length = np.empty(most, np.uint64), np.empty(most, np.uint8), np.empty(most, bool), -1
+    for f, (s, e) in enumerate(zip(firsts.tolist(), [*firsts[1:].tolist(), len(m)], strict=True)):
+        if f % AHEAD == 0:  # letters that aren't common, by cells of both
+            of, to = counts[firsts[f : f + AHEAD]].astype(np.int32), m[firsts[f : f + AHEAD], None]
+            near = sum(np.abs(cells[k] - of[:, k, None]) for k in range(len(cells))) <= n + to - 2 * _least(n, to, threshold)
+        at = np.flatnonzero(near[f % AHEAD])
+        if not len(at):
+            continue
+        sizes = own.sizes[at]
+        x = np.repeat(starts[at] + sizes - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        if m[s] != length:
+            length = int(m[s])
+            # letters that share a bit may be common without being seen
+            least = np.clip(_least(own.n, length, threshold) - own.slack, 0, 64).astype(np.uint8)
+        # places up to a multiple of 8 have more bits to share than there are
+        wide = -(-len(x) // 8) * 8
+        bits, limit = np.zeros(wide, np.uint64), np.full(wide, 255, np.uint8)
+        bits[: len(x)], limit[: len(x)] = own.signature[x], least[x]
+        rows = max(1, BLOCK // wide)
+        for t in range(s, e, rows):
+            some = signature[t : min(t + rows, e), None]
+            a, b, c = (v[: len(some) * wide].reshape(-1, wide) for v in (both, seen, enough))
+            np.bitwise_and(some, bits, out=a)
+            np.bitwise_count(a, out=b)
+            np.greater_equal(b, limit, out=c)
+            eights = c.reshape(-1, 8)  # most are empty, and looked at as one number each
+            full = np.flatnonzero(eights.view(np.uint64))
+            eight, place = np.nonzero(eights[full])
+            j, i = np.divmod(full[eight] * 8 + place, wide)
+            yield x[i], t + j
 
 
 def _compared(own: _Slice, texts: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places in own, places in texts, scores) of the pairs at or above the threshold."""
+    """(places in the chunk of own, places in texts, scores) of the pairs at or above the threshold."""
     m = np.fromiter(map(len, texts), np.int64, len(texts))
     points = _points(texts, m)
     codes = np.minimum(np.searchsorted(own.alphabet, points), len(own.alphabet) - 1)
     codes[own.alphabet[codes] != points] = 0
+    order, counts, firsts = _cells(codes, own.kind, m)
+    m, codes = m[order], codes[order]
     ordered, k = _repeats(codes)
-    signature = np.bitwise_or.reduce(own.bits[ordered, k], axis=1)
-    slack, lost = own.n - np.bitwise_count(own.signature), m - np.bitwise_count(signature)
-    order = np.lexsort((lost, m))
-    m, lost, signature, codes = m[order], lost[order], signature[order], np.ascontiguousarray(codes[order].T)
-    new = np.ones(len(m), bool)
-    new[1:] = (m[1:] != m[:-1]) | (lost[1:] != lost[:-1])
-    kind, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
-    base, least = 0, np.zeros((0, len(own.n)), np.uint8)
-    wide = -(-len(own.n) // 8) * 8
-    both, seen, enough = np.empty((BLOCK, len(own.n)), np.uint64), np.empty((BLOCK, len(own.n)), np.uint8), np.zeros((BLOCK, wide), bool)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for t in range(0, len(m), BLOCK):
-        kinds = kind[t : t + BLOCK]
-        if kinds[-1] >= base + len(least):
-            base = int(kinds[0])
-            of = firsts[base : base + 2 * BLOCK]
-            least = _least(own, slack, m[of], lost[of], threshold)
-        c = len(kinds)
-        np.bitwise_and(signature[t : t + c, None], own.signature, out=both[:c])
-        np.bitwise_count(both[:c], out=seen[:c])
-        np.greater_equal(seen[:c], least[kinds - base], out=enough[:c, : len(own.n)])
-        eights = enough[:c].reshape(-1, 8)  # most are empty, and looked at as one number each
-        some = np.flatnonzero(eights.view(np.uint64))
-        at, place = np.nonzero(eights[some])
-        y, x = np.divmod(some[at] * 8 + place, wide)
-        held.append((x, y + t))
-        size += len(x)
-        if size >= PAIRS or (size and t + BLOCK >= len(m)):
-            x, y = (np.concatenate(v) for v in zip(*held, strict=True))
-            score = 200.0 * _common(own, codes, m, x, y) / (own.n[x] + m[y])
-            good = score >= threshold
-            yield own.at[x[good]], order[y[good]], score[good]
+    signature, codes = np.bitwise_or.reduce(own.bits[ordered, k], axis=1), np.ascontiguousarray(codes.T)
+    lost = m - np.bitwise_count(signature)
+
+    def scored() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = (np.concatenate(v) for v in zip(*held, strict=True))
+        may = np.bitwise_count(own.signature[x] & signature[y]) >= _least(own.n[x], m[y], threshold) - lost[y]
+        x, y = x[may], y[may]
+        score = 200.0 * _common(own, codes, m, x, y) / (own.n[x] + m[y])
+        good = score >= threshold
+        return own.at[x[good]], order[y[good]], score[good]
+
+    held, size = [], 0
+    for found in _seen(own, m, signature, counts, firsts, threshold):
+        held.append(found)
+        size += len(found[0])
+        if size >= PAIRS:
+            yield scored()
             held, size = [], 0
+    if size:
+        yield scored()
 
 
 def alike_pairs(own: list[_Slice], ys: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -183,32 +233,23 @@ def alike_pairs(own: list[_Slice], ys: list[str], threshold: float) -> Iterator[
                 yield i, at[j], score
 
 
-def _kinds() -> list[Column]:
-    """Numbers of letters of a text: all, and of each kind."""
-    n = F.char_length("text")
-    of = [n - F.char_length(F.translate("text", letters, "")) for letters in _KINDS]
-    return [n, *of, n - sum(of[1:], of[0])]
-
-
 def _chunks(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts (scope, block, text, keys, side) -> blocks of at most a chunk (scope, block, one, two, both: texts by side), and
-    the chunks of larger ones (scope, block, side, id, texts, lo, hi: the ranges of ``_kinds``)."""
+    the chunks of larger ones (scope, block, side, id, texts, lo, hi: the range of their lengths)."""
     own, entry = ["scope", "block", "side"], F.struct("text", "keys")
-    index = index.withColumn("kinds", F.array(*_kinds()))
-    sizes = index.groupBy(*own, "kinds").agg(F.count("*").alias("c"))
-    block, side = Window.partitionBy("scope", "block"), Window.partitionBy(*own)
-    before = F.sum("c").over(side.orderBy("kinds").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    sizes = sizes.select(*own, "kinds", "c", F.sum("c").over(block).alias("all"), F.floor(before / CHUNK).alias("band"))
-    sizes = sizes.withColumn("parts", F.ceil(F.sum("c").over(Window.partitionBy(*own, "band")) / CHUNK))
-    dealt = index.join(sizes.select(*own, "kinds", "all", "band", "parts"), [*own, "kinds"])
+    index = index.withColumn("n", F.char_length("text"))
+    sizes = index.groupBy(*own, "n").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(*own).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    sizes = sizes.select(*own, "n", "c", F.sum("c").over(Window.partitionBy("scope", "block")).alias("all"), F.floor(before / CHUNK).alias("band"))
+    sizes = sizes.withColumn("parts", F.ceil(F.sum("c").over(Window.partitionBy(*own, "band")) / CHUNK)).drop("c")
+    dealt = index.join(sizes, [*own, "n"])
     spark = index.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, entry)))
     small = dealt.filter(F.col("all") <= CHUNK).select(*own, "text", "keys").repartition(tasks, "scope", "block")
     small = small.groupBy("scope", "block").agg(of(1).alias("one"), of(2).alias("two"), of(3).alias("both"))
     large = dealt.filter(F.col("all") > CHUNK).withColumn("part", F.pmod(F.xxhash64("text"), "parts"))
-    ends = lambda f: F.array(*[f(F.col("kinds")[i]) for i in range(len(_KINDS) + 2)])
-    large = large.groupBy(*own, "band", "part").agg(F.sort_array(F.collect_list(entry)).alias("texts"), ends(F.min).alias("lo"), ends(F.max).alias("hi"))
+    large = large.groupBy(*own, "band", "part").agg(F.sort_array(F.collect_list(entry)).alias("texts"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     return small, large.select(*own, F.concat_ws(" ", "side", "band", "part").alias("id"), "texts", "lo", "hi")
 
 
@@ -222,22 +263,24 @@ def _met(index: DataFrame, threshold: float) -> DataFrame:
     # both ends are shuffled once; a task of the product reads a part of either
     ends = math.ceil(math.sqrt(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
     a, b = large.repartition(ends).alias("a"), large.repartition(ends).alias("b")
-    gaps = [F.greatest(F.lit(0), F.col("a.lo")[i] - F.col("b.hi")[i], F.col("b.lo")[i] - F.col("a.hi")[i]) for i in range(len(_KINDS) + 2)]
-    # letters that aren't common are at least those by which the kinds, or the lengths, differ
-    most = (F.col("a.hi")[0] + F.col("b.hi")[0]) * (1 - threshold / 100) + 1e-9
-    fits = (F.greatest(gaps[0], sum(gaps[2:], gaps[1])) <= most) & (F.col("a.id") <= F.col("b.id")) & (F.col("a.side").bitwiseOR(F.col("b.side")) == 3)
-    across = a.hint("shuffle_replicate_nl").join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.block") == F.col("b.block")) & fits)
+    # the best that lengths allow: all of the shorter text is common
+    fits = lambda a, b: 200.0 * F.least(f"{a}.hi", f"{b}.lo") / (F.least(f"{a}.hi", f"{b}.lo") + F.col(f"{b}.lo")) >= threshold - 1e-9
+    meet = (F.col("a.id") <= F.col("b.id")) & (F.col("a.side").bitwiseOR(F.col("b.side")) == 3) & fits("a", "b") & fits("b", "a")
+    across = a.hint("shuffle_replicate_nl").join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.block") == F.col("b.block")) & meet)
     across = across.select("a.scope", "a.block", "a.id", (F.col("a.id") == F.col("b.id")).alias("same"), "a.texts", F.col("b.texts").alias("others"))
     return within.unionByName(across)
 
 
 def _pairs(index: DataFrame, threshold: float) -> DataFrame:
-    """``index`` (scope, block, text, keys: key and side) -> (scope, block, key, other, score) of keys of different texts that reach the threshold."""
+    """``index`` (scope, block, text, keys: key and side) -> (scope, block, key, other, score) of the keys that reach the threshold."""
     importable()
     sides = F.aggregate("keys", F.lit(0), lambda s, k: s.bitwiseOR(k["side"]))
     index = index.filter("text <> '' and scope is not null and block is not null").withColumn("side", sides)
     schema = pa.schema([("scope", pa.string()), ("block", pa.string()), ("key", pa.string()), ("other", pa.string()), ("score", pa.float64())])
 
+    def lengths(lists: pa.ListArray) -> np.ndarray:
+        return np.diff(lists.offsets.to_numpy())
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, []
         for batch in batches:
@@ -248,16 +291,17 @@ def _pairs(index: DataFrame, threshold: float) -> DataFrame:
                     last, own = (scope, block, id), _slices(texts.field("text").to_pylist())
                 keys, rows = (texts.field("keys"), others.field("keys")), []
                 for i, j, score in alike_pairs(own, others.field("text").to_pylist(), threshold):
-                    if same:  # each pair comes in both orders
-                        i, j, score = (v[i < j] for v in (i, j, score))
+                    if same:  # each pair comes in both orders, and keys of one text are alike
+                        once = (i < j) | ((i == j) & (lengths(keys[0])[i] > 1))
+                        i, j, score = (v[once] for v in (i, j, score))
                     for s in range(0, len(i), ROWS):
                         xs, ys = (of.take(pa.array(at[s : s + ROWS])).to_pylist() for of, at in zip(keys, (i, j), strict=True))
-                        for x, y, z in zip(xs, ys, score[s : s + ROWS].tolist(), strict=True):
+                        for x, y, z, one in zip(xs, ys, score[s : s + ROWS].tolist(), (same & (i == j))[s : s + ROWS].tolist(), strict=True):
                             for a in x:
                                 for b in y:
-                                    if a["side"] & 1 and b["side"] & 2:
+                                    if a["side"] & 1 and b["side"] & 2 and a["key"] != b["key"]:
                                         rows.append((a["key"], b["key"], z))
-                                    if a["side"] & 2 and b["side"] & 1:
+                                    if a["side"] & 2 and b["side"] & 1 and not one:
                                         rows.append((b["key"], a["key"], z))
                             if len(rows) >= ROWS:
                                 yield _batch(scope, block, rows, schema)
@@ -283,12 +327,12 @@ def candidates(texts: DataFrame, threshold: float) -> DataFrame:
 def similar(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """All pairs of comparison keys of one scope and one block whose similarity is at least ``threshold``: (scope, key, other,
     score) from ``asked`` and ``known`` (scope, block, key). Equal keys are no pair; an empty key is like nothing."""
-    sides = asked.select("scope", "block", "key", F.lit(1).alias("side")).unionByName(known.select("scope", "block", "key", F.lit(2).alias("side")))
-    keys = sides.groupBy("scope", "block", "key").agg(F.bit_or("side").alias("side"))
+    names = ["scope", "block", "key"]
+    if asked is known:
+        sides = asked.select(*names, F.lit(3).alias("side"))
+    else:
+        sides = asked.select(*names, F.lit(1).alias("side")).unionByName(known.select(*names, F.lit(2).alias("side")))
+    keys = sides.groupBy(*names).agg(F.bit_or("side").alias("side"))
     ordered = F.array_join(F.array_sort(F.split("key", " ")), " ")
     index = keys.groupBy("scope", "block", ordered.alias("text")).agg(F.sort_array(F.collect_list(F.struct("key", "side"))).alias("keys"))
-    # the same words in another order
-    same = index.filter("text <> '' and scope is not null and block is not null and size(keys) > 1").select("scope", F.explode("keys").alias("a"), "keys")
-    same = same.select("scope", "a", F.explode("keys").alias("b")).filter("a.key <> b.key and a.side & 1 > 0 and b.side & 2 > 0")
-    same = same.select("scope", F.col("a.key").alias("key"), F.col("b.key").alias("other"), F.lit(100.0).alias("score"))
-    return _pairs(index, threshold).select("scope", "key", "other", "score").unionByName(same)
+    return _pairs(index, threshold).select("scope", "key", "other", "score")

@@ -136,3 +136,12 @@ def test_pairs_are_the_same_however_texts_are_cut(monkeypatch, masks):
     got = sorted((int(i), int(j), float(s)) for found in fuzzy.alike_pairs(fuzzy._slices(xs), ys, 75.0) for i, j, s in zip(*found, strict=True))
     ratio = lambda x, y: 200.0 * T.common_subsequence(x, y) / (len(x) + len(y))
     assert got == [(i, j, ratio(x, y)) for i, x in enumerate(xs) for j, y in enumerate(ys) if ratio(x, y) >= 75]
+
+
+@pytest.mark.parametrize("chunk", [2, 100])
+def test_keys_of_the_same_words_are_alike_once(spark, monkeypatch, chunk):
+    monkeypatch.setattr(fuzzy, "CHUNK", chunk)
+    rows = spark.createDataFrame([("s", "", k) for k in ("a b", "b a", "c", "b a", "c d e", "e d c", "d c e", "zz")], "scope string, block string, key string")
+    got = sorted(tuple(r) for r in fuzzy.similar(rows, rows, 99.0).collect())
+    alike = (("a b", "b a"), ("c d e", "e d c", "d c e"))
+    assert got == sorted(("s", a, b, 100.0) for group in alike for a in group for b in group if a != b)
