@@ -237,7 +237,7 @@ def _chunks(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts (scope, block, text, keys, side) -> blocks of at most a chunk (scope, block, one, two, both: texts by side), and
     the chunks of larger ones (scope, block, side, id, texts, lo, hi: the range of their lengths)."""
     own, entry = ["scope", "block", "side"], F.struct("text", "keys")
-    index = index.withColumn("n", F.char_length("text"))
+    index = index.withColumn("n", F.coalesce(F.char_length("text"), F.lit(0)))  # never null: no join filters one of two uses
     sizes = index.groupBy(*own, "n").agg(F.count("*").alias("c"))
     before = F.sum("c").over(Window.partitionBy(*own).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
     sizes = sizes.select(*own, "n", "c", F.sum("c").over(Window.partitionBy("scope", "block")).alias("all"), F.floor(before / CHUNK).alias("band"))
@@ -274,7 +274,7 @@ def _met(index: DataFrame, threshold: float) -> DataFrame:
 def _pairs(index: DataFrame, threshold: float) -> DataFrame:
     """``index`` (scope, block, text, keys: key and side) -> (scope, block, key, other, score) of the keys that reach the threshold."""
     importable()
-    sides = F.aggregate("keys", F.lit(0), lambda s, k: s.bitwiseOR(k["side"]))
+    sides = F.coalesce(F.aggregate("keys", F.lit(0), lambda s, k: s.bitwiseOR(k["side"])), F.lit(0))
     index = index.filter("text <> '' and scope is not null and block is not null").withColumn("side", sides)
     schema = pa.schema([("scope", pa.string()), ("block", pa.string()), ("key", pa.string()), ("other", pa.string()), ("score", pa.float64())])
 
